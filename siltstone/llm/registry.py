@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, mixing, packing
+from . import avi, license_join, mixing, packing
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pareto_mix, op3_avi_clips, op6_cost_packing)}
+def op9_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(read(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pareto_mix, op3_avi_clips, op6_cost_packing, op9_license_join)}
+
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL}
