@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, ctw, lang_id, license_join, mixing, packing
+from . import avi, cap_filters, ctw, lang_id, license_join, mixing, packing
 from .common import read
 
 
@@ -35,6 +35,10 @@ def op9_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op6_cost_packing, op7_context_tree, op9_license_join)}
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op6_cost_packing, op7_context_tree, op9_license_join, op10_cap_filters)}
 
 ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL}
