@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import avi, cap_filters, ctw, lang_id, license_join, mixing, packing
+from . import avi, cap_filters, ctw, lang_id, license_join, line_dedup, mixing, order_minhash, packing
 from .common import read
 
 
@@ -23,6 +24,15 @@ def op3_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.avi_digest(avi.encode_avi(read(spark, sf_dir, "documents")))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op5_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -39,6 +49,6 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op6_cost_packing, op7_context_tree, op9_license_join, op10_cap_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op4_order_minhash, op5_winnow_lines, op6_cost_packing, op7_context_tree, op9_license_join, op10_cap_filters)}
 
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL, "op5_winnow_lines": line_dedup.DEDUP_SQL}
