@@ -7,7 +7,8 @@ A sample's rank is the class of its run, and the second rank the class of all by
 
 A bucket is all suffixes through samples of one rank. Suffixes whose second ranks are equal are tied over their whole
 length, which needs no byte of them; only what is left of a bucket is sorted by its bytes. Buckets are read one after
-another by each task, so that memory is bounded by the largest; those above BUCKET are dealt out suffix by suffix.
+another by each task. One above BUCKET is cut into parts of about that size, so that memory is bounded; only the first
+of each string in each part is then compared with those of the other parts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, utf8
 
 LENGTH, SAMPLE = 100, 24
-#: Places with bytes of their own in a bucket that one task sorts.
+#: Places with bytes of their own that a task sorts together.
 BUCKET = 4096
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
@@ -118,7 +119,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     found = picked.drop("__key").mapInArrow(sample, "rank long, second long, id long, tag int, pos int, around int")
     found = cut(found, "samples")
     several = found.groupBy("rank").agg(F.count("*").alias("n"), (F.min("second") < F.max("second")).alias("differ")).where("n > 1").select("rank", "differ")
-    tied = cut(found.join(several, "rank"), "samples-tied")
+    tied = cut(found.join(cut(several, "samples-several"), "rank"), "samples-tied")
     first = tied.groupBy("rank", "second", "differ").agg(F.min(F.struct(*PLACE, "around")).alias("first"))
     first = cut(first, "samples-first")
     place = F.struct(*PLACE)
@@ -149,20 +150,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 
     joined = picked.drop("__key").join(asked, ["id", "tag"]).dropDuplicates(["id", "tag"])
     held = cut(joined.select("id", "tag", "__text", "asked").mapInArrow(contexts, "rank long, id long, tag int, pos int, around int, context binary"), "contexts")
-    sizes = held.groupBy("rank").agg(F.count("*").alias("n"))
+    sizes = held.groupBy("rank").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("rank", "parts")
+    part = F.pmod(F.xxhash64(*PLACE), F.col("parts"))
+    dealt = held.join(cut(sizes, "buckets"), "rank").select(F.xxhash64("rank", part).alias("rank"), *PLACE, "around", "context", (F.col("parts") > 1).alias("several"))
 
     def arrays(frame: pa.RecordBatch) -> tuple:
         context = np.frombuffer(b"".join(frame.column("context").to_pylist()), np.uint8).reshape(-1, width)
         around = frame.column("around").to_numpy()
         return frame.column("rank").to_numpy().view(np.uint64), context, around // 1024, around % 1024
 
-    def spans(frame: pa.RecordBatch) -> pa.RecordBatch:
-        row, a, b = _runs(repeats(*arrays(frame), length))
-        take, pos = pa.array(row), frame.column("pos").to_numpy()[row]
-        return pa.RecordBatch.from_arrays([frame.column("id").take(take), frame.column("tag").take(take), pa.array(pos - b, pa.int32()), pa.array(pos - a + length, pa.int32())], ["id", "tag", "a", "b"])
+    found_schema = "id long, tag int, a int, b int, string binary"
+
+    def compare(frame: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Repeated strings of whole parts as spans; of buckets in several parts also the first of each string in this one."""
+        bucket, context, before, after = arrays(frame)
+        again = repeats(bucket, context, before, after, length)
+        pos, several = frame.column("pos").to_numpy(), frame.column("several").to_numpy(zero_copy_only=False)
+
+        def rows(at: np.ndarray, a: np.ndarray, b: np.ndarray, strings: pa.Array) -> pa.RecordBatch:
+            take = pa.array(at)
+            return pa.RecordBatch.from_arrays([frame.column("id").take(take), frame.column("tag").take(take), pa.array(a, pa.int32()), pa.array(b, pa.int32()), strings], ["id", "tag", "a", "b", "string"])
+
+        at, first, last = _runs(again)
+        yield rows(at, pos[at] - last, pos[at] - first + length, pa.nulls(len(at), pa.binary()))
+        for o in range(reach + 1) if several.any() else ():
+            at = np.flatnonzero(several & ~again[:, o] & (before >= o) & (after >= length - o))
+            keys = [hashlib.blake2b(c.tobytes(), digest_size=16).digest() for c in context[at, reach - o : reach - o + length]]
+            yield rows(at, pos[at] - o, pos[at] - o + length, pa.array(keys, pa.binary()))
 
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole buckets, as many at once as fill some thousand rows; one may go on in the next batch."""
+        """Whole parts, as many at once as fill some thousand rows; one may go on in the next batch."""
         left: list[pa.RecordBatch] = []
         for batch in batches:
             for i in range(0, batch.num_rows, BUCKET):
@@ -172,33 +189,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
                 if last:
                     ended = [*left[:-1], left[-1].slice(0, last)]
                     left = [left[-1].slice(last)]
-                    yield spans(pa.Table.from_batches(ended).combine_chunks().to_batches()[0])
+                    yield from compare(pa.Table.from_batches(ended).combine_chunks().to_batches()[0])
         if left:
-            yield spans(pa.Table.from_batches(left).combine_chunks().to_batches()[0])
+            yield from compare(pa.Table.from_batches(left).combine_chunks().to_batches()[0])
 
-    cold = held.join(sizes.where((F.col("n") > 1) & (F.col("n") <= BUCKET)).select("rank"), "rank")
-    cold = cold.repartition("rank").sortWithinPartitions("rank", *PLACE).select("rank", *PLACE, "around", "context")
-    sorted_spans = cold.mapInArrow(sort_buckets, "id long, tag int, a int, b int")
+    dealt = dealt.repartition("rank").sortWithinPartitions("rank", *PLACE)
+    compared = cut(dealt.mapInArrow(sort_buckets, found_schema), "compared")
+    strings = compared.where("string is not null").select("string", F.struct("id", "tag", F.col("a").alias("pos")).alias("place"))
+    earliest = strings.groupBy("string").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("string", "first")
+    apart = strings.join(earliest, "string").where(F.col("place") > F.col("first")).select("place.id", "place.tag", F.col("place.pos").alias("a"), (F.col("place.pos") + length).alias("b"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each suffix of a large bucket by itself."""
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                some = batch.slice(i, 2048)
-                _, context, before, after = arrays(some)
-                for o in range(reach + 1):
-                    rows = np.flatnonzero((before >= o) & (after >= length - o))
-                    keys = [hashlib.blake2b(c.tobytes(), digest_size=16).digest() for c in context[rows, reach - o : reach - o + length]]
-                    take = pa.array(rows)
-                    start = some.column("pos").to_numpy()[rows] - o
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), some.column("id").take(take), some.column("tag").take(take), pa.array(start, pa.int32())], ["string", *PLACE])
-
-    hot = held.join(sizes.where(F.col("n") > BUCKET).select("rank"), "rank").select("around", "context", "rank", *PLACE)
-    dealt = cut(hot.mapInArrow(deal, "string binary, id long, tag int, pos int"), "strings")
-    earliest = dealt.groupBy("string").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("string", "first")
-    dealt_spans = dealt.join(earliest, "string").where(place > F.col("first")).select("id", "tag", F.col("pos").alias("a"), (F.col("pos") + length).alias("b"))
-
-    marks = cut(whole.unionByName(sorted_spans).unionByName(dealt_spans), "marks")
+    sorted_spans = compared.where("string is null").drop("string")
+    marks = cut(whole.unionByName(sorted_spans).unionByName(apart), "marks")
     marks = marks.groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
