@@ -7,8 +7,9 @@ A sample's rank is the class of its run, and the second rank the class of all by
 
 A bucket is all suffixes through samples of one rank. Suffixes whose second ranks are equal are tied over their whole
 length, which needs no byte of them; only what is left of a bucket is sorted by its bytes. Buckets are read one after
-another by each task. One above BUCKET is cut into parts of about that size, so that memory is bounded; only the first
-of each string in each part is then compared with those of the other parts.
+another by each task. One above BUCKET is dealt out anew by the bytes that strings of about the same start share. What is
+still above it is cut into parts of about that size, so that memory is bounded; only the first of each string in each
+part is then compared with those of the other parts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from .common import cut, slices, utf8
 
 LENGTH, SAMPLE = 100, 24
 #: Places with bytes of their own that a task sorts together.
-BUCKET = 4096
+BUCKET = 2048
+#: Ranges of starts that a large bucket is cut into.
+RANGES = 4
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
 
@@ -69,8 +72,15 @@ def samples(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.
     return tuple(v[enough] for v in (text, chosen - at[text], rank[chosen].view(np.int64), second.view(np.int64), before, after))
 
 
-def repeats(bucket: np.ndarray, context: np.ndarray, before: np.ndarray, after: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which strings through each sample (columns: how far before it they start) also stand in an earlier row of its bucket.
+def within(before: np.ndarray, after: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which strings through each sample (columns: how far before it they start) are in its text and start at low to high - 1."""
+    o = np.arange(length - SAMPLE + 1)
+    before, after, low, high = (v[:, None] for v in (before, after, low, high))
+    return (before >= o) & (after >= length - o) & (low <= o) & (o < high)
+
+
+def repeats(bucket: np.ndarray, context: np.ndarray, inside: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which strings of ``inside`` also stand in an earlier row of their bucket.
 
     Rows are in the order of their places; ``context`` has the bytes from length - SAMPLE before to ``length`` after.
     """
@@ -80,7 +90,7 @@ def repeats(bucket: np.ndarray, context: np.ndarray, before: np.ndarray, after:
     np.cumsum((context.astype(np.uint64) + np.uint64(1)) * weights, axis=1, out=sums[:, 1:])
     out = np.zeros((len(context), reach + 1), bool)
     for o in range(reach + 1):
-        rows = np.flatnonzero((before >= o) & (after >= length - o))
+        rows = np.flatnonzero(inside[:, o])
         key = _mix((sums[rows, reach - o + length] - sums[rows, reach - o]) ^ _mix(bucket[rows]))
         order = np.argsort(key, kind="stable")
         out[rows[order[1:]][key[order][1:] == key[order][:-1]], o] = True
@@ -150,21 +160,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 
     joined = picked.drop("__key").join(asked, ["id", "tag"]).dropDuplicates(["id", "tag"])
     held = cut(joined.select("id", "tag", "__text", "asked").mapInArrow(contexts, "rank long, id long, tag int, pos int, around int, context binary"), "contexts")
-    sizes = held.groupBy("rank").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("rank", "parts")
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        """In how many parts each bucket of two places or more is dealt out."""
+        n = F.count("*")
+        return cut(rows.groupBy("rank").agg(F.ceil(n / BUCKET).cast("int").alias("parts"), n.alias("n")).where("n > 1").select("rank", "parts"), name)
+
+    SIDES = ["around", "context", "low", "high"]
+    sizes = parts(held, "buckets")
+    cold = held.join(sizes.where("parts = 1"), "rank").withColumns({"low": F.lit(0), "high": F.lit(reach + 1)})
+    # of a large bucket, strings that start at about the same distance before the sample share most of their bytes: buckets by those
+    edges = [reach * k // RANGES for k in range(RANGES)] + [reach + 1]
+    shared = lambda a, b: F.substring("context", reach - a + 1, length - (b - 1 - a))
+    ranges = F.array(*(F.struct(F.xxhash64("rank", F.lit(a), shared(a, b)).alias("rank"), F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in zip(edges, edges[1:])))
+    hot = cut(held.join(sizes.where("parts > 1"), "rank").select(*PLACE, "around", "context", F.explode(ranges).alias("r")).select("r.*", *PLACE, "around", "context"), "ranges")
+    hot = hot.join(parts(hot, "range-buckets"), "rank")
     part = F.pmod(F.xxhash64(*PLACE), F.col("parts"))
-    dealt = held.join(cut(sizes, "buckets"), "rank").select(F.xxhash64("rank", part).alias("rank"), *PLACE, "around", "context", (F.col("parts") > 1).alias("several"))
+    dealt = cold.unionByName(hot).select(F.xxhash64("rank", part).alias("rank"), *PLACE, *SIDES, (F.col("parts") > 1).alias("several"))
 
     def arrays(frame: pa.RecordBatch) -> tuple:
         context = np.frombuffer(b"".join(frame.column("context").to_pylist()), np.uint8).reshape(-1, width)
         around = frame.column("around").to_numpy()
-        return frame.column("rank").to_numpy().view(np.uint64), context, around // 1024, around % 1024
+        return frame.column("rank").to_numpy().view(np.uint64), context, within(around // 1024, around % 1024, frame.column("low").to_numpy(), frame.column("high").to_numpy(), length)
 
     found_schema = "id long, tag int, a int, b int, string binary"
 
     def compare(frame: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Repeated strings of whole parts as spans; of buckets in several parts also the first of each string in this one."""
-        bucket, context, before, after = arrays(frame)
-        again = repeats(bucket, context, before, after, length)
+        bucket, context, inside = arrays(frame)
+        again = repeats(bucket, context, inside, length)
         pos, several = frame.column("pos").to_numpy(), frame.column("several").to_numpy(zero_copy_only=False)
 
         def rows(at: np.ndarray, a: np.ndarray, b: np.ndarray, strings: pa.Array) -> pa.RecordBatch:
@@ -174,7 +198,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         at, first, last = _runs(again)
         yield rows(at, pos[at] - last, pos[at] - first + length, pa.nulls(len(at), pa.binary()))
         for o in range(reach + 1) if several.any() else ():
-            at = np.flatnonzero(several & ~again[:, o] & (before >= o) & (after >= length - o))
+            at = np.flatnonzero(several & ~again[:, o] & inside[:, o])
             keys = [hashlib.blake2b(c.tobytes(), digest_size=16).digest() for c in context[at, reach - o : reach - o + length]]
             yield rows(at, pos[at] - o, pos[at] - o + length, pa.array(keys, pa.binary()))
 
