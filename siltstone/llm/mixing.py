@@ -73,7 +73,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, key:
     goal = targets(totals, share, float(most)).select(F.col("source").alias("__goal"), "source_size", "target")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("__whole", F.floor(due + 1e-12)).withColumn("__p", F.greatest(F.lit(0.0), due - F.col("__whole")))
-    goal = goal.withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size"))
+    goal = cut(goal.withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size")), "mix-goals")  # written, its size is known: texts needn't move to it
 
     rank = (F.col("__u") / (1.0 - F.col("__u"))) / (F.col("__p") / (1.0 - F.col("__p")))
     fine = F.least(F.floor(rank / (1.0 + rank) * (STEPS * STEPS)), F.lit(STEPS * STEPS - 1)).cast("long")
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, key:
     coarse = ends(one.groupBy("__goal", "__need", "coarse").agg(F.sum("size").alias("n")), "coarse", F.lit(0))
     at = joined(one, coarse, "inner").where("coarse = end_coarse")
     first = ends(at.groupBy("__goal", "__need", "words_coarse", "fine").agg(F.sum("size").alias("n")), "fine", F.col("words_coarse"))
-    tagged = joined(ranked, first)
+    tagged = joined(ranked, cut(first, "mix-ends"))
     # the documents in a source's last step, ordered
     order = W.partitionBy("__goal").orderBy("__rank", "__tie")
     last = tagged.where("__fine = end_fine").withColumn("__upto", F.col("words_fine") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
