@@ -4,8 +4,9 @@ Of a text's occurrence-labelled runs of five words each sketch keeps the two wit
 text, so that texts share sketches as their edit similarity is high. Texts that share one are candidates; a banded
 alignment of their words verifies them.
 
-A bucket of texts with one sketch is never paired up whole. Its members are compared with the bucket's first text. Those
-that are not its near-duplicates go on into finer buckets, which also agree on the next sketch, and then on one more.
+All pairs of a bucket of texts with one sketch are settled: two texts are aligned, or links join them already, or their
+lengths and counts of words rule them out. Members are compared with the bucket's first text, and in buckets that links
+don't join with a few more, taken by hash. Then blocks of what is still apart are compared with each other.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,12 @@ from .components import components
 
 RUN = 5
 SKETCHES = 24
-LEVELS = 3
+#: Texts of a bucket, besides its first, that all others not yet joined with them are aligned with before blocks are compared.
+PIVOTS = 2
+#: Texts of one bucket that a task compares with as many others of it at once.
+GROUP = 512
+#: Counters of a text's words by hash, whose differences bound the edits between two texts from below.
+BINS = 256
 SIMILAR = 0.8
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +96,21 @@ def sketches(data: np.ndarray, at: np.ndarray, count: int = SKETCHES) -> tuple[n
     return some, out.view(np.int64)
 
 
+def profiles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many words each text has, a row of BINS counts of its words by hash, 255 for more)."""
+    words, n = word_hashes(data, at)
+    bins = np.repeat(np.arange(len(n)) * BINS, n) + (words % np.uint64(BINS)).astype(np.int64)
+    return n, np.minimum(np.bincount(bins, minlength=len(n) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+
+
+def apart(n: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows have fewer words in common than a similarity of ``least`` needs, whatever their order."""
+    most = np.floor((1 - least) * np.maximum(n[left], n[right]) + 1e-9)
+    gap = counts[left].astype(np.int16) - counts[right]
+    over = np.maximum(gap, 0).sum(axis=1, dtype=np.int64)
+    return np.maximum(over, over - gap.sum(axis=1, dtype=np.int64)) > most
+
+
 def distance(a: list, b: list, most: int) -> int | None:
     """Edits (insert, delete, replace a word) from a to b if at most ``most``, else None: an alignment within a band of
     2 * most + 1 diagonals, a column of which is the bits of one number."""
@@ -136,7 +158,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id"
     """A row for each row of ``docs``: key, class_id, kept, links.
 
     class_id is the smallest id that links reach (equal texts are linked), kept is whether it is the row's own; links
-    counts the verified links of the row's text with other texts. A null text or one without words links with nothing,
+    counts the verified links of the row's text with other texts (texts that links join already need none). A null text or one without words links with nothing,
     and a null id neither; such rows are their own class and are kept. Rows that share an id have one class. Other
     columns are left out.
     """
@@ -183,13 +205,80 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id"
         return cut(pairs.select("lead", "rep", "x", "y").mapInArrow(align, f"lead {kind}, rep {kind}, same boolean"), "aligned")
 
     verified = verify(level.select("lead", "rep").distinct())
-    for depth in range(1, LEVELS):
-        apart = level.join(verified.where("not same").select("lead", "rep"), ["lead", "rep"], "left_semi")
-        finer = F.xxhash64("bucket", F.element_at("sketch", ((F.col("j") + depth) % SKETCHES + 1).cast("int")))
-        level = cut(shared(apart.join(held, "rep").select("rep", "j", finer.alias("bucket"))), "buckets")
-        verified = cut(verified.unionByName(verify(level.select("lead", "rep").distinct().join(verified, ["lead", "rep"], "left_anti"))), "aligned")
+    groups = components(verified.where("same"), "lead", "rep")
+    crowded = level.groupBy("bucket").agg(F.count("*").alias("others")).where("others > 1").select("bucket")
+    members = level.select("bucket", "rep").unionByName(level.select("bucket", F.col("lead").alias("rep")).distinct())
+    members = cut(members.join(crowded, "bucket"), "members")
+
+    def unjoined(members: DataFrame, groups: DataFrame) -> DataFrame:
+        """Members, each with its component, of the buckets that hold more than one."""
+        named = members.select("bucket", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("bucket", "size")
+        return cut(named.join(mixed, "bucket"), "unjoined")
+
+    def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(all verified pairs, components) with the pairs that weren't aligned before."""
+        pairs = pairs.select(F.least("a", "b").alias("lead"), F.greatest("a", "b").alias("rep")).distinct()
+        new = verify(pairs.join(verified, ["lead", "rep"], "left_anti"))
+        links = groups.select(F.col("component").alias("lead"), F.col("node").alias("rep")).unionByName(new.where("same").select("lead", "rep"))
+        return cut(verified.unionByName(new), "aligned"), components(links, "lead", "rep")
+
+    members = unjoined(members, groups)
+    for k in range(PIVOTS):
+        if members.isEmpty():
+            break
+        by = F.xxhash64("rep", F.lit(k))
+        pivots = members.groupBy("bucket").agg(F.max_by(F.struct(F.col("rep").alias("a"), F.col("component").alias("of")), by).alias("pivot"))
+        pairs = members.join(pivots, "bucket").where("component <> pivot.of").select("pivot.a", F.col("rep").alias("b"))
+        verified, groups = settle(pairs)
+        members = unjoined(members, groups)
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text", 1 << 21):
+            n, counts = profiles(*utf8(batch.column("__text")))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(n, pa.int64()), pa.array([c.tobytes() for c in counts], pa.binary())], ["rep", "n", "counts"])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs of rows with one (bucket, i, j); a run may go on in the next batch."""
+        kept = None
+        for frame in batches:
+            frame = frame if kept is None else pd.concat([kept, frame])
+            last = frame.iloc[-1][["bucket", "i", "j"]]
+            ended = ~((frame.bucket == last.bucket) & (frame.i == last.i) & (frame.j == last.j))
+            kept = frame[~ended]
+            yield from across(frame[ended])
+        if kept is not None:
+            yield from across(kept)
+
+    def across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(frame):
+            return
+        bucket, i, j, part, rep, n = (frame[c].to_numpy() for c in ("bucket", "i", "j", "part", "rep", "n"))
+        of, counts = pd.factorize(frame["component"])[0], np.frombuffer(b"".join(frame["counts"]), np.uint8).reshape(-1, BINS)
+        edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for a, b in zip([0, *edge], [*edge, len(frame)]):
+            left = np.arange(a, b) if i[a] == j[a] else a + np.flatnonzero(part[a:b] == i[a])
+            right = left if i[a] == j[a] else a + np.flatnonzero(part[a:b] == j[a])
+            x, y = n[left][:, None], n[right][None, :]
+            s, t = np.nonzero((of[left][:, None] != of[right][None, :]) & (np.abs(x - y) <= np.floor((1 - least) * np.maximum(x, y) + 1e-9)))
+            s, t = left[s], right[t]
+            if i[a] == j[a]:
+                s, t = s[s < t], t[s < t]
+            for c in range(0, len(s), 1 << 14):
+                p, q = s[c : c + (1 << 14)], t[c : c + (1 << 14)]
+                near = ~apart(n, counts, p, q, least)
+                if near.any():
+                    yield pd.DataFrame({"a": rep[p[near]], "b": rep[q[near]]})
+
+    if not members.isEmpty():
+        told = texts.join(members.select("rep").distinct(), "rep", "left_semi").mapInArrow(profile, f"rep {kind}, n long, counts binary")
+        sized = members.join(told, "rep").withColumn("parts", F.ceil(F.col("size") / GROUP).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        # pairs of blocks: (i, j) for i <= j, each holding both blocks
+        dealt = sized.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("bucket", F.least("part", "mate").alias("i"), F.greatest("part", "mate").alias("j"), "part", "rep", "component", "n", "counts")
+        verified, groups = settle(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(meet, f"a {kind}, b {kind}"))
     links = verified.where("same")
-    groups = components(links, "lead", "rep").withColumnRenamed("node", "rep")
+    groups = groups.withColumnRenamed("node", "rep")
     ends = links.select("rep").unionByName(links.select(F.col("lead").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     told = leads.join(groups, "rep", "left").join(ends, "rep", "left").select(F.col("__hash"), F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     out = base.drop("sketch").join(told, "__hash", "left")

@@ -246,6 +246,32 @@ def test_near_duplicates_of_odd_rows(odd, empty, spark):
     assert all(got[k] == 0 for k in range(300)) and all(got[1000 + k] == 1000 + k for k in range(50))
 
 
+def families(rows):
+    """The smallest id that similar texts reach, by all pairs."""
+    split, lead = {k: v.split() for k, v in rows}, {k: k for k, _ in rows}
+    for i in sorted(split):
+        for j in sorted(split):
+            if i < j and lead[i] != lead[j] and order_minhash.similar(split[i], split[j]):
+                least, other = sorted((lead[i], lead[j]))
+                lead = {k: least if v == other else v for k, v in lead.items()}
+    return lead
+
+
+def test_near_duplicates_unlike_the_first_text(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(75)]
+    rows = [(k, " ".join(base + [f"f{i}_{x}" for i, x in enumerate(rng.integers(0, 12, 25))])) for k in range(150)]  # one template, other fields
+    whole = [f"c{i}" for i in range(100)]
+    rows += [(1000, " ".join(whole)), (1001, " ".join(whole[:85])), (1002, " ".join(whole[:70]))]  # a chain
+    want = families(rows)
+    assert want[1002] == 1000 and 1 < len(set(want.values())) < 100 and not order_minhash.similar(whole, whole[:70])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for pivots, group in ((2, 512), (0, 20)):
+        monkeypatch.setattr(order_minhash, "PIVOTS", pivots, raising=False)
+        monkeypatch.setattr(order_minhash, "GROUP", group, raising=False)
+        assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(df).collect()} == want
+
+
 # op5
 
 
