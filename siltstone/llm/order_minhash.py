@@ -1,6 +1,6 @@
 """Near-duplicate texts by Order MinHash.
 
-Of a text's occurrence-labelled runs of five words each sketch keeps the two with the least hashes, in the order of the
+Of a text's occurrence-labelled runs of three words each sketch keeps the two with the least hashes, in the order of the
 text, so that texts share sketches as their edit similarity is high. Texts that share one are candidates; a banded
 alignment of their words verifies them.
 
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import cut, slices, utf8
 from .components import components
 
-RUN = 5
-SKETCHES = 24
+#: Words of a run, and sketches of a text. With a share s of single-word edits spread over a text p = (1 - s)^RUN of its runs
+#: stay, two such texts have p / (2 - p) of their runs in common, and a sketch needs two: 0.98 of pairs at SIMILAR share one.
+RUN = 3
+SKETCHES = 32
 #: Texts of a bucket, besides its first, that all others not yet joined with them are aligned with before blocks are compared.
 PIVOTS = 2
 #: Texts of one bucket that a task compares with as many others of it at once.

@@ -272,6 +272,27 @@ def test_near_duplicates_unlike_the_first_text(spark, monkeypatch):
         assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(df).collect()} == want
 
 
+def recall(share, n, pairs=400):
+    """Of pairs of texts of n words, a share of them replaced here and there, that brute force finds similar: how many share a sketch."""
+    rng, found = np.random.default_rng(7), []
+    for k in range(pairs):
+        a = [f"w{i}" for i in rng.integers(0, 20_000, n)]
+        b = list(a)
+        for i in rng.choice(n, round(share * n), replace=False):
+            b[i] = f"x{i}"
+        if order_minhash.similar(a, b):
+            data = [" ".join(x).encode() for x in (a, b)]
+            _, s = order_minhash.sketches(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+            found.append(bool((s[0] == s[1]).any()))
+    assert len(found) == pairs
+    return sum(found) / len(found)
+
+
+@pytest.mark.parametrize("share,least", [(0.2, 0.95), (0.15, 0.98), (0.1, 0.99)])
+def test_recall_of_spread_edits(share, least):
+    assert recall(share, 250) >= least
+
+
 # op5
 
 
