@@ -365,12 +365,93 @@ def test_remembered_words_are_the_tokenizers(texts, tokenizer):
 # op7
 
 
-def test_context_tree_is_a_distribution():
-    counts = np.zeros((3, 256), np.float32)
-    counts[1, 97:100], counts[2, 98] = [5, 3, 1], 4
-    counts[0] = counts[1] + counts[2]
-    tree = ctw.Tree(np.array([0, 1, 1]), np.array([0, 1, 2]), counts)
-    assert np.allclose((10.0 ** tree.logs).sum(axis=1), 1, atol=1e-5)
+def as_arrays(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def tree_scores(train, texts, at_once=1 << 17, times=1):
+    """Scores of ctw's arrays, without Spark."""
+    trained, asked = (ctw.places(*as_arrays(x))[0] for x in (train, texts))
+    key, n = ctw.summed(np.concatenate([trained, asked]), np.concatenate([np.full(len(trained), times), np.zeros(len(asked), np.int64)]))
+    logs = ctw.log_probabilities(key, n, ctw.Top(*ctw.roots(key, n, at_once)), at_once)
+    order = np.argsort(ctw.group_of(key), kind="stable")
+    return ctw.score_block(*as_arrays(texts), [logs[order].astype(np.float32).tobytes()])
+
+
+def tree_by_definition(train, texts, depth=ctw.DEPTH):
+    """log10 of P(training texts and a decision) / P(training texts), summed over a text's decisions: each P weighted recursively over dicts."""
+    counts, longer, memo = defaultdict(lambda: [0, 0]), defaultdict(set), {}
+
+    def decisions(t):
+        s = b"\xff" * depth + t.lower() + b"\xff"
+        for i in range(depth, len(s)):
+            for bit in range(8):
+                yield s[i - depth : i], (bit, s[i] >> (8 - bit)), s[i] >> (7 - bit) & 1
+
+    for t in train:
+        for context, node, one in decisions(t):
+            for d in range(depth + 1):
+                c = context[depth - d :]
+                counts[c, node][one] += 1
+                if d:
+                    longer[c[1:], node].add(c)
+
+    def log_p(c, node, more=None):
+        if more is None and (c, node) in memo:
+            return memo[c, node]
+        a, b = counts.get((c, node), (0, 0))
+        if more:
+            a, b = a + (not more[1]), b + more[1]
+        out = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+        if len(c) < depth:
+            along = more and more[0][depth - len(c) - 1 :]
+            below = sum(log_p(k, node, more if k == along else None) for k in longer.get((c, node), set()) | ({along} if more else set()))
+            top = max(out, below)
+            out = math.log(0.5) + top + math.log(math.exp(out - top) + math.exp(below - top))
+        if more is None:
+            memo[c, node] = out
+        return out
+
+    return [sum(log_p(b"", node, (context, one)) - log_p(b"", node) for context, node, one in decisions(t)) / math.log(10) for t in texts]
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 17])
+def test_context_tree_equals_its_definition(at_once):
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.choice(list(b"abc "), rng.integers(0, 40)).tolist()) for _ in range(30)] + [b"", "\u00e9t\u00e9 AB".encode()]
+    train = texts[:20] + texts[-2:]
+    assert np.allclose(tree_scores(train, texts, at_once), tree_by_definition(train, texts), atol=1e-4)
+
+
+def test_context_tree_on_spark_equals_its_definition(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(k, "".join(rng.choice(list("abc \n"), rng.integers(0, 30)))) for k in range(60)]
+    train = [t.encode() for k, t in rows if not held(k, 1)]
+    expect = dict(zip([k for k, _ in rows], tree_by_definition(train, [t.encode() for _, t in rows])))
+    got = {r.doc_id: r.score for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got.keys() == expect.keys() and all(math.isclose(got[k], expect[k], abs_tol=1e-4) for k in got)
+
+
+def test_context_tree_of_all_bytes_is_a_distribution():
+    train = [b"abab", b"abc", b"b"]
+    key, n = ctw.summed(*(np.concatenate(x) for x in zip(*[(ctw.places(*as_arrays([t]))[0], np.ones(len(t) + 1, np.int64)) for t in train])))
+    every = (key[0] >> 8 << 8) + np.arange(256)
+    key, n = ctw.summed(np.concatenate([key, every]), np.concatenate([n, np.zeros(256, np.int64)]))
+    logs = ctw.log_probabilities(key, n, ctw.Top(*ctw.roots(key, n)))
+    assert math.isclose((10 ** logs[np.isin(key, every)]).sum(), 1.0, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("times", [1, 10**6, 10**10])
+def test_context_tree_of_large_counts(texts, times):
+    some = [(t or "").encode() for t in list(texts.values())[:60]]
+    got = tree_scores(some[:50], some, times=times)
+    assert np.isfinite(got).all() and (got < 0).all()
+
+
+def test_parts_of_a_block(spark, docs, monkeypatch):
+    whole = rows_of(ctw.score(docs).select("doc_id", F.round("score", 3)))
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 20_000)
+    assert rows_of(ctw.score(docs.repartition(3)).select("doc_id", F.round("score", 3))) == whole
 
 
 def test_kt_equals_its_product():
@@ -380,7 +461,8 @@ def test_kt_equals_its_product():
             for bit in [0] * a + [1] * b:
                 p *= ((n1 if bit else n0) + 0.5) / (n0 + n1 + 1)
                 n0, n1 = n0 + (not bit), n1 + bit
-            assert math.isclose(ctw._log_kt(np.array([a]), np.array([b]))[0], math.log(p), abs_tol=1e-8)
+            assert math.isclose(ctw.log_kt(np.array([a]), np.array([b]))[0], math.log(p), abs_tol=1e-8)
+    assert np.allclose(ctw.log_kt(np.array([5000, 3]), np.array([2, 9000])), [math.lgamma(5000.5) + math.lgamma(2.5) - math.log(math.pi) - math.lgamma(5003), math.lgamma(3.5) + math.lgamma(9000.5) - math.log(math.pi) - math.lgamma(9004)])
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
