@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,10 +31,13 @@ REMEMBERED = 200_000
 
 
 class Ids:
-    """Byte-level BPE ids of texts. Words between single spaces are independent of each other in this vocabulary's
-    split pattern, so that the ids of frequent ones are remembered; a text with longer runs of space is encoded whole."""
+    """Byte-level BPE ids of texts, as the ``tokenizers`` library gives them for ``json_path`` without any setting changed.
 
-    def __init__(self, tiktoken_path: str, pattern: str):
+    The file's added tokens are single ids wherever they stand in a text; what is between them is encoded by the same ranks. Words between single
+    spaces are independent of each other in this vocabulary's split pattern, so that the ids of frequent ones are
+    remembered; a text with longer runs of space is encoded whole."""
+
+    def __init__(self, tiktoken_path: str, pattern: str, json_path: str | None = None):
         import tiktoken
 
         with open(tiktoken_path, "rb") as f:
@@ -41,12 +45,23 @@ class Ids:
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
         self.runs = re.compile(r" (?:\s|\Z)")
+        self.added: dict[str, bytes] = {}
+        if json_path:
+            with open(json_path, encoding="utf-8") as f:
+                self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.load(f)["added_tokens"]}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def _pack(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if self.cuts is None or not self.cuts.search(text):
+            return self.between(text)
+        return b"".join(self.added[t] if t in self.added else self.between(t) for t in self.cuts.split(text))
+
+    def between(self, text: str) -> bytes:
         if self.runs.search(text):
             return self._pack(text)
         first, *rest = text.split(" ")
@@ -103,20 +118,21 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = 1.0, qua
     return pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, added: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its whole text (null: none), then the end id 1, so that each document has a piece.
-    ``tokenizer``: path of a rank file on every executor; ``public_tokenizers`` has the default. Repeated rows are
-    packed each for itself, a null key stays null, other columns are left out. Sequence ids begin with the task's
-    number, so that no two tasks share one.
+    ``tokenizer`` and ``added``: paths, on every executor, of a rank file and of the same vocabulary's JSON file, which
+    has its added tokens; ``public_tokenizers`` has the default ones, and a rank file alone has no added tokens. Repeated
+    rows are packed each for itself, a null key stays null, other columns are left out. Sequence ids begin with the
+    task's number, so that no two tasks share one.
     """
     SCHEMA = ["__key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers as public
 
-        encode = Ids(tokenizer or public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+        encode = Ids(tokenizer or public.path("byte_bpe_50k.tiktoken"), public.PATTERN, added or (None if tokenizer else public.path("byte_bpe_50k.json")))
         end, next_id = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         keys: list[pa.Array] = []
         ids: list[bytes] = []
