@@ -3,19 +3,25 @@
 A payload of bytes becomes gray frames of 24 x 24 samples. Each frame is a lossless JPEG (process SOF3, predictor 1)
 whose Huffman table gives category s a code of 9 - s bits. With its s extra bits every difference takes nine bits, so
 that a whole batch of frames is coded and decoded by array operations.
+
+Files of others are read too: frames of baseline (SOF0, SOF1) and lossless (SOF3) JPEG with 8-bit samples, by the tables
+that they bear. What can't be read gives a reason, never a failed job.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, utf8
 
@@ -95,34 +101,194 @@ def write_avi(coded: np.ndarray, fps: int = FPS) -> bytes:
     return _chunk(b"RIFF", b"AVI " + hdrl + _chunk(b"LIST", b"movi" + b"".join(frames)) + _chunk(b"idx1", b"".join(index)))
 
 
+class Unreadable(ValueError):
+    """Why a file or a frame can't be read."""
+
+
 def read_index(media: bytes) -> tuple[int, list[tuple[int, int]]]:
-    """(microseconds a frame, [(offset, length) of each frame]) by the RIFF lists and the idx1 index."""
+    """(microseconds a frame, [(offset, length) of each video frame]) by the RIFF lists and the idx1 index; a file without
+    an index is read through the movi list."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
-        raise ValueError("not an AVI file")
-    at, movi, micros, index = 12, 0, 0, b""
+        raise Unreadable("not an AVI file")
+    at, movi, micros, index = 12, None, 0, b""
     while at + 8 <= len(media):
         kind, size = struct.unpack_from("<4sI", media, at)
-        if kind == b"LIST" and media[at + 8 : at + 12] == b"hdrl":
+        if kind == b"LIST" and media[at + 8 : at + 12] == b"hdrl" and at + 24 <= len(media):
             micros = struct.unpack_from("<I", media, at + 20)[0]
         elif kind == b"LIST" and media[at + 8 : at + 12] == b"movi":
-            movi = at + 8
+            movi = at + 8, min(len(media), at + 8 + size)
         elif kind == b"idx1":
             index = media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
-    entries = np.frombuffer(index, np.dtype([("kind", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
-    return micros, [(movi + int(e["at"]) + 8, int(e["size"])) for e in entries if e["kind"] == b"00dc"]
+    if movi is None:
+        raise Unreadable("no movi list")
+    entries = np.frombuffer(index[: len(index) // 16 * 16], np.dtype([("kind", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
+    frames = [(int(e["at"]), int(e["size"])) for e in entries if e["kind"][2:] in (b"dc", b"db")]
+    if not frames:
+        return micros, list(_walk(media, movi[0] + 4, movi[1]))
+    base = movi[0] if media[movi[0] + frames[0][0] + 2 : movi[0] + frames[0][0] + 4] in (b"dc", b"db") else 0  # some count from the file's start
+    return micros, [(base + at + 8, size) for at, size in frames]
+
+
+def _walk(media: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
+    while at + 8 <= end:
+        kind, size = struct.unpack_from("<4sI", media, at)
+        if kind == b"LIST":
+            yield from _walk(media, at + 12, min(end, at + 8 + size))
+        elif kind[2:] in (b"dc", b"db"):
+            yield at + 8, size
+        at += 8 + size + (size & 1)
+
+
+# The order in which a block's coefficients are stored, by row * 8 + column.
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+COSINES = np.array([[math.sqrt((1 if u == 0 else 2) / 8) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
+
+
+class _Bits:
+    """Bits of entropy-coded bytes."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.end = int.from_bytes(raw, "big"), 8 * len(raw), 8 * len(raw)
+
+    def take(self, n: int) -> int:
+        if n > self.at:
+            raise Unreadable("a frame's data end early")
+        self.at -= n
+        return self.raw >> self.at & ((1 << n) - 1)
+
+    def symbol(self, table: dict[tuple[int, int], int]) -> int:
+        value = 0
+        for n in range(1, 17):
+            value = value << 1 | self.take(1)
+            if (n, value) in table:
+                return table[n, value]
+        raise Unreadable("a code outside the frame's table")
+
+    def signed(self, n: int) -> int:
+        value = self.take(n) if n else 0
+        return value if not n or value >> (n - 1) else value - (1 << n) + 1
+
+
+def decode_jpeg(body: bytes) -> np.ndarray:
+    """Samples (rows, columns) of the first component of a baseline or lossless JPEG image."""
+    if body[:2] != b"\xff\xd8":
+        raise Unreadable("not a JPEG frame")
+    at, quantities, tables, frame, restart = 2, {}, {}, None, 0
+    while at + 4 <= len(body):
+        if body[at] != 0xFF:
+            raise Unreadable("no marker where one is due")
+        marker, size = body[at + 1], struct.unpack_from(">H", body, at + 2)[0]
+        part, at = body[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xDB:
+            while part:
+                width = 1 + (part[0] >> 4)
+                quantities[part[0] & 15] = np.frombuffer(part[1 : 1 + 64 * width], ">u2" if width == 2 else np.uint8).astype(np.int64)
+                part = part[1 + 64 * width :]
+        elif marker == 0xC4:
+            while part:
+                counts, value, first = part[1:17], 0, 17
+                table = tables[part[0]] = {}
+                for n, k in enumerate(counts, 1):
+                    for symbol in part[first : first + k]:
+                        table[n, value] = symbol
+                        value += 1
+                    value, first = value << 1, first + k
+                part = part[first:]
+        elif marker in (0xC0, 0xC1, 0xC3):
+            bits, rows, columns, n = struct.unpack_from(">BHHB", part)
+            if bits != 8 or not rows or not columns:
+                raise Unreadable("samples of other than 8 bits, or no size")
+            frame = marker, rows, columns, [(part[6 + 3 * i], part[7 + 3 * i] >> 4, part[7 + 3 * i] & 15, part[8 + 3 * i]) for i in range(n)]
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise Unreadable("a JPEG process other than baseline and lossless")
+        elif marker == 0xDD:
+            restart = struct.unpack_from(">H", part)[0]
+        elif marker == 0xDA:
+            if frame is None:
+                raise Unreadable("a scan before its frame")
+            picked = {part[1 + 2 * i]: part[2 + 2 * i] for i in range(part[0])}
+            if len(picked) != len(frame[3]):
+                raise Unreadable("components in scans of their own")
+            end = body.rfind(b"\xff\xd9")
+            runs = re.split(rb"\xff[\xd0-\xd7]", body[at : end if end >= at else len(body)]) if restart else [body[at : end if end >= at else len(body)]]
+            scans = [_Bits(r.replace(b"\xff\0", b"\xff")) for r in runs]
+            try:
+                return _lossless(frame, picked, tables, scans, restart, part[-3]) if frame[0] == 0xC3 else _baseline(frame, picked, tables, quantities, scans, restart)
+            except (KeyError, IndexError) as e:
+                raise Unreadable("a table that the frame doesn't bear") from e
+    raise Unreadable("no scan")
+
+
+def _baseline(frame: tuple, picked: dict, tables: dict, quantities: dict, scans: list[_Bits], restart: int) -> np.ndarray:
+    _, rows, columns, parts = frame
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    if len(parts) == 1:
+        parts, most_h, most_v = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
+    wide, high = -(-columns // (8 * most_h)), -(-rows // (8 * most_v))
+    _, h, v, q = parts[0]
+    out, before = np.zeros((high * v * 8, wide * h * 8)), {}
+    for unit in range(wide * high):
+        if not unit or restart and unit % restart == 0:
+            bits, before = scans[unit // restart if restart else 0], {p[0]: 0 for p in parts}
+        for i, (name, across, down, _) in enumerate(parts):
+            dc, ac = tables[picked[name] >> 4], tables[16 | picked[name] & 15]
+            for y in range(down):
+                for x in range(across):
+                    block = np.zeros(64)
+                    before[name] += bits.signed(bits.symbol(dc))
+                    block[0], k = before[name], 1
+                    while k < 64:
+                        run, size = divmod(bits.symbol(ac), 16)
+                        if not size and run < 15:
+                            break
+                        k += run
+                        block[ZIGZAG[k]], k = (bits.signed(size) * quantities[q][k] if not i else bits.signed(size)), k + 1
+                    if not i:
+                        block[0] *= quantities[q][0]
+                        top, left = (unit // wide * v + y) * 8, (unit % wide * h + x) * 8
+                        out[top : top + 8, left : left + 8] = COSINES.T @ block.reshape(8, 8) @ COSINES
+    return np.clip(np.rint(out + 128), 0, 255).astype(np.uint8)[: -(-rows * v // most_v), : -(-columns * h // most_h)]
+
+
+def _lossless(frame: tuple, picked: dict, tables: dict, scans: list[_Bits], restart: int, predictor: int) -> np.ndarray:
+    _, rows, columns, parts = frame
+    if any((p[1], p[2]) != (1, 1) for p in parts) and len(parts) > 1:
+        raise Unreadable("lossless components of different sizes")
+    if not 1 <= predictor <= 7 or (restart and restart % columns):
+        raise Unreadable("a lossless scan of another kind")
+    out, per = np.zeros((len(parts), rows, columns), np.int64), restart // columns if restart else rows
+    for y in range(rows):
+        bits, top = scans[y // per], y % per == 0
+        for x in range(columns):
+            for i, (name, *_) in enumerate(parts):
+                size = bits.symbol(tables[picked[name] >> 4])
+                difference = 32768 if size == 16 else bits.signed(size)
+                o = out[i]
+                if top:
+                    guess = 128 if x == 0 else o[y, x - 1]
+                elif x == 0:
+                    guess = o[y - 1, 0]
+                else:
+                    a, b, c = o[y, x - 1], o[y - 1, x], o[y - 1, x - 1]
+                    guess = (0, a, b, c, a + b - c, a + (b - c >> 1), b + (a - c >> 1), a + b >> 1)[predictor]
+                o[y, x] = guess + difference & 65535
+    return (out[0] & 255).astype(np.uint8)
 
 
 def read_avi(media: bytes) -> tuple[int, np.ndarray]:
-    """(microseconds a frame, (n, 24, 24) samples) of an AVI file of this module's kind of frames."""
+    """(microseconds a frame, (n, rows, columns) samples) of an AVI file of JPEG frames, which must have one size."""
     micros, index = read_index(media)
-    coded = []
-    for at, size in index:
-        body = media[at : at + size]
-        if not (body.startswith(HEADER) and body.endswith(END)):
-            raise ValueError("a frame with another JPEG process, size or table")
-        coded.append(body[len(HEADER) : -2].replace(b"\xff\0", b"\xff"))
-    return micros, decode_frames(np.frombuffer(b"".join(coded), np.uint8).reshape(-1, CODED))
+    bodies = [media[at : at + size] for at, size in index]
+    if all(b.startswith(HEADER) and b.endswith(END) for b in bodies):  # this module's own
+        coded = b"".join(b[len(HEADER) : -2].replace(b"\xff\0", b"\xff") for b in bodies)
+        if len(coded) != CODED * len(bodies):
+            raise Unreadable("a frame's data end early")
+        return micros, decode_frames(np.frombuffer(coded, np.uint8).reshape(-1, CODED))
+    frames = [decode_jpeg(b) for b in bodies]
+    if len({f.shape for f in frames}) > 1:
+        raise Unreadable("frames of different sizes")
+    return micros, np.stack(frames)
 
 
 def cuts(frames: np.ndarray, bins: int = 16, window: int = 12, factor: float = 2.0, least: float = 0.05) -> np.ndarray:
@@ -131,9 +297,10 @@ def cuts(frames: np.ndarray, bins: int = 16, window: int = 12, factor: float = 2
     n = len(frames)
     if n < 2:
         return np.zeros(min(n, 1), np.int64)
-    binned = frames.reshape(n, -1) // (256 // bins) + (np.arange(n, dtype=np.int64) * bins)[:, None]
+    pixels = frames.reshape(n, -1)
+    binned = pixels // (256 // bins) + (np.arange(n, dtype=np.int64) * bins)[:, None]
     hist = np.bincount(binned.ravel(), minlength=n * bins).reshape(n, bins)
-    change = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2.0 * FRAME)
+    change = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2.0 * pixels.shape[1])
     s1, s2 = np.concatenate([[0], np.cumsum(change)]), np.concatenate([[0], np.cumsum(change * change)])
     i = np.arange(n - 1)
     a = np.maximum(0, i - window)
@@ -143,13 +310,6 @@ def cuts(frames: np.ndarray, bins: int = 16, window: int = 12, factor: float = 2
     return np.concatenate([[0], 1 + np.flatnonzero((change > least) & (change > mean + factor * deviation + 1e-9) & (i > 0))])
 
 
-def clips_of(media: bytes) -> list[tuple[int, int, int, float, float]]:
-    """(clip, first frame, end frame, start second, end second) of each shot."""
-    micros, frames = read_avi(media)
-    first = cuts(frames)
-    return [(k, int(a), int(b), a * micros / 1e6, b * micros / 1e6) for k, (a, b) in enumerate(zip(first, [*first[1:], len(frames)]))]
-
-
 def encode_avi(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, media: every text (null: empty) as UTF-8, filled up with bytes 255 to a positive multiple of 576,
     as an AVI file. A null key stays null, repeated rows stay repeated, other columns are left out."""
@@ -172,39 +332,55 @@ def encode_avi(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return picked.mapInArrow(run, f"__key {kind}, n_bytes long, media binary").withColumnRenamed("__key", key)
 
 
-def avi_clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """A row for each shot of each AVI in ``column``: key, clip, start_frame, end_frame, start_s, end_s. A null AVI has none."""
+CLIP = pa.struct([("clip", pa.int64()), ("start_frame", pa.int64()), ("end_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+
+
+def read_media(media: DataFrame, column: str = "media") -> DataFrame:
+    """Every row of ``media`` with what is read back from the AVI in ``column``, instead of it: payload_bytes,
+    payload_sha256, tail_crc32 (of the last 32 bytes) of all samples, media_bytes, media_sha256, frames, luma (mean), clips
+    (clip, start_frame, end_frame, start_s, end_s of each shot) and error.
+
+    A null AVI has null in all of them. One that can't be read has its bytes and hash, the reason in error, and null in
+    the others. Columns with a new column's name are left out.
+    """
+    new = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "luma", "clips", "error"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.list_(CLIP), pa.string()]
+    own = [c for c in media.columns if c not in new and c != column]
+
+    def one(m: bytes | None) -> tuple:
+        if m is None:
+            return (None,) * 9
+        file = len(m), hashlib.sha256(m).hexdigest()
+        try:
+            micros, frames = read_avi(m)
+        except Unreadable as e:
+            return (None, None, None, *file, None, None, None, str(e))
+        except (struct.error, ValueError, IndexError) as e:
+            return (None, None, None, *file, None, None, None, f"damaged: {e}")
+        payload, first = frames.tobytes(), cuts(frames).tolist()
+        clips = [{"clip": k, "start_frame": a, "end_frame": b, "start_s": a * micros / 1e6, "end_s": b * micros / 1e6} for k, (a, b) in enumerate(zip(first, [*first[1:], len(frames)]))]
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *file, len(frames), float(frames.mean()) if len(frames) else None, clips, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__media", 1 << 20):
-            rows = [(i, *c) for i, m in enumerate(batch.column("__media").to_pylist()) if m is not None for c in clips_of(m)]
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__key").take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], [pa.int64()] * 3 + [pa.float64()] * 2))],
-                ["__key", "clip", "start_frame", "end_frame", "start_s", "end_s"],
-            )
-
-    picked = media.select(media[key].alias("__key"), media[column].alias("__media"))
-    kind = picked.schema["__key"].dataType.simpleString()
-    return picked.mapInArrow(run, f"__key {kind}, clip long, start_frame long, end_frame long, start_s double, end_s double").withColumnRenamed("__key", key)
+            rows = [one(m) for m in batch.column("__media").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [*names, *new])
 
+    picked = media.select(*own, F.col(column).cast("binary").alias("__media"))
+    names = picked.columns[:-1]
+    clip = "array<struct<clip:long,start_frame:long,end_frame:long,start_s:double,end_s:double>>"
+    told = T.StructType.fromDDL(f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, luma double, clips {clip}, error string")
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], *told.fields]))
 
-def avi_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What is read back from each AVI of ``encode_avi``: digests of payload and file, and its shots as text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for batch in slices(batches, "media", 1 << 20):
-            rows = []
-            for m in batch.column("media").to_pylist():
-                micros, frames = read_avi(m)
-                payload, first = frames.tobytes(), cuts(frames)
-                shots = ",".join(f"{a * micros / 1e6:.2f}-{b * micros / 1e6:.2f}" for a, b in zip(first, [*first[1:], len(frames)]))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), f"frames={len(frames)};shots={len(first)};clips={shots};luma={frames.mean():.3f}"))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])]
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("n_bytes"), *cols], ["__key", "n_bytes", *names])
-
-    picked = media.select(F.col(key).alias("__key"), "n_bytes", "media")
-    kind = picked.schema["__key"].dataType.simpleString()
-    schema = f"__key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return picked.mapInArrow(run, schema).withColumnRenamed("__key", key)
+def avi_clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+    """A row for each shot of each AVI in ``column``: key, clip, start_frame, end_frame, start_s, end_s, error. A null AVI
+    has none; one that can't be read has one row with null in all but key and error."""
+    read = read_media(media.select(F.col(key), F.col(column).alias("__avi")), "__avi").where("media_bytes is not null")
+    return read.select(F.col(key), F.explode_outer("clips").alias("c"), "error").where("c is not null or error is not null").select(key, "c.*", "error")
+
+
+def feature() -> Column:
+    """Frames, shots, their times and the mean sample of what ``read_media`` gives, as text."""
+    times = F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"]))
+    return F.concat(F.lit("frames="), "frames", F.lit(";shots="), F.size("clips"), F.lit(";clips="), F.array_join(times, ","), F.lit(";luma="), F.format_string("%.3f", F.col("luma")))
