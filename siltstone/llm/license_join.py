@@ -1,12 +1,14 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-Tokens are ordered by the number of documents that hold them, rarest first. A block that holds a share t of a template
-of L tokens must share one of its first L - ceil(t * L) + 1 tokens in that order, so only those are joined on; the
-length of the block and the places of the shared token then bound the overlap, and what is left is verified. Tokens
-outside all templates can't add to an overlap, so blocks carry only the others. The templates are a fixed list, so
-their index is a few hundred rows and is broadcast; the documents are never shuffled, only what matches.
-
-Blocks are lines for the notices, and whole documents for the phrases, whose words must also stand together.
+A text's blocks for a template are all runs of as many consecutive words as the template has, divided by the threshold;
+lines don't matter. Tokens are ordered by the number of documents that hold them, rarest first. A block that holds a
+share t of a template of L tokens must share one of its first L - ceil(t * L) + 1 tokens in that order, so only places of
+those are joined on, each with the words around it; how many template tokens stand around a place (length), and how many
+of them come later in the order than the shared one (position) then bound the overlap, and the blocks through what is
+left are verified. The templates are a fixed list, so their index is a few hundred rows and is broadcast; the documents
+are never shuffled, only what matches.
+
+For the phrases a block is a run of just their words, all of which must stand in their order.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .common import cut
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Words of notices by label; a line with a share of THRESHOLD of one's distinct words bears its label.
+# Words of notices by label; a block with a share of THRESHOLD of one's distinct words bears its label.
 NOTICES = {
     "agpl-3.0": "licensed under the gnu affero general public license version 3",
     "apache-2.0": "licensed under the apache license version 2 0",
@@ -55,7 +57,7 @@ def templates(threshold: float = THRESHOLD) -> list[dict]:
     out = [{"label": v, "phrase": True, "text": k.split(), "share": 1.0} for k, v in PHRASES.items()]
     out += [{"label": k, "phrase": False, "text": v.split(), "share": threshold} for k, v in NOTICES.items()]
     for i, t in enumerate(out):
-        t |= {"template": i, "size": len(set(t["text"])), "need": math.ceil(t["share"] * len(set(t["text"])) - 1e-9)}
+        t |= {"template": i, "size": len(set(t["text"])), "need": math.ceil(t["share"] * len(set(t["text"])) - 1e-9), "width": math.ceil(len(t["text"]) / t["share"] - 1e-9)}
     return out
 
 
@@ -76,38 +78,44 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     index = []
     for t in known:
         own = sorted(set(t["text"]), key=place.get)
-        index += [(w, i, t["template"], t["label"], t["phrase"], t["text"], own, t["size"], t["need"]) for i, w in enumerate(own[: t["size"] - t["need"] + 1])]
+        for i, w in enumerate(own[: t["size"] - t["need"] + 1]):
+            index.append((w, i, t["label"], t["phrase"], t["text"], t["text"].index(w), own, own[i + 1 :], t["size"], t["need"], t["width"]))
     spark = docs.sparkSession
-    lookup = F.broadcast(spark.createDataFrame(index, "token string, at int, template int, label string, phrase boolean, run array<string>, own array<string>, size int, need int"))
-
-    w = words(F.col("__text"))
-    first = _strings(sorted({r[0] for r in index}))
-    slim = picked.select("__key", "__text", w.alias("__words"))
-    slim = slim.select(F.monotonically_increasing_id().alias("__row"), "__key", F.size("__words").cast("long").alias("n_words"), F.when(F.arrays_overlap("__words", first), F.col("__text")).alias("__text"))
-    slim = cut(slim, "license")
-    some = slim.where("__text is not null")
-    whole = some.select("__row", F.lit(True).alias("whole"), words(F.col("__text")).alias("words"))
-    lines = some.select("__row", F.lit(False).alias("whole"), F.explode(F.split("__text", "\n")).alias("line")).select("__row", "whole", words(F.col("line")).alias("words"))
-    blocks = whole.unionByName(lines).withColumn("tokens", F.array_intersect(_strings(order), "words"))
-    found = blocks.select("*", F.posexplode("tokens").alias("pos", "token")).join(lookup, ["token"]).where(F.col("whole") == F.col("phrase"))
-    length = F.size("tokens") >= F.col("need")
-    position = 1 + F.least(F.size("tokens") - 1 - F.col("pos"), F.col("size") - 1 - F.col("at")) >= F.col("need")
-    # the first shared token of a pair: each pair comes once
-    once = F.element_at(F.array_intersect("tokens", "own"), 1) == F.col("token")
-    share = F.size(F.array_intersect("tokens", "own"))
-    found = found.where(length & position).where(once & (share >= F.col("need"))).withColumn("share", share / F.col("size"))
-    starts = F.expr("filter(sequence(0, size(words) - size(run)), i -> slice(words, i + 1, size(run)) = run)")
-    found = found.withColumn("starts", F.when(F.col("phrase") & (F.size("words") >= F.size("run")), starts)).where("not phrase or size(starts) > 0")
+    lookup = F.broadcast(spark.createDataFrame(index, "token string, at int, label string, phrase boolean, run array<string>, nth int, own array<string>, later array<string>, size int, need int, width int"))
+
+    first, reach = sorted({r[0] for r in index}), max(r[-1] for r in index)
+    slim = picked.select("__key", words(F.col("__text")).alias("words"))
+    # places of tokens that are joined on, each with the words within reach
+    found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(first), i)), lambda i: i.isNotNull())
+    slim = slim.select(F.monotonically_increasing_id().alias("__row"), "__key", F.size("words").cast("long").alias("n_words"), "words", found.alias("places"))
+    around = F.transform("places", lambda i: F.struct(i.alias("i"), F.least(i, F.lit(reach - 1)).alias("before"), F.slice("words", F.greatest(F.lit(1), i - reach + 2), F.lit(2 * reach - 1)).alias("near")))
+    slim = cut(slim.select("__row", "__key", "n_words", around.alias("blocks")), "license")
+    found = slim.select("__row", F.explode("blocks").alias("x")).select("__row", "x.*").withColumn("token", F.element_at("near", F.col("before") + 1))
+    found = found.join(lookup, "token")
+    # the words that blocks of this template's width through the place reach, and where among them the place is
+    low = F.greatest(F.lit(0), F.col("before") - F.col("width") + 1)
+    found = found.withColumn("mine", F.slice("near", low + 1, F.col("before") - low + F.col("width"))).withColumn("before", F.col("before") - low)
+    length = F.size(F.array_intersect("mine", "own")) >= F.col("need")
+    position = 1 + F.col("at") + F.size(F.array_intersect("mine", "later")) >= F.col("need")
+    found = found.where(length & position)
+    # blocks that the text is too short for are all of it
+    last = F.greatest(F.lit(0), F.least(F.col("before"), F.size("mine") - F.col("width")))
+    most = F.array_max(F.transform(F.sequence(F.lit(0), last), lambda s: F.size(F.array_intersect(F.slice("mine", s + 1, F.col("width")), F.col("own")))))
+    start = F.col("before") - F.col("nth")
+    stands = (start >= 0) & (F.slice("mine", F.greatest(F.lit(0), start) + 1, F.size("run")) == F.col("run"))
+    found = found.withColumn("share", F.when(F.col("phrase"), F.when(stands, F.lit(1.0)).otherwise(0.0)).otherwise(most / F.col("size")))
+    found = found.where((F.col("phrase") & (F.col("share") == 1.0)) | (~F.col("phrase") & (F.col("share") * F.col("size") >= F.col("need") - 1e-9)))
+    found = found.withColumn("start", F.when(F.col("phrase"), F.col("i") - F.col("nth")))
     hits = found.groupBy("__row").agg(
-        F.sum(F.when(F.col("phrase"), F.size("starts"))).alias("n"),
-        F.min(F.array_min("starts")).alias("first_word"),
-        F.max(F.array_max("starts")).alias("last_word"),
+        F.count("start").alias("n"),
+        F.min("start").alias("first_word"),
+        F.max("start").alias("last_word"),
         F.collect_set(F.when(F.col("phrase"), F.col("label"))).alias("base"),
         F.collect_set("label").alias("all"),
         F.max("share").alias("share"),
     )
     joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
-    return slim.drop("__text").join(hits, "__row", "left").select(
+    return slim.drop("blocks").join(hits, "__row", "left").select(
         F.col("__key").alias(key),
         "n_words",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_base"),
@@ -120,17 +128,16 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
 
 
 def _sql() -> str:
-    rows = ", ".join(f"({t['template']}, '{t['label']}', {str(t['phrase']).lower()}, {t['text']!r}, {t['need']})" for t in templates())
+    rows = ", ".join(f"({t['template']}, '{t['label']}', {str(t['phrase']).lower()}, {t['text']!r}, {t['need']}, {t['width']})" for t in templates())
     return rf"""
-WITH t(id, label, phrase, run, need) AS (VALUES {rows}),
+WITH t(id, label, phrase, run, need, width) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM d),
+w AS (SELECT r, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM d),
 p AS (SELECT r, label, list_filter(range(0, len(words) - len(run) + 1), lambda i: words[i + 1 : i + len(run)] = run) AS starts FROM w, t WHERE phrase AND list_has_all(words, run)),
-b AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w WHERE list_has_any(words, (SELECT list_distinct(flatten(list(run))) FROM t))),
-l AS (SELECT r, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM b),
-n AS (SELECT r, label, len(list_intersect(words, run)) / len(list_distinct(run))::DOUBLE AS share FROM l, t WHERE NOT phrase AND len(list_intersect(words, run)) >= need),
+n AS (SELECT r, label, need, len(list_distinct(run)) AS size, list_max(list_transform(range(0, greatest(1, len(words) - width + 1)), lambda i: len(list_intersect(words[i + 1 : i + width], run)))) AS held
+      FROM w, t WHERE NOT phrase AND len(list_intersect(words, run)) >= need),
 h AS (SELECT r, label, label AS base, len(starts) AS n, list_min(starts) AS a, list_max(starts) AS z, 1.0::DOUBLE AS share FROM p WHERE len(starts) > 0
-      UNION ALL SELECT r, label, NULL, 0, NULL, NULL, share FROM n),
+      UNION ALL SELECT r, label, NULL, 0, NULL, NULL, held / size::DOUBLE FROM n WHERE held >= need),
 g AS (SELECT r, sum(n) AS n, min(a) AS a, max(z) AS z, string_agg(DISTINCT base, ',' ORDER BY base) AS base, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM h GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
        coalesce(base, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(share, 0)::DOUBLE AS score
