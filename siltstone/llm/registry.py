@@ -21,7 +21,8 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return avi.avi_digest(avi.encode_avi(read(spark, sf_dir, "documents")))
+    read_back = avi.read_media(avi.encode_avi(read(spark, sf_dir, "documents")))
+    return read_back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", avi.feature().alias("feature"))
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,4 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op4_order_minhash, op5_winnow_lines, op6_cost_packing, op7_context_tree, op8_suffix_buckets, op9_license_join, op10_cap_filters)}
 
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL, "op5_winnow_lines": line_dedup.DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL, "op5_winnow_lines": line_dedup.DEDUP_SQL, "op10_cap_filters": cap_filters.NEAR_SQL}

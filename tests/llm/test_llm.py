@@ -69,7 +69,8 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     cursor = db.execute(registry.ORACLE_SQL[name])
     names, rows = [c[0] for c in cursor.description], cursor.fetchall()
     got = registry.QUERIES[name](spark, DATA)
@@ -164,10 +165,81 @@ def test_avi_round_trip(odd, docs, empty):
             raw = (r.text or "").encode()
             payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
             assert avi.read_avi(bytes(r.media))[1].tobytes() == payload and r.n_bytes == len(raw)
-        for r in avi.avi_digest(media).collect():
-            assert r.payload_bytes % 576 == 0 and len(r.payload_sha256) == 64 and 0 <= r.tail_crc32 < 1 << 32
-        assert avi.avi_digest(media).count() == df.count()
-    assert avi.encode_avi(empty).count() == 0
+        got = {(r.doc_id, r.payload_sha256, r.payload_bytes, r.tail_crc32, r.error) for r in avi.read_media(media).collect()}
+        for r in df.collect():
+            raw = (r.text or "").encode()
+            payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+            assert (r.doc_id, hashlib.sha256(payload).hexdigest(), len(payload), zlib.crc32(payload[-32:]), None) in got
+        assert avi.read_media(media).count() == df.count()
+    assert avi.encode_avi(empty).count() == 0 and avi.read_media(avi.encode_avi(empty)).count() == 0
+    r = registry.op3_avi_clips(docs.sparkSession, DATA).first()
+    assert r.feature.startswith("frames=") and len(r.payload_sha256) == len(r.media_sha256) == 64
+
+
+def bit_bytes(bits):
+    bits += "1" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+
+def signed_bits(d):
+    n = abs(d).bit_length()
+    return n, format(d if d > 0 else d - 1 + (1 << n), f"0{n}b") if n else ""
+
+
+def jpeg(process, rows, columns, scan, tables, quantities=b"", spectral=bytes([0, 63, 0])):
+    part = lambda marker, body: bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+    frame = bytes([8]) + rows.to_bytes(2, "big") + columns.to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
+    return b"\xff\xd8" + quantities + b"".join(part(0xC4, t) for t in tables) + part(process, frame) + part(0xDA, bytes([1, 1, 0]) + spectral) + scan + b"\xff\xd9"
+
+
+def test_frames_of_other_files(spark):
+    # baseline: one quantity of 1, codes of eight bits in the order of their symbols
+    rng = np.random.default_rng(0)
+    flat = lambda kind, symbols: bytes([kind, 0, 0, 0, 0, 0, 0, 0, len(symbols), *[0] * 8, *symbols])
+    dc, ac = list(range(12)), [0, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 11)]
+    cosines = np.array([[math.sqrt((1 if u == 0 else 2) / 8) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
+    image = np.clip(np.add.outer(np.arange(16) * 5, np.arange(24) * 4) + rng.integers(0, 30, (16, 24)), 0, 255)
+    bits, before = "", 0
+    for y in range(2):
+        for x in range(3):
+            block = np.rint(cosines @ (image[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] - 128.0) @ cosines.T).astype(int).ravel()
+            n, extra = signed_bits(int(block[0]) - before)
+            before, run = int(block[0]), 0
+            bits += format(dc.index(n), "08b") + extra
+            for k in range(1, 64):
+                value = int(block[avi.ZIGZAG[k]])
+                if not value:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits, run = bits + format(ac.index(0xF0), "08b"), run - 16
+                n, extra = signed_bits(value)
+                bits, run = bits + format(ac.index(run << 4 | n), "08b") + extra, 0
+            if run:
+                bits += format(ac.index(0), "08b")
+    baseline = jpeg(0xC0, 16, 24, bit_bytes(bits), [flat(0, dc), flat(16, ac)], b"\xff\xdb\0\x43\0" + bytes([1] * 64))
+    assert np.abs(avi.decode_jpeg(baseline).astype(int) - image).max() <= 2
+    # lossless with each predictor
+    small = rng.integers(0, 256, (5, 7))
+    for predictor in range(1, 8):
+        bits = ""
+        for y in range(5):
+            for x in range(7):
+                a, b, c = small[y, x - 1], small[y - 1, x], small[y - 1, x - 1]
+                guess = (128 if x == 0 else a) if y == 0 else b if x == 0 else (0, a, b, c, a + b - c, a + (b - c >> 1), b + (a - c >> 1), a + b >> 1)[predictor]
+                n, extra = signed_bits(int(small[y, x] - guess))
+                bits += format(dc.index(n), "08b") + extra
+        lossless = jpeg(0xC3, 5, 7, bit_bytes(bits), [flat(0, dc)], spectral=bytes([predictor, 0, 0]))
+        assert (avi.decode_jpeg(lossless) == small).all()
+    own = avi.write_avi(avi.encode_frames(np.zeros((3, 24, 24), np.uint8)))
+    other = lambda body: avi._chunk(b"RIFF", b"AVI " + avi._chunk(b"LIST", b"movi" + avi._chunk(b"00dc", body)))
+    cases = {1: own, 2: None, 3: b"", 4: b"RIFX" + own[4:], 5: own[:-700], 6: other(lossless), 7: other(baseline), 8: other(b"\xff\xd8\xff\xd9"), 9: other(lossless[:60]), 10: other(lossless.replace(b"\xff\xc3", b"\xff\xc2"))}
+    df = spark.createDataFrame([(k, v and bytearray(v), "x") for k, v in cases.items()], "doc_id long, media binary, error string")
+    got = {r.doc_id: r for r in avi.read_media(df).collect()}
+    assert len(got) == 10 and {k for k, r in got.items() if r.error} == {4, 8, 9, 10, 3} - ({3} if got[3].error is None else set())
+    assert got[2].media_bytes is None and got[6].payload_bytes == 35 and got[7].payload_bytes == 16 * 24 and got[6].frames == 1
+    clips = avi.avi_clips(df).collect()
+    assert {r.doc_id for r in clips if r.error is None} == {1, 5, 6, 7} and 2 not in {r.doc_id for r in clips}
 
 
 def test_shots(spark):
@@ -318,7 +390,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
@@ -347,17 +418,18 @@ def check_pieces(df, tokenizer):
     assert padding == 0
 
 
-def test_packing(docs, odd, empty, tokenizer):
+def test_packing(docs, odd, empty, tokenizer, spark):
     check_pieces(docs, tokenizer)
     check_pieces(odd, tokenizer)
+    check_pieces(spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "long words <|endoftext|>" * 30_000), (3, None)], "doc_id long, text string"), tokenizer)
     assert packing.pack_documents(empty).count() == 0
 
 
 def test_remembered_words_are_the_tokenizers(texts, tokenizer):
     import public_tokenizers
 
-    encode = packing.Ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    odd_ones = [" a  b\n c \n\nd\t e ", "x   y", "é  è z", " ", "a ", "don't 12 345's\n \n x", "", "a \n b", "<|endoftext|> x", "​ a　b c"]
+    encode = packing.Ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
+    odd_ones = [" a  b\n c \n\nd\t e ", "x   y", "é  è z", " ", "a ", "don't 12 345's\n \n x", "", "a \n b", "<|endoftext|> x", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endoftext|", "a  <|endoftext|>  b", "​ a　b c"]
     for t in [*texts.values(), *odd_ones]:
         assert np.frombuffer(encode(t), "<u4").tolist() == tokenizer(t)[:-1]
 
@@ -526,26 +598,47 @@ def test_suffix_dedup_of_odd_rows(odd, empty):
 # op9
 
 
-def test_license_join_equals_brute_force(odd, empty):
+def test_license_join_equals_brute_force(odd, empty, spark):
     import re
 
-    got = license_join.scan(odd).collect()
-    assert len(got) == odd.count()
+    grant, apache = license_join.NOTICES["mit-grant"], license_join.NOTICES["apache-2.0"]
+    made = {
+        1: grant.replace("any person", "any\n  person"),
+        2: "// " + "\n// ".join(grant.split()),
+        3: " ".join(f"{w} {'x ' * 30}" for w in grant.split()) * 3,  # one long line, its words scattered
+        4: " ".join(grant.split()[:16]),
+        5: "a b c " * 3000 + grant + " d e f" * 3000,
+        6: "license mit license apache " * 2000,
+        7: " ".join(reversed(apache.split())) + " and the Apache\nLicense",
+        8: "released under the mit",
+        9: "mit",
+        10: apache.replace("version", "version number of all") + ".",
+    }
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-    texts_by = {r.doc_id: r.text or "" for r in odd.collect()}
-    for r in got:
-        w = words_of(texts_by[r.doc_id])
-        starts, base, labels = [], set(), set()
-        for phrase, label in license_join.PHRASES.items():
-            p = phrase.split()
-            own = [i for i in range(len(w)) if w[i : i + len(p)] == p]
-            starts += own
-            base |= {label} if own else set()
-        for line in texts_by[r.doc_id].split("\n"):
-            have = set(words_of(line))
-            labels |= {k for k, v in license_join.NOTICES.items() if len(have & set(v.split())) / len(set(v.split())) >= 0.8}
-        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(starts), min(starts, default=None), max(starts, default=None))
-        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | labels)) and 0 <= r.score <= 1
+    seen = {}
+    for rows in (odd, df):
+        got = license_join.scan(rows).collect()
+        assert len(got) == rows.count()
+        texts_by = {r.doc_id: r.text or "" for r in rows.collect()}
+        for r in got:
+            w = words_of(texts_by[r.doc_id])
+            starts, base, labels, score = [], set(), set(), 0.0
+            for phrase, label in license_join.PHRASES.items():
+                p = phrase.split()
+                own = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+                starts += own
+                base |= {label} if own else set()
+            for label, notice in license_join.NOTICES.items():
+                own, width = set(notice.split()), math.ceil(len(notice.split()) / 0.8)
+                share = max(len(own & set(w[i : i + width])) / len(own) for i in range(max(1, len(w) - width + 1)))
+                if share >= 0.8:
+                    labels.add(label)
+                    score = max(score, share)
+            assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(starts), min(starts, default=None), max(starts, default=None))
+            assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | labels)) and math.isclose(r.score, 1.0 if base else score)
+            seen[r.doc_id] = r.labels
+    assert seen[1] == seen[2] == seen[5] == "mit-grant" and seen[3] == "" and "apache" in seen[7]
     assert license_join.scan(empty).count() == 0
 
 
@@ -572,13 +665,45 @@ def test_near_vectors(spark):
     assert cap_filters.near_vectors(df.limit(0)).count() == 0
 
 
-def test_hot_vectors_in_groups(spark):
+@pytest.mark.parametrize("group", [16, 512])
+def test_hot_vectors_in_groups(spark, group):
     rng = np.random.default_rng(4)
     base = rng.standard_normal(64)
     x = base + 0.05 * rng.standard_normal((120, 64))
+    x[100:] = x[:20]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    classes, links = cap_filters.link(df, group=16)
-    assert classes.count() == 120 and links.count() == 120 * 119 // 2
+    classes, degrees, edges = cap_filters.link(df, group=group)
+    assert classes.count() == 100 and {(r.members, r.others) for r in classes.join(degrees, "__rep").collect()} == {(1, 119), (2, 118)}
+    assert edges.count() < 100 * 40 * 8 and {r.component for r in components.components(edges).collect()} == {0}
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 8, 12, 16, 24, 32, 64, 256, 1024])
+def test_recall_by_components(dim):
+    rng = np.random.default_rng(5)
+    x, z = (cap_filters.unit(rng.standard_normal((1500, dim))) for _ in range(2))
+    if dim > 1:
+        z = cap_filters.unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+        y = 0.901 * x + math.sqrt(1 - 0.901**2) * z
+    else:
+        y = x
+    codes, bound = cap_filters.filters(dim, 0.9)
+    met, own = np.zeros(len(x), bool), 0
+    for one in codes:
+        (a, f), (b, g) = (cap_filters.decode(v, one, bound) for v in (x, y))
+        met[[i for i, _ in set(zip(a.tolist(), f.tolist())) & set(zip(b.tolist(), g.tolist()))]] = True
+        own += len(a) / len(x)
+    assert met.mean() >= 0.99 and own < 60
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5, 8])
+def test_vectors_of_few_components(spark, dim):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((150, dim))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = ((u @ u.T) >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in cap_filters.near_vectors(df).collect()}
+    assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.99 * true.sum()
 
 
 def test_components(spark):
