@@ -69,3 +69,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: str, rows: int = 1 << 15) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups, as many at once as make up about ``rows``; a group may go on from one batch to
+    the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name = batch.column(by).to_numpy()
+        last = len(name) - int((name[::-1] != name[-1]).argmax()) if name[0] != name[-1] else 0  # where the last group begins
+        if sum(b.num_rows for b in held) >= rows and held[-1].column(by)[-1].as_py() != name[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last and sum(b.num_rows for b in held) + last >= rows:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each ``by`` and ``n``, how many of ``rows`` it meets.
+
+    Facts that meet more than ``limit`` rows are broadcast, so that no task gets all rows of one; there are at most as many as rows
+    divided by ``limit``. All others are joined by shuffles.
+    """
+    often = F.broadcast(facts.where(F.col("n") > limit))
+    rest = rows.join(often.select(*by), by, "left_anti").join(facts.where(F.col("n") <= limit), by)
+    return rows.join(often, by).unionByName(rest)

@@ -5,21 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
 #: A node with more links than this, and than a share of them all that only HUBS nodes can have, is a hub.
 HUB, HUBS = 1000, 1000
 
 
-def told(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """Each row u, v of ``rows`` with its u's m. Hubs, of which there are HUBS at most, are broadcast, so that no task gets
-    all rows of one; all others are joined."""
-    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
-    others = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
-    return rows.join(hubs, "u").unionByName(others)
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each linked node reaches; nodes without a link are left out.
 
@@ -35,10 +27,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
         # large star: each larger neighbour, to the least of all
-        large = cut(told(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        large = cut(spread_join(both.where("v > u"), least, ["u"], hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
         # small star: each smaller neighbour and the node itself, to the least of the smaller ones
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = told(large, least, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, least, ["u"], hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         sums = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         count = sums[0]
