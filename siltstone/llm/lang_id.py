@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,15 @@ def fit_pair(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30)
     return w
 
 
+def steps(langs: list[str]) -> Iterator[tuple[list[str], dict[str, str]]]:
+    """(classes, class of each language) of each choice: among the families, then among the languages of each family."""
+    family = {x: FAMILY.get(x, x) for x in langs}
+    yield sorted(set(family.values())), family
+    for f in sorted(set(family.values())):
+        own = {x: x for x in langs if family[x] == f}
+        yield sorted(own), own
+
+
 class Pairwise:
     """One machine for each pair of classes."""
 
@@ -99,45 +109,37 @@ class Pairwise:
 class Model:
     """Families, their languages, and a weight for each machine and trigram."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        named = np.array([FAMILY.get(x, x) for x in langs])
-        tongues = np.array(langs)
-        self.families = sorted(set(named))
-        self.steps = [Pairwise(self.families, 0)]
-        groups = [(named, self.families, np.ones(len(named), bool))]
-        for f in self.families:
-            own = sorted(set(tongues[named == f]))
-            self.steps.append(Pairwise(own, self.steps[-1].first + len(self.steps[-1].pairs)))
-            groups.append((tongues, own, named == f))
-        weights = []
-        for labels, classes, rows in groups:
-            for a, b in combinations(classes, 2):
-                pick = rows & ((labels == a) | (labels == b))
-                weights.append(fit_pair(x[pick], np.where(labels[pick] == a, 1.0, -1.0)))
-        w = np.array(weights).reshape(-1, (1 << BITS) + 1)
+    def __init__(self, langs: list[str], machines: list[np.ndarray]):
+        groups = list(steps(langs))
+        self.families, self.steps = groups[0][0], []
+        for classes, _ in groups:
+            self.steps.append(Pairwise(classes, sum(len(s.pairs) for s in self.steps)))
+        w = np.array(machines).reshape(-1, (1 << BITS) + 1)
         self.bias = w[:, -1].copy()
         self.weights = np.ascontiguousarray(np.vstack([w[:, :-1].T * SCALE, np.zeros(len(w))]).T)  # 0 for what is no trigram
 
-    def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(language, score) of each text."""
+    def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, sureness of the less sure step) of each text."""
         code, begin = trigrams(data, at)
         sums = lambda v: np.diff(np.concatenate([[0.0], np.cumsum(v)])[begin])
         n = np.maximum(1, sums(code != 1 << BITS))
         margins = np.array([sums(w[code]) / n for w in self.weights]).reshape(-1, len(n)).T + self.bias
         family, m = self.steps[0].decide(margins)
         sure = lambda m: 1 / (1 + np.exp(-np.clip(4 * m, -30, 30)))
-        score, lang = sure(m), np.empty(len(n), object)
+        score, least, lang = sure(m), sure(m), np.empty(len(n), object)
         for f, step in enumerate(self.steps[1:]):
             rows = family == f
             best, m = step.decide(margins[rows])
             lang[rows] = np.array(step.classes, object)[best]
             score[rows] *= sure(m)
-        return lang, score
+            least[rows] = np.minimum(least[rows], sure(m))
+        return lang, score, least
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from at most ``per_language`` texts of each language: of all rows with a language whose id isn't held out,
-    those with the least hash of the text for each remainder of it. None if no row can be learned from."""
+    those with the least hash of the text for each remainder of it. None if no row can be learned from. Each machine is
+    learned in a task of its own, from the texts of its classes; a machine's weights are some 32 KB."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.coalesce(fold(F.col(key)), F.lit(1)) != 0))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     least = rows.groupBy("lang", F.pmod("h", F.lit(per_language)).alias("part")).agg(F.min("h").alias("h")).select("lang", "h")
@@ -152,14 +154,33 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 out.append((x / max(1, x.sum())).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], ["lang", "x"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in chosen.mapInArrow(run, "lang string, x binary").toLocalIterator())
-    if not got:
+    found = chosen.mapInArrow(run, "lang string, x binary")
+    langs = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())  # a row for each language
+    if not langs:
         return None
-    return Model(np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(len(got), -1) * np.float64(SCALE), [lang for lang, _ in got])
+    roles = []
+    machine = 0
+    for classes, named in steps(langs):
+        for a, b in combinations(classes, 2):
+            roles += [(machine, x, 1.0 if c == a else -1.0) for x, c in named.items() if c in (a, b)]
+            machine += 1
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["lang", "x"])
+        x = np.frombuffer(b"".join(rows.x), np.float32).reshape(len(rows), -1) * np.float64(SCALE)
+        return pd.DataFrame({"machine": rows.machine[:1], "w": [fit_pair(x, rows.y.to_numpy()).tobytes()]})
+
+    weights: dict[int, bytes] = {}
+    if roles:
+        dealt = found.join(F.broadcast(docs.sparkSession.createDataFrame(roles, "machine int, lang string, y double")), "lang")
+        weights = {r["machine"]: r["w"] for r in dealt.groupBy("machine").applyInPandas(learn, "machine int, w binary").collect()}
+    return Model(langs, [np.frombuffer(weights[k], np.float64) for k in range(machine)])
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Every row of ``docs`` with held_out, lang_pred and score (0 to 1) after its own columns.
+    """Every row of ``docs`` with held_out, lang_pred, score (0 to 1) and sure after its own columns.
+
+    The score is the product of both steps' sureness, and sure the lesser of them: below one half, another class won in a pair of machines.
 
     Rows whose crc32 of the id as text is 0 modulo 5 are held out, and so never learned from. The prediction reads the
     whole text and nothing else; a null text, or one without a letter, is ``und`` with score 0, and so are all where no
@@ -167,17 +188,17 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     model = fit(docs, key, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    own = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "sure", "__letter")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches, text):
-            lang, score = model.predict(*utf8(batch.column(text))) if model else (np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows))
+            lang, score, sure = model.predict(*utf8(batch.column(text))) if model else (np.full(batch.num_rows, UNKNOWN, object), *np.zeros((2, batch.num_rows)))
             silent = ~batch.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
-            lang[silent], score[silent] = UNKNOWN, 0.0
+            lang[silent], score[silent], sure[silent] = UNKNOWN, 0.0, 0.0
             columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "__letter"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], [*(n for n in batch.schema.names if n != "__letter"), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score), pa.array(sure)], [*(n for n in batch.schema.names if n != "__letter"), "lang_pred", "score", "sure"])
 
     picked = docs.select(*own, F.coalesce(fold(F.col(key)) == 0, F.lit(False)).alias("held_out"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = picked.drop("__letter").schema.add("lang_pred", "string").add("score", "double")
+    schema = picked.drop("__letter").schema.add("lang_pred", "string").add("score", "double").add("sure", "double")
     return picked.mapInArrow(run, schema)
