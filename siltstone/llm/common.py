@@ -21,8 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one under /tmp only where that is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/siltstone-checkpoints"
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where that is unset there must be no cluster: a local session,
+    as in tests, gets a folder under /tmp."""
+    conf = spark.sparkContext.getConf()
+    if folder := conf.get("spark.checkpoint.dir"):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/siltstone-checkpoints"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -101,3 +107,13 @@ def spread_join(rows: DataFrame, facts: DataFrame, by: list[str], limit: int) ->
     often = F.broadcast(facts.where(F.col("n") > limit))
     rest = rows.join(often.select(*by), by, "left_anti").join(facts.where(F.col("n") <= limit), by)
     return rows.join(often, by).unionByName(rest)
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, by: str, spread: str, limit: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each ``by``; a ``by`` with more than ``limit`` rows is dealt out by
+    ``spread``, and its fact copied to each part. What is broadcast are the numbers of parts of such keys."""
+    parts = F.broadcast(rows.groupBy(by).agg(F.ceil(F.count("*") / limit).cast("int").alias("__parts")).where("__parts > 1"))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")), F.lit(0)).cast("int")
+    dealt = rows.join(parts, by, "left").withColumn("__salt", salt).drop("__parts")
+    copied = facts.join(parts, by, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copied, [by, "__salt"]).drop("__salt")

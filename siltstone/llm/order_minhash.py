@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import cut, salted_join, slices, utf8
 from .components import components
 
 #: Words of a run, and sketches of a text. With a share s of single-word edits spread over a text p = (1 - s)^RUN of its runs
@@ -31,6 +31,8 @@ SKETCHES = 32
 PIVOTS = 2
 #: Texts of one bucket that a task compares with as many others of it at once.
 GROUP = 512
+#: Pairs of one lead that a task aligns.
+LEADS = 1000
 #: Counters of a text's words by hash, whose differences bound the edits between two texts from below.
 BINS = 256
 SIMILAR = 0.8
@@ -160,8 +162,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id"
     """A row for each row of ``docs``: key, class_id, kept, links.
 
     class_id is the smallest id that links reach (equal texts are linked), kept is whether it is the row's own; links
-    counts the verified links of the row's text with other texts (texts that links join already need none). A null text or one without words links with nothing,
-    and a null id neither; such rows are their own class and are kept. Rows that share an id have one class. Other
+    counts the verified links of the row's text with other texts (texts that links join already need none). Words stand
+    between ASCII white space. A null text or one without words links with nothing, and a null id neither; such rows are their own class and are kept. Rows that share an id have one class. Other
     columns are left out.
     """
     picked = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).withColumn("__hash", F.md5(F.col("__text").cast("binary")))
@@ -190,7 +192,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id"
     level = cut(shared(rows), "buckets")
     ids = level.select("rep").unionByName(level.select(F.col("lead").alias("rep"))).distinct()
     ids = ids.join(leads.withColumnRenamed("__hash", "hash"), "rep")
-    texts = picked.join(ids, (F.col("__id") == F.col("rep")) & (F.col("__hash") == F.col("hash"))).select("rep", "__text").dropDuplicates(["rep"])
+    texts = picked.join(ids, (F.col("__id") == F.col("rep")) & (F.col("__hash") == F.col("hash"))).select("rep", F.col("__text").cast("binary").alias("__text")).dropDuplicates(["rep"])
     texts = cut(texts, "texts")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +205,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("rep"), pa.array(found, pa.bool_())], ["lead", "rep", "same"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(texts.withColumnRenamed("__text", "x").withColumnRenamed("rep", "lead"), "lead").join(texts.withColumnRenamed("__text", "y"), "rep")
+        pairs = cut(pairs, "pairs")
+        # the text of a lead of many goes to as many tasks as its pairs need
+        pairs = salted_join(pairs, texts.withColumnRenamed("__text", "x").withColumnRenamed("rep", "lead"), "lead", "rep", LEADS).join(texts.withColumnRenamed("__text", "y"), "rep")
         return cut(pairs.select("lead", "rep", "x", "y").mapInArrow(align, f"lead {kind}, rep {kind}, same boolean"), "aligned")
 
     verified = verify(level.select("lead", "rep").distinct())

@@ -98,6 +98,12 @@ def test_language_of_odd_rows(odd, empty, docs):
     assert {r.lang_pred for r in lang_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect()} == {"und"}
 
 
+def test_language_with_clashing_columns(docs):
+    odd_names = docs.limit(50).withColumns({"__letter": F.lit("x"), "lang_pred": F.lit(1), "held_out": F.lit("y")})
+    got = lang_id.identify(odd_names)
+    assert got.count() == 50 and got.schema["lang_pred"].dataType == T.StringType() and got.schema["held_out"].dataType == T.BooleanType()
+
+
 def test_prediction_reads_only_the_text(docs):
     known = {r.doc_id: r.lang_pred for r in lang_id.identify(docs).collect()}
     assert lang_id.fit(docs).families == ["germanic", "romance"]
@@ -332,6 +338,14 @@ def test_near_duplicates_of_odd_rows(odd, empty, spark):
     assert all(got[k] == 0 for k in range(300)) and all(got[1000 + k] == 1000 + k for k in range(50))
 
 
+def test_words_of_texts_with_other_spaces(spark):
+    one = "a\u00a0b c d e f g h i\u2003j k l m"
+    rows = [(1, one), (2, one.replace("c", "x")), (3, one.replace("\u00a0", " ").replace("\u2003", " "))]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    same = lambda a, b: order_minhash.similar(a.encode().split(), b.encode().split())
+    assert same(rows[0][1], rows[1][1]) and not same(rows[0][1], rows[2][1]) and got == {1: 1, 2: 1, 3: 3}
+
+
 def families(rows):
     """The smallest id that similar texts reach, by all pairs."""
     split, lead = {k: v.split() for k, v in rows}, {k: k for k, _ in rows}
