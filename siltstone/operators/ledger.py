@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as tx
+
 
 def failure_counts(checks: DataFrame, key: str, order: list[str], failed: Column, skipped: Column) -> DataFrame:
     """Every check with ``consecutive_failures`` after it: a failure adds one, a success resets, a skipped one changes nothing."""
@@ -47,52 +49,69 @@ def replace_group(old: DataFrame, new: DataFrame, touched: DataFrame, key: str)
     return old.join(touched.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def line_changes(old: DataFrame, new: DataFrame, key: str, lines: str) -> DataFrame:
-    """key, line, change (removed or added), n: differences of the two sides' lines as multisets."""
-    count = lambda df, n: df.select(key, F.explode(lines).alias("line")).groupBy(key, "line").agg(F.count("*").alias(n))
-    both = count(old, "a").join(count(new, "b"), [key, "line"], "full_outer").withColumn("d", F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0)))
-    return both.where("d <> 0").select(key, "line", F.when(F.col("d") > 0, "added").otherwise("removed").alias("change"), F.abs("d").alias("n"))
+def line_changes(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """key, line, change (removed or added), n, at: differences of two arrays of lines as multisets, and where a line first stands on
+    its side. Both sides are counted in one grouping."""
+    side = lambda c, flag: pairs.select(key, F.posexplode(c).alias("at", "line"), F.lit(flag).alias("is_new"))
+    both = side(old, 0).unionByName(side(new, 1)).groupBy(key, "line").agg(F.sum(2 * F.col("is_new") - 1).alias("d"), *(F.min(F.when(F.col("is_new") == i, F.col("at"))).alias(f"at{i}") for i in (0, 1)))
+    more = F.col("d") > 0
+    return both.where("d <> 0").select(key, "line", F.when(more, "added").otherwise("removed").alias("change"), F.abs("d").alias("n"), F.when(more, F.col("at1")).otherwise(F.col("at0")).alias("at"))
+
+
+#: Lines of a change that are shown.
+EVIDENCE = 20
 
 
 def classify(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
-    """key, status, reason of two arrays of lines: equal, reordered, equal but for case and punctuation, or another content."""
-    bare = lambda c: F.transform(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", ""))
-    changed = line_changes(pairs.select(key, F.col(old).alias("l")), pairs.select(key, F.col(new).alias("l")), key, "l")
-    side = lambda c: F.array_sort(F.flatten(F.collect_list(F.when(F.col("change") == c, F.array_repeat(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", ""), F.col("n").cast("int"))))))
+    """key, status, reason, added, removed (the first lines of each), added_count, removed_count, highlights of two arrays of lines: equal, reordered, equal but for case
+    and punctuation, or another content."""
+    changed = line_changes(pairs, key, old, new)
+    bare = lambda c: F.array_sort(F.transform(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")))
+
+    def side(change: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(F.col("change") == change, F.struct("at", "line", "n"))))
+        return F.flatten(F.transform(listed, lambda x: F.array_repeat(x["line"], x["n"].cast("int"))))
+
     sides = changed.groupBy(key).agg(side("added").alias("__a"), side("removed").alias("__r"))
+    none = F.array().cast("array<string>")
+    out = pairs.join(sides, key, "left").withColumns({"__a": F.coalesce("__a", none), "__r": F.coalesce("__r", none)})
     reason = (
         F.when(F.col(old) == F.col(new), "identical_after_normalization")
-        .when(F.array_sort(old) == F.array_sort(new), "reordered_only")
-        .when(F.col("__a") == F.col("__r"), "formatting_only")
+        .when((F.size("__a") == 0) & (F.size("__r") == 0), "reordered_only")
+        .when(bare(F.col("__a")) == bare(F.col("__r")), "formatting_only")
         .otherwise("content_lines_changed")
     )
-    out = pairs.join(sides, key, "left").withColumn("reason", reason)
+    out = out.withColumn("reason", reason)
     status = F.when(F.col("reason") == "identical_after_normalization", "unchanged").when(F.col("reason") == "content_lines_changed", "meaningful").otherwise("cosmetic")
-    return out.select(key, status.alias("status"), "reason")
+    return out.select(key, status.alias("status"), "reason", F.slice("__a", 1, EVIDENCE).alias("added"), F.slice("__r", 1, EVIDENCE).alias("removed"), F.size("__a").alias("added_count"), F.size("__r").alias("removed_count"), tx.highlights(F.concat("__a", "__r")).alias("highlights"))
 
 
 def sections(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """key, line, level, heading, parent, chunk of Markdown bodies, one row for each section.
+    """key, line, level, heading, parent, breadcrumb, chunk of Markdown bodies, one row for each section.
 
-    Headings have one to four marks and stand outside fences. The first is the title, text before it and under it a
-    section of level 1. A heading without text of its own labels the sections after it.
+    Headings have one to four marks and a text, and stand outside fences. The first is the title, and the text under it a section of level 1; what is above
+    it is no part of the page. A later heading of level 1 is text. A heading without text of its own labels the sections after it. A body without headings is one
+    section of the title Untitled.
     """
     lines = docs.select(key, F.posexplode(F.split(body, "\n")).alias("line", "text"))
     order = W.partitionBy(key).orderBy("line")
-    lines = lines.withColumn("fenced", F.sum(F.when(F.col("text").rlike("^\\s*```"), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)) % 2)
-    mark = F.when((F.col("fenced") == 0) & F.col("text").rlike("^#{1,4}\\s+\\S"), F.length(F.regexp_extract("text", "^(#+)", 1)))
-    lines = lines.withColumn("mark", mark)
-    titled = F.count("mark").over(order.rowsBetween(W.unboundedPreceding, 0))
-    lines = lines.withColumn("nth", titled).withColumn("opens", F.col("mark").isNotNull() & ((F.col("nth") == 1) | (F.col("mark") > 1)))
-    lines = lines.withColumn("section", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    fence = F.col("text").rlike("^\\s*(?:```|~~~)")
+    lines = lines.withColumn("fenced", F.sum(F.when(fence, 1).otherwise(0)).over(upto) % 2)
+    named = F.when((F.col("fenced") == 0) & ~fence, F.nullif(tx.clean_heading(F.regexp_extract("text", r"^#{1,4}[ \t]+(\S.*?)\s*$", 1)), F.lit("")))
+    lines = lines.withColumn("name", named).withColumn("mark", F.when(F.col("name").isNotNull(), F.length(F.regexp_extract("text", "^(#+)", 1))))
+    lines = lines.withColumns({"nth": F.count("mark").over(upto), "headings": F.count("mark").over(W.partitionBy(key))})
+    lines = lines.withColumn("opens", F.col("mark").isNotNull() & ((F.col("nth") == 1) | (F.col("mark") > 1))).where("nth > 0 or headings = 0")
+    lines = lines.withColumn("section", F.sum(F.col("opens").cast("int")).over(upto))
     grouped = lines.groupBy(key, "section").agg(
         F.min("line").alias("line"),
         F.max(F.when(F.col("opens"), F.col("mark"))).alias("level"),
-        F.max(F.when(F.col("opens"), F.trim(F.regexp_replace("text", "^#+\\s+", "")))).alias("heading"),
+        F.max(F.when(F.col("opens"), F.col("name"))).alias("heading"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("opens"), F.struct("line", "text")))), lambda x: x["text"]), "\n").alias("chunk"),
     )
-    grouped = grouped.withColumn("chunk", F.regexp_replace("chunk", "^\\s+|\\s+$", "")).withColumn("level", F.coalesce("level", F.lit(1)))
+    grouped = grouped.withColumns({"chunk": F.regexp_replace("chunk", "^\\s+|\\s+$", ""), "heading": F.coalesce("heading", F.lit("Untitled"))})
     before = W.partitionBy(key).orderBy("section")
-    empty = (F.length("chunk") == 0) & (F.col("section") > 1)
-    grouped = grouped.withColumn("parent", F.last(F.when(empty, F.col("heading")), ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1)))
-    return grouped.where(F.length("chunk") > 0).select(key, "line", "level", "heading", "parent", "chunk")
+    label = F.when((F.length("chunk") == 0) & (F.col("section") > 1), F.col("heading"))
+    grouped = grouped.withColumns({"parent": F.last(label, ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1)), "title": F.first("heading").over(before)})
+    out = grouped.where(F.length("chunk") > 0).withColumn("level", F.when(F.col("section") <= 1, 1).otherwise(F.col("level")))
+    return out.select(key, "line", "level", "heading", "parent", tx.breadcrumb(F.col("title"), F.col("parent"), F.col("heading")).alias("breadcrumb"), "chunk")

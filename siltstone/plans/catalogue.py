@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions import html as ht
 from siltstone.functions import text as tx
-from siltstone.operators import buckets, ledger, search
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+from siltstone.operators import buckets, evals, ledger, search
 
+from .answers import figures_sql, parts_sql
+from .registry import ORACLE_SQL, QUERIES, joined, md5, query, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def joined(c: Column, sep: str = ",") -> Column:
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # Retrieval. Rows are documents with vectors of the same id; questions are the rows whose id is divisible by 20.
@@ -59,13 +41,18 @@ def fused(spark, sf_dir):
     return search.fuse(search.nearest(vectors(spark, sf_dir), q.select("query_id", "embedding")), search.keyword_rank(chunks(spark, sf_dir), q.select("query_id", "text")))
 
 
-FUSED_SQL = """
-WITH q AS (SELECT vec_id AS query_id, embedding AS qv, list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9]{4,}')) AS lexemes
+def tokens_sql(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+    return f"list_filter(regexp_extract_all(lower({text}), '{search.TOKEN}'), lambda w: w NOT IN ({stop}))"
+
+
+FUSED_SQL = f"""
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv, list_distinct({tokens_sql("array_to_string(string_split(text, ' ')[1:8], ' ')")}) AS lexemes
            FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0),
 s0 AS (SELECT query_id, vec_id AS id, round(list_cosine_distance(embedding::DOUBLE[], qv::DOUBLE[]), 9) AS distance FROM embeddings, q),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS semantic_rank FROM s0 QUALIFY semantic_rank <= 20),
-p AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]{4,}')) AS lexeme, 1 AS head FROM documents
-      UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{4,}')), 0 FROM documents),
+p AS (SELECT doc_id AS id, unnest({tokens_sql("string_split(text, chr(10))[1]")}) AS lexeme, 1 AS head FROM documents
+      UNION ALL SELECT doc_id, unnest({tokens_sql("text")}), 0 FROM documents),
 g AS (SELECT id, lexeme, sum(head) AS a, sum(1 - head) AS b FROM p GROUP BY ALL),
 u AS (SELECT query_id, unnest(lexemes) AS lexeme FROM q),
 k0 AS (SELECT query_id, id, round(sum(a)::DOUBLE * 1.0::DOUBLE + sum(b)::DOUBLE * 0.4::DOUBLE, 6) AS score FROM u JOIN g USING (lexeme) GROUP BY ALL),
@@ -75,7 +62,7 @@ fused AS (SELECT query_id, id, semantic_rank, keyword_rank, round(coalesce(1.0::
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS position FROM fused QUALIFY position <= 5),
 dated AS (SELECT doc_id AS id, DATE '2026-01-01' + (doc_id % 5)::INT AS day FROM labels WHERE quality = 0),
 days AS (SELECT DISTINCT query_id, day FROM top JOIN dated USING (id)),
-c0 AS (SELECT query_id, d.id, day, round(list_cosine_distance(embedding::DOUBLE[], qv::DOUBLE[]), 6) AS distance
+c0 AS (SELECT query_id, d.id, day, round(list_cosine_distance(embedding::DOUBLE[], qv::DOUBLE[]), 9) AS distance
        FROM dated d JOIN days USING (day) JOIN embeddings ON vec_id = d.id JOIN q USING (query_id) WHERE NOT EXISTS (FROM top t WHERE t.query_id = days.query_id AND t.id = d.id)),
 comp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS position FROM c0 QUALIFY position <= 2)
 """
@@ -93,43 +80,67 @@ UNION ALL SELECT c.query_id, 1, c.position, c.id, coalesce(f.rrf_score, 0), 'dat
 def hybrid_rrf_companions(spark, sf_dir):
     f = fused(spark, sf_dir)
     top = search.best(f)
-    more = search.companions(top, dates(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir))
-    more = more.drop("position").withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).join(f.select("query_id", "id", "rrf_score"), ["query_id", "id"], "left")
+    more = search.companions(top, dates(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir).select("query_id", "embedding"))
+    more = more.join(f.select("query_id", "id", "rrf_score"), ["query_id", "id"], "left")
     out = lambda df, order, name: df.select("query_id", F.lit(order).cast("long").alias("group_order"), F.col("position").cast("long").alias("position"), "id", F.coalesce("rrf_score", F.lit(0.0)).alias("rrf_score"), F.lit(name).alias("retrieved_by"))
     return out(top, 0, "fusion").unionByName(out(more, 1, "dated_companion"))
 
 
-@query(FUSED_SQL + """SELECT query_id, count(*) FILTER (WHERE semantic_rank IS NOT NULL AND keyword_rank IS NULL)::BIGINT AS semantic_only, count(*) FILTER (WHERE semantic_rank IS NULL)::BIGINT AS keyword_only,
-count(*) FILTER (WHERE semantic_rank IS NOT NULL AND keyword_rank IS NOT NULL)::BIGINT AS both_arms FROM top GROUP BY query_id""")
+@query(FUSED_SQL + """, n AS (SELECT query_id, count(*) AS companions FROM comp GROUP BY query_id) SELECT query_id, count(*) FILTER (WHERE semantic_rank IS NOT NULL AND keyword_rank IS NULL)::BIGINT AS semantic_only, count(*) FILTER (WHERE semantic_rank IS NULL)::BIGINT AS keyword_only,
+count(*) FILTER (WHERE semantic_rank IS NOT NULL AND keyword_rank IS NOT NULL)::BIGINT AS both_arms, coalesce(max(companions), 0)::BIGINT AS companions FROM top LEFT JOIN n USING (query_id) GROUP BY query_id""")
 def retrieval_arm_counts(spark, sf_dir):
     s, k = F.col("semantic_rank").isNotNull(), F.col("keyword_rank").isNotNull()
-    return search.best(fused(spark, sf_dir)).groupBy("query_id").agg(F.count_if(s & ~k).alias("semantic_only"), F.count_if(~s).alias("keyword_only"), F.count_if(s & k).alias("both_arms"))
+    top = search.best(fused(spark, sf_dir))
+    more = search.companions(top, dates(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir).select("query_id", "embedding")).groupBy("query_id").agg(F.count("*").alias("companions"))
+    counts = top.groupBy("query_id").agg(F.count_if(s & ~k).alias("semantic_only"), F.count_if(~s).alias("keyword_only"), F.count_if(s & k).alias("both_arms"))
+    return counts.join(more, "query_id", "left").withColumn("companions", F.coalesce("companions", F.lit(0)))
 
 
-@query(FUSED_SQL + "SELECT q.query_id, min(s.distance) AS nearest, coalesce(min(s.distance) > 0.5, true) AS no_answer FROM q LEFT JOIN sem s ON s.query_id = q.query_id AND s.id <> q.query_id GROUP BY q.query_id")
-def no_answer_gate(spark, sf_dir):
-    q = questions(spark, sf_dir).select("query_id", "embedding")
-    near = search.nearest(vectors(spark, sf_dir), q).where("id <> query_id").groupBy("query_id").agg(F.min("distance").alias("nearest"))
-    return q.select("query_id").join(near, "query_id", "left").select("query_id", "nearest", F.coalesce(F.col("nearest") > 0.5, F.lit(True)).alias("no_answer"))
+@query(FUSED_SQL + "SELECT query_id, id, score, keyword_rank::BIGINT AS keyword_rank FROM kw")
+def keyword_rank_simple(spark, sf_dir):
+    found = search.keyword_rank(chunks(spark, sf_dir), questions(spark, sf_dir).select("query_id", "text"))
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("keyword_rank"))
 
 
-@query(FUSED_SQL + "SELECT count(DISTINCT query_id)::BIGINT AS questions, count(*) FILTER (WHERE id = query_id)::BIGINT AS hits, count(*) FILTER (WHERE id = query_id)::DOUBLE / count(DISTINCT query_id) AS hit_rate FROM top")
+@query(FUSED_SQL + """, d AS (SELECT q.query_id, min(round(list_cosine_distance(e.embedding::DOUBLE[], qv::DOUBLE[]), 6)) AS nearest, count(t.id) AS n FROM q LEFT JOIN top t ON t.query_id = q.query_id AND t.id <> q.query_id LEFT JOIN embeddings e ON e.vec_id = t.id GROUP BY q.query_id)
+SELECT query_id, nearest, n = 0 OR coalesce(nearest > 0.5, false) AS no_answer FROM d""")
+def no_answer_gate(spark, sf_dir):
+    """The nearest of the fused rows, the question's own not among them; rows without a vector have no distance."""
+    q = questions(spark, sf_dir).select("query_id", F.col("embedding").alias("q"))
+    top = search.best(fused(spark, sf_dir)).where("id <> query_id").select("query_id", "id").join(vectors(spark, sf_dir), "id", "left")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda x, y: x + y)
+    far = F.round(1 - dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q")), 6)
+    near = q.join(top, "query_id", "left").groupBy("query_id").agg(F.min(far).alias("nearest"), F.count("id").alias("n"))
+    return near.select("query_id", "nearest", ((F.col("n") == 0) | F.coalesce(F.col("nearest") > 0.5, F.lit(False))).alias("no_answer"))
+
+
+@query(FUSED_SQL + """, gs AS (SELECT query_id, list(DISTINCT source) AS urls FROM q JOIN documents ON doc_id BETWEEN query_id + 1 AND query_id + 2 GROUP BY query_id),
+hs AS (SELECT gs.query_id, bool_or(coalesce(list_contains(urls, source), false)) AS hit FROM gs LEFT JOIN top USING (query_id) LEFT JOIN documents ON doc_id = id GROUP BY gs.query_id)
+SELECT count(*)::BIGINT AS questions, count(*) FILTER (WHERE hit)::BIGINT AS hits, count(*) FILTER (WHERE hit)::DOUBLE / nullif(count(*), 0) AS hit_rate FROM hs""")
 def golden_hit_rate(spark, sf_dir):
-    hit = F.count_if(F.col("id") == F.col("query_id"))
-    return search.best(fused(spark, sf_dir)).agg(F.countDistinct("query_id").alias("questions"), hit.alias("hits"), (hit / F.countDistinct("query_id")).alias("hit_rate"))
+    """Golden sources of a question are those of the two documents after its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    golden = questions(spark, sf_dir).select("query_id", F.explode(F.array(F.col("query_id") + 1, F.col("query_id") + 2)).alias("doc_id")).join(docs, "doc_id").select("query_id", "source").distinct()
+    found = search.best(fused(spark, sf_dir)).join(docs.withColumnRenamed("doc_id", "id"), "id").select("query_id", "source").distinct().withColumn("hit", F.lit(True))
+    hits = golden.join(found, ["query_id", "source"], "left").groupBy("query_id").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
+    return hits.agg(F.count("*").alias("questions"), F.count_if("hit").alias("hits"), evals.rate(F.count_if("hit"), F.count("*")).alias("hit_rate"))
 
 
-@query(FUSED_SQL + ", x AS (SELECT * FROM s0 WHERE id % 20 <> 0 AND id % 3 = query_id % 3) SELECT query_id, arg_min(id, struct_pack(d := distance, i := id)) AS cached_id, min(distance) AS distance, min(distance) <= 0.15 AS hit FROM x GROUP BY query_id")
+@query(FUSED_SQL + ", x AS (SELECT * FROM s0 WHERE id % 20 <> 0 AND id % 3 = query_id % 3 AND id % 4 = 1) SELECT query_id, arg_min(id, struct_pack(d := distance, i := id)) AS cached_id, min(distance) AS distance, min(distance) <= 0.15 AS hit FROM x GROUP BY query_id")
 def semantic_cache_lookup(spark, sf_dir):
-    """Nearest cached answer of the question's own class; equal only within a distance of 0.15. The class is an id modulo 3."""
-    cache, q = vectors(spark, sf_dir).where("id % 20 <> 0"), questions(spark, sf_dir).select("query_id", "embedding")
-    near = None
-    for c in range(3):
-        own = search.nearest(cache.where(f"id % 3 = {c}"), q.where(f"query_id % 3 = {c}"), k=1)
-        near = own if near is None else near.unionByName(own)
+    """Nearest cached answer of the question's own class and of the corpus's version; equal only within a distance of 0.15. The
+    class is an id modulo 3, the version an id modulo 4."""
+    cache = vectors(spark, sf_dir).where("id % 20 <> 0 and id % 4 = 1").withColumn("kind", F.expr("id % 3"))
+    near = search.nearest(cache, questions(spark, sf_dir).select("query_id", "embedding", F.expr("query_id % 3").alias("kind")), 1, "kind")
     return near.select("query_id", F.col("id").alias("cached_id"), "distance", (F.col("distance") <= 0.15).alias("hit"))
 
 
+@query("SELECT round(min(d), 6) AS least, round(avg(d), 6) AS mean, round(max(d), 6) AS most, count(*)::BIGINT AS pairs FROM (SELECT list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 0)")
+def pairwise_question_distance(spark, sf_dir):
+    out = search.pair_distances(questions(spark, sf_dir).select("query_id", "embedding"))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("least", "mean", "most")), "pairs")
+
+
 @query("SELECT coalesce(strftime(max(ts), '%Y-%m-%d'), 'none') || ':' || count(*)::VARCHAR || ':' || sum((event_type = 'purchase')::INT)::VARCHAR AS version FROM events")
 def corpus_version(spark, sf_dir):
     day = F.coalesce(F.date_format(F.max("ts"), "yyyy-MM-dd"), F.lit("none"))
@@ -152,9 +163,18 @@ def citation_parse(spark, sf_dir):
     return answers(spark, sf_dir).select("conv_id", "turn", joined(tx.cited(F.col("t"))).alias("cited"))
 
 
-@query(ANSWERS_SQL + "SELECT conv_id, turn, CASE WHEN n = 0 THEN 'no_contexts' WHEN len(i) = 0 THEN 'missing_citations' WHEN len(list_filter(i, lambda x: x < 1 OR x > n)) > 0 THEN 'citation_out_of_range' END AS reason FROM c")
+@query(ANSWERS_SQL + "SELECT conv_id, turn, CASE WHEN len(list_filter(k, lambda x: x < 1 OR x > n)) > 0 THEN 'citation_index_out_of_range' WHEN conv_id % 3 > 0 AND len(k) = 0 THEN 'answer_missing_citation' END AS reason FROM (SELECT *, CASE WHEN turn % 4 = 1 THEN []::INT[] ELSE list_filter(i, lambda x: x > 0 AND x < 4) END AS k FROM c)")
 def citation_verify(spark, sf_dir):
-    return answers(spark, sf_dir).select("conv_id", "turn", tx.citation_reason(tx.cited(F.col("t")), F.col("n")).alias("reason"))
+    found = F.when(F.expr("turn % 4 = 1"), F.array().cast("array<int>")).otherwise(F.filter(tx.cited(F.col("t")), lambda i: (i > 0) & (i < 4)))
+    kind = F.when(F.expr("conv_id % 3 > 0"), "answer").otherwise("refusal_advice")
+    return answers(spark, sf_dir).select("conv_id", "turn", tx.citation_reason(found, F.col("n"), kind).alias("reason"))
+
+
+@query(ANSWERS_SQL + r"""SELECT conv_id, turn, len(p)::BIGINT AS segments, len(list_filter(p, lambda x: regexp_full_match(x, '\[(\d+(?:\s*,\s*\d+)*)\]')))::BIGINT AS citations, md5(array_to_string(p, '')) AS whole
+FROM (SELECT conv_id, turn, list_filter(string_split(regexp_replace(t, '(\[\d+(?:\s*,\s*\d+)*\])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM a)""")
+def answer_segments(spark, sf_dir):
+    p = tx.segments(F.col("t"))
+    return answers(spark, sf_dir).select("conv_id", "turn", F.size(p).cast("long").alias("segments"), F.size(F.filter(p, lambda x: x["cites"])).cast("long").alias("citations"), md5(F.array_join(F.transform(p, lambda x: x["value"]), "")).alias("whole"))
 
 
 @query(ANSWERS_SQL + "SELECT conv_id, turn, len(list_filter(i, lambda x: x < 1 OR x > n))::BIGINT AS hallucinated, greatest(0, n - len(list_filter(i, lambda x: x >= 1 AND x <= n)))::BIGINT AS unreferenced FROM c")
@@ -163,14 +183,15 @@ def citation_analyze(spark, sf_dir):
     return answers(spark, sf_dir).select("conv_id", "turn", tx.hallucinated(i, F.col("n")).alias("hallucinated"), tx.unreferenced(i, F.col("n")).alias("unreferenced"))
 
 
-@query(ANSWERS_SQL + r"SELECT conv_id, turn, md5(regexp_replace(t, '【(\d+)†[^】]*】', '[\1]', 'g')) AS folded FROM a")
+@query(ANSWERS_SQL + r"SELECT conv_id, turn, md5(regexp_replace(t, '【\s*(\d+)\s*(?:†[^】]*)?】', '[\1]', 'g')) AS folded FROM a")
 def native_markup_fold(spark, sf_dir):
     return answers(spark, sf_dir).select("conv_id", "turn", F.md5(tx.fold_markup(F.col("t")).cast("binary")).alias("folded"))
 
 
-@query(ANSWERS_SQL + r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(t || chr(10) || 'Sources:' || chr(10) || '1. x', '\n(?:\*\*)?(?:Sources|References):?(?:\*\*)?[ \t]*\n[\s\S]*$', ''), '\s+$', '')) AS stripped FROM a")
+@query(ANSWERS_SQL + f"SELECT conv_id, turn, md5(CASE WHEN regexp_matches(x, '{tx.SOURCE_LIST}') THEN regexp_replace(regexp_replace(x, '{tx.SOURCE_LIST}[\\s\\S]*$', ''), '\\s+$', '') ELSE x END) AS stripped FROM (SELECT *, CASE WHEN conv_id % 2 = 0 THEN t || chr(10) || ' **Source URLs**: ' || chr(10) || '1. x' ELSE t END AS x FROM a)")
 def source_list_strip(spark, sf_dir):
-    return answers(spark, sf_dir).select("conv_id", "turn", F.md5(tx.strip_sources(F.concat("t", F.lit("\nSources:\n1. x"))).cast("binary")).alias("stripped"))
+    x = F.when(F.expr("conv_id % 2 = 0"), F.concat("t", F.lit("\n **Source URLs**: \n1. x"))).otherwise(F.col("t"))
+    return answers(spark, sf_dir).select("conv_id", "turn", md5(tx.strip_sources(x)).alias("stripped"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, text || ' 078-05-1120, A12345678 and A-1234567' AS t FROM documents),
@@ -185,11 +206,27 @@ def pii_redact(spark, sf_dir):
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("redacted"), F.regexp_count("t", F.lit(r"\[redacted-[a-z-]+\]")).cast("long").alias("n"))
 
 
+@query()
+def json_field_redact(spark, sf_dir):
+    body = F.to_json(F.struct(F.col("doc_id").alias("id"), F.concat("text", F.lit(" 078-05-1120")).alias("question"), F.col("lang")))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.redact_question(F.when(F.expr("doc_id % 5 = 0"), F.left("text", F.lit(1))).otherwise(body)).alias("body"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(doc_id::VARCHAR) ELSE " + "{}" + " END AS session FROM documents")
+def session_header(spark, sf_dir):
+    """Every second request bears a session of its own, every third of the others a name that is none."""
+    header = F.when(F.expr("doc_id % 2 = 0"), F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)).when(F.expr("doc_id % 3 = 0"), "not a session")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.session_or_hash(header, F.col("source"), "session-secret").alias("session"))
+
+
 def _hmac_sql(value: str, secret: str) -> str:
     i, o = ("".join(f"\\x{b ^ p:02X}" for b in secret.encode().ljust(64, b"\0")) for p in (0x36, 0x5C))
     return f"sha256('{o}'::BLOB || unhex(sha256('{i}'::BLOB || encode({value}))))"
 
 
+ORACLE_SQL["session_header"] = ORACLE_SQL["session_header"].format(_hmac_sql("source", "session-secret"))
+
+
 @query(f"SELECT user_id, {_hmac_sql('user_id::VARCHAR', 'session-secret')} AS session, count(*)::BIGINT AS n, min(ts) AS first_seen FROM events GROUP BY user_id")
 def session_hmac(spark, sf_dir):
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"))
@@ -204,38 +241,32 @@ def length_gate(spark, sf_dir):
 ADVICE_SQL = " OR ".join(f"contains(q, '{p}')" for p in tx.ADVICE)
 
 
-@query(f"WITH c AS (SELECT conv_id, turn, lower(CASE conv_id % 5 WHEN 0 THEN 'Should I ' ELSE '' END || text) AS q FROM conversations WHERE role = 'user') SELECT conv_id, turn, {ADVICE_SQL} AS advice, CASE WHEN {ADVICE_SQL} THEN 'rule' ELSE 'model' END AS decided_by FROM c")
-def advice_rule_gate(spark, sf_dir):
-    q = F.concat(F.when(F.expr("conv_id % 5 = 0"), "Should I ").otherwise(""), "text")
-    advice = tx.asks_advice(q)
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", advice.alias("advice"), F.when(advice, "rule").otherwise("model").alias("decided_by"))
-
-
-@query(r"SELECT conv_id, turn, len(list_filter(string_split_regex(lower(text), '\s+'), lambda w: len(regexp_replace(w, '[^a-z0-9]', '', 'g')) >= 4))::BIGINT AS words, len(list_filter(string_split_regex(lower(text), '\s+'), lambda w: len(regexp_replace(w, '[^a-z0-9]', '', 'g')) >= 4)) < 3 AS too_vague FROM conversations WHERE role = 'user'")
-def clarify_gate(spark, sf_dir):
-    words = F.size(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(F.regexp_replace(w, "[^a-z0-9]", "")) >= 4))
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", words.cast("long").alias("words"), (words < 3).alias("too_vague"))
+#: What a second classifier replied to every third question.
+REPLIES = {0: 'so: {"advice": true}', 1: '{"advice": false} ', 2: '{"advice": "true"}', 3: "no idea", 4: "{broken", 5: '{"advice": {"a": 1}}'}
+REPLY_SQL = "CASE WHEN (conv_id + turn) % 3 = 0 THEN CASE conv_id % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in REPLIES.items()) + " END END"
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(t, '[^\x00-\x{24F}]') AND NOT regexp_matches(t, '[A-Za-z]') AS other_script FROM (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'こんにちは世界' ELSE text END AS t FROM conversations WHERE role = 'user')")
-def script_gate(spark, sf_dir):
-    t = F.when(F.expr("conv_id % 4 = 0"), "こんにちは世界").otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", (t.rlike(r"[^\x00-\x{24F}]") & ~t.rlike("[A-Za-z]")).alias("other_script"))
+@query(f"WITH c AS (SELECT conv_id, turn, lower(CASE conv_id % 5 WHEN 0 THEN 'Should I ' ELSE '' END || text) AS q, CASE WHEN (conv_id + turn) % 3 = 0 THEN CASE conv_id % 6 WHEN 0 THEN true WHEN 1 THEN false END END AS verdict FROM conversations WHERE role = 'user') SELECT conv_id, turn, verdict, {ADVICE_SQL} OR coalesce(verdict, false) AS advice, CASE WHEN {ADVICE_SQL} THEN 'rule' WHEN verdict IS NOT NULL THEN 'model' ELSE 'model_unavailable' END AS decided_by FROM c")
+def advice_rule_gate(spark, sf_dir):
+    """A rule decides first; a model's reply may only turn what it left open into advice."""
+    q = F.concat(F.when(F.expr("conv_id % 5 = 0"), "Should I ").otherwise(""), "text")
+    advice, verdict = tx.asks_advice(q), tx.advice_verdict(F.expr(REPLY_SQL))
+    decided = F.when(advice, "rule").when(F.col("verdict").isNotNull(), "model").otherwise("model_unavailable")
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("verdict", verdict)
+    return rows.select("conv_id", "turn", "verdict", (advice | F.coalesce("verdict", F.lit(False))).alias("advice"), decided.alias("decided_by"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, 'In [1] form I-20 of May 5, 2026 costs 1,200 or 60 (see http://x.org/77), 01/30/2026, 1999, ' || (doc_id % 97)::VARCHAR || '. ' || text AS t FROM documents),
-x AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[(\d+(?:\s*,\s*\d+)*)\]', '#', 'g'), '\b[A-Z]{1,2}-\d{1,4}[A-Z]?\b', '#', 'g'),
- '\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b', '#', 'g'), 'https?://[^\s)]+', '#', 'g'), '\b\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})\b', '#', 'g') AS t FROM d)
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '\d+(?:,\d{3})*'), lambda x: replace(x, ',', '')), lambda x: NOT regexp_full_match(x, '19\d\d|20\d\d|2100')))), ',') AS figures FROM x""")
+@query(f"WITH d AS (SELECT doc_id, 'In [1] form I-20 of Sept. 5, 2026 costs 1,200 or 60 (see http://x.org/77), 01/30/2026, 1999, H-1B [2, 3] ' || (doc_id % 97)::VARCHAR || '. ' || text AS t FROM documents) SELECT doc_id, array_to_string({figures_sql('t')}, ',') AS figures FROM d")
 def figure_extract(spark, sf_dir):
-    t = F.concat(F.lit("In [1] form I-20 of May 5, 2026 costs 1,200 or 60 (see http://x.org/77), 01/30/2026, 1999, "), F.expr("cast(doc_id % 97 as string)"), F.lit(". "), "text")
+    t = F.concat(F.lit("In [1] form I-20 of Sept. 5, 2026 costs 1,200 or 60 (see http://x.org/77), 01/30/2026, 1999, H-1B [2, 3] "), F.expr("cast(doc_id % 97 as string)"), F.lit(". "), "text")
     return table(spark, sf_dir, "documents").select("doc_id", joined(tx.figures(t)).alias("figures"))
 
 
-@query(r"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))::BIGINT AS sentences, md5(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1]) AS first FROM documents")
+@query(f"WITH d AS (SELECT doc_id, {parts_sql("text || ' From Sept. 5 on. In Dec. it ends. ' || text")} AS p FROM documents) SELECT doc_id, len(p)::BIGINT AS sentences, md5(array_to_string(p, '|')) AS parts FROM d")
 def sentence_split(spark, sf_dir):
-    s = tx.sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("sentences"), F.md5(s[0].cast("binary")).alias("first"))
+    p = tx.sentence_parts(F.concat("text", F.lit(" From Sept. 5 on. In Dec. it ends. "), "text"))
+    marked = F.transform(p, lambda x: F.concat(x["sentence"], F.when(F.length(x["separator"]) > 0, F.concat(F.lit("\u0001"), x["separator"])).otherwise("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("sentences"), md5(F.array_join(marked, "|")).alias("parts"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(f) <= 240 THEN f ELSE regexp_replace(left(f, 240), '\s\S*$', '') || '...' END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)")
@@ -248,9 +279,20 @@ def paragraph_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n \n")))).cast("long").alias("paragraphs"))
 
 
-@query(r"SELECT doc_id, CASE WHEN length(f) BETWEEN 1 AND 90 AND length(text) > length(f) + 1 THEN f END AS lead FROM (SELECT doc_id, text, regexp_extract(text, '^[^.!?]*[.!?]') AS f FROM documents)")
+PARAGRAPHS_SQL = r"list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || ' ' || chr(10)), '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) > 0)"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(f) BETWEEN 1 AND 90 AND (len(p) > 1 OR length(p[1]) > length(f)) THEN f END AS lead FROM (SELECT doc_id, p, regexp_extract(coalesce(p[1], ''), '^[\\s\\S]*?[.!?](?:\\s|$)') AS g, CASE WHEN regexp_matches(g, '\\s$') THEN left(g, length(g) - 1) ELSE g END AS f FROM (SELECT doc_id, {PARAGRAPHS_SQL} AS p FROM documents))")
 def lead_sentence(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.lead(F.col("text")).alias("lead"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.lead(F.replace("text", F.lit("\n"), F.lit("\n \n"))).alias("lead"))
+
+
+@query(f"SELECT doc_id, len(CASE WHEN doc_id % 2 = 0 THEN p ELSE p END)::BIGINT AS paragraphs FROM (SELECT doc_id, {PARAGRAPHS_SQL} AS p FROM documents)")
+def notice_paragraph_drop(spark, sf_dir):
+    """Every second text repeats a notice as its last paragraph, which goes."""
+    more = F.when(F.expr("doc_id % 2 = 0"), "\n\nOne of the sources above describes a rule that is not in force. See x.").otherwise("")
+    text = F.concat(F.replace("text", F.lit("\n"), F.lit("\n \n")), more)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.without_notice(tx.paragraphs(text))).cast("long").alias("paragraphs"))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') AS host, regexp_replace(regexp_replace(lower(regexp_extract(url, '([^/?#]+)/*(?:[?#].*)?$', 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
@@ -258,18 +300,39 @@ def hostname(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.hostname(F.col("url")).alias("host"), tx.slug(F.col("url")).alias("slug"))
 
 
-@query(r"SELECT doc_id, regexp_replace('Form I-' || (doc_id % 999)::VARCHAR || ' or H-1B, not x-ray', '\b([A-Z]{1,2})-(\d{1,4}[A-Z]?)\b', '\1‑\2', 'g') AS t FROM documents")
+@query(r"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([^/]+)/*$', 1) AS last FROM pages)
+SELECT page_id, CASE WHEN last <> '' THEN host || '/' || last ELSE host END AS label, string_split(regexp_replace(lower(host), '^www\.', ''), '.')[1] AS hint,
+ 'topic-' || string_split(regexp_replace(lower(host), '^www\.', ''), '.')[1] || '-' || regexp_replace(regexp_replace(lower(coalesce(nullif(last, ''), host)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '.md' AS snapshot FROM u""")
+def source_labels(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", tx.source_label(u).alias("label"), tx.domain_hint(u).alias("hint"), tx.snapshot_name(F.lit("topic"), u).alias("snapshot"))
+
+
+HYPHENS = "'E-Verify of I-20a, H-1B and xi-12345; '"
+
+
+@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace({HYPHENS} || text, '(?i)\b(E)-(Verify)\b', '\1‑\2', 'g'), '\b([A-Za-z]{{1,3}})-(\d{{1,4}}[A-Za-z]?)\b', '\1‑\2', 'g')) AS t FROM documents")
 def nb_hyphen(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.plain_hyphens(F.concat(F.lit("Form I-"), F.expr("cast(doc_id % 999 as string)"), F.lit(" or H-1B, not x-ray"))).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", md5(tx.plain_hyphens(F.concat(F.expr(HYPHENS), "text"))).alias("t"))
 
 
 # Pages.
 
+STAMP = "CASE page_id % 5 WHEN 0 THEN ' Last Reviewed/Updated: 01/30/2026' WHEN 1 THEN ' Last updated: Sept. 5, 2026' WHEN 2 THEN ' Updated 3/4/2025' WHEN 3 THEN ' Last Reviewed/Updated: 13/45/2026' ELSE '' END"
+DAY_SQL = "CASE page_id % 5 WHEN 0 THEN DATE '2026-01-30' WHEN 1 THEN DATE '2026-09-05' WHEN 2 THEN DATE '2025-03-04' END"
 
-@query(r"SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, nullif(regexp_extract(html, '(\d{4}-\d{2}-\d{2})', 1), '') AS day, md5(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article>(.*?)</article>', 1), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages")
+
+@query(rf"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, {DAY_SQL} AS day, md5(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article>(.*?)</article>', 1), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages")
 def html_text(spark, sf_dir):
-    body = F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "(?is)<article>(.*?)</article>", 1), "(?s)<[^>]*>", " "), r"\s+", " ")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), F.nullif(F.regexp_extract("html", r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")).alias("day"), F.md5(body.cast("binary")).alias("body"))
+    """Each page says in its own way when it was last changed, or doesn't."""
+    page = F.concat(F.regexp_replace("html", "(?i)updated", ""), F.expr(STAMP))
+    body = ht.page_text(F.regexp_extract("html", "(?is)<article>(.*?)</article>", 1))
+    return table(spark, sf_dir, "pages").select("page_id", ht.title(F.col("html")).alias("title"), ht.last_updated(ht.page_text(page)).alias("day"), md5(body).alias("body"))
+
+
+@query()
+def html_to_markdown(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", ht.to_markdown("html").alias("markdown"))
 
 
 # Bookkeeping. Sources are users of events; an error is a failed check, a view one that robots refuse.
@@ -304,17 +367,33 @@ def sources_status(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("sources"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.count_if(F.col("ts") < F.expr("timestamp_ntz '2024-01-29 00:00:00'")).alias("older"))
 
 
-@query("SELECT ts::DATE AS day, count(*) FILTER (WHERE event_type = 'purchase')::BIGINT AS calls, count(*) FILTER (WHERE event_type = 'purchase') >= 50 AS capped FROM events GROUP BY 1")
+@query("""WITH d AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE + 2, INTERVAL 1 day))::DATE AS day FROM events), c AS (SELECT ts::DATE AS day, count(*) AS n FROM events WHERE event_type = 'purchase' AND extract(day FROM ts) % 3 > 0 GROUP BY 1)
+SELECT day, coalesce(n, 0)::BIGINT AS calls, coalesce(n, 0) >= 50 AS capped, false AS capped_off FROM d LEFT JOIN c USING (day)""")
 def daily_generation(spark, sf_dir):
-    calls = F.count_if(F.col("event_type") == "purchase")
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(calls.alias("calls"), (calls >= 50).alias("capped"))
+    """Calls of each day, also of days without any; a cap of nought or less is off. Every third day has no calls here."""
+    events = table(spark, sf_dir, "events")
+    days = events.agg(F.to_date(F.min("ts")).alias("a"), F.date_add(F.to_date(F.max("ts")), 2).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    calls = events.where("event_type = 'purchase' and day(ts) % 3 > 0").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    capped = lambda cap: (n >= cap) & F.lit(cap > 0)
+    return days.join(calls, "day", "left").select("day", n.alias("calls"), capped(50).alias("capped"), capped(0).alias("capped_off"))
 
 
 @query("SELECT event_id, n > 40 AS over_budget FROM (SELECT event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase')")
 def budget_gate(spark, sf_dir):
-    calls = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    n = F.row_number().over(W.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
-    return calls.select("event_id", (n > 40).alias("over_budget"))
+    """The first 40 calls of a day are kept for each task and then for the day; the last of them tells of all others."""
+    calls = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("day", F.to_date("ts"))
+    at = F.struct("ts", "event_id")
+    first = calls.withColumn("n", F.row_number().over(W.partitionBy("day").orderBy("ts", "event_id"))).where("n <= 40")
+    last = first.where("n = 40").select("day", at.alias("last"))
+    return calls.join(last, "day", "left").select("event_id", F.coalesce(at > F.col("last"), F.lit(False)).alias("over_budget"))
+
+
+@query("SELECT ts::DATE AS day, sum(value) FILTER (WHERE event_type = 'purchase') AS tokens, round(count(*) FILTER (WHERE event_type = 'error')::DOUBLE / nullif(count(*), 0), 9) AS failed, max(value) AS gauge FROM events GROUP BY 1")
+def usage_by_day(spark, sf_dir):
+    """Tokens, the share of requests that failed, and the highest gauge of each day."""
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.when(kind == "purchase", F.col("value"))).alias("tokens"), F.round(evals.rate(F.count_if(kind == "error"), F.count("*")), 9).alias("failed"), F.max("value").alias("gauge"))
 
 
 @query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
@@ -361,7 +440,7 @@ def increment_upsert(spark, sf_dir):
 @query("SELECT doc_id, n_chars::BIGINT AS n, source AS source_url FROM documents")
 def insert_if_absent(spark, sf_dir):
     old, new = _halves(spark, sf_dir)
-    return ledger.insert_absent(old, new.unionByName(old), "doc_id")
+    return ledger.insert_absent(old, new.unionByName(old.withColumn("n", F.col("n") + 1)), "doc_id")
 
 
 @query("SELECT o_custkey, count(*)::BIGINT AS n, max(o_orderdate) AS newest FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1 OR (count(*) FILTER (WHERE o_orderpriority IS NULL) > 0 AND count(o_orderpriority) > 0)")
@@ -370,28 +449,45 @@ def consistency_having(spark, sf_dir):
     return g.where("d > 1 or (nulls > 0 and some > 0)").select("o_custkey", "n", "newest")
 
 
-# Documents as Markdown: every second line is a heading of level 1 to 4, numbered from the top.
-
-MD_SQL = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents), "
+# Documents as Markdown: every third line is a heading of level 1 to 4, some of them emphasised or linked, and some lines are in fences.
 
 
 def markdown(spark, sf_dir):
-    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), (i % 4 + 1).cast("int")), F.lit(" "), F.regexp_replace(F.left(x, F.lit(30)), "^\\s+|\\s+$", ""))).otherwise(x)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("body"))
+    own = lambda x: F.regexp_replace(F.left(x, F.lit(30)), "^\\s+|\\s+$", "")
+    title = lambda x, i: F.when(i % 6 == 0, F.concat(F.lit("**"), own(x), F.lit("**"))).when(i % 15 == 3, F.concat(F.lit("[**"), own(x), F.lit("**](#a)"))).otherwise(own(x))
+    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), (i % 4 + 1).cast("int")), F.lit(" "), title(x, i))).when(i % 20 == 7, "```").when(i % 20 == 11, "  ```").otherwise(x)
+    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.expr("doc_id % 10 = 0"), F.col("text")).otherwise(F.concat(F.lit("above\n"), body)).alias("body"))
+
+
+def _clean_sql(c: str) -> str:
+    for _ in range(6):
+        c = rf"trim(regexp_replace(regexp_replace({c}, '^\*\*(.+)\*\*$|^__(.+)__$', '\1\2'), '^\[(.+)\]\([^)]*\)$', '\1'))"
+    return c
+
+
+MARKDOWN_SQL = r"""WITH d0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+d1 AS (SELECT doc_id, text, list_transform(a, lambda x, n: CASE WHEN (n - 1) % 3 = 0 THEN repeat('#', ((n - 1) % 4 + 1)::INT) || ' ' || CASE WHEN (n - 1) % 6 = 0 THEN '**' || regexp_replace(left(x, 30), '^\s+|\s+$', '', 'g') || '**' WHEN (n - 1) % 15 = 3 THEN '[**' || regexp_replace(left(x, 30), '^\s+|\s+$', '', 'g') || '**](#a)' ELSE regexp_replace(left(x, 30), '^\s+|\s+$', '', 'g') END
+  WHEN (n - 1) % 20 = 7 THEN '```' WHEN (n - 1) % 20 = 11 THEN '  ```' ELSE x END) AS a FROM d0),
+b AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text ELSE 'above' || chr(10) || array_to_string(a, chr(10)) END AS body FROM d1),
+l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS x, unnest(range(0, len(string_split(body, chr(10))))) AS i FROM b),
+e AS (SELECT *, regexp_matches(x, '^\s*(?:```|~~~)') AS fence FROM l),
+f AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS fenced FROM e),
+""" + f"h AS (SELECT *, CASE WHEN fenced = 0 AND NOT fence THEN nullif({_clean_sql(r"regexp_extract(x, '^#{1,4}[ \t]+(\S.*?)\s*$', 1)")}, '') END AS name FROM f)," + r"""
+m AS (SELECT *, CASE WHEN name IS NOT NULL THEN length(regexp_extract(x, '^(#+)', 1)) END AS mark FROM h),
+n AS (SELECT *, count(mark) OVER (PARTITION BY doc_id ORDER BY i) AS nth, count(mark) OVER (PARTITION BY doc_id) AS headings FROM m),
+o AS (SELECT *, mark IS NOT NULL AND (nth = 1 OR mark > 1) AS opens FROM n WHERE nth > 0 OR headings = 0),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM o),
+g AS (SELECT doc_id, section, min(i) AS line, CASE WHEN section <= 1 THEN 1 ELSE max(mark) FILTER (WHERE opens) END AS level, coalesce(max(name) FILTER (WHERE opens), 'Untitled') AS heading,
+      regexp_replace(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT opens), ''), '^\s+|\s+$', '', 'g') AS chunk FROM s GROUP BY doc_id, section),
+p AS (SELECT *, last_value(CASE WHEN chunk = '' AND section > 1 THEN heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent, first_value(heading) OVER (PARTITION BY doc_id ORDER BY section) AS title FROM g)
+SELECT doc_id, line::BIGINT AS line, level::BIGINT AS level, heading, parent, concat_ws(' > ', title, parent, nullif(heading, title)) AS breadcrumb, md5(chunk) AS chunk FROM p WHERE chunk <> ''"""
 
 
-@query(MD_SQL + r"""m AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN repeat('#', (i % 4 + 1)::INT) || ' ' || regexp_replace(left(x, 30), '^\s+|\s+$', '', 'g') ELSE x END AS x FROM l),
-h AS (SELECT *, CASE WHEN regexp_matches(x, '^#{1,4}\s+\S') THEN length(regexp_extract(x, '^(#+)', 1)) END AS mark FROM m),
-n AS (SELECT *, count(mark) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM h),
-o AS (SELECT *, mark IS NOT NULL AND (nth = 1 OR mark > 1) AS opens FROM n),
-s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM o),
-g AS (SELECT doc_id, section, min(i) AS line, coalesce(max(mark) FILTER (WHERE opens), 1) AS level, max(trim(regexp_replace(x, '^#+\s+', ''))) FILTER (WHERE opens) AS heading,
-      regexp_replace(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT opens), ''), '^\s+|\s+$', '', 'g') AS chunk FROM s GROUP BY ALL),
-p AS (SELECT *, last_value(CASE WHEN chunk = '' AND section > 1 THEN heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM g)
-SELECT doc_id, line::BIGINT AS line, level::BIGINT AS level, heading, parent, md5(chunk) AS chunk FROM p WHERE chunk <> ''""")
+@query(MARKDOWN_SQL)
 def chunk_sections(spark, sf_dir):
     out = ledger.sections(markdown(spark, sf_dir), "doc_id", "body")
-    return out.select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "heading", "parent", F.md5(F.col("chunk").cast("binary")).alias("chunk"))
+    return out.select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "heading", "parent", "breadcrumb", md5(F.col("chunk")).alias("chunk"))
 
 
 # Changes: a document against itself reordered, in capitals, with a line more, or as it is, by its id.
@@ -400,59 +496,37 @@ def chunk_sections(spark, sf_dir):
 def versions(spark, sf_dir):
     lines = tx.content_lines(F.col("text"))
     d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("old"))
-    new = F.when(F.expr("doc_id % 4 = 0"), F.col("old")).when(F.expr("doc_id % 4 = 1"), F.reverse("old")).when(F.expr("doc_id % 4 = 2"), F.transform("old", lambda x: F.concat(F.translate(x, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("!")))).otherwise(F.concat("old", F.array(F.lit("A line more of 60 days."))))
+    new = F.when(F.expr("doc_id % 4 = 0"), F.col("old")).when(F.expr("doc_id % 4 = 1"), F.reverse("old")).when(F.expr("doc_id % 4 = 2"), F.transform("old", lambda x: F.concat(F.translate(x, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("!")))).otherwise(F.concat(F.slice("old", 2, F.greatest(F.size("old") - 1, F.lit(0))), F.array(*map(F.lit, ["A line more of 60 days.", "You must file I-20 by Sept. 5, 2026 for $1,200 in 60 DAYS.", "A line more of 60 days."]))))
     return d.withColumn("new", new)
 
 
 VERSIONS_SQL = r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(translate(replace(text, '…', '...'), '‘’“”–—', '''''""--'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))),
  lambda x: NOT regexp_matches(x, '(?i)^(?:\s*|\[[^\]]*\]\([^)]*\)|(?:last\s+updated|last\s+reviewed/updated)\s*:?.*|skip\s+to\b.*|[-*_]{3,}|return to top|print|share)$')) AS old FROM documents),
-v AS (SELECT doc_id, old, CASE doc_id % 4 WHEN 0 THEN old WHEN 1 THEN list_reverse(old) WHEN 2 THEN list_transform(old, lambda x: translate(x, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '!') ELSE list_append(old, 'A line more of 60 days.') END AS new FROM d),
+v AS (SELECT doc_id, old, CASE doc_id % 4 WHEN 0 THEN old WHEN 1 THEN list_reverse(old) WHEN 2 THEN list_transform(old, lambda x: translate(x, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '!') ELSE list_concat(list_filter(old, lambda x, i: i > 1), ['A line more of 60 days.', 'You must file I-20 by Sept. 5, 2026 for $1,200 in 60 DAYS.', 'A line more of 60 days.']) END AS new FROM d),
 a AS (SELECT doc_id, unnest(old) AS line, 1 AS o, 0 AS n FROM v UNION ALL SELECT doc_id, unnest(new), 0, 1 FROM v),
 c AS (SELECT doc_id, line, sum(n) - sum(o) AS d FROM a GROUP BY ALL HAVING sum(n) <> sum(o)) """
 
 
-@query(VERSIONS_SQL + """, s AS (SELECT doc_id, list_sort(list_transform(flatten(list(list_resize([]::VARCHAR[], greatest(d, 0)::INT, regexp_replace(lower(line), '[^a-z0-9]+', '', 'g')))), lambda x: x)) AS p, list_sort(flatten(list(list_resize([]::VARCHAR[], greatest(-d, 0)::INT, regexp_replace(lower(line), '[^a-z0-9]+', '', 'g'))))) AS m FROM c GROUP BY doc_id),
-r AS (SELECT doc_id, CASE WHEN old = new THEN 'identical_after_normalization' WHEN list_sort(old) = list_sort(new) THEN 'reordered_only' WHEN p = m THEN 'formatting_only' ELSE 'content_lines_changed' END AS reason FROM v LEFT JOIN s USING (doc_id))
-SELECT doc_id, CASE reason WHEN 'identical_after_normalization' THEN 'unchanged' WHEN 'content_lines_changed' THEN 'meaningful' ELSE 'cosmetic' END AS status, reason FROM r""")
+@query(VERSIONS_SQL + f""", z AS (SELECT doc_id, unnest(old) AS line, unnest(range(0, len(old))) AS pos, 0 AS n FROM v UNION ALL SELECT doc_id, unnest(new), unnest(range(0, len(new))), 1 FROM v),
+y AS (SELECT doc_id, line, min(pos) FILTER (WHERE n = 1) AS a1, min(pos) FILTER (WHERE n = 0) AS a0, sum(2 * n - 1) AS d FROM z GROUP BY ALL HAVING d <> 0),
+s AS (SELECT doc_id, flatten(list(list_resize([]::VARCHAR[], greatest(d, 0)::INT, line) ORDER BY a1)) AS added, flatten(list(list_resize([]::VARCHAR[], greatest(-d, 0)::INT, line) ORDER BY a0)) AS removed FROM y GROUP BY doc_id),
+w AS (SELECT doc_id, old, new, coalesce(added, []) AS added, coalesce(removed, []) AS removed FROM v LEFT JOIN s USING (doc_id)),
+r AS (SELECT *, CASE WHEN old = new THEN 'identical_after_normalization' WHEN len(added) = 0 AND len(removed) = 0 THEN 'reordered_only'
+ WHEN list_sort(list_transform(added, lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g'))) = list_sort(list_transform(removed, lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g'))) THEN 'formatting_only' ELSE 'content_lines_changed' END AS reason,
+ flatten(list_transform(list_concat(added, removed), lambda x: regexp_extract_all(x, '{tx.HIGHLIGHT}'))) AS found FROM w),
+q AS (SELECT *, list_transform(found, lambda x: lower(x)) AS keys FROM r)
+SELECT doc_id, CASE reason WHEN 'identical_after_normalization' THEN 'unchanged' WHEN 'content_lines_changed' THEN 'meaningful' ELSE 'cosmetic' END AS status, reason, md5(array_to_string(added[1:20], chr(10))) AS added, md5(array_to_string(removed[1:20], chr(10))) AS removed, len(added)::BIGINT AS added_count, len(removed)::BIGINT AS removed_count,
+ array_to_string(list_filter(list_transform(found, lambda x, i: CASE WHEN list_position(keys, lower(x)) = i THEN x END), lambda x: x IS NOT NULL), '|') AS highlights FROM q""")
 def classify_change(spark, sf_dir):
-    return ledger.classify(versions(spark, sf_dir), "doc_id", "old", "new")
+    out = ledger.classify(versions(spark, sf_dir), "doc_id", "old", "new")
+    lines = lambda c: md5(joined(F.col(c), "\n")).alias(c)
+    return out.select("doc_id", "status", "reason", lines("added"), lines("removed"), F.col("added_count").cast("long").alias("added_count"), F.col("removed_count").cast("long").alias("removed_count"), joined(F.col("highlights"), "|").alias("highlights"))
 
 
 @query(VERSIONS_SQL + "SELECT doc_id, md5(line) AS line, CASE WHEN d > 0 THEN 'added' ELSE 'removed' END AS change, abs(d)::BIGINT AS n FROM c")
 def line_multiset_diff(spark, sf_dir):
     v = versions(spark, sf_dir)
-    out = ledger.line_changes(v.select("doc_id", F.col("old").alias("l")), v.select("doc_id", F.col("new").alias("l")), "doc_id", "l")
-    return out.select("doc_id", F.md5(F.col("line").cast("binary")).alias("line"), "change", "n")
-
-
-# Rules: a label's toxic rows are enjoined, its bad ones scheduled for a date.
-
-
-def rules(spark, sf_dir):
-    status = F.when(F.col("toxic") == 1, "enjoined").when(F.col("quality") == 0, "scheduled").when(F.expr("doc_id % 2 = 0"), "in_force")
-    return table(spark, sf_dir, "labels").select("doc_id", status.alias("rule_status"), F.when(F.col("quality") == 0, F.date_add(F.lit("2026-01-01").cast("date"), F.expr("cast(doc_id % 5 as int)"))).alias("day"))
-
-
-RULES_SQL = "WITH r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'enjoined' WHEN quality = 0 THEN 'scheduled' WHEN doc_id % 2 = 0 THEN 'in_force' END AS rule_status, CASE WHEN quality = 0 THEN DATE '2026-01-01' + (doc_id % 5)::INT END AS day FROM labels) "
-
-
-@query(RULES_SQL + "SELECT doc_id, rule_status IS NULL OR rule_status = 'in_force' AS in_force, CASE WHEN day IS NOT NULL AND rule_status IS NULL THEN 'date_without_status' WHEN rule_status = 'scheduled' AND (day IS NULL OR day <= DATE '2026-01-03') THEN 'scheduled_not_in_future' WHEN rule_status = 'in_force' AND day > DATE '2026-01-03' THEN 'in_force_in_future' END AS error FROM r")
-def rule_status_validate(spark, sf_dir):
-    s, d, today = F.col("rule_status"), F.col("day"), F.lit("2026-01-03").cast("date")
-    error = F.when(d.isNotNull() & s.isNull(), "date_without_status").when((s == "scheduled") & (d.isNull() | (d <= today)), "scheduled_not_in_future").when((s == "in_force") & (d > today), "in_force_in_future")
-    return rules(spark, sf_dir).select("doc_id", (s.isNull() | (s == "in_force")).alias("in_force"), error.alias("error"))
-
-
-@query(RULES_SQL + "SELECT strftime(day, '%B %-d, %Y') AS day, coalesce(rule_status, 'none') AS status, count(*)::BIGINT AS n, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM r GROUP BY 1, 2")
-def notice_groups(spark, sf_dir):
-    g = rules(spark, sf_dir).groupBy(tx.long_date(F.col("day")).alias("day"), F.coalesce("rule_status", F.lit("none")).alias("status"))
-    return g.agg(F.count("*").alias("n"), joined(F.array_sort(F.collect_list("doc_id"))).alias("ids"))
-
-
-@query(RULES_SQL + "SELECT d.doc_id, coalesce(r.rule_status, 'unknown') AS status, r.doc_id IS NULL AS missing FROM documents d LEFT JOIN r USING (doc_id)")
-def annotation_sync(spark, sf_dir):
-    docs, r = table(spark, sf_dir, "documents").select("doc_id"), rules(spark, sf_dir).withColumn("here", F.lit(True))
-    return docs.join(r, "doc_id", "left").select("doc_id", F.coalesce("rule_status", F.lit("unknown")).alias("status"), F.col("here").isNull().alias("missing"))
+    return ledger.line_changes(v, "doc_id", "old", "new").select("doc_id", md5(F.col("line")).alias("line"), "change", "n")
 
 
 # Evaluation. A golden row is a labelled document; its scores come from ids.
@@ -460,37 +534,71 @@ def annotation_sync(spark, sf_dir):
 EVAL_SQL = "WITH e AS (SELECT doc_id, toxic = 1 AS is_advice, CASE WHEN doc_id % 3 = 0 THEN 'stable' ELSE 'volatile' END AS volatility, doc_id % 2 = 0 AS multi_part, CASE WHEN doc_id % 7 > 0 THEN (doc_id % 101) / 100.0::DOUBLE END AS score, (doc_id % 997) / 10.0::DOUBLE AS seconds, doc_id % 11 = 0 AS refused, (doc_id % 4)::BIGINT AS cited, (doc_id % 3)::BIGINT AS bad FROM labels) "
 
 
-def evals(spark, sf_dir):
+def evals_of(spark, sf_dir):
     x = F.expr
     return table(spark, sf_dir, "labels").select("doc_id", x("toxic = 1").alias("is_advice"), x("if(doc_id % 3 = 0, 'stable', 'volatile')").alias("volatility"), x("doc_id % 2 = 0").alias("multi_part"), x("if(doc_id % 7 > 0, (doc_id % 101) / 100.0D, null)").alias("score"), x("(doc_id % 997) / 10.0D").alias("seconds"), x("doc_id % 11 = 0").alias("refused"), x("doc_id % 4").alias("cited"), x("doc_id % 3").alias("bad"))
 
 
 @query(EVAL_SQL + "SELECT round(avg(score), 9) AS mean, count(score)::BIGINT AS n, count(*)::BIGINT AS total, round(count(*) FILTER (WHERE refused AND NOT is_advice)::DOUBLE / nullif(count(*) FILTER (WHERE NOT is_advice), 0), 9) AS false_refusal, round(count(*) FILTER (WHERE is_advice AND NOT refused)::DOUBLE / nullif(count(*) FILTER (WHERE is_advice), 0), 9) AS leakage, round(sum(bad)::DOUBLE / nullif(sum(cited), 0), 9) AS bad_rate FROM e")
 def eval_overall(spark, sf_dir):
-    rate = lambda a, b: F.round(F.try_divide(a.cast("double"), b.cast("double")), 9)
+    rate = lambda a, b: F.round(evals.rate(a, b), 9)
     advice, refused = F.col("is_advice"), F.col("refused")
-    return evals(spark, sf_dir).agg(F.round(F.avg("score"), 9).alias("mean"), F.count("score").alias("n"), F.count("*").alias("total"), rate(F.count_if(refused & ~advice), F.count_if(~advice)).alias("false_refusal"), rate(F.count_if(advice & ~refused), F.count_if(advice)).alias("leakage"), rate(F.sum("bad"), F.sum("cited")).alias("bad_rate"))
+    return evals_of(spark, sf_dir).agg(F.round(F.avg("score"), 9).alias("mean"), F.count("score").alias("n"), F.count("*").alias("total"), rate(F.count_if(refused & ~advice), F.count_if(~advice)).alias("false_refusal"), rate(F.count_if(advice & ~refused), F.count_if(advice)).alias("leakage"), rate(F.sum("bad"), F.sum("cited")).alias("bad_rate"))
 
 
 @query(EVAL_SQL + "SELECT volatility, is_advice, multi_part, count(*)::BIGINT AS n, round(avg(score), 9) AS mean FROM e GROUP BY GROUPING SETS ((volatility), (is_advice), (multi_part))")
 def eval_subsets(spark, sf_dir):
-    evals(spark, sf_dir).createOrReplaceTempView("siltstone_evals")
-    return spark.sql("SELECT volatility, is_advice, multi_part, count(*) AS n, round(avg(score), 9) AS mean FROM siltstone_evals GROUP BY GROUPING SETS ((volatility), (is_advice), (multi_part))")
+    sets = evals_of(spark, sf_dir).groupingSets([["volatility"], ["is_advice"], ["multi_part"]], "volatility", "is_advice", "multi_part")
+    return sets.agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean"))
 
 
 @query(EVAL_SQL + "SELECT min(seconds) AS least, round(quantile_cont(seconds, 0.5), 6) AS median, round(quantile_cont(seconds, 0.95), 6) AS p95, max(seconds) AS most FROM e")
 def eval_latency(spark, sf_dir):
-    return evals(spark, sf_dir).agg(F.min("seconds").alias("least"), F.round(F.percentile("seconds", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("seconds", F.lit(0.95)), 6).alias("p95"), F.max("seconds").alias("most"))
+    found = evals.quantiles(evals_of(spark, sf_dir), "seconds", [0.0, 0.5, 0.95, 1.0])
+    return spark.createDataFrame([tuple(None if v is None else round(v, 6) for v in found)], "least double, median double, p95 double, most double")
 
 
 @query(EVAL_SQL + ", m AS (SELECT volatility, avg(score) AS v FROM e GROUP BY 1), t(volatility, op, bound) AS (VALUES ('stable', '>=', 0.4::DOUBLE), ('volatile', '<=', 0.1::DOUBLE), ('missing', '==', 0.0::DOUBLE)) SELECT t.volatility, coalesce(CASE op WHEN '>=' THEN v >= bound WHEN '<=' THEN v <= bound ELSE v = bound END, false) AS passed FROM t LEFT JOIN m USING (volatility)")
 def eval_gates(spark, sf_dir):
     """A threshold without a measure fails."""
-    m = evals(spark, sf_dir).groupBy("volatility").agg(F.avg("score").alias("v"))
+    m = evals_of(spark, sf_dir).groupBy("volatility").agg(F.avg("score").alias("v"))
     t = spark.createDataFrame([("stable", ">=", 0.4), ("volatile", "<=", 0.1), ("missing", "==", 0.0)], "volatility string, op string, bound double")
-    v, b = F.col("v"), F.col("bound")
-    passed = F.when(F.col("op") == ">=", v >= b).when(F.col("op") == "<=", v <= b).otherwise(v == b)
-    return t.join(m, "volatility", "left").select("volatility", F.coalesce(passed, F.lit(False)).alias("passed"))
+    return t.join(m, "volatility", "left").select("volatility", evals.verdict(F.col("v"), F.col("op"), F.col("bound")).alias("passed"))
+
+
+@query(EVAL_SQL + """, c AS (SELECT is_advice, CASE doc_id % 6 WHEN 0 THEN 'answer' WHEN 1 THEN 'refusal_advice' WHEN 2 THEN 'clarify' WHEN 3 THEN 'no_answer' WHEN 4 THEN 'blocked_unverified' ELSE 'answer' END AS kind, doc_id % 13 = 0 AS errored, cited, bad FROM e)
+SELECT round(count(*) FILTER (WHERE NOT is_advice AND kind <> 'answer')::DOUBLE / nullif(count(*) FILTER (WHERE NOT is_advice), 0), 9) AS false_refusal_structured, round(count(*) FILTER (WHERE is_advice AND kind = 'answer')::DOUBLE / nullif(count(*) FILTER (WHERE is_advice), 0), 9) AS advice_leakage_structured,
+ count(*) FILTER (WHERE NOT is_advice)::BIGINT AS non_advice_scored, count(*) FILTER (WHERE is_advice)::BIGINT AS advice_scored, round(sum(greatest(cited - bad, 0))::DOUBLE / nullif(sum(cited), 0), 9) AS unreferenced,
+ printf('%.3f', count(*) FILTER (WHERE NOT is_advice AND kind <> 'answer')::DOUBLE / count(*) FILTER (WHERE NOT is_advice)) || '(' || (count(*) FILTER (WHERE NOT is_advice))::VARCHAR || '/' || (SELECT count(*) FROM e)::VARCHAR || ')' AS cell FROM c WHERE NOT errored""")
+def eval_structured(spark, sf_dir):
+    """Refusals by response types; rows that failed are left out of what is scored, not of the total."""
+    kinds = F.element_at(F.array(*map(F.lit, ["answer", "refusal_advice", "clarify", "no_answer", "blocked_unverified", "answer"])), F.expr("cast(doc_id % 6 as int)") + 1)
+    rows = evals_of(spark, sf_dir).withColumns({"refusal": evals.refusal_class(kinds) == "REFUSAL", "ok": F.expr("doc_id % 13 <> 0")})
+    advice, refused, ok = F.col("is_advice"), F.col("refusal"), F.col("ok")
+    false = F.count_if(ok & ~advice & refused), F.count_if(ok & ~advice)
+    out = rows.agg(F.round(evals.rate(*false), 9).alias("false_refusal_structured"), F.round(evals.rate(F.count_if(ok & advice & ~refused), F.count_if(ok & advice)), 9).alias("advice_leakage_structured"), false[1].alias("non_advice_scored"), F.count_if(ok & advice).alias("advice_scored"), F.round(evals.rate(F.sum(F.when(ok, F.greatest(F.col("cited") - F.col("bad"), F.lit(0)))), F.sum(F.when(ok, F.col("cited")))), 9).alias("unreferenced"), tx.stat_cell(evals.rate(*false), false[1], F.count("*")).alias("cell"))
+    return out
+
+
+@query(EVAL_SQL + """, m AS (SELECT 'mean' AS metric, avg(score) AS v FROM e UNION ALL SELECT 'refused', count(*) FILTER (WHERE refused)::DOUBLE / count(*) FROM e UNION ALL SELECT 'seconds', max(seconds) FROM e),
+b(metric, base, higher, tolerance) AS (VALUES ('mean', 0.4::DOUBLE, true, 0.01::DOUBLE), ('refused', 0.2::DOUBLE, false, 0.0::DOUBLE), ('seconds', 50.0::DOUBLE, false, 1.0::DOUBLE), ('missing', 1.0::DOUBLE, true, 0.0::DOUBLE)),
+c AS (SELECT metric, CASE WHEN higher THEN v >= base - tolerance ELSE v <= base + tolerance END AS passed FROM b LEFT JOIN m USING (metric))
+SELECT metric, passed FROM c UNION ALL SELECT 'overall', bool_and(coalesce(passed, false)) FROM c""")
+def eval_rollup(spark, sf_dir):
+    """Measures against a baseline, and whether all pass; one that is missing doesn't."""
+    e = evals_of(spark, sf_dir).agg(F.avg("score").alias("mean"), evals.rate(F.count_if("refused"), F.count("*")).alias("refused"), F.max("seconds").alias("seconds"))
+    m = e.unpivot([], ["mean", "refused", "seconds"], "metric", "v")
+    b = spark.createDataFrame([("mean", 0.4, True, 0.01), ("refused", 0.2, False, 0.0), ("seconds", 50.0, False, 1.0), ("missing", 1.0, True, 0.0)], "metric string, base double, higher boolean, tolerance double")
+    c = b.join(m, "metric", "left").select("metric", evals.against_baseline(F.col("v"), F.col("base"), F.col("higher"), F.col("tolerance")).alias("passed"), F.lit(True).alias("gated"))
+    return c.select("metric", "passed").unionByName(evals.roll_up(c, F.lit(False)).select(F.lit("overall").alias("metric"), "passed"))
+
+
+@query("WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Qwen3-32b' WHEN 1 THEN 'openai/GPT-OSS:120b' ELSE 'x-glm-4-qwen' END AS model FROM labels), f AS (SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'gpt-oss' ELSE 'qwen' END AS family FROM m) SELECT doc_id, family, family = 'gpt-oss' AS collides FROM f")
+def model_families(spark, sf_dir):
+    """The family of each generator, and whether it is the judge's own."""
+    model = F.element_at(F.array(F.lit("Qwen3-32b"), F.lit("openai/GPT-OSS:120b"), F.lit("x-glm-4-qwen")), F.expr("cast(doc_id % 3 as int)") + 1)
+    family = tx.model_family(model)
+    return table(spark, sf_dir, "labels").select("doc_id", family.alias("family"), (family == tx.model_family(F.lit("gpt-oss:20b"))).alias("collides"))
 
 
 @query(r"SELECT doc_id, round(0.39::DOUBLE * w / s + 11.8::DOUBLE * y / w - 15.59::DOUBLE, 6) AS grade FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS s, greatest(1, len(regexp_extract_all(text, '[aeiouyAEIOUY]+'))) AS y FROM documents) WHERE w > 0")
@@ -500,32 +608,11 @@ def reading_grade(spark, sf_dir):
     return rows.where("w > 0").select("doc_id", F.round(tx.grade(F.col("w"), F.col("s"), F.col("y")), 6).alias("grade"))
 
 
-@query("SELECT c.conv_id, c.turn, coalesce(CASE WHEN turn % 4 = 1 THEN 'first: ' || text END, CASE WHEN conv_id % 2 = 0 THEN 'second: ' || text END, 'none') AS answer FROM conversations c WHERE role = 'assistant'")
-def provider_failover(spark, sf_dir):
-    """The first provider that answers."""
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.coalesce(F.when(F.expr("turn % 4 = 1"), F.concat(F.lit("first: "), "text")), F.when(F.expr("conv_id % 2 = 0"), F.concat(F.lit("second: "), "text")), F.lit("none")).alias("answer"))
-
-
-@query("SELECT s.source, d.status, count(x.doc_id)::BIGINT AS n FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (VALUES ('short'), ('medium'), ('long')) d(status) LEFT JOIN (SELECT source, doc_id, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'medium' ELSE 'long' END AS status FROM documents) x ON x.source = s.source AND x.status = d.status GROUP BY ALL")
-def refresh_report_counts(spark, sf_dir):
-    """Counts by state, with those that are zero."""
-    docs = table(spark, sf_dir, "documents").select("source", F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 5000, "medium").otherwise("long").alias("status"))
-    wide = docs.groupBy("source").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("short", "medium", "long")))
-    return wide.unpivot("source", ["short", "medium", "long"], "status", "n")
-
-
-@query("SELECT b.item_id, count(DISTINCT d.source)::BIGINT AS sources FROM benchmark b JOIN documents d ON d.doc_id % 50 = b.item_id AND (d.doc_id % 3 = 0 OR d.n_chars > 1000) GROUP BY 1")
-def golden_impact(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 = 0 or n_chars > 1000").select(F.expr("doc_id % 50").alias("item_id"), "source")
-    return table(spark, sf_dir, "benchmark").select("item_id").join(docs, "item_id").groupBy("item_id").agg(F.countDistinct("source").alias("sources"))
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def resume_antijoin(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
-
-
 @query("SELECT n_regionkey::BIGINT AS k, count(*)::BIGINT AS n FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey <> 2) GROUP BY 1")
 def fk_integrity(spark, sf_dir):
     parents = table(spark, sf_dir, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").alias("n_regionkey"))
     return table(spark, sf_dir, "nation").join(parents, "n_regionkey", "left_anti").groupBy(F.col("n_regionkey").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+from . import answers as _answers  # noqa: E402, F401
+from . import upkeep as _upkeep  # noqa: E402, F401
