@@ -43,6 +43,20 @@ NOTICES = {
     ("scheduled", None, True): "a rule that takes effect on %d, so the answer differs before and after that date.",
     ("in_force", None, False): "a rule that is in force today, %t.",
 }
+#: The same for a reader's page, where links follow the words.
+SHOWN = {
+    ("enjoined", True, True): "A rule affecting this answer was scheduled to take effect on %d. A court has blocked it and it is not in force. ",
+    ("enjoined", True, False): "A rule affecting this answer has been blocked by a court order and is not in force. ",
+    ("enjoined", False, True): "A rule affecting this answer was scheduled to take effect on %d. It has since been blocked by a court order and is not in force." + MAINTAINER + " ",
+    ("enjoined", False, False): "A rule affecting this answer has been blocked by a court order and is not in force." + MAINTAINER + " ",
+    ("not_in_force", True, None): "A rule affecting this answer is not in force. ",
+    ("not_in_force", False, None): "A rule affecting this answer is not in force." + MAINTAINER + " ",
+    ("in_force", None, True): "A rule affecting this answer took effect on %d, so the answer differs before and after that date. ",
+    ("scheduled", None, True): "A rule affecting this answer takes effect on %d, so the answer differs before and after that date. ",
+    ("in_force", None, False): "A rule affecting this answer is currently in force. ",
+    ("scheduled", None, False): "A rule affecting this answer is currently in force. ",
+}
+UNKNOWN = "This page does not know the status of a rule affecting this answer. "
 LABELS = {("enjoined", True): "court's order", ("not_in_force", True): "source for that"}
 
 
@@ -51,7 +65,7 @@ def in_force(status: Column) -> Column:
 
 
 def _fill(wording: str, day: Column, today: Column) -> Column:
-    return F.replace(F.replace(F.lit(wording), F.lit("%d"), F.coalesce(long_date(day), F.lit(""))), F.lit("%t"), long_date(today))
+    return F.replace(F.replace(F.lit(wording), F.lit("%d"), F.coalesce(long_date(day), F.lit(""))), F.lit("%t"), F.coalesce(long_date(today), F.lit("")))
 
 
 def note(status: Column, day: Column, today: Column) -> Column:
@@ -89,10 +103,7 @@ def notice(status: Column, evidenced: Column, day: Column, urls: Column, sources
     it isn't in force."""
     known, told = F.coalesce(status, F.lit("in_force")), F.coalesce(evidenced, F.lit(False))
     subject = F.when(F.size(urls) == 1, "One of the sources above describes ").otherwise("Some of the sources above describe ")
-    words = None
-    for (s, e, d), wording in NOTICES.items():
-        hit = (known == s) & (F.lit(True) if e is None else told == F.lit(e)) & (F.lit(True) if d is None else day.isNotNull() == F.lit(d))
-        words = F.when(hit, _fill(wording, day, today)) if words is None else words.when(hit, _fill(wording, day, today))
+    words = _worded(NOTICES, known, told, day, today)
     gone = known.isin("enjoined", "not_in_force")
     label = F.when(gone & ~told, "rule as published")
     for (s, e), name in LABELS.items():
@@ -101,6 +112,29 @@ def notice(status: Column, evidenced: Column, day: Column, urls: Column, sources
     return F.concat(subject, words, F.lit(" See "), links(target, label.otherwise("source")), F.lit("."))
 
 
+def _worded(wordings: dict, status: Column, evidenced: Column, day: Column, today: Column) -> Column:
+    words = None
+    for (s, e, d), wording in wordings.items():
+        hit = (status == s) & (F.lit(True) if e is None else evidenced == F.lit(e)) & (F.lit(True) if d is None else day.isNotNull() == F.lit(d))
+        words = F.when(hit, _fill(wording, day, today)) if words is None else words.when(hit, _fill(wording, day, today))
+    return words
+
+
+def notice_parts(status: Column, evidenced: Column, day: Column, urls: Column, source: Column) -> Column:
+    """What a reader's page shows of one rule: a struct of text and links (label, url). A status that isn't known is said to be so."""
+    told = F.coalesce(evidenced, F.lit(False))
+    words = F.coalesce(_worded(SHOWN, status, told, day, day), F.lit(UNKNOWN))
+    gone = F.coalesce(status.isin("enjoined", "not_in_force"), F.lit(False))
+    name = F.when(~told, "rule as published").when(status == "enjoined", LABELS["enjoined", True]).otherwise(LABELS["not_in_force", True])
+    target = F.when(gone & source.isNotNull(), F.array(source)).otherwise(urls)
+    ordinal = lambda i: F.element_at(F.array(*map(F.lit, ORDINALS)), F.least(i, F.lit(len(ORDINALS) - 1)).cast("int") + 1)
+    plain = lambda i: F.concat(F.lit("the "), F.when(i < len(ORDINALS), ordinal(i)).otherwise("next"), F.lit(" source"))
+    named = lambda i: F.when(i < len(ORDINALS), F.concat(F.lit("the "), ordinal(i), F.lit(" "), name)).otherwise(F.concat(F.lit("a "), name))
+    alone = F.when(gone, F.concat(F.lit("the "), name)).otherwise("Read the source")
+    label = lambda i: F.when(F.size(target) == 1, alone).when(gone, named(i)).otherwise(plain(i))
+    return F.struct(words.alias("text"), F.transform(target, lambda u, i: F.struct(label(i).alias("label"), u.alias("url"))).alias("links"))
+
+
 def entry_error(status: Column, day: Column, source: Column, evidences: Column, today: Column) -> Column:
     """The first of a rule's fields that doesn't fit the others; null if all do. ``evidences`` is text as it was entered."""
     boolean = F.lower(evidences).isin("true", "false")

@@ -88,11 +88,12 @@ def report_line(label: Column, status: Column, fetched: Column, reason: Column,
 
 
 def backfill(sources: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Every source with ``last_indexed_body`` from its snapshot where it had none, and what was done: updated, already_populated or no_snapshot."""
-    rows = sources.join(snapshots.select("source_url", F.col("body").alias("__body")), "source_url", "left")
-    had = F.col("last_indexed_body").isNotNull()
-    done = F.when(had & F.col("__body").isNotNull(), "already_populated").when(~had & F.col("__body").isNotNull(), "updated").when(had, "no_snapshot").otherwise("still_null")
-    return rows.select("source_url", F.coalesce("last_indexed_body", "__body").alias("last_indexed_body"), done.alias("action"))
+    """source_url, last_indexed_body, action: every source with its snapshot's body where it had none, and every snapshot of no source. Actions: updated,
+    already_populated, no_snapshot, still_null and no_sources_row."""
+    rows = sources.withColumn("__source", F.lit(True)).join(snapshots.select("source_url", F.col("body").alias("__body")), "source_url", "full_outer")
+    had, snap = F.col("last_indexed_body").isNotNull(), F.col("__body").isNotNull()
+    done = F.when(F.col("__source").isNull(), "no_sources_row").when(had & snap, "already_populated").when(snap, "updated").when(had, "no_snapshot").otherwise("still_null")
+    return rows.select("source_url", F.when(F.col("__source"), F.coalesce("last_indexed_body", "__body")).alias("last_indexed_body"), done.alias("action"))
 
 
 def sync_annotations(manifest: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

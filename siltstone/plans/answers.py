@@ -140,6 +140,22 @@ def notice_text(spark, sf_dir):
     return op.notice_texts(notices(spark, sf_dir), today())
 
 
+def _parts_sql() -> str:
+    fill = lambda s: "'" + s.replace("'", "''").replace("%d", f"' || coalesce({LONG_SQL('rule_effective_date')}, '') || '") + "'"
+    words = " ".join(f"WHEN rule_status = '{s}'{'' if e is None else f' AND coalesce(rule_status_source_evidences_status, false) = {str(e).lower()}'}{'' if d is None else f' AND (rule_effective_date IS NOT NULL) = {str(d).lower()}'} THEN {fill(w)}" for (s, e, d), w in ru.SHOWN.items())
+    name = "CASE WHEN NOT coalesce(rule_status_source_evidences_status, false) THEN 'rule as published' WHEN rule_status = 'enjoined' THEN 'court''s order' ELSE 'source for that' END"
+    return f""", j AS (SELECT *, coalesce(rule_status IN ('enjoined', 'not_in_force'), false) AS gone, {name} AS name, CASE WHEN rule_status IN ('enjoined', 'not_in_force') AND rule_status_source IS NOT NULL THEN [rule_status_source] ELSE urls END AS target, CASE {words} ELSE '{ru.UNKNOWN}' END AS text FROM g)"""
+
+
+@query(NOTICES_SQL + _parts_sql() + """ SELECT query_id, first::BIGINT AS first, text, array_to_string(list_transform(target, lambda u, i: CASE WHEN len(target) = 1 THEN CASE WHEN gone THEN 'the ' || name ELSE 'Read the source' END WHEN gone THEN CASE WHEN i <= 5 THEN 'the ' || ['first', 'second', 'third', 'fourth', 'fifth'][i] || ' ' || name ELSE 'a ' || name END
+ ELSE 'the ' || CASE WHEN i <= 5 THEN ['first', 'second', 'third', 'fourth', 'fifth'][i] ELSE 'next' END || ' source' END || '=' || u), ' ') AS links FROM j""")
+def ui_notices(spark, sf_dir):
+    g = op.notice_groups(notices(spark, sf_dir))
+    parts = ru.notice_parts(F.col("rule_status"), F.col("rule_status_source_evidences_status"), F.col("rule_effective_date"), F.col("urls"), F.col("rule_status_source"))
+    rows = g.select("query_id", F.col("first").cast("long").alias("first"), parts.alias("p"))
+    return rows.select("query_id", "first", "p.text", F.array_join(F.transform("p.links", lambda x: F.concat_ws("=", x["label"], x["url"])), " ").alias("links"))
+
+
 NOTE_SQL = "CASE " + " ".join(
     f"WHEN (rule_status IS NOT NULL OR rule_effective_date IS NOT NULL) AND coalesce(rule_status, 'in_force') = '{s}' AND (rule_effective_date IS NOT NULL) = {str(d).lower()} THEN '"
     + w.replace("%d", f"' || coalesce({LONG_SQL('rule_effective_date')}, '') || '").replace("%t", f"' || {LONG_SQL('today')} || '") + "'"
@@ -279,3 +295,28 @@ def source_cards(spark, sf_dir):
     # each passage has an address of its own here, so that its own days show
     own = lambda df, n: df.withColumn("url", F.concat("url", F.lit("#"), F.col(n).cast("string")))
     return op.source_cards(own(cited, "position"), held, own(days, "ordinal"), today()).withColumn("url", F.regexp_replace("url", "#.*$", ""))
+
+
+@query(ANSWERS_SQL + " SELECT query_id, position::BIGINT AS position, CASE WHEN doc_id % 3 = 0 THEN 'https://moved.org/' || doc_id::VARCHAR ELSE url END AS url FROM p")
+def citation_urls(spark, sf_dir):
+    """The address that a source led to, where it led to another; an empty one is none."""
+    moved = F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('https://moved.org/', doc_id) WHEN doc_id % 3 = 1 THEN '' END")
+    return passages(spark, sf_dir).select("query_id", F.col("position").cast("long").alias("position"), tx.citation_url(moved, F.col("url")).alias("url"))
+
+
+@query(ANSWERS_SQL + " SELECT query_id, position::BIGINT AS position, rule_status AS status, rule_effective_date AS day FROM p")
+def response_json(spark, sf_dir):
+    """Passages as a cached response holds them, and read back from it."""
+    kind = "array<struct<position:bigint,status:string,day:date>>"
+    held = F.to_json(F.array_sort(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), F.col("rule_status").alias("status"), F.col("rule_effective_date").alias("day")))))
+    cached = passages(spark, sf_dir).groupBy("query_id").agg(held.alias("response"))
+    return cached.select("query_id", F.explode(F.from_json("response", kind)).alias("c")).select("query_id", "c.*")
+
+
+@query("SELECT doc_id, metric, CASE metric WHEN 0 THEN doc_id % 11 WHEN 1 THEN doc_id % 7 ELSE doc_id % 5 END::BIGINT AS score FROM labels, range(0, 3) m(metric)")
+def metric_zip(spark, sf_dir):
+    """Jobs by number, three metrics of each scored row, brought back to their rows: number // 3 is the row, number % 3 the metric."""
+    rows = table(spark, sf_dir, "labels").select("doc_id")
+    jobs = rows.select((F.col("doc_id") * 3).alias("base"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m")).select((F.col("base") + F.col("m")).alias("job"))
+    done = jobs.withColumn("score", F.expr("CASE job % 3 WHEN 0 THEN (job div 3) % 11 WHEN 1 THEN (job div 3) % 7 ELSE (job div 3) % 5 END"))
+    return rows.join(done.withColumn("doc_id", F.expr("job div 3")), "doc_id").select("doc_id", (F.col("job") % 3).alias("metric"), "score")

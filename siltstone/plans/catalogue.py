@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import html as ht
+from siltstone.functions import prose, stems
 from siltstone.functions import text as tx
-from siltstone.operators import buckets, evals, ledger, search
+from siltstone.operators import buckets, evals, ingest, ledger, search
 
 from .answers import figures_sql, parts_sql
 from .registry import ORACLE_SQL, QUERIES, joined, md5, query, table
@@ -83,7 +84,7 @@ def hybrid_rrf_companions(spark, sf_dir):
     more = search.companions(top, dates(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir).select("query_id", "embedding"))
     more = more.join(f.select("query_id", "id", "rrf_score"), ["query_id", "id"], "left")
     out = lambda df, order, name: df.select("query_id", F.lit(order).cast("long").alias("group_order"), F.col("position").cast("long").alias("position"), "id", F.coalesce("rrf_score", F.lit(0.0)).alias("rrf_score"), F.lit(name).alias("retrieved_by"))
-    return out(top, 0, "fusion").unionByName(out(more, 1, "dated_companion"))
+    return out(top, 0, "fusion").unionByName(out(more, 1, "dated_companion")).orderBy("query_id", "group_order", "position")
 
 
 @query(FUSED_SQL + """, n AS (SELECT query_id, count(*) AS companions FROM comp GROUP BY query_id) SELECT query_id, count(*) FILTER (WHERE semantic_rank IS NOT NULL AND keyword_rank IS NULL)::BIGINT AS semantic_only, count(*) FILTER (WHERE semantic_rank IS NULL)::BIGINT AS keyword_only,
@@ -102,6 +103,12 @@ def keyword_rank_simple(spark, sf_dir):
     return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("keyword_rank"))
 
 
+@query()
+def porter_keyword_rank(spark, sf_dir):
+    """The same by stems."""
+    return search.keyword_rank(chunks(spark, sf_dir), questions(spark, sf_dir).select("query_id", "text"), analyze=stems.lexemes(search.STOP_WORDS))
+
+
 @query(FUSED_SQL + """, d AS (SELECT q.query_id, min(round(list_cosine_distance(e.embedding::DOUBLE[], qv::DOUBLE[]), 6)) AS nearest, count(t.id) AS n FROM q LEFT JOIN top t ON t.query_id = q.query_id AND t.id <> q.query_id LEFT JOIN embeddings e ON e.vec_id = t.id GROUP BY q.query_id)
 SELECT query_id, nearest, n = 0 OR coalesce(nearest > 0.5, false) AS no_answer FROM d""")
 def no_answer_gate(spark, sf_dir):
@@ -490,6 +497,24 @@ def chunk_sections(spark, sf_dir):
     return out.select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "heading", "parent", "breadcrumb", md5(F.col("chunk")).alias("chunk"))
 
 
+INGEST_SQL = MARKDOWN_SQL[: MARKDOWN_SQL.rindex("SELECT doc_id, line::BIGINT")] + """SELECT d.doc_id AS source_url, CASE WHEN d.doc_id % 3 = 0 THEN coalesce(n, 0) ELSE 1 END::BIGINT AS chunks, CASE WHEN d.doc_id % 3 = 0 THEN n ELSE 0 END::BIGINT AS fresh, CASE WHEN d.doc_id % 3 = 0 THEN c ELSE 3 END::BIGINT AS chars,
+ CASE WHEN d.doc_id % 3 = 0 THEN DATE '2026-09-14' WHEN d.doc_id % 2 = 0 THEN DATE '2026-01-01' END AS fetched_at, CASE WHEN d.doc_id % 6 = 0 THEN 1 WHEN d.doc_id % 2 = 0 OR d.doc_id % 3 = 0 THEN 0 END::BIGINT AS changes
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(concat_ws(' > ', title, parent, nullif(heading, title))) + 2 + length(chunk)) AS c FROM p WHERE chunk <> '' GROUP BY doc_id) x USING (doc_id) WHERE d.doc_id % 3 > 0 OR n > 0"""
+
+
+@query(INGEST_SQL)
+def ingest_snapshots(spark, sf_dir):
+    """Every third document's Markdown takes the place of the chunks that it had; their sources all have rows."""
+    bodies = markdown(spark, sf_dir).where("doc_id % 3 = 0").select(F.col("doc_id").alias("source_url"), "body")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_url"))
+    old = docs.select(F.col("source_url").alias("id"), "source_url", F.lit("old").alias("section_heading"), F.lit(1).alias("heading_level"), F.lit("old").alias("content"), F.array(F.lit(1.0)).alias("embedding"), *(F.lit(None).cast(t).alias(c) for c, t in zip(ingest.ANNOTATIONS, ("date", "string", "string", "boolean"))))
+    had = docs.where("source_url % 2 = 0").select("source_url", F.lit("x").alias("last_indexed_body"), F.lit("2026-01-01").cast("date").alias("fetched_at"), F.lit(None).cast("date").alias("last_changed_at"), F.lit(0).alias("change_count"))
+    notes = docs.select("source_url", *(F.lit(None).cast(t).alias(c) for c, t in zip(ingest.ANNOTATIONS, ("date", "string", "string", "boolean"))))
+    sources, chunks = ingest.reindex(had, old, bodies, notes, prose.embedder(8), F.lit("2026-09-14").cast("date"))
+    per = chunks.groupBy("source_url").agg(F.count("*").alias("chunks"), F.count_if(F.col("content") != "old").alias("fresh"), F.sum(F.length("content")).alias("chars"))
+    return per.join(sources, "source_url", "left").select("source_url", "chunks", "fresh", "chars", F.col("fetched_at"), F.col("change_count").cast("long").alias("changes"))
+
+
 # Changes: a document against itself reordered, in capitals, with a line more, or as it is, by its id.
 
 

@@ -165,15 +165,34 @@ def annotation_sync_counts(spark, sf_dir):
     return r.agg(F.count("*").alias("sources_considered"), F.count_if("changed").alias("changed"), F.count_if("not_in_corpus").alias("not_in_corpus"), F.count_if(~F.col("changed") & ~F.col("not_in_corpus")).alias("unchanged"))
 
 
-@query("""WITH s AS (SELECT DISTINCT user_id AS id, CASE WHEN user_id % 3 = 0 THEN 'indexed ' || user_id::VARCHAR END AS body FROM events), f AS (SELECT id, 'snapshot ' || id::VARCHAR AS snap FROM s WHERE id % 4 > 0)
-SELECT id AS source_url, coalesce(body, snap) AS last_indexed_body, CASE WHEN body IS NOT NULL AND snap IS NOT NULL THEN 'already_populated' WHEN body IS NULL AND snap IS NOT NULL THEN 'updated' WHEN body IS NOT NULL THEN 'no_snapshot' ELSE 'still_null' END AS action FROM s LEFT JOIN f USING (id)""")
+@query("""WITH u AS (SELECT DISTINCT user_id AS id FROM events), s AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'indexed ' || id::VARCHAR END AS body FROM u WHERE id % 7 > 0), f AS (SELECT id, 'snapshot ' || id::VARCHAR AS snap FROM u WHERE id % 4 > 0)
+SELECT coalesce(s.id, f.id) AS source_url, CASE WHEN s.id IS NOT NULL THEN coalesce(body, snap) END AS last_indexed_body, CASE WHEN s.id IS NULL THEN 'no_sources_row' WHEN body IS NOT NULL AND snap IS NOT NULL THEN 'already_populated' WHEN body IS NULL AND snap IS NOT NULL THEN 'updated' WHEN body IS NOT NULL THEN 'no_snapshot' ELSE 'still_null' END AS action FROM s FULL JOIN f ON s.id = f.id""")
 def body_backfill(spark, sf_dir):
     u = users(spark, sf_dir).withColumnRenamed("user_id", "source_url")
-    sources = u.select("source_url", X("CASE WHEN source_url % 3 = 0 THEN concat('indexed ', source_url) END").alias("last_indexed_body"))
+    sources = u.where("source_url % 7 > 0").select("source_url", X("CASE WHEN source_url % 3 = 0 THEN concat('indexed ', source_url) END").alias("last_indexed_body"))
     snaps = u.where("source_url % 4 > 0").select("source_url", X("concat('snapshot ', source_url)").alias("body"))
     return refresh.backfill(sources, snaps)
 
 
+@query("SELECT id AS source_url FROM (SELECT DISTINCT user_id AS id FROM events) WHERE id % 7 > 0 AND id % 3 > 0 AND id % 4 = 0 ORDER BY id")
+def unbacked_sources(spark, sf_dir):
+    """Sources that have no body even after the backfill, by name."""
+    return body_backfill(spark, sf_dir).where("action = 'still_null'").select("source_url").orderBy("source_url")
+
+
+@query("""WITH e AS (SELECT *, sum(CASE WHEN event_type NOT IN ('error', 'view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events),
+f AS (SELECT user_id, event_type, ts, event_id, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, epoch ORDER BY ts, event_id) AS n FROM e),
+s AS (SELECT user_id, arg_max(n, struct_pack(ts, event_id)) AS n, arg_max(event_type, struct_pack(ts, event_id)) AS last, max(ts) FILTER (WHERE event_type NOT IN ('error', 'view')) AS ok FROM f GROUP BY user_id)
+SELECT user_id AS source_id, n::BIGINT AS failures, ok AS last_success_at FROM s WHERE last = 'view' OR n >= 3 OR ok IS NULL OR epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ok) > 168 * 3600000000""")
+def broken_sources(spark, sf_dir):
+    checks = table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), "ts", "event_id", "event_type")
+    out = ledger.failure_counts(checks, "source_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "view")
+    last = out.groupBy("source_id").agg(F.max(F.struct("ts", "event_id", "consecutive_failures", "event_type")).alias("x"), F.max(F.when(~F.col("event_type").isin("error", "view"), F.col("ts"))).alias("ok"))
+    error = F.when(F.col("x.event_type") == "view", "robots_disallowed").otherwise("none")
+    health = ledger.health(F.col("x.consecutive_failures"), error, ledger.age_hours(F.lit("2024-02-01 00:00:00").cast("timestamp"), F.col("ok")))
+    return last.where(health == "broken").select("source_id", F.col("x.consecutive_failures").cast("long").alias("failures"), F.col("ok").alias("last_success_at"))
+
+
 @query("""WITH e(t, c, breaks) AS (SELECT 'documents', unnest(['doc_id', 'text', 'lang', 'source', 'n_chars', 'url']), false UNION ALL SELECT 'labels', unnest(['doc_id', 'quality', 'toxic']), false UNION ALL SELECT 'gone', 'a', false),
 a(t, c, breaks) AS (SELECT 'documents', unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']), false UNION ALL SELECT 'labels', unnest(['doc_id', 'quality', 'toxic']), false UNION ALL SELECT 'labels', 'must', true UNION ALL SELECT 'labels', 'may', false UNION ALL SELECT 'new', 'b', true),
 b AS (SELECT DISTINCT e.t FROM e JOIN a USING (t))

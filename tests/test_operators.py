@@ -5,10 +5,12 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from siltstone.functions import html as ht
-from siltstone.functions import prose, rules
+from siltstone.functions import prose, rules, stems
 from siltstone.functions import text as tx
+from siltstone.functions.isolate import isolated
 from siltstone.operators import answers, buckets, evals, ledger, refresh, search
 from siltstone.streaming.buckets import stream_token_bucket
 
@@ -418,3 +420,37 @@ def test_hot_and_null_keys_of_buckets(spark):
 def test_long_date(spark):
     df = spark.createDataFrame([(datetime.date(2026, 9, 5),), (None,)], "d date")
     assert [r.x for r in df.select(tx.long_date(F.col("d")).alias("x")).collect()] == ["September 5, 2026", None]
+
+
+@pytest.mark.parametrize(
+    "word,expect",
+    [
+        ("caresses", "caress"), ("ties", "tie"), ("cries", "cri"), ("gas", "gas"), ("gaps", "gap"), ("kiwis", "kiwi"), ("this", "this"), ("agreed", "agre"), ("plastered", "plaster"), ("hoping", "hope"), ("hopping", "hop"), ("happy", "happi"), ("say", "say"), ("by", "by"),
+        ("relational", "relat"), ("conditional", "condit"), ("rationally", "ration"), ("generalizations", "general"), ("communication", "communic"), ("extension", "extens"), ("extended", "extend"), ("employment", "employ"), ("employers", "employ"), ("probate", "probat"), ("controlling", "control"),
+        ("skies", "sky"), ("dying", "die"), ("news", "news"), ("inning", "inning"), ("proceeding", "proceed"), ("youth", "youth"), ("boyish", "boyish"), ("sensational", "sensat"), ("knightly", "knight"), ("triplicate", "triplic"), ("adjustment", "adjust"), ("rate", "rate"), ("cease", "ceas"), ("roll", "roll"), ("controll", "control"),
+        ("été", "été"), ("i-20", "i-20"), ("", ""),
+    ],
+)
+def test_stems(word, expect):
+    assert stems.stem(word) == expect
+
+
+def test_keyword_rank_by_stems(spark):
+    docs = spark.createDataFrame([(1, "Extending stays", "employers extended it"), (2, "Other", None)], "id long, heading string, content string")
+    asked = spark.createDataFrame([(1, "the extension of an employer"), (2, "extends")], "query_id long, text string")
+    got = {(r.query_id, r.id, r.score) for r in search.keyword_rank(docs, asked, analyze=stems.lexemes(search.STOP_WORDS)).collect()}
+    assert got == {(1, 1, 0.4), (2, 1, 1.4)}
+
+
+def test_isolated_rows(spark):
+    df = spark.createDataFrame([("1",), ("x",), (None,)], "t string")
+    got = [tuple(r.x) for r in df.select(isolated(int, IntegerType())("t").alias("x")).collect()]
+    assert got[0] == (True, 1, None) and not got[1][0] and got[1][2].startswith("ValueError") and got[2][2].startswith("TypeError")
+
+
+def test_notice_parts(spark):
+    cases = [("enjoined", True, DAY, ["a"], "c", "the court's order=c"), ("odd", None, None, ["a", "b"], None, "the first source=a the second source=b"), (None, None, DAY, ["a"], None, "Read the source=a"), ("not_in_force", False, None, ["a", "b"], None, "the first rule as published=a the second rule as published=b")]
+    df = spark.createDataFrame(cases, "s string, e boolean, d date, u array<string>, c string, x string")
+    rows = df.select("s", "x", rules.notice_parts(F.col("s"), F.col("e"), F.col("d"), F.col("u"), F.col("c")).alias("p")).collect()
+    assert all(" ".join(f"{k.label}={k.url}" for k in r.p.links) == r.x for r in rows)
+    assert rows[0].p.text.startswith("A rule affecting this answer was scheduled to take effect on September 15, 2026.") and rows[1].p.text == rows[2].p.text == rules.UNKNOWN

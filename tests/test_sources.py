@@ -6,8 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import refresh
-from siltstone.sources import crawl, golden, manifest, snapshots
+from siltstone.functions import prose
+from siltstone.operators import ingest, refresh
+from siltstone.sources import crawl, golden, manifest, snapshots, tables
 
 MANIFEST = """sources:
 - url: https://a.org/x
@@ -88,3 +89,32 @@ def test_annotations_move_together(spark):
     out, told = refresh.sync_annotations(wanted, chunks)
     assert {(r.id, r.rule_status, r.rule_status_source) for r in out.collect()} == {(1, "in_force", None), (2, None, None), (3, None, None), (4, "scheduled", None)}
     assert {tuple(r) for r in told.collect()} == {("a", False, 0, False, False), ("b", True, 2, False, True), ("x", False, 0, True, False)}
+
+
+def test_tables_change_together(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    assert tables.current(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        tables.read_tables(spark, root, ["a"])
+    tables.write_tables(spark, root, {"a": spark.range(2), "b": spark.range(3)})
+    old = tables.read_tables(spark, root, ["a", "b"])
+    tables.write_tables(spark, root, {"a": old["a"].unionByName(spark.range(5)), "b": old["b"]})
+    assert {n: df.count() for n, df in tables.read_tables(spark, root, ["a", "b"]).items()} == {"a": 7, "b": 3} and old["a"].count() == 2
+    with pytest.raises(Exception):
+        tables.write_tables(spark, root, {"a": spark.range(1), "b": spark.range(1).select((1 / (F.col("id") - F.col("id"))).alias("x"), F.raise_error(F.lit("no")).alias("y"))})
+    assert tables.read_tables(spark, root, ["a"])["a"].count() == 7
+
+
+def test_pages_become_chunks(spark):
+    pages = spark.createDataFrame([("u1", "<title>P</title><main><h1>P</h1><p>intro</p><h2>A</h2><p>text</p></main> Updated 3/4/2025"), ("u2", "<p>only</p>"), ("u3", None)], "url string, html string")
+    bodies = ingest.bodies_of(pages)
+    assert {(r.source_url, r.title, r.page_last_updated) for r in bodies.collect()} == {("u1", "P", datetime.date(2025, 3, 4)), ("u2", "u2", None), ("u3", "u3", None)}
+    kinds = "rule_effective_date date, rule_status string, rule_status_source string, rule_status_source_evidences_status boolean"
+    chunks = spark.createDataFrame([(1, "u1", "h", 1, "old", [1.0], None, None, None, None), (2, "u9", "h", 1, "old", [1.0], None, None, None, None)], f"id long, source_url string, section_heading string, heading_level int, content string, embedding array<double>, {kinds}")
+    sources = spark.createDataFrame([("u1", "old", None, None, 4), ("u9", "old", None, None, 0)], "source_url string, last_indexed_body string, fetched_at date, last_changed_at date, change_count int")
+    notes = spark.createDataFrame([("u1", None, "in_force", None, None)], f"source_url string, {kinds}")
+    now = F.lit("2026-09-14").cast("date")
+    new_sources, new_chunks = ingest.reindex(sources, chunks, bodies.where("body is not null"), notes, prose.embedder(4), now)
+    assert {(r.source_url, r.content, r.rule_status, len(r.embedding)) for r in new_chunks.collect()} == {("u1", "P\n\nintro", "in_force", 4), ("u1", "P > A\n\ntext", "in_force", 4), ("u2", "Untitled\n\nonly", None, 4), ("u9", "old", None, 1)}
+    assert {(r.source_url, r.change_count, r.fetched_at is None) for r in new_sources.collect()} == {("u1", 5, False), ("u2", 0, False), ("u9", 0, True)}
+    assert ingest.orphans(new_chunks, new_sources).count() == 0 and ingest.orphans(new_chunks, sources).count() == 1
