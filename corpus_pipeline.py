@@ -58,5 +58,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name, free=True)
     return STAGES[-1][1](spark, docs, sf_dir)

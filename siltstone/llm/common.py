@@ -31,10 +31,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file:///tmp/siltstone-checkpoints"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back: its lineage ends there.
 
-    The files outlive lost executors and go when the application ends; shuffle files that nothing refers to any more go now.
+    The files outlive lost executors and go when the application ends. ``free``: shuffle files that nothing refers to any
+    more go now, rather than when the driver next collects garbage; for operators that shuffle several times their input.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siltstone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -42,9 +43,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

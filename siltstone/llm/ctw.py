@@ -441,11 +441,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     held = F.coalesce(fold(F.col(key)) == 1, F.lit(False))
     picked = docs.select(F.col(key).alias("__key"), held.alias("held_out"), F.col(text).alias("text"))
-    texts = cut(blocks(picked), "ctw-texts")
-    found = cut(count(texts), "ctw-counts")
+    texts = cut(blocks(picked), "ctw-texts", free=True)
+    found = cut(count(texts), "ctw-counts", free=True)
     spark = docs.sparkSession
 
-    words = cut(found.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "ctw-words")
+    words = cut(found.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "ctw-words", free=True)
     n_texts = found.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = n_words + n_texts, distinct + (n_texts > 0)
@@ -453,7 +453,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     least = threshold(words, FREQUENT)
     frequent = words.where(F.col("n") >= least).toPandas()
 
-    groups = cut(gathered(found), "ctw-groups")
+    groups = cut(gathered(found), "ctw-groups", free=True)
     above = groups.where("name is not null").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).toPandas()
     top = spark.sparkContext.broadcast(Top(*(above[c].to_numpy() for c in ("name", "a", "b", "below"))))
     shared = spark.sparkContext.broadcast((frequent.key.to_numpy(), frequent.n.to_numpy()))
@@ -493,7 +493,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     kind = texts.schema["__key"].dataType.simpleString()
     both = texts.groupBy("block").cogroup(weighted(found, groups, top).groupBy("block"))
-    scored = cut(both.applyInArrow(run, f"row long, __key {kind}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>"), "ctw-scored")
+    scored = cut(both.applyInArrow(run, f"row long, __key {kind}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>"), "ctw-scored", free=True)
     top.destroy(), shared.destroy()  # their only readers are written
     rest = scored.select("row", F.explode("rare").alias("key")).join(words.where(F.col("n") < least), "key", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total + 0.5 * (kinds + 1)))

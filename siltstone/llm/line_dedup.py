@@ -106,11 +106,11 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG, key: st
     picked = docs.select(*own)
     names = picked.columns
     more = T.StructType.fromDDL("__row long, n_lines long, __marks array<struct<pos:int,key:long,check:long,words:int,near:array<long>,near_words:array<int>>>")
-    base = cut(picked.mapInArrow(run, T.StructType([*picked.schema.fields, *more.fields])), "lines")
+    base = cut(picked.mapInArrow(run, T.StructType([*picked.schema.fields, *more.fields])), "lines", free=True)
     marks = base.select("__row", F.col(key).alias("id"), F.explode("__marks").alias("m")).select("__row", "id", "m.*")
     total = base.agg(F.sum(F.size("__marks"))).first()[0] or 0
     few = max(FEW, min(MANY, total // SHARE))
-    counts = cut(marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "fingerprints")
+    counts = cut(marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "fingerprints", free=True)
     gone = "__row long, a int, b int"
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG, key: st
     place = F.struct(F.col("id"), F.col("pos"))
     ran = hot.select("__row", "pos", place.alias("place"), "key", "check", F.explode(F.array_compact(F.array(*runs))).alias("r")).select("__row", "pos", "place", "key", "check", "r.*")
     by = ["key", "check", "a", "b", "near"]
-    first = cut(ran.groupBy(*by).agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-places")
+    first = cut(ran.groupBy(*by).agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-places", free=True)
     hot = spread_join(ran, first, by, few).where(F.col("place") > F.col("first")).select("__row", (F.col("pos") - F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))
     later = cold.unionByName(hot).distinct().groupBy("__row").agg(F.collect_list(F.struct("a", "b")).alias("__gone"))
 

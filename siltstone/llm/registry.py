@@ -57,4 +57,4 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op4_order_minhash, op5_winnow_lines, op6_cost_packing, op7_context_tree, op8_suffix_buckets, op9_license_join, op10_cap_filters)}
 
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL, "op5_winnow_lines": line_dedup.DEDUP_SQL, "op10_cap_filters": cap_filters.NEAR_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL, "op5_winnow_lines": line_dedup.DEDUP_SQL, "op8_suffix_buckets": suffix_dedup.REPEATS_SQL, "op10_cap_filters": cap_filters.NEAR_SQL}

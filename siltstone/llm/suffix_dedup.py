@@ -127,15 +127,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
             )
 
     found = picked.drop("__key").mapInArrow(sample, "rank long, second long, id long, tag int, pos int, around int")
-    found = cut(found, "samples")
+    found = cut(found, "samples", free=True)
     several = found.groupBy("rank").agg(F.count("*").alias("n"), (F.min("second") < F.max("second")).alias("differ")).where("n > 1").select("rank", "differ")
-    tied = cut(found.join(cut(several, "samples-several"), "rank"), "samples-tied")
+    tied = cut(found.join(cut(several, "samples-several"), "rank"), "samples-tied", free=True)
     first = tied.groupBy("rank", "second", "differ").agg(F.min(F.struct(*PLACE, "around")).alias("first"))
-    first = cut(first, "samples-first")
+    first = cut(first, "samples-first", free=True)
     place = F.struct(*PLACE)
     later = tied.join(first.select("rank", "second", F.struct(*(F.col(f"first.{c}") for c in PLACE)).alias("first")), ["rank", "second"]).where(place > F.col("first"))
     start = F.col("pos") - F.floor(F.col("around") / 1024).cast("int")
-    whole = cut(later.select("id", "tag", start.alias("a"), (F.col("pos") + F.col("around") % 1024).alias("b")), "spans")
+    whole = cut(later.select("id", "tag", start.alias("a"), (F.col("pos") + F.col("around") % 1024).alias("b")), "spans", free=True)
 
     # what second ranks don't settle: bytes around the first places
     asked = first.where("differ").select("rank", "first.*").groupBy("id", "tag").agg(F.collect_list(F.struct("rank", "pos", "around")).alias("asked"))
@@ -159,12 +159,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
                 )
 
     joined = picked.drop("__key").join(asked, ["id", "tag"]).dropDuplicates(["id", "tag"])
-    held = cut(joined.select("id", "tag", "__text", "asked").mapInArrow(contexts, "rank long, id long, tag int, pos int, around int, context binary"), "contexts")
+    held = cut(joined.select("id", "tag", "__text", "asked").mapInArrow(contexts, "rank long, id long, tag int, pos int, around int, context binary"), "contexts", free=True)
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
         """In how many parts each bucket of two places or more is dealt out."""
         n = F.count("*")
-        return cut(rows.groupBy("rank").agg(F.ceil(n / BUCKET).cast("int").alias("parts"), n.alias("n")).where("n > 1").select("rank", "parts"), name)
+        return cut(rows.groupBy("rank").agg(F.ceil(n / BUCKET).cast("int").alias("parts"), n.alias("n")).where("n > 1").select("rank", "parts"), name, free=True)
 
     SIDES = ["around", "context", "low", "high"]
     sizes = parts(held, "buckets")
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     edges = [reach * k // RANGES for k in range(RANGES)] + [reach + 1]
     shared = lambda a, b: F.substring("context", reach - a + 1, length - (b - 1 - a))
     ranges = F.array(*(F.struct(F.xxhash64("rank", F.lit(a), shared(a, b)).alias("rank"), F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in zip(edges, edges[1:])))
-    hot = cut(held.join(sizes.where("parts > 1"), "rank").select(*PLACE, "around", "context", F.explode(ranges).alias("r")).select("r.*", *PLACE, "around", "context"), "ranges")
+    hot = cut(held.join(sizes.where("parts > 1"), "rank").select(*PLACE, "around", "context", F.explode(ranges).alias("r")).select("r.*", *PLACE, "around", "context"), "ranges", free=True)
     hot = hot.join(parts(hot, "range-buckets"), "rank")
     part = F.pmod(F.xxhash64(*PLACE), F.col("parts"))
     dealt = cold.unionByName(hot).select(F.xxhash64("rank", part).alias("rank"), *PLACE, *SIDES, (F.col("parts") > 1).alias("several"))
@@ -218,13 +218,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
             yield from compare(pa.Table.from_batches(left).combine_chunks().to_batches()[0])
 
     dealt = dealt.repartition("rank").sortWithinPartitions("rank", *PLACE)
-    compared = cut(dealt.mapInArrow(sort_buckets, found_schema), "compared")
+    compared = cut(dealt.mapInArrow(sort_buckets, found_schema), "compared", free=True)
     strings = compared.where("string is not null").select("string", F.struct("id", "tag", F.col("a").alias("pos")).alias("place"))
     earliest = strings.groupBy("string").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("string", "first")
     apart = strings.join(earliest, "string").where(F.col("place") > F.col("first")).select("place.id", "place.tag", F.col("place.pos").alias("a"), (F.col("place.pos") + length).alias("b"))
 
     sorted_spans = compared.where("string is null").drop("string")
-    marks = cut(whole.unionByName(sorted_spans).unionByName(apart), "marks")
+    marks = cut(whole.unionByName(sorted_spans).unionByName(apart), "marks", free=True)
     marks = marks.groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,3 +251,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     kind = picked.schema["__key"].dataType.simpleString()
     out = picked.join(marks, ["id", "tag"], "left").select("__key", "__text", "marks")
     return out.mapInArrow(rewrite, f"__key {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>").withColumnRenamed("__key", key)
+
+
+#: The same in DuckDB's SQL, for ids that are unique: all strings of 100 bytes by their md5, from overlapping pieces of the texts in hexadecimal.
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+c AS (SELECT doc_id, k * 512 AS base, substr(h, k * 1024 + 1, 1222) AS piece, n FROM b, unnest(range(0, greatest(0, n - 100) // 512 + 1)) r(k) WHERE n >= 100),
+s AS (SELECT doc_id, base + o AS pos, md5(substr(piece, 2 * o + 1, 200)) AS key FROM c, unnest(range(0, 512)) q(o) WHERE base + o + 100 <= n),
+f AS (SELECT key, min(struct_pack(doc_id, pos)) AS first FROM s GROUP BY key HAVING count(*) > 1),
+l AS (SELECT doc_id, pos FROM s JOIN f USING (key) WHERE struct_pack(doc_id, pos) > first),
+g AS (SELECT doc_id, pos, pos > lag(pos) OVER w + 100 OR lag(pos) OVER w IS NULL AS opens FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, pos, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g),
+x AS (SELECT doc_id, min(pos) AS a, max(pos) + 100 AS z FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM x),
+p AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS upto, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN p.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * upto + 1) END)) AS kept_sha256 FROM b LEFT JOIN p USING (doc_id)
+"""

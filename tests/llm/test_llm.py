@@ -797,6 +797,39 @@ def test_pipeline(spark, docs):
     assert tokens(corpus_pipeline.run(spark, DATA)) == tokens(packing.pack_documents(rows))
 
 
+def test_stages_of_odd_rows(spark, odd, empty):
+    """Nulls, empty texts, ties, repeated rows and clashing columns in each stage."""
+    rows = odd.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, DATA)
+        if name != "pack":
+            assert got.columns == corpus_pipeline.COLUMNS
+        got = got.collect()
+        assert stage(spark, empty, DATA).count() == 0
+        if name == "language":
+            assert {(r.doc_id, r.text) for r in got} <= {(r.doc_id, r.text) for r in rows if r.text and any(c.isalpha() for c in r.text)}
+            assert {2, 3, 4} <= {r.doc_id for r in got}
+        elif name == "lines":
+            want = lines_removed(sorted({(r.doc_id, r.text) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0)))
+            for r in got:
+                assert r.text == want[r.doc_id][2] and r.n_chars == (None if r.text is None else len(r.text))
+            assert {r.doc_id for r in got} == {k for k, v in want.items() if v[0] == 0 or (v[2] and v[2].strip())}
+        elif name == "near_copies":
+            assert Counter(r.doc_id for r in got) == Counter({k: 1 for k in [None, 1, 2, 5, 6, 7, 8, 9, 10, 11, 12, *([3] if not order_minhash.similar((rows[1].text or "").split(), (rows[2].text or "").split()) else [])]})
+        elif name == "mix":
+            times = Counter((r.doc_id, r.text) for r in got)
+            before = Counter((r.doc_id, r.text) for r in rows)
+            assert all(times[k] <= 2 * before[k] for k in times) and set(times) <= set(before)
+        else:
+            assert {r.doc_id for r in got} == {r.doc_id for r in rows} and min(r.length for r in got) > 0
+
+
+def test_language_stage_keeps_clean_documents(spark, docs):
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, DATA).select("doc_id").collect()}
+    told = docs.where(F.col("lang").isNotNull() & (F.length("text") > 200)).select("doc_id").collect()
+    assert sum(r.doc_id in kept for r in told) / len(told) > 0.99
+
+
 def test_sha_is_of_the_kept_bytes(spark, texts):
     got = {r.doc_id: r.kept_sha256 for r in registry.op8_suffix_buckets(spark, DATA).collect()}
     expect = covered(sorted(texts.items()))
