@@ -137,8 +137,13 @@ def redact_question(body: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """A text by NFKC; only texts beyond ASCII go to Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def session_hash(value: Column, secret: str) -> Column:
