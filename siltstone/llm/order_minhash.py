@@ -5,8 +5,9 @@ text, so that texts share sketches as their edit similarity is high. Texts that
 alignment of their words verifies them.
 
 All pairs of a bucket of texts with one sketch are settled: two texts are aligned, or links join them already, or their
-lengths and counts of words rule them out. Members are compared with the bucket's first text, and in buckets that links
-don't join with a few more, taken by hash. Then blocks of what is still apart are compared with each other.
+lengths and counts of words rule them out. Each text is compared with the first text of one of its buckets. Buckets whose
+members links don't join then are cut in blocks, and a task compares one block with another; it passes on links, not
+pairs.
 """
 
 from __future__ import annotations
@@ -15,22 +16,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join, slices, utf8
+from .common import cut, salted_join, slices, utf8, whole_groups
 from .components import components
 
 #: Words of a run, and sketches of a text. With a share s of single-word edits spread over a text p = (1 - s)^RUN of its runs
 #: stay, two such texts have p / (2 - p) of their runs in common, and a sketch needs two: 0.98 of pairs at SIMILAR share one.
 RUN = 3
 SKETCHES = 32
-#: Texts of a bucket, besides its first, that all others not yet joined with them are aligned with before blocks are compared.
-PIVOTS = 2
-#: Texts of one bucket that a task compares with as many others of it at once.
-GROUP = 512
+#: Texts of one bucket, and words of them all, that a task compares with as many others of it at once.
+GROUP, WORDS = 1024, 2_000_000
 #: Pairs of one lead that a task aligns.
 LEADS = 1000
 #: Counters of a text's words by hash, whose differences bound the edits between two texts from below.
@@ -162,7 +160,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id"
     """A row for each row of ``docs``: key, class_id, kept, links.
 
     class_id is the smallest id that links reach (equal texts are linked), kept is whether it is the row's own; links
-    counts the verified links of the row's text with other texts (texts that links join already need none). Words stand
+    counts the verified links of the row's text with other texts (texts that links join already need none, so it is the
+    number of those that made the class). Words stand
     between ASCII white space. A null text or one without words links with nothing, and a null id neither; such rows are their own class and are kept. Rows that share an id have one class. Other
     columns are left out.
     """
@@ -210,79 +209,81 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id"
         pairs = salted_join(pairs, texts.withColumnRenamed("__text", "x").withColumnRenamed("rep", "lead"), "lead", "rep", LEADS).join(texts.withColumnRenamed("__text", "y"), "rep")
         return cut(pairs.select("lead", "rep", "x", "y").mapInArrow(align, f"lead {kind}, rep {kind}, same boolean"), "aligned")
 
-    verified = verify(level.select("lead", "rep").distinct())
+    # each text meets the first text of one of its buckets; what that joins needs no pairs of the others
+    verified = verify(level.groupBy("rep").agg(F.min("lead").alias("lead")).select("lead", "rep"))
     groups = components(verified.where("same"), "lead", "rep")
-    crowded = level.groupBy("bucket").agg(F.count("*").alias("others")).where("others > 1").select("bucket")
-    members = level.select("bucket", "rep").unionByName(level.select("bucket", F.col("lead").alias("rep")).distinct())
-    members = cut(members.join(crowded, "bucket"), "members")
-
-    def unjoined(members: DataFrame, groups: DataFrame) -> DataFrame:
-        """Members, each with its component, of the buckets that hold more than one."""
-        named = members.select("bucket", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("bucket", "size")
-        return cut(named.join(mixed, "bucket"), "unjoined")
-
-    def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(all verified pairs, components) with the pairs that weren't aligned before."""
-        pairs = pairs.select(F.least("a", "b").alias("lead"), F.greatest("a", "b").alias("rep")).distinct()
-        new = verify(pairs.join(verified, ["lead", "rep"], "left_anti"))
-        links = groups.select(F.col("component").alias("lead"), F.col("node").alias("rep")).unionByName(new.where("same").select("lead", "rep"))
-        return cut(verified.unionByName(new), "aligned"), components(links, "lead", "rep")
-
-    members = unjoined(members, groups)
-    for k in range(PIVOTS):
-        if members.isEmpty():
-            break
-        by = F.xxhash64("rep", F.lit(k))
-        pivots = members.groupBy("bucket").agg(F.max_by(F.struct(F.col("rep").alias("a"), F.col("component").alias("of")), by).alias("pivot"))
-        pairs = members.join(pivots, "bucket").where("component <> pivot.of").select("pivot.a", F.col("rep").alias("b"))
-        verified, groups = settle(pairs)
-        members = unjoined(members, groups)
+    members = cut(level.select("bucket", "j", "rep").unionByName(level.select("bucket", "j", F.col("lead").alias("rep")).distinct()), "members")
+
+    # members, each with its component, of the buckets that hold more than one
+    named = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "j", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    members = cut(named.join(mixed, "bucket"), "unjoined")
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", 1 << 21):
             n, counts = profiles(*utf8(batch.column("__text")))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(n, pa.int64()), pa.array([c.tobytes() for c in counts], pa.binary())], ["rep", "n", "counts"])
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Runs of rows with one (bucket, i, j); a run may go on in the next batch."""
-        kept = None
-        for frame in batches:
-            frame = frame if kept is None else pd.concat([kept, frame])
-            last = frame.iloc[-1][["bucket", "i", "j"]]
-            ended = ~((frame.bucket == last.bucket) & (frame.i == last.i) & (frame.j == last.j))
-            kept = frame[~ended]
-            yield from across(frame[ended])
-        if kept is not None:
-            yield from across(kept)
-
-    def across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if not len(frame):
-            return
-        bucket, i, j, part, rep, n = (frame[c].to_numpy() for c in ("bucket", "i", "j", "part", "rep", "n"))
-        of, counts = pd.factorize(frame["component"])[0], np.frombuffer(b"".join(frame["counts"]), np.uint8).reshape(-1, BINS)
-        edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        for a, b in zip([0, *edge], [*edge, len(frame)]):
-            left = np.arange(a, b) if i[a] == j[a] else a + np.flatnonzero(part[a:b] == i[a])
-            right = left if i[a] == j[a] else a + np.flatnonzero(part[a:b] == j[a])
-            x, y = n[left][:, None], n[right][None, :]
-            s, t = np.nonzero((of[left][:, None] != of[right][None, :]) & (np.abs(x - y) <= np.floor((1 - least) * np.maximum(x, y) + 1e-9)))
-            s, t = left[s], right[t]
-            if i[a] == j[a]:
-                s, t = s[s < t], t[s < t]
-            for c in range(0, len(s), 1 << 14):
-                p, q = s[c : c + (1 << 14)], t[c : c + (1 << 14)]
-                near = ~apart(n, counts, p, q, least)
-                if near.any():
-                    yield pd.DataFrame({"a": rep[p[near]], "b": rep[q[near]]})
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(n, pa.int64()), pa.array([c.tobytes() for c in counts], pa.binary()), batch.column("sketch"), batch.column("__text")], ["rep", "n", "counts", "sketch", "text"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "run", 1):
+            edge = [0, *(np.flatnonzero(np.diff(table.column("run").to_numpy())) + 1).tolist(), table.num_rows]
+            for a, b in zip(edge, edge[1:]):
+                found = across(table.slice(a, b - a).combine_chunks())
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, table.schema.field("rep").type) for c in zip(*found)], ["lead", "rep"])
+
+    def across(table: pa.Table) -> list[tuple]:
+        """Links between the texts of two blocks of a bucket, or within one, that join the components there. A pair that shares
+        several sketches is settled in the bucket of the first of them."""
+        place, i, j = (table.column(c)[0].as_py() for c in ("place", "i", "j"))
+        part, rep, n = (table.column(c).to_numpy() for c in ("part", "rep", "n"))
+        group = np.unique(table.column("component").to_numpy(), return_inverse=True)[1].ravel()
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, BINS)
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        left, right = (np.flatnonzero(part == k) for k in (i, j))
+        x, y = n[left][:, None], n[right][None, :]
+        may = (group[left][:, None] != group[right][None, :]) & (np.abs(x - y) <= np.floor((1 - least) * np.maximum(x, y) + 1e-9))
+        if i == j:
+            may = np.triu(may)
+        for k in range(place):
+            may &= sketch[left, k][:, None] != sketch[right, k][None, :]
+        s, t = np.nonzero(may)
+        s, t = left[s], right[t]
+        texts, words, out = table.column("text"), {}, []
+        for c in range(0, len(s), 1 << 14):
+            p, q = s[c : c + (1 << 14)], t[c : c + (1 << 14)]
+            near = ~apart(n, counts, p, q, least)
+            for u, v in zip(p[near].tolist(), q[near].tolist()):
+                if group[u] == group[v]:
+                    continue
+                for w in (u, v):
+                    if w not in words:
+                        words[w] = texts[w].as_py().split()
+                if similar(words[u], words[v], least):
+                    out.append((rep[u], rep[v]))
+                    group[group == group[v]] = group[u]
+        return out
 
     if not members.isEmpty():
-        told = texts.join(members.select("rep").distinct(), "rep", "left_semi").mapInArrow(profile, f"rep {kind}, n long, counts binary")
-        sized = members.join(told, "rep").withColumn("parts", F.ceil(F.col("size") / GROUP).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        own = held.join(members.select("rep").distinct(), "rep", "left_semi")
+        told = cut(texts.join(own, "rep").select("rep", "sketch", "__text").mapInArrow(profile, f"rep {kind}, n long, counts binary, sketch array<long>, text binary"), "profiles")
+        # a component that fills blocks of its own needs no pairs of them: they meet those of the rest, and these each other
+        each = members.join(told.select("rep", "n"), "rep").groupBy("bucket", "component").agg(F.count("*").alias("texts"), F.sum("n").alias("words"))
+        blocks = lambda x: F.greatest(F.ceil(x["texts"] / GROUP), F.ceil(x["words"] / WORDS)).cast("int")
+        sums = each.groupBy("bucket").agg(F.max(F.struct("texts", "words", "component")).alias("main"), F.struct(F.sum("texts").alias("texts"), F.sum("words").alias("words")).alias("all"))
+        rest = F.struct((F.col("all.texts") - F.col("main.texts")).alias("texts"), (F.col("all.words") - F.col("main.words")).alias("words"))
+        large = blocks(F.col("main")) > 1
+        sums = sums.select("bucket", F.when(large, F.col("main.component")).alias("main"), F.when(large, blocks(F.col("main"))).otherwise(0).alias("mains"), F.when(large, blocks(rest)).otherwise(blocks(F.col("all"))).alias("rests"))
+        sized = members.join(sums, "bucket").withColumn("is_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+        number = F.xxhash64("rep")
+        sized = sized.withColumn("part", F.when(F.col("is_main"), F.col("rests") + F.pmod(number, F.col("mains"))).otherwise(F.pmod(number, F.col("rests"))).cast("int"))
         # pairs of blocks: (i, j) for i <= j, each holding both blocks
-        dealt = sized.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("bucket", F.least("part", "mate").alias("i"), F.greatest("part", "mate").alias("j"), "part", "rep", "component", "n", "counts")
-        verified, groups = settle(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(meet, f"a {kind}, b {kind}"))
+        mates = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1)
+        dealt = sized.withColumn("mate", F.explode(mates)).select("bucket", F.col("j").alias("place"), F.least("part", "mate").alias("i"), F.greatest("part", "mate").alias("j"), "part", "rep", "component")
+        dealt = dealt.join(told, "rep").withColumn("run", F.xxhash64("bucket", "i", "j")).repartition("run").sortWithinPartitions("run", "bucket", "i", "j")
+        new = cut(dealt.mapInArrow(meet, f"lead {kind}, rep {kind}"), "new-links")
+        verified = verified.unionByName(new.withColumn("same", F.lit(True)))
+        groups = components(groups.select(F.col("component").alias("lead"), F.col("node").alias("rep")).unionByName(new), "lead", "rep")
     links = verified.where("same")
     groups = groups.withColumnRenamed("node", "rep")
     ends = links.select("rep").unionByName(links.select(F.col("lead").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))

@@ -366,9 +366,9 @@ def test_near_duplicates_unlike_the_first_text(spark, monkeypatch):
     want = families(rows)
     assert want[1002] == 1000 and 1 < len(set(want.values())) < 100 and not order_minhash.similar(whole, whole[:70])
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for pivots, group in ((2, 512), (0, 20)):
-        monkeypatch.setattr(order_minhash, "PIVOTS", pivots, raising=False)
-        monkeypatch.setattr(order_minhash, "GROUP", group, raising=False)
+    for group, words in ((512, 10**6), (20, 10**6), (512, 3000)):
+        monkeypatch.setattr(order_minhash, "GROUP", group)
+        monkeypatch.setattr(order_minhash, "WORDS", words)
         assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(df).collect()} == want
 
 
