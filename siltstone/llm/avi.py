@@ -29,6 +29,8 @@ SIDE = 24
 FRAME = SIDE * SIDE
 CODED = FRAME * 9 // 8
 FPS = 25
+#: Samples of another file's frame, at most; a larger one can't be read.
+MOST = 1 << 26
 HEADER = (
     b"\xff\xd8"
     + b"\xff\xc4" + struct.pack(">HB", 2 + 17 + 9, 0) + bytes([1] * 9 + [0] * 7) + bytes(range(8, -1, -1))
@@ -199,6 +201,8 @@ def decode_jpeg(body: bytes) -> np.ndarray:
             bits, rows, columns, n = struct.unpack_from(">BHHB", part)
             if bits != 8 or not rows or not columns:
                 raise Unreadable("samples of other than 8 bits, or no size")
+            if rows * columns > MOST:
+                raise Unreadable("a frame of more samples than a task may hold")
             frame = marker, rows, columns, [(part[6 + 3 * i], part[7 + 3 * i] >> 4, part[7 + 3 * i] & 15, part[8 + 3 * i]) for i in range(n)]
         elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise Unreadable("a JPEG process other than baseline and lossless")
@@ -355,7 +359,7 @@ def read_media(media: DataFrame, column: str = "media") -> DataFrame:
             micros, frames = read_avi(m)
         except Unreadable as e:
             return (None, None, None, *file, None, None, None, str(e))
-        except (struct.error, ValueError, IndexError) as e:
+        except (struct.error, ValueError, LookupError, ArithmeticError) as e:
             return (None, None, None, *file, None, None, None, f"damaged: {e}")
         payload, first = frames.tobytes(), cuts(frames).tolist()
         clips = [{"clip": k, "start_frame": a, "end_frame": b, "start_s": a * micros / 1e6, "end_s": b * micros / 1e6} for k, (a, b) in enumerate(zip(first, [*first[1:], len(frames)]))]
