@@ -43,6 +43,7 @@ def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
     if free:
         del df
         gc.collect()
@@ -50,6 +51,14 @@ def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` returned, once all that is made of them is written."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(data, offsets) of a string or binary column as UTF-8 bytes; null reads as empty. Offsets start at 0."""
     c = pc.fill_null(column.cast(pa.large_binary()), b"")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fold, slices, utf8
+from .common import cut, discard, fold, slices, utf8
 
 #: No UTF-8 text holds it: what stands before a text and ends it.
 STOP = 255
@@ -492,9 +492,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         return pa.Table.from_arrays(columns, ["row", "__key", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"])
 
     kind = texts.schema["__key"].dataType.simpleString()
-    both = texts.groupBy("block").cogroup(weighted(found, groups, top).groupBy("block"))
+    logs = cut(weighted(found, groups, top), "ctw-logs", free=True)
+    discard(found, groups)  # what was made of them is written
+    both = texts.groupBy("block").cogroup(logs.groupBy("block"))
     scored = cut(both.applyInArrow(run, f"row long, __key {kind}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>"), "ctw-scored", free=True)
     top.destroy(), shared.destroy()  # their only readers are written
+    discard(texts, logs)
     rest = scored.select("row", F.explode("rare").alias("key")).join(words.where(F.col("n") < least), "key", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total + 0.5 * (kinds + 1)))
     rest = rest.groupBy("row").agg(F.sum(log).alias("more"), F.count("n").alias("more_known"))
