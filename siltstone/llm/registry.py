@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, cap_filters, ctw, lang_id, license_join, line_dedup, mixing, order_minhash, packing, suffix_dedup
+from . import avi, cap_filters, ctw, lang_id, license_join, line_dedup, mixing, order_minhash, packing, source_audit, suffix_dedup
 from .common import read
 
 
@@ -55,6 +55,10 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op4_order_minhash, op5_winnow_lines, op6_cost_packing, op7_context_tree, op8_suffix_buckets, op9_license_join, op10_cap_filters)}
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL, "op5_winnow_lines": line_dedup.DEDUP_SQL, "op8_suffix_buckets": suffix_dedup.REPEATS_SQL, "op10_cap_filters": cap_filters.NEAR_SQL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op4_order_minhash, op5_winnow_lines, op6_cost_packing, op7_context_tree, op8_suffix_buckets, op9_license_join, op10_cap_filters, op12_source_audit)}
+
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL, "op5_winnow_lines": line_dedup.DEDUP_SQL, "op8_suffix_buckets": suffix_dedup.REPEATS_SQL, "op10_cap_filters": cap_filters.NEAR_SQL, "op12_source_audit": source_audit.AUDIT_SQL}
