@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, cap_filters, ctw, lang_id, license_join, line_dedup, mixing, order_minhash, packing, source_audit, suffix_dedup
+from . import avi, cap_filters, ctw, fm_index, lang_id, license_join, line_dedup, mixing, order_minhash, packing, source_audit, suffix_dedup, tput
 from .common import read
 
 
@@ -55,10 +55,20 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tput.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op4_order_minhash, op5_winnow_lines, op6_cost_packing, op7_context_tree, op8_suffix_buckets, op9_license_join, op10_cap_filters, op12_source_audit)}
+def op13_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    sha = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_family_svm, op2_pareto_mix, op3_avi_clips, op4_order_minhash, op5_winnow_lines, op6_cost_packing, op7_context_tree, op8_suffix_buckets, op9_license_join, op10_cap_filters, op11_tput_search, op12_source_audit, op13_fm_index)}
 
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL, "op5_winnow_lines": line_dedup.DEDUP_SQL, "op8_suffix_buckets": suffix_dedup.REPEATS_SQL, "op10_cap_filters": cap_filters.NEAR_SQL, "op12_source_audit": source_audit.AUDIT_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.MIX_SQL, "op9_license_join": license_join.SCAN_SQL, "op5_winnow_lines": line_dedup.DEDUP_SQL, "op8_suffix_buckets": suffix_dedup.REPEATS_SQL, "op10_cap_filters": cap_filters.NEAR_SQL, "op11_tput_search": tput.SEARCH_SQL, "op12_source_audit": source_audit.AUDIT_SQL, "op13_fm_index": fm_index.LEAK_SQL}
