@@ -32,7 +32,7 @@ SHARD_BYTES = 8 << 20
 SAMPLE = 16
 #: Bytes of windows that are sent to all shards at once; more of them go in several rounds.
 ROUND_BYTES = 32 << 20
-SHARD = "row binary, key binary, no_key binary, first binary, fresh binary, start binary, terms binary, term_at binary, smaller binary, levels binary, marks binary, sampled binary"
+SHARD = "part int, row binary, key binary, no_key binary, first binary, fresh binary, start binary, terms binary, term_at binary, smaller binary, levels binary, marks binary, sampled binary"
 NUMBERS = {"row": np.int64, "key": np.int64, "no_key": bool, "first": np.int64, "fresh": np.int64, "start": np.int64, "term_at": np.int64, "smaller": np.int64, "levels": np.uint64, "marks": np.uint64, "sampled": np.int32}
 
 
@@ -210,7 +210,7 @@ def index_row(found: pa.LargeBinaryArray, at: np.ndarray, row: np.ndarray, key:
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", longest: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """A table of shards of all rows of ``docs``, in which phrases of up to ``longest`` words can be searched.
+    """A table of shards of all rows of ``docs``, in which phrases of up to ``longest`` words can be searched; ``part`` is 0 for all.
 
     Null and empty texts are documents without words; the key is a whole number or null; repeated rows are documents of their own.
     """
@@ -233,9 +233,9 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", longest: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in shards(batches):
-            names = [c.split()[0] for c in SHARD.split(", ")]
+            names = [c.split()[0] for c in SHARD.split(", ")][1:]
             cells = [r[c] if isinstance(r[c], bytes) else np.ascontiguousarray(r[c]).tobytes() for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], ["part", *names])
 
     told = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return told.mapInArrow(run, SHARD)
@@ -312,8 +312,8 @@ def search(shards: DataFrame, wanted: DataFrame, round_bytes: int = ROUND_BYTES)
         wanted, shards = cut(wanted, "fm-windows"), cut(shards, "fm-shards")
     out = []
     for i in range(rounds):
-        some = wanted.where(F.pmod(F.xxhash64("window"), F.lit(rounds)) == i).agg(F.collect_list(F.struct("window", "item")).alias("windows"))
-        pair = shards.withColumn("part", F.lit(0)).join(F.broadcast(some.withColumn("part", F.lit(0))), "part")  # one row of checked size
+        some = wanted.where(F.pmod(F.xxhash64("window"), F.lit(rounds)) == i).agg(F.collect_list(F.struct("window", "item")).alias("windows"), F.coalesce(F.min(F.size("window") * 0), F.lit(0)).alias("part"))
+        pair = shards.join(F.broadcast(some), "part")  # one row of checked size
         found = pair.drop("part").mapInArrow(_search, "row long, key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
         out.append(found if i == 0 else found.withColumn("n_words", F.lit(0).cast("long")))
     return reduce(DataFrame.unionByName, out)

@@ -6,8 +6,9 @@ document. For each item, whose score of a document is the sum of its terms' cont
 1. The heads of the item's lists are fetched and summed. The documents of the highest sums are looked up in all of the
    item's lists, and the k-th highest exact score is a lower bound of what is wanted.
 2. That bound divided by the number of lists is the threshold for each of them: all entries at or above it are fetched. A
-   document that is in none of these can't reach the bound. What a list might still add to one that it hasn't given is less than the
-   threshold and not above the list's highest entry, so documents whose sum with all of that stays below the bound go.
+   document that is in none of these can't reach the bound. What a list might still add to one that it hasn't given is at most its
+   highest entry below the threshold, and nothing if one occurrence in a document of this length would be worth the
+   threshold; documents whose sum with all of that stays below the bound go.
 3. The rest are looked up exactly.
 
 Only phrases of the items' own terms are in the lists; lengths, numbers of documents and of terms are counted over all.
@@ -68,7 +69,8 @@ def _small(df: DataFrame, size) -> bool:
 
 
 def lists(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, part, row, key, value, place: the lists of all terms of ``asked``, each part by falling contribution."""
+    """term, part, row, key, value, w, once, place: the lists of all terms of ``asked``, each part by falling contribution; the
+    document gives ``value`` for this term and would give ``w * once`` for any that it holds once."""
     wanted = asked.select("term").distinct()
     few = _small(wanted, F.octet_length("term") + 16)
     vocabulary = wanted.toArrow().column("term").combine_chunks().cast(pa.large_binary()) if few else None
@@ -82,9 +84,9 @@ def lists(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "t
     weight = F.floor(1000 * F.log((2 * F.lit(n) + 2) / (2 * F.col("df") + 1))).cast("long")
     often = often.select("term", weight.alias("w"), F.ceil(F.col("df") / PART).cast("int").alias("parts"))
     m = F.lit(75) + F.call_function("div", 25 * F.col("n") * F.lit(n), F.lit(max(1, total or 0)))
-    value = F.col("w") * F.call_function("div", 1000000000 * F.col("tf"), 1000 * F.col("tf") + 12 * m)
+    worth = lambda tf: F.call_function("div", 1000000000 * tf, 1000 * tf + 12 * m)
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    entries = held.where("term IS NOT NULL").join(F.broadcast(often) if few else often, "term").select("term", part.alias("part"), "row", "key", value.alias("value"))
+    entries = held.where("term IS NOT NULL").join(F.broadcast(often) if few else often, "term").select("term", part.alias("part"), "row", "key", (F.col("w") * worth(F.col("tf"))).alias("value"), "w", worth(F.lit(1).cast("long")).alias("once"))
     return cut(entries.where("value > 0").withColumn("place", F.row_number().over(W.partitionBy("term", "part").orderBy(F.desc("value"), "row"))), "tput-lists")
 
 
@@ -112,18 +114,27 @@ def candidates(entries: DataFrame, asked: DataFrame, k: int = TOP, head: int = H
     probed = sums.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(k, PROBED))
     bounds = kth(exact(entries, asked, probed), k)
 
-    most = entries.where("place = 1").groupBy("term").agg(F.max("value").alias("most"))
-    told = asked.join(most, "term").join(bounds, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(1)))
+    told = asked.join(entries.groupBy("term").agg(F.max("w").alias("w")), "term").join(bounds, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(1)))
     # a list's entries are fetched from the threshold on; at least 1, as a score of 0 isn't wanted
     least = F.greatest(F.lit(1), F.ceil(F.col("bound") / F.count("*").over(W.partitionBy("item"))).cast("long"))
-    told = told.withColumn("least", least).withColumn("rest", F.least(F.col("least") - 1, F.col("times") * F.col("most")))
-    told = cut(told.withColumn("rests", F.sum("rest").over(W.partitionBy("item"))), "tput-thresholds")
-    from_ = told.groupBy("term").agg(F.min(F.ceil(F.col("least") / F.col("times"))).alias("from"))
+    told = cut(told.select("item", "term", "times", "w", "bound", least.alias("least"), F.ceil(least / F.col("times")).cast("long").alias("from")), "tput-thresholds")
     few = _small(told, F.octet_length("term") + 64)
-    deep = entries.join(F.broadcast(from_) if few else from_, "term").where(F.col("value") >= F.col("from")).select("term", "row", "value")
+    froms = told.select("term", "from").distinct()
+    below = entries.join(F.broadcast(froms) if few else froms, "term").where("value < from").groupBy("term", "from").agg(F.max("value").alias("below"))
+    told = cut(told.join(below, ["term", "from"], "left").withColumn("rest", F.coalesce(F.col("times") * F.col("below"), F.lit(0))), "tput-rests")
+    rests = told.where("rest > 0").groupBy("item").agg(F.collect_list(F.struct((F.col("times") * F.col("w")).alias("w"), "rest")).alias("rests"))
+
+    deep = froms.groupBy("term").agg(F.min("from").alias("from"))
+    deep = entries.join(F.broadcast(deep) if few else deep, "term").where(F.col("value") >= F.col("from")).select("term", "row", "value", "once")
+    told = told.select("item", "term", "times", "w", "bound", "least", "rest")
     met = deep.join(F.broadcast(told) if few else told, "term").where(F.col("times") * F.col("value") >= F.col("least"))
-    seen = met.groupBy("item", "row").agg(F.sum(F.col("times") * F.col("value")).alias("sum"), F.sum("rest").alias("given"), F.first("rests").alias("rests"), F.first("bound").alias("bound"))
-    return seen.where(F.col("sum") + F.col("rests") - F.col("given") >= F.col("bound")).select("item", "row")
+    open_ = F.col("times") * F.col("w") * F.col("once") < F.col("least")
+    seen = met.groupBy("item", "row").agg(
+        F.sum(F.col("times") * F.col("value") - F.when(open_, F.col("rest")).otherwise(0)).alias("sum"), F.first("once").alias("once"), F.first("bound").alias("bound"), F.first("least").alias("least")
+    )
+    more = F.aggregate("rests", F.lit(0).cast("long"), lambda a, r: a + F.when(r["w"] * F.col("once") < F.col("least"), r["rest"]).otherwise(0))
+    seen = seen.join(F.broadcast(rests) if few else rests, "item", "left")
+    return seen.where(F.col("sum") + F.coalesce(more, F.lit(0)) >= F.col("bound")).select("item", "row")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP, head: int = HEAD, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
