@@ -6,9 +6,9 @@ document. For each item, whose score of a document is the sum of its terms' cont
 1. The heads of the item's lists are fetched and summed. The documents of the highest sums are looked up in all of the
    item's lists, and the k-th highest exact score is a lower bound of what is wanted.
 2. That bound divided by the number of lists is the threshold for each of them: all entries at or above it are fetched. A
-   document that is in none of these can't reach the bound. What a list might still add to one that it hasn't given is at most its
-   highest entry below the threshold, and nothing if one occurrence in a document of this length would be worth the
-   threshold; documents whose sum with all of that stays below the bound go.
+   document that is in none of these can't reach the bound. What a list might still add to one that it hasn't given is less than the
+   threshold and not above the list's highest entry, and nothing if one occurrence in a document of this length would be
+   worth the threshold; documents whose sum with all of that stays below the bound go.
 3. The rest are looked up exactly.
 
 Only phrases of the items' own terms are in the lists; lengths, numbers of documents and of terms are counted over all.
@@ -114,17 +114,15 @@ def candidates(entries: DataFrame, asked: DataFrame, k: int = TOP, head: int = H
     probed = sums.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(k, PROBED))
     bounds = kth(exact(entries, asked, probed), k)
 
-    told = asked.join(entries.groupBy("term").agg(F.max("w").alias("w")), "term").join(bounds, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(1)))
+    most = entries.where("place = 1").groupBy("term").agg(F.max("value").alias("most"), F.max("w").alias("w"))
+    told = asked.join(most, "term").join(bounds, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(1)))
     # a list's entries are fetched from the threshold on; at least 1, as a score of 0 isn't wanted
-    least = F.greatest(F.lit(1), F.ceil(F.col("bound") / F.count("*").over(W.partitionBy("item"))).cast("long"))
-    told = cut(told.select("item", "term", "times", "w", "bound", least.alias("least"), F.ceil(least / F.col("times")).cast("long").alias("from")), "tput-thresholds")
+    told = told.withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("bound") / F.count("*").over(W.partitionBy("item"))).cast("long")))
+    told = cut(told.withColumn("rest", F.least(F.col("least") - 1, F.col("times") * F.col("most"))), "tput-thresholds")
     few = _small(told, F.octet_length("term") + 64)
-    froms = told.select("term", "from").distinct()
-    below = entries.join(F.broadcast(froms) if few else froms, "term").where("value < from").groupBy("term", "from").agg(F.max("value").alias("below"))
-    told = cut(told.join(below, ["term", "from"], "left").withColumn("rest", F.coalesce(F.col("times") * F.col("below"), F.lit(0))), "tput-rests")
     rests = told.where("rest > 0").groupBy("item").agg(F.collect_list(F.struct((F.col("times") * F.col("w")).alias("w"), "rest")).alias("rests"))
 
-    deep = froms.groupBy("term").agg(F.min("from").alias("from"))
+    deep = told.groupBy("term").agg(F.min(F.ceil(F.col("least") / F.col("times"))).alias("from"))
     deep = entries.join(F.broadcast(deep) if few else deep, "term").where(F.col("value") >= F.col("from")).select("term", "row", "value", "once")
     told = told.select("item", "term", "times", "w", "bound", "least", "rest")
     met = deep.join(F.broadcast(told) if few else told, "term").where(F.col("times") * F.col("value") >= F.col("least"))
