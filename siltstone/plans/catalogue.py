@@ -6,10 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import html as ht
-from siltstone.functions import prose, stems
+from siltstone.functions import prose
 from siltstone.functions import text as tx
-from siltstone.operators import buckets, evals, ingest, ledger, search
+from siltstone.operators import buckets, evals, ingest, ledger, search, text_index, vector_index
 
+from . import stores
 from .answers import figures_sql, parts_sql
 from .registry import ORACLE_SQL, QUERIES, joined, md5, query, table
 
@@ -23,10 +24,6 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-def chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("heading"), F.col("text").alias("content"))
-
-
 def questions(spark, sf_dir):
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     text = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
@@ -39,7 +36,12 @@ def dates(spark, sf_dir):
 
 def fused(spark, sf_dir):
     q = questions(spark, sf_dir)
-    return search.fuse(search.nearest(vectors(spark, sf_dir), q.select("query_id", "embedding")), search.keyword_rank(chunks(spark, sf_dir), q.select("query_id", "text")))
+    return search.fuse(search.nearest(vectors(spark, sf_dir), q.select("query_id", "embedding")), keywords(spark, sf_dir))
+
+
+def keywords(spark, sf_dir, analyzer="simple"):
+    """The keyword arm, from the stored index."""
+    return text_index.rank(spark, stores.texts_of(spark, sf_dir, analyzer), questions(spark, sf_dir).select("query_id", "text"), analyzer=analyzer, number=1)
 
 
 def tokens_sql(text: str) -> str:
@@ -99,14 +101,64 @@ def retrieval_arm_counts(spark, sf_dir):
 
 @query(FUSED_SQL + "SELECT query_id, id, score, keyword_rank::BIGINT AS keyword_rank FROM kw")
 def keyword_rank_simple(spark, sf_dir):
-    found = search.keyword_rank(chunks(spark, sf_dir), questions(spark, sf_dir).select("query_id", "text"))
-    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("keyword_rank"))
+    return keywords(spark, sf_dir).select("query_id", "id", "score", F.col("rank").cast("long").alias("keyword_rank"))
 
 
 @query()
 def porter_keyword_rank(spark, sf_dir):
-    """The same by stems."""
-    return search.keyword_rank(chunks(spark, sf_dir), questions(spark, sf_dir).select("query_id", "text"), analyze=stems.lexemes(search.STOP_WORDS))
+    """The same by typed tokens and stems."""
+    return keywords(spark, sf_dir, "english")
+
+
+@query(FUSED_SQL + "SELECT query_id, id, score, keyword_rank::BIGINT AS keyword_rank FROM kw")
+def keyword_rank_batch(spark, sf_dir):
+    """The same without an index, for texts that are asked only once."""
+    found = search.keyword_rank(stores.chunks(spark, sf_dir), questions(spark, sf_dir).select("query_id", "text"))
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("keyword_rank"))
+
+
+REPLACED_SQL = FUSED_SQL[: FUSED_SQL.index("s0 AS")].rstrip().rstrip(",") + f""",
+docs AS (SELECT doc_id, text AS heading, CASE WHEN source IN ('src3', 'src11') THEN text || ' ' || text ELSE text END AS content FROM documents WHERE coalesce(source, '') NOT IN ('src3', 'src11') OR doc_id % 2 = 0),
+p AS (SELECT doc_id AS id, unnest({tokens_sql("string_split(heading, chr(10))[1]")}) AS lexeme, 1 AS head FROM docs UNION ALL SELECT doc_id, unnest({tokens_sql("content")}), 0 FROM docs),
+g AS (SELECT id, lexeme, sum(head) AS a, sum(1 - head) AS b FROM p GROUP BY ALL),
+u AS (SELECT query_id, unnest(lexemes) AS lexeme FROM q),
+k0 AS (SELECT query_id, id, round(sum(a)::DOUBLE * 1.0::DOUBLE + sum(b)::DOUBLE * 0.4::DOUBLE, 6) AS score FROM u JOIN g USING (lexeme) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::BIGINT AS keyword_rank FROM k0 QUALIFY keyword_rank <= 20"""
+
+
+def _replaced(spark, sf_dir, number):
+    root = stores.replaced_texts(spark, sf_dir)
+    found = text_index.rank(spark, root, questions(spark, sf_dir).select("query_id", "text"), number=number)
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("keyword_rank"))
+
+
+@query(REPLACED_SQL)
+def keyword_rank_replaced(spark, sf_dir):
+    """After the rows of two sources were replaced: a segment and a list of void sources."""
+    return _replaced(spark, sf_dir, 2)
+
+
+@query(REPLACED_SQL)
+def keyword_rank_merged(spark, sf_dir):
+    """The same after all segments were merged."""
+    return _replaced(spark, sf_dir, 3)
+
+
+@query(FUSED_SQL + "SELECT query_id, id, distance, semantic_rank::BIGINT AS semantic_rank FROM sem")
+def vector_index_topk(spark, sf_dir):
+    """The semantic arm from the stored vector index."""
+    found = vector_index.Index(spark, stores.vectors_of(spark, sf_dir), 1).nearest(questions(spark, sf_dir).select("query_id", "embedding"))
+    return found.select("query_id", "id", "distance", F.col("rank").cast("long").alias("semantic_rank"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+v AS (SELECT vec_id AS id, CASE WHEN vec_id % 10 = 4 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE vec_id % 20 <> 14),
+s AS (SELECT query_id, id, round(list_cosine_distance(e, qv::DOUBLE[]), 9) AS distance FROM v, q)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::BIGINT AS semantic_rank FROM s QUALIFY semantic_rank <= 20""")
+def vector_index_replaced(spark, sf_dir):
+    """After the vectors of a source were replaced."""
+    found = vector_index.Index(spark, stores.replaced_vectors(spark, sf_dir), 2).nearest(questions(spark, sf_dir).select("query_id", "embedding"))
+    return found.select("query_id", "id", "distance", F.col("rank").cast("long").alias("semantic_rank"))
 
 
 @query(FUSED_SQL + """, d AS (SELECT q.query_id, min(round(list_cosine_distance(e.embedding::DOUBLE[], qv::DOUBLE[]), 6)) AS nearest, count(t.id) AS n FROM q LEFT JOIN top t ON t.query_id = q.query_id AND t.id <> q.query_id LEFT JOIN embeddings e ON e.vec_id = t.id GROUP BY q.query_id)
