@@ -6,8 +6,9 @@ periodic difference cover has that property too, but with four times as many sam
 A sample's rank is the class of its run, and the second rank the class of all bytes within reach of it.
 
 A bucket is all suffixes through samples of one rank. Suffixes whose second ranks are equal are tied over their whole
-length, which needs no byte of them; only what is left of a bucket is sorted by its bytes. Buckets are read one after
-another by each task. One above BUCKET is dealt out anew by the bytes that strings of about the same start share. What is
+length, which needs no byte of them; what is left of a bucket is sorted by its bytes, and neighbours' common length tells
+which strings repeat. Ranks and second ranks are 64-bit hashes: they settle ties, and the bytes settle the order.
+Buckets are read one after another by each task. One above BUCKET is dealt out anew by the bytes that strings of about the same start share. What is
 still above it is cut into parts of about that size, so that memory is bounded; only the first of each string in each
 part is then compared with those of the other parts.
 """
@@ -79,19 +80,38 @@ def within(before: np.ndarray, after: np.ndarray, low: np.ndarray, high: np.ndar
     return (before >= o) & (after >= length - o) & (low <= o) & (o < high)
 
 
+def ordered(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their bucket and bytes, and how many bytes each has in common with the row before (-1 in another bucket)."""
+    whole = np.concatenate([bucket.astype(">u8").view(np.uint8).reshape(-1, 8), text], axis=1)
+    order = np.argsort(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), kind="stable")
+    rows = whole[order]
+    same = np.concatenate([rows[1:] == rows[:-1], np.zeros((len(rows) - 1, 1), bool)], axis=1)
+    common = same.argmin(axis=1) - 8
+    return order, np.concatenate([[-1], np.where(common < 0, -1, common)])
+
+
+def classes(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """A number for each row, which rows share that agree in ``least`` bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < least)
+    return out
+
+
 def repeats(bucket: np.ndarray, context: np.ndarray, inside: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which strings of ``inside`` also stand in an earlier row of their bucket.
 
-    Rows are in the order of their places; ``context`` has the bytes from length - SAMPLE before to ``length`` after.
+    Rows are in the order of their places; ``context`` has the bytes from length - SAMPLE before to ``length`` after. The
+    suffixes from the samples on are sorted, and so are the bytes before them, read backwards; strings are equal if neighbours in
+    both orders agree far enough.
     """
     reach = length - SAMPLE
-    weights = np.cumprod(np.full(context.shape[1], PRIME, np.uint64))
-    sums = np.zeros((len(context), context.shape[1] + 1), np.uint64)
-    np.cumsum((context.astype(np.uint64) + np.uint64(1)) * weights, axis=1, out=sums[:, 1:])
     out = np.zeros((len(context), reach + 1), bool)
+    if len(context) < 2:
+        return out
+    after, before = ordered(bucket, context[:, reach:]), ordered(bucket, context[:, :reach][:, ::-1])
     for o in range(reach + 1):
         rows = np.flatnonzero(inside[:, o])
-        key = _mix((sums[rows, reach - o + length] - sums[rows, reach - o]) ^ _mix(bucket[rows]))
+        key = classes(*after, length - o)[rows] * (len(context) + 1) + classes(*before, o)[rows]
         order = np.argsort(key, kind="stable")
         out[rows[order[1:]][key[order][1:] == key[order][:-1]], o] = True
     return out
