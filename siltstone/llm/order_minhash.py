@@ -31,6 +31,8 @@ SKETCHES = 32
 GROUP, WORDS = 1024, 2_000_000
 #: Pairs of one lead that a task aligns.
 LEADS = 1000
+#: Edits that the first band of an alignment holds.
+FIRST_BAND = 32
 #: Counters of a text's words by hash, whose differences bound the edits between two texts from below.
 BINS = 256
 SIMILAR = 0.8
@@ -114,17 +116,26 @@ def apart(n: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray
 
 
 def distance(a: list, b: list, most: int) -> int | None:
-    """Edits (insert, delete, replace a word) from a to b if at most ``most``, else None: an alignment within a band of
-    2 * most + 1 diagonals, a column of which is the bits of one number."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    a, b = a[k:], b[k:]
-    m, n = len(a), len(b)
-    if abs(m - n) > most:
+    """Edits (insert, delete, replace a word) from a to b if at most ``most``, else None. The words that both begin and end with need no
+    alignment; the rest is aligned in a narrow band, which is doubled until it holds the edits or ``most``."""
+    shorter = min(len(a), len(b))
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), shorter)
+    e = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if i == shorter - k or x != y), shorter - k)
+    a, b = a[k : len(a) - e], b[k : len(b) - e]
+    if abs(len(a) - len(b)) > most:
         return None
-    if not m or not n:
-        return m + n
+    if not a or not b:
+        return len(a) + len(b)
+    band = max(FIRST_BAND, abs(len(a) - len(b)))
+    while (d := aligned(a, b, min(band, most))) is None and band < most:
+        band *= 2
+    return d
+
+
+def aligned(a: list, b: list, most: int) -> int | None:
+    """Edits from a to b if at most ``most``, else None: an alignment within a band of 2 * most + 1 diagonals, a column of
+    which is the bits of one number."""
+    m, n = len(a), len(b)
     at: dict = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
@@ -288,6 +299,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id"
     groups = groups.withColumnRenamed("node", "rep")
     ends = links.select("rep").unionByName(links.select(F.col("lead").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     told = leads.join(groups, "rep", "left").join(ends, "rep", "left").select(F.col("__hash"), F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = base.drop("sketch").join(told, "__hash", "left")
+    rows = base.drop("sketch")  # rows without a text have no hash to be joined by
+    out = rows.where("__hash IS NOT NULL").join(told, "__hash", "left")
+    out = out.unionByName(rows.where("__hash IS NULL").withColumns({"class_id": F.lit(None).cast(kind), "links": F.lit(0).cast("long")}))
     own = F.when(F.col("__id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "__id"))
     return out.select(F.col("__id").alias(key), own.alias("class_id"), (F.col("__id").eqNullSafe(own)).alias("kept"), F.when(F.col("__id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("links"))
