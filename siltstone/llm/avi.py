@@ -5,7 +5,8 @@ whose Huffman table gives category s a code of 9 - s bits. With its s extra bits
 that a whole batch of frames is coded and decoded by array operations.
 
 Files of others are read too: frames of baseline (SOF0, SOF1) and lossless (SOF3) JPEG with 8-bit samples, by the tables
-that they bear. What can't be read gives a reason, never a failed job.
+that they bear or, as usual motion-JPEG leaves them out, by the usual ones; and frames by the idx1 index, by that of
+OpenDML, or through the movi lists. What can't be read gives a reason, never a failed job.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,36 +110,63 @@ class Unreadable(ValueError):
 
 
 def read_index(media: bytes) -> tuple[int, list[tuple[int, int]]]:
-    """(microseconds a frame, [(offset, length) of each video frame]) by the RIFF lists and the idx1 index; a file without
-    an index is read through the movi list."""
+    """(microseconds a frame, [(offset, length) of each video frame]) by the RIFF lists and the OpenDML or idx1 index; a file without
+    an index is read through its movi lists, of which files above a gigabyte have several."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise Unreadable("not an AVI file")
-    at, movi, micros, index = 12, None, 0, b""
+    at, movies, micros, index, supers = 12, [], 0, b"", []
     while at + 8 <= len(media):
         kind, size = struct.unpack_from("<4sI", media, at)
+        if kind == b"RIFF":  # a further segment
+            at += 12
+            continue
         if kind == b"LIST" and media[at + 8 : at + 12] == b"hdrl" and at + 24 <= len(media):
             micros = struct.unpack_from("<I", media, at + 20)[0]
+            supers = [(a, n) for a, n in _walk(media, at + 12, min(len(media), at + 8 + size), (b"indx",))]
         elif kind == b"LIST" and media[at + 8 : at + 12] == b"movi":
-            movi = at + 8, min(len(media), at + 8 + size)
-        elif kind == b"idx1":
+            movies.append((at + 8, min(len(media), at + 8 + size)))
+        elif kind == b"idx1" and not index:
             index = media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
-    if movi is None:
+    if not movies:
         raise Unreadable("no movi list")
+    if found := [f for a, n in supers for f in _open_index(media, a, n)]:
+        return micros, found
     entries = np.frombuffer(index[: len(index) // 16 * 16], np.dtype([("kind", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
     frames = [(int(e["at"]), int(e["size"])) for e in entries if e["kind"][2:] in (b"dc", b"db")]
-    if not frames:
-        return micros, list(_walk(media, movi[0] + 4, movi[1]))
-    base = movi[0] if media[movi[0] + frames[0][0] + 2 : movi[0] + frames[0][0] + 4] in (b"dc", b"db") else 0  # some count from the file's start
+    if not frames or len(movies) > 1:
+        return micros, [f for a, b in movies for f in _walk(media, a + 4, b)]
+    first = movies[0][0]
+    base = first if media[first + frames[0][0] + 2 : first + frames[0][0] + 4] in (b"dc", b"db") else 0  # some count from the file's start
     return micros, [(base + at + 8, size) for at, size in frames]
 
 
-def _walk(media: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
+def _open_index(media: bytes, at: int, size: int, deep: bool = True) -> list[tuple[int, int]]:
+    """Frames of an OpenDML index at this place: of frames itself, or of further indexes."""
+    if size < 24 or at + 24 > len(media):
+        return []
+    words, _, kind, n, chunk, base = struct.unpack_from("<HBBI4sQ", media, at)
+    if chunk[2:] not in (b"dc", b"db"):
+        return []
+    if kind == 1 and words == 2:
+        n = min(n, (len(media) - at - 24) // 8)
+        entries = np.frombuffer(media, "<u4", 2 * n, at + 24).astype(np.int64).reshape(-1, 2)
+        return [(base + a, s & 0x7FFFFFFF) for a, s in entries.tolist() if base + a < len(media)]
+    if kind == 0 and words == 4 and deep:
+        n = min(n, (len(media) - at - 24) // 16)
+        parts = [struct.unpack_from("<QII", media, at + 24 + 16 * i) for i in range(n)]
+        return [f for a, s, _ in parts for f in _open_index(media, a + 8, s - 8, False)]
+    return []
+
+
+def _walk(media: bytes, at: int, end: int, wanted: tuple[bytes, ...] = (b"dc", b"db")) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the chunks whose names end so, in lists within lists."""
     while at + 8 <= end:
         kind, size = struct.unpack_from("<4sI", media, at)
         if kind == b"LIST":
-            yield from _walk(media, at + 12, min(end, at + 8 + size))
-        elif kind[2:] in (b"dc", b"db"):
+            at += 12
+            continue
+        if kind.endswith(wanted):
             yield at + 8, size
         at += 8 + size + (size & 1)
 
@@ -147,25 +176,75 @@ ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i
 COSINES = np.array([[math.sqrt((1 if u == 0 else 2) / 8) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
 
 
+# The Huffman tables that frames use which leave theirs out, by kind and number: how many codes each length has, and the symbols.
+USUAL = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: (
+        [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125],
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 29 2a "
+        "34 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89 8a "
+        "92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da "
+        "e1 e2 e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+    0x11: (
+        [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 27 28 29 2a "
+        "35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 82 83 84 85 86 87 88 89 8a "
+        "92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da "
+        "e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+}
+
+
+@lru_cache(maxsize=64)
+def prefixes(counts: bytes, symbols: bytes) -> list[int]:
+    """For each 16 bits length << 8 | symbol of the code that they begin with; 0 where there is none."""
+    out, value, at = [0] * (1 << 16), 0, 0
+    for n, k in enumerate(counts, 1):
+        for symbol in symbols[at : at + k]:
+            if value >> n:
+                raise Unreadable("a table of more codes than there are")
+            out[value << 16 - n : value + 1 << 16 - n] = [n << 8 | symbol] * (1 << 16 - n)
+            value += 1
+        value, at = value << 1, at + k
+    return out
+
+
 class _Bits:
-    """Bits of entropy-coded bytes."""
+    """Bits of entropy-coded bytes, read through a window of some 64 of them."""
 
     def __init__(self, raw: bytes):
-        self.raw, self.at, self.end = int.from_bytes(raw, "big"), 8 * len(raw), 8 * len(raw)
-
-    def take(self, n: int) -> int:
-        if n > self.at:
+        self.raw, self.next, self.window, self.n = raw, 0, 0, 0
+        self.left = 8 * len(raw)
+
+    def _fill(self) -> None:
+        some = self.raw[self.next : self.next + 6]
+        self.next += 6
+        self.window = (self.window & (1 << self.n) - 1) << 48 | int.from_bytes(some.ljust(6, b"\0"), "big")
+        self.n += 48
+
+    def _drop(self, n: int) -> None:
+        self.left -= n
+        self.n -= n
+        if self.left < 0:
             raise Unreadable("a frame's data end early")
-        self.at -= n
-        return self.raw >> self.at & ((1 << n) - 1)
 
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        value = 0
-        for n in range(1, 17):
-            value = value << 1 | self.take(1)
-            if (n, value) in table:
-                return table[n, value]
-        raise Unreadable("a code outside the frame's table")
+    def take(self, n: int) -> int:
+        if self.n < n:
+            self._fill()
+        value = self.window >> self.n - n & (1 << n) - 1
+        self._drop(n)
+        return value
+
+    def symbol(self, table: list[int]) -> int:
+        if self.n < 16:
+            self._fill()
+        found = table[self.window >> self.n - 16 & 0xFFFF]
+        if not found:
+            raise Unreadable("a code outside the frame's table")
+        self._drop(found >> 8)
+        return found & 255
 
     def signed(self, n: int) -> int:
         value = self.take(n) if n else 0
@@ -176,7 +255,8 @@ def decode_jpeg(body: bytes) -> np.ndarray:
     """Samples (rows, columns) of the first component of a baseline or lossless JPEG image."""
     if body[:2] != b"\xff\xd8":
         raise Unreadable("not a JPEG frame")
-    at, quantities, tables, frame, restart = 2, {}, {}, None, 0
+    at, quantities, frame, restart = 2, {}, None, 0
+    tables = {k: prefixes(bytes(counts), bytes.fromhex(symbols)) for k, (counts, symbols) in USUAL.items()}
     while at + 4 <= len(body):
         if body[at] != 0xFF:
             raise Unreadable("no marker where one is due")
@@ -189,14 +269,9 @@ def decode_jpeg(body: bytes) -> np.ndarray:
                 part = part[1 + 64 * width :]
         elif marker == 0xC4:
             while part:
-                counts, value, first = part[1:17], 0, 17
-                table = tables[part[0]] = {}
-                for n, k in enumerate(counts, 1):
-                    for symbol in part[first : first + k]:
-                        table[n, value] = symbol
-                        value += 1
-                    value, first = value << 1, first + k
-                part = part[first:]
+                end = 17 + sum(part[1:17])
+                tables[part[0]] = prefixes(bytes(part[1:17]), bytes(part[17:end]))
+                part = part[end:]
         elif marker in (0xC0, 0xC1, 0xC3):
             bits, rows, columns, n = struct.unpack_from(">BHHB", part)
             if bits != 8 or not rows or not columns:
