@@ -98,7 +98,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, key:
     new = ["size", "source_size", "target", "copies", "taken"]
     own = [c for c in (docs.columns if keep is None else keep) if c not in new]
     tie = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    base = docs.select(*own, words(F.col(text)).alias("size"), uniform(F.col(key), seed).alias("__u"), F.col(source).alias("__source"), tie.alias("__tie"))
+    safe = [f"__own{i}" for i in range(len(own))]  # so that no column of docs is taken for one of those made here
+    base = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(own, safe)), words(F.col(text)).alias("size"), uniform(F.col(key), seed).alias("__u"), F.col(source).alias("__source"), tie.alias("__tie"))
     base = cut(base, "mix")  # texts are read once
     sums = base.groupBy(F.col("__source").alias("source"), digits(F.col("size")).alias("digits")).agg(F.sum("size").alias("words"))
     totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -129,7 +130,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, key:
     last = last.withColumn("__in", F.abs(F.col("__upto") - F.col("__need")) <= F.abs(F.col("__upto") - F.col("size") - F.col("__need")))
     rest = tagged.where("__fine is null or end_fine is null or __fine <> end_fine").withColumn("__upto", F.lit(None).cast("long"))
     rest = rest.withColumn("__in", F.col("__fine").isNotNull() & (F.col("end_fine").isNull() | (F.col("__fine") < F.col("end_fine"))))
-    return rest.unionByName(last).withColumn("copies", F.least(F.col("__whole") + F.col("__in").cast("long"), F.lit(most))).withColumn("taken", F.col("copies") * F.col("size")).select(*own, *new)
+    return rest.unionByName(last).withColumn("copies", F.least(F.col("__whole") + F.col("__in").cast("long"), F.lit(most))).withColumn("taken", F.col("copies") * F.col("size")).select(*(F.col(n).alias(c) for c, n in zip(own, safe)), *new)
 
 
 #: The same mix in DuckDB's SQL.
