@@ -28,8 +28,9 @@ from .common import cut, slices, spread_join, whole_groups
 #: Lines of the shortest run that is deleted, and words of one that has fewer. Blank lines don't count and are never deleted.
 WINDOW, LONG = 3, 50
 BLANK = " \t\r\f\v"
-#: Places of a fingerprint that a task extends at once: a share of all fingerprints, within these bounds.
-FEW, MANY, SHARE = 256, 1 << 16, 1000
+#: Places of a fingerprint that a task extends at once: at least FEW, and one in SHARE of all; so at most SHARE fingerprints have more, and
+#: are broadcast.
+FEW, SHARE = 256, 1 << 14
 MARK = pa.struct([("pos", pa.int32()), ("key", pa.int64()), ("check", pa.int64()), ("words", pa.int32()), ("near", pa.list_(pa.int64())), ("near_words", pa.list_(pa.int32()))])
 
 
@@ -103,13 +104,15 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG, key: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(row, row + n)), pa.array(count, pa.int64()), listed], [*names, "__row", "n_lines", "__marks"])
             row += n
 
-    picked = docs.select(*own)
-    names = picked.columns
+    names = [f"__own{i}" for i in range(len(own))]  # so that no column of docs is taken for one of those made here
+    picked = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(own, names)))
+    of = dict(zip(own, names))
+    key, text = of[key], of[text]
     more = T.StructType.fromDDL("__row long, n_lines long, __marks array<struct<pos:int,key:long,check:long,words:int,near:array<long>,near_words:array<int>>>")
     base = cut(picked.mapInArrow(run, T.StructType([*picked.schema.fields, *more.fields])), "lines", free=True)
     marks = base.select("__row", F.col(key).alias("id"), F.explode("__marks").alias("m")).select("__row", "id", "m.*")
     total = base.agg(F.sum(F.size("__marks"))).first()[0] or 0
-    few = max(FEW, min(MANY, total // SHARE))
+    few = max(FEW, total // SHARE)
     counts = cut(marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "fingerprints", free=True)
     gone = "__row long, a int, b int"
 
@@ -173,7 +176,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG, key: st
             yield pa.RecordBatch.from_arrays([*columns, batch.column("n_lines"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], [*names, *new])
 
     out = base.drop("__marks").join(later, "__row", "left").drop("__row")
-    return out.mapInArrow(rewrite, T.StructType([*picked.schema.fields, *(T.StructField(c, T.LongType()) for c in new)]))
+    out = out.mapInArrow(rewrite, T.StructType([*picked.schema.fields, *(T.StructField(c, T.LongType()) for c in new)]))
+    return out.select(*(F.col(n).alias(c) for c, n in of.items()), *new)
 
 
 def _sql(window: int = WINDOW, long: int = LONG) -> str:
