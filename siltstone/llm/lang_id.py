@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, utf8
+from .common import cut, fold, slices, utf8
 
 #: Hashed trigrams.
 BITS = 12
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     least = rows.groupBy("lang", F.pmod("h", F.lit(per_language)).alias("part")).agg(F.min("h").alias("h")).select("lang", "h")
     chosen = rows.join(F.broadcast(least), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+    chosen = cut(chosen, "chosen")  # a bounded number of texts, read several times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
