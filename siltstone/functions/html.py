@@ -49,10 +49,15 @@ class _Tree(HTMLParser):
 
 
 def _walk(node):
-    for child in node[2]:
-        if not isinstance(child, str):
+    """All tags below a node, in their order."""
+    stack = [iter(node[2])]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif not isinstance(child, str):
             yield child
-            yield from _walk(child)
+            stack.append(iter(child[2]))
 
 
 def _main(root):
@@ -73,23 +78,35 @@ def _noise(node) -> bool:
     return node[0] in NOISE_TAGS or any(k in names for k in NOISE_NAMES)
 
 
-def _render(node, depth: int = 0) -> str:
+def _parts(node, depth: int):
+    """A node's Markdown, as a generator that yields (child, depth) for each child that it needs and is sent its Markdown."""
     if isinstance(node, str):
         return re.sub(r"\s+", " ", node)
     tag, attrs, children = node
     children = [c for c in children if isinstance(c, str) or not _noise(c)]
     if tag in ("ul", "ol"):
-        items = [c for c in children if not isinstance(c, str)]
+        items = []
+        for c in children:
+            if not isinstance(c, str):
+                items.append((yield c, depth + 1).strip())
         marks = [f"{i}. " if tag == "ol" else "- " for i in range(1, len(items) + 1)]
-        return "\n" + "\n".join("  " * depth + m + _render(c, depth + 1).strip() for m, c in zip(marks, items)) + "\n" + ("" if depth else "\n")
+        return "\n" + "\n".join("  " * depth + m + x for m, x in zip(marks, items)) + "\n" + ("" if depth else "\n")
     if tag == "table":
-        rows = [[_render(c, depth).strip().replace("\n", " ") for c in n[2] if not isinstance(c, str) and c[0] in ("td", "th")] for n in [*_walk(node)] if n[0] == "tr"]
-        rows = [r for r in rows if r]
+        rows = []
+        for n in _walk(node):
+            if n[0] == "tr":
+                cells = []
+                for c in n[2]:
+                    if not isinstance(c, str) and c[0] in ("td", "th"):
+                        cells.append((yield c, depth).strip().replace("\n", " "))
+                rows += [cells] if cells else []
         lines = ["| " + " | ".join(r) + " |" for r in rows]
         return "\n\n" + "\n".join([*lines[:1], *(["| " + " | ".join(["---"] * len(rows[0])) + " |"] if rows else []), *lines[1:]]) + "\n\n"
+    inner = ""
+    for c in children:
+        inner += c if tag == "pre" and isinstance(c, str) else (yield c, depth)
     if tag == "pre":
-        return "\n\n```\n" + "".join(c if isinstance(c, str) else _render(c, depth) for c in children).strip("\n") + "\n```\n\n"
-    inner = "".join(_render(c, depth) for c in children)
+        return "\n\n```\n" + inner.strip("\n") + "\n```\n\n"
     if re.fullmatch(r"h[1-6]|dt", tag):
         return "\n\n" + "#" * (2 if tag == "dt" else int(tag[1])) + " " + inner.strip() + "\n\n"
     if tag == "br":
@@ -104,6 +121,19 @@ def _render(node, depth: int = 0) -> str:
     return f"\n\n{inner.strip()}\n\n" if tag in BLOCKS else inner
 
 
+def _render(node) -> str:
+    """The Markdown of a tree of any depth."""
+    open_, told = [_parts(node, 0)], None
+    while open_:
+        try:
+            open_.append(_parts(*open_[-1].send(told)))
+            told = None
+        except StopIteration as end:
+            open_.pop()
+            told = end.value
+    return told
+
+
 def page_markdown(page: str) -> str:
     tree = _Tree()
     tree.feed(page)

@@ -306,12 +306,13 @@ def lead(text: Column, most: int = 90) -> Column:
     return F.when((F.length(first) > 0) & (F.length(first) <= most) & more, first)
 
 
-def clean_heading(heading: Column, depth: int = 6) -> Column:
-    """A heading without emphasis and links around all of it, up to ``depth`` of them."""
+def clean_heading(heading: Column) -> Column:
+    """A heading without emphasis and links around all of it, however many of them."""
+    peel = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"^\*\*(.+)\*\*$|^__(.+)__$", "$1$2"), r"^\[(.+)\]\([^)]*\)$", "$1"))
+    wrapped = lambda c: c.rlike(r"^(?:\*\*.+\*\*|__.+__|\[.+\]\([^)]*\))$")
     out = F.trim(heading)
-    for _ in range(depth):
-        out = F.trim(F.regexp_replace(F.regexp_replace(out, r"^\*\*(.+)\*\*$|^__(.+)__$", "$1$2"), r"^\[(.+)\]\([^)]*\)$", "$1"))
-    return out
+    layers = F.sequence(F.lit(0), F.floor(F.length(out) / 4).cast("int"))  # each has four characters at least
+    return F.when(wrapped(out), F.aggregate(layers, out, lambda c, _: F.when(wrapped(c), peel(c)).otherwise(c))).otherwise(out)
 
 
 def breadcrumb(title: Column, parent: Column, heading: Column) -> Column:

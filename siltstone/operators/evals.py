@@ -47,18 +47,25 @@ def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float |
     """Exact quantiles, by linear interpolation between the two values next to each.
 
     The range of values that holds a rank is cut in a thousand parts, of which sums tell the one that holds it, until it
-    has FEW values or only one value; so nothing is sorted whole.
+    has FEW values or only one value; so nothing is sorted whole. Nulls and NaN are left out; infinite values stand below or above all
+    others, and between an infinite value and another one there is nothing but the infinite one.
     """
-    values = rows.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    all_values = rows.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    finite = F.abs("v") < math.inf
+    values = all_values.where(finite)
+    below, n, low, high = all_values.agg(F.count_if(F.col("v") == -math.inf), F.count("*"), F.min(F.when(finite, F.col("v"))), F.max(F.when(finite, F.col("v")))).first()
     if not n:
         return [None] * len(shares)
+    within = values.count() if low is not None else 0
 
     def ranked(rank: int, low: float, high: float) -> float:
+        rank -= below
+        if rank < 0 or rank >= within:
+            return -math.inf if rank < 0 else math.inf
         before = 0
         while low < high:
             inside = values.where(F.col("v").between(low, high))
-            part = F.least(F.lit(999), F.floor((F.col("v") - low) / (high - low) * 1000))
+            part = F.least(F.lit(999), F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * 1000))  # halves, as the range may be above the greatest number
             for r in sorted(inside.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect(), key=lambda r: r["part"]):
                 if before + r["n"] > rank:
                     low, high, held = r["a"], r["b"], r["n"]
@@ -72,5 +79,5 @@ def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float |
     for share in shares:
         k = (n - 1) * share
         a, b = ranked(math.floor(k), low, high), ranked(math.ceil(k), low, high)
-        out.append(a + (b - a) * (k - math.floor(k)))
+        out.append(a if a == b else b if math.isinf(b) and k > math.floor(k) else a if math.isinf(a) else a + (b - a) * (k - math.floor(k)))
     return out

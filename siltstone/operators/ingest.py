@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from siltstone.functions import html as ht
+from siltstone.functions.isolate import isolated
 
 from .ledger import sections
 
@@ -19,8 +21,16 @@ def chunks_of(bodies: DataFrame) -> DataFrame:
 
 
 def bodies_of(pages: DataFrame) -> DataFrame:
-    """source_url, title, page_last_updated, body of pages (url, html); one without a title keeps its address."""
-    return pages.select(F.col("url").alias("source_url"), F.coalesce(ht.title(F.col("html")), F.col("url")).alias("title"), ht.last_updated(ht.page_text(F.col("html"))).alias("page_last_updated"), ht.to_markdown("html").alias("body"))
+    """source_url, title, page_last_updated, body, error of pages (url, html); one without a title keeps its address, and one that can't be
+    read has an error and no body."""
+    told = pages.withColumn("__told", F.when(F.col("html").isNotNull(), isolated(ht.page_markdown, StringType())("html")))
+    return told.select(
+        F.col("url").alias("source_url"),
+        F.coalesce(ht.title(F.col("html")), F.col("url")).alias("title"),
+        ht.last_updated(ht.page_text(F.col("html"))).alias("page_last_updated"),
+        F.col("__told.value").alias("body"),
+        F.col("__told.error").alias("error"),
+    )
 
 
 def reindex(sources: DataFrame, chunks: DataFrame, bodies: DataFrame, annotations: DataFrame, embed, now: Column) -> tuple[DataFrame, DataFrame]:

@@ -512,27 +512,27 @@ def consistency_having(spark, sf_dir):
 
 
 def markdown(spark, sf_dir):
-    own = lambda x: F.regexp_replace(F.left(x, F.lit(30)), "^\\s+|\\s+$", "")
-    title = lambda x, i: F.when(i % 6 == 0, F.concat(F.lit("**"), own(x), F.lit("**"))).when(i % 15 == 3, F.concat(F.lit("[**"), own(x), F.lit("**](#a)"))).otherwise(own(x))
+    own = lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")
+    deep = lambda x: F.concat(F.repeat(F.lit("[** "), 9), own(x), F.repeat(F.lit(" **](#a)"), 9))
+    title = lambda x, i: F.when(i % 12 == 0, deep(x)).when(i % 6 == 0, F.concat(F.lit("**"), own(x), F.lit("**"))).when(i % 15 == 3, F.concat(F.lit("[**"), own(x), F.lit("**](#a)"))).otherwise(own(x))
     line = lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), (i % 4 + 1).cast("int")), F.lit(" "), title(x, i))).when(i % 20 == 7, "```").when(i % 20 == 11, "  ```").otherwise(x)
     body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.expr("doc_id % 10 = 0"), F.col("text")).otherwise(F.concat(F.lit("above\n"), body)).alias("body"))
 
 
-def _clean_sql(c: str) -> str:
-    for _ in range(6):
-        c = rf"trim(regexp_replace(regexp_replace({c}, '^\*\*(.+)\*\*$|^__(.+)__$', '\1\2'), '^\[(.+)\]\([^)]*\)$', '\1'))"
-    return c
-
-
-MARKDOWN_SQL = r"""WITH d0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
-d1 AS (SELECT doc_id, text, list_transform(a, lambda x, n: CASE WHEN (n - 1) % 3 = 0 THEN repeat('#', ((n - 1) % 4 + 1)::INT) || ' ' || CASE WHEN (n - 1) % 6 = 0 THEN '**' || regexp_replace(left(x, 30), '^\s+|\s+$', '', 'g') || '**' WHEN (n - 1) % 15 = 3 THEN '[**' || regexp_replace(left(x, 30), '^\s+|\s+$', '', 'g') || '**](#a)' ELSE regexp_replace(left(x, 30), '^\s+|\s+$', '', 'g') END
+MARKDOWN_SQL = r"""WITH RECURSIVE d0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+d1 AS (SELECT doc_id, text, list_transform(a, lambda x, n: CASE WHEN (n - 1) % 3 = 0 THEN repeat('#', ((n - 1) % 4 + 1)::INT) || ' ' || CASE WHEN (n - 1) % 12 = 0 THEN repeat('[** ', 9) || regexp_replace(x, '^\s+|\s+$', '', 'g') || repeat(' **](#a)', 9) WHEN (n - 1) % 6 = 0 THEN '**' || regexp_replace(x, '^\s+|\s+$', '', 'g') || '**' WHEN (n - 1) % 15 = 3 THEN '[**' || regexp_replace(x, '^\s+|\s+$', '', 'g') || '**](#a)' ELSE regexp_replace(x, '^\s+|\s+$', '', 'g') END
   WHEN (n - 1) % 20 = 7 THEN '```' WHEN (n - 1) % 20 = 11 THEN '  ```' ELSE x END) AS a FROM d0),
 b AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text ELSE 'above' || chr(10) || array_to_string(a, chr(10)) END AS body FROM d1),
 l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS x, unnest(range(0, len(string_split(body, chr(10))))) AS i FROM b),
 e AS (SELECT *, regexp_matches(x, '^\s*(?:```|~~~)') AS fence FROM l),
 f AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS fenced FROM e),
-""" + f"h AS (SELECT *, CASE WHEN fenced = 0 AND NOT fence THEN nullif({_clean_sql(r"regexp_extract(x, '^#{1,4}[ \t]+(\S.*?)\s*$', 1)")}, '') END AS name FROM f)," + r"""
+raw AS (SELECT *, trim(regexp_extract(x, '^#{1,4}[ \t]+(\S.*?)\s*$', 1)) AS label FROM f),
+peel AS (SELECT DISTINCT label, label AS bare, 0 AS layers FROM raw
+         UNION ALL SELECT label, trim(regexp_replace(regexp_replace(bare, '^\*\*(.+)\*\*$|^__(.+)__$', '\1\2'), '^\[(.+)\]\([^)]*\)$', '\1')), layers + 1 FROM peel
+         WHERE regexp_matches(bare, '^(\*\*.+\*\*|__.+__|\[.+\]\([^)]*\))$')),
+bared AS (SELECT label, max_by(bare, layers) AS bare FROM peel GROUP BY label),
+h AS (SELECT raw.*, CASE WHEN fenced = 0 AND NOT fence THEN nullif(bare, '') END AS name FROM raw JOIN bared USING (label)),
 m AS (SELECT *, CASE WHEN name IS NOT NULL THEN length(regexp_extract(x, '^(#+)', 1)) END AS mark FROM h),
 n AS (SELECT *, count(mark) OVER (PARTITION BY doc_id ORDER BY i) AS nth, count(mark) OVER (PARTITION BY doc_id) AS headings FROM m),
 o AS (SELECT *, mark IS NOT NULL AND (nth = 1 OR mark > 1) AS opens FROM n WHERE nth > 0 OR headings = 0),
@@ -549,21 +549,23 @@ def chunk_sections(spark, sf_dir):
     return out.select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "heading", "parent", "breadcrumb", md5(F.col("chunk")).alias("chunk"))
 
 
-INGEST_SQL = MARKDOWN_SQL[: MARKDOWN_SQL.rindex("SELECT doc_id, line::BIGINT")] + """SELECT d.doc_id AS source_url, CASE WHEN d.doc_id % 3 = 0 THEN coalesce(n, 0) ELSE 1 END::BIGINT AS chunks, CASE WHEN d.doc_id % 3 = 0 THEN n ELSE 0 END::BIGINT AS fresh, CASE WHEN d.doc_id % 3 = 0 THEN c ELSE 3 END::BIGINT AS chars,
- CASE WHEN d.doc_id % 3 = 0 THEN DATE '2026-09-14' WHEN d.doc_id % 2 = 0 THEN DATE '2026-01-01' END AS fetched_at, CASE WHEN d.doc_id % 6 = 0 THEN 1 WHEN d.doc_id % 2 = 0 OR d.doc_id % 3 = 0 THEN 0 END::BIGINT AS changes
-FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(concat_ws(' > ', title, parent, nullif(heading, title))) + 2 + length(chunk)) AS c FROM p WHERE chunk <> '' GROUP BY doc_id) x USING (doc_id) WHERE d.doc_id % 3 > 0 OR n > 0"""
+INGEST_SQL = MARKDOWN_SQL[: MARKDOWN_SQL.rindex("SELECT doc_id, line::BIGINT")] + """SELECT doc_id AS source_url, count(*)::BIGINT AS chunks, count(*)::BIGINT AS fresh, sum(length(concat_ws(' > ', title, parent, nullif(heading, title))) + 2 + length(chunk))::BIGINT AS chars,
+ DATE '2026-09-14' AS fetched_at, (doc_id % 2 = 0)::BIGINT AS changes FROM p WHERE chunk <> '' GROUP BY doc_id
+UNION ALL SELECT -1 - page_id, 1, 0, length(html), CASE WHEN page_id % 2 = 1 THEN DATE '2026-01-01' END, CASE WHEN page_id % 2 = 1 THEN 0 END FROM pages"""
 
 
 @query(INGEST_SQL)
 def ingest_snapshots(spark, sf_dir):
-    """Every third document's Markdown takes the place of the chunks that it had; their sources all have rows."""
-    bodies = markdown(spark, sf_dir).where("doc_id % 3 = 0").select(F.col("doc_id").alias("source_url"), "body")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_url"))
-    old = docs.select(F.col("source_url").alias("id"), "source_url", F.lit("old").alias("section_heading"), F.lit(1).alias("heading_level"), F.lit("old").alias("content"), F.array(F.lit(1.0)).alias("embedding"), *(F.lit(None).cast(t).alias(c) for c, t in zip(ingest.ANNOTATIONS, ("date", "string", "string", "boolean"))))
-    had = docs.where("source_url % 2 = 0").select("source_url", F.lit("x").alias("last_indexed_body"), F.lit("2026-01-01").cast("date").alias("fetched_at"), F.lit(None).cast("date").alias("last_changed_at"), F.lit(0).alias("change_count"))
-    notes = docs.select("source_url", *(F.lit(None).cast(t).alias(c) for c, t in zip(ingest.ANNOTATIONS, ("date", "string", "string", "boolean"))))
-    sources, chunks = ingest.reindex(had, old, bodies, notes, prose.embedder(8), F.lit("2026-09-14").cast("date"))
-    per = chunks.groupBy("source_url").agg(F.count("*").alias("chunks"), F.count_if(F.col("content") != "old").alias("fresh"), F.sum(F.length("content")).alias("chars"))
+    """Every document's Markdown takes the place of the chunks that it had; sources of pages stay as they are."""
+    bodies = markdown(spark, sf_dir).select(F.col("doc_id").alias("source_url"), "body")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_url"), F.lit("old").alias("content"))
+    before = docs.unionByName(table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("source_url"), F.col("html").alias("content")))
+    kinds = list(zip(ingest.ANNOTATIONS, ("date", "string", "string", "boolean")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in kinds]
+    old = before.select(F.col("source_url").alias("id"), "source_url", F.lit("old").alias("section_heading"), F.lit(1).alias("heading_level"), "content", F.array(F.lit(1.0)).alias("embedding"), *none)
+    had = before.where("source_url % 2 = 0").select("source_url", F.lit("x").alias("last_indexed_body"), F.lit("2026-01-01").cast("date").alias("fetched_at"), F.lit(None).cast("date").alias("last_changed_at"), F.lit(0).alias("change_count"))
+    sources, chunks = ingest.reindex(had, old, bodies, docs.select("source_url", *none), prose.embedder(8), F.lit("2026-09-14").cast("date"))
+    per = chunks.groupBy("source_url").agg(F.count("*").alias("chunks"), F.count_if(F.col("section_heading") != "old").alias("fresh"), F.sum(F.length("content")).alias("chars"))
     return per.join(sources, "source_url", "left").select("source_url", "chunks", "fresh", "chars", F.col("fetched_at"), F.col("change_count").cast("long").alias("changes"))
 
 

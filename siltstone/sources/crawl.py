@@ -24,11 +24,17 @@ def robots_rules(text: str) -> RobotFileParser:
 
 def robots_gate(pages: DataFrame, robots: DataFrame, agent: str, url: str = "url") -> DataFrame:
     """Every page with ``allowed``. ``robots``: (host, status_code, text) of each host's robots.txt; a host without one, or with one that couldn't be
-    read, allows all."""
+    read, allows all. An address that can't be read is not allowed where there are rules."""
+
+    def one(text: str | None, address: str | None) -> bool:
+        try:
+            return text is None or bool(robots_rules(text).can_fetch(agent, address))
+        except ValueError:
+            return False
 
     @F.pandas_udf(BooleanType())
     def may(text: pd.Series, address: pd.Series) -> pd.Series:
-        return pd.Series([t is None or bool(robots_rules(t).can_fetch(agent, u)) for t, u in zip(text, address)])
+        return pd.Series([one(t, u) for t, u in zip(text, address)])
 
     known = robots.where("status_code < 400").groupBy("host").agg(F.max("text").alias("__robots"))
     return pages.withColumn("__host", host(F.col(url))).join(known.withColumnRenamed("host", "__host"), "__host", "left").withColumn("allowed", may("__robots", url)).drop("__host", "__robots")

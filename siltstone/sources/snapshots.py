@@ -16,13 +16,13 @@ BLOCK = r"(?s)\A---\s*\n(.*?\n)---\s*\n?"
 
 @F.pandas_udf(MapType(StringType(), StringType()))
 def yaml_fields(block: pd.Series) -> pd.Series:
-    """Fields of a YAML block as text; null for what isn't one."""
+    """Fields of a YAML block as text; null for what isn't one, dates that there aren't among them."""
     import yaml
 
     def one(raw):
         try:
             fields = yaml.safe_load(raw)
-        except yaml.YAMLError:
+        except (yaml.YAMLError, ValueError, TypeError, RecursionError):  # its constructors raise what Python's types do
             return None
         return {str(k): None if v is None else str(v) for k, v in fields.items()} if isinstance(fields, dict) else None
 
