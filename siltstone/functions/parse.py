@@ -73,6 +73,7 @@ def tokens_of(run: str) -> list[tuple[str, str]]:
             i += 1
             continue
         token = run[i:end]
+        kind = "numhword" if kind == "hword" and "D" in kinds[i:end] else kind
         out.append((kind, token))
         if kind in ("hword", "numhword"):
             out += [("part" if p.isalpha() else "numpart" if not p.isdecimal() else "uint", p) for p in token.split("-")]

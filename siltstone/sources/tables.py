@@ -96,7 +96,7 @@ def read_table(spark: SparkSession, root: str, name: str, number: int | None = N
     parts = [spark.read.schema(schema).parquet(f"{root}/data/{s['path']}").withColumn("__from", F.lit(s["number"])) for s in table["segments"]]
     rows = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema).withColumn("__from", F.lit(0))
     first = min((s["number"] for s in table["segments"]), default=number)
-    voids = [v for v in state["voids"] if v["number"] > first] if key else []
+    voids = [v for v in state["voids"] if v["number"] > first and v["table"] in (None, name)] if key else []
     if voids:
         kind = schema[key].dataType
         gone = reduce(DataFrame.unionAll, [spark.read.parquet(f"{root}/data/{v['path']}").select(F.col("key").cast(kind).alias("__key"), F.lit(v["number"]).alias("__void")) for v in voids])
@@ -130,33 +130,40 @@ def _commit(spark: SparkSession, root: str, base: int | None, change: Callable[[
             return number + 1
 
 
-def commit(spark: SparkSession, root: str, rows: dict[str, DataFrame], touched: DataFrame | None = None, key: str = "source_url", base: int | None = None, by: dict[str, list[str]] | None = None) -> int:
-    """The number of a new state in which ``rows`` stand in their tables, and older rows of the keys of ``touched`` don't.
+def commit(
+    spark: SparkSession, root: str, rows: dict[str, DataFrame], touched: DataFrame | dict[str, DataFrame] | None = None, key: str = "source_url", base: int | None = None, by: dict[str, list[str]] | None = None, mark: tuple[str, int] | None = None
+) -> int:
+    """The number of a new state in which ``rows`` stand in their tables, and older rows of the keys of ``touched`` don't: of all tables, or
+    of those that it names.
 
     ``base``: the state that the rows were computed from, by default the newest; ``key``: the column of keys in ``touched`` and in those of the
-    tables that have it, others only grow; ``by``: columns that a table's folders are divided by.
+    tables that have it, others only grow; ``by``: columns that a table's folders are divided by; ``mark``: a stream's name and the number of
+    its batch, which is part of the state: a batch that the newest state already has, or a later one of the stream, changes nothing.
     """
     base = current(spark, root) if base is None else base
+    if mark and base and mark[1] <= state_of(spark, root, base).get("marks", {}).get(mark[0], -1):
+        return base
     folder = uuid.uuid4().hex
     for name, df in rows.items():
         _write(df, f"{root}/data/{folder}/{name}", (by or {}).get(name, []))
-    void, buckets = None, []
-    if touched is not None:
-        path = f"{folder}/__keys"
-        touched.select(F.col(key).alias("key")).distinct().withColumn("bucket", F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(BUCKETS)).cast("int")).write.parquet(f"{root}/data/{path}")
+    voids = []
+    for i, (name, df) in enumerate((touched if isinstance(touched, dict) else {None: touched} if touched is not None else {}).items()):
+        path = f"{folder}/__keys{i}"
+        df.select(F.col(key).alias("key")).distinct().withColumn("bucket", F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(BUCKETS)).cast("int")).write.parquet(f"{root}/data/{path}")
         told = spark.read.parquet(f"{root}/data/{path}").agg(F.sort_array(F.collect_set("bucket")), F.sum(16 + F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)))).first()
-        buckets, void = told[0], {"path": path, "bytes": told[1] or 0, "buckets": told[0]}
+        voids.append({"table": name, "path": path, "bytes": told[1] or 0, "buckets": told[0]})
 
     def clashes(other: dict) -> bool:
-        if other["kind"] == "replace":
+        if other["kind"] == "replace" or mark and other.get("marks", {}).get(mark[0], -1) >= mark[1]:
             return True
-        if other["kind"] != "commit" or not void:
-            return False
-        mine = next((v for v in other["voids"] if v["number"] == other["number"]), None)
-        if not mine or not set(buckets) & set(mine["buckets"]):
-            return False
         keys = lambda v: spark.read.parquet(f"{root}/data/{v['path']}").select(F.col("key").cast("string"))
-        return not keys(void).join(keys(mine).withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")), "left_semi").isEmpty()
+        for theirs in other["voids"] if other["kind"] == "commit" else []:
+            for mine in voids:
+                apart = mine["table"] and theirs["table"] and mine["table"] != theirs["table"]
+                if theirs["number"] == other["number"] and not apart and set(mine["buckets"]) & set(theirs["buckets"]):
+                    if not keys(mine).join(keys(theirs).withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")), "left_semi").isEmpty():
+                        return True
+        return False
 
     def change(before: dict, number: int) -> dict:
         tables = dict(before["tables"])
@@ -164,7 +171,7 @@ def commit(spark: SparkSession, root: str, rows: dict[str, DataFrame], touched:
             old = tables.get(name, {"segments": []})
             schema = old.get("schema") or json.loads(spark.read.parquet(f"{root}/data/{folder}/{name}").select(*df.columns).schema.json())
             tables[name] = {"key": old.get("key") or (key if key in df.columns else None), "schema": schema, "segments": [*old["segments"], {"number": number, "path": f"{folder}/{name}"}]}
-        return {"number": number, "kind": "commit", "tables": tables, "voids": [*before["voids"], *([void | {"number": number}] if void else [])]}
+        return {"number": number, "kind": "commit", "tables": tables, "voids": [*before["voids"], *(v | {"number": number} for v in voids)], "marks": before.get("marks", {}) | ({mark[0]: mark[1]} if mark else {})}
 
     return _commit(spark, root, base, change, clashes)
 
@@ -179,7 +186,7 @@ def write_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame], k
         held[name] = {"key": key if key in df.columns else None, "schema": json.loads(df.schema.json()), "segments": [{"path": f"{folder}/{name}"}]}
 
     def change(before: dict, number: int) -> dict:
-        return {"number": number, "kind": "replace", "voids": [], "tables": {n: t | {"segments": [s | {"number": number} for s in t["segments"]]} for n, t in held.items()}}
+        return {"number": number, "kind": "replace", "voids": [], "marks": before.get("marks", {}), "tables": {n: t | {"segments": [s | {"number": number} for s in t["segments"]]} for n, t in held.items()}}
 
     return _commit(spark, root, base, change, lambda other: True)
 
@@ -200,13 +207,13 @@ def merge(spark: SparkSession, root: str, remake: dict[str, Callable[[DataFrame]
         for name in names:
             later = [s for s in tables[name]["segments"] if s["number"] > base]
             tables[name] = tables[name] | {"segments": [{"number": base, "path": f"{folder}/{name}"}, *later]}
-        return {"number": number, "kind": "merge", "tables": tables, "voids": [v for v in before["voids"] if v["number"] > base]}
+        return {"number": number, "kind": "merge", "tables": tables, "voids": [v for v in before["voids"] if v["number"] > base], "marks": before.get("marks", {})}
 
     return _commit(spark, root, base, change, lambda other: other["kind"] in ("merge", "replace"))
 
 
 def clean(spark: SparkSession, root: str, keep: int = 10, grace_seconds: float = 7 * 86_400) -> list[str]:
-    """The folders that were deleted: those that none of the last ``keep`` states lists and that are older than ``grace_seconds``, which a
+    """The names of the folders that were deleted: those that none of the last ``keep`` states lists and that are older than ``grace_seconds``, which a
     writer must not take longer than. Older states go as well, so that who reads one must not take longer than ``keep`` commits."""
     numbers = _numbers(spark, root)
     for n in numbers[:-keep]:
