@@ -695,3 +695,4 @@ def fk_integrity(spark, sf_dir):
 
 from . import answers as _answers  # noqa: E402, F401
 from . import upkeep as _upkeep  # noqa: E402, F401
+from . import flows as _flows  # noqa: E402, F401

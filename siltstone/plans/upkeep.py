@@ -258,16 +258,6 @@ def date_formats(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.short_date(F.col("ts")).alias("short"), tx.day_month_year(F.col("ts")).alias("day_month_year"), F.left(F.col("ts").cast("string"), F.lit(10)).eqNullSafe(F.lit("2024-01-15")).alias("same_day"), tx.iso_day(iso).alias("parsed"))
 
 
-REQUESTS = "CASE event_id % 6 WHEN 0 THEN '10.0.0.7' WHEN 1 THEN '192.168.4.20' WHEN 2 THEN '8.8.8.8' WHEN 3 THEN 'gateway' ELSE concat('10.0.1.', event_id % 256) END"
-FORWARDED = "CASE event_id % 5 WHEN 0 THEN '203.0.113.9, 10.0.0.1' WHEN 1 THEN ' 198.51.100.4 ' WHEN 2 THEN 'not-an-ip' WHEN 3 THEN '300.1.1.1' END"
-NETWORKS = ["10.0.0.0/24", "192.168.0.0/16"]
-
-
-@query(f"SELECT event_id, CASE WHEN event_id % 6 IN (0, 1) AND event_id % 5 = 0 THEN '203.0.113.9' WHEN event_id % 6 IN (0, 1) AND event_id % 5 = 1 THEN '198.51.100.4' ELSE {REQUESTS} END AS client FROM events")
-def client_ip(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", crawl.client(X(REQUESTS), X(FORWARDED), NETWORKS).alias("client"))
-
-
 GATE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 b AS (SELECT user_id, i, event_id, t, 3.0::DOUBLE AS before FROM e WHERE i = 1
  UNION ALL SELECT e.user_id, e.i, e.event_id, e.t, least(3.0::DOUBLE, CASE WHEN b.before >= 1 THEN b.before - 1 ELSE b.before END + greatest(0.0::DOUBLE, (e.t - b.t)::DOUBLE / 1e6::DOUBLE) * (1.0::DOUBLE / 21600)) FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)

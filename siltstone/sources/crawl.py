@@ -44,26 +44,3 @@ def catalog(spark: SparkSession, tables: dict[str, DataFrame], defaults: dict[st
     """table_name, column_name, data_type, nullable, has_default of the given tables."""
     rows = [(t, f.name, f.dataType.simpleString(), f.nullable, f.name in (defaults or {}).get(t, set())) for t, df in tables.items() for f in df.schema.fields]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean, has_default boolean")
-
-
-def in_networks(address: Column, networks: list[str]) -> Column:
-    """Whether an IPv4 address lies in any of the given networks (like 10.0.0.0/8); null for what is no address."""
-
-    def number(c: Column) -> Column:
-        parts = F.transform(F.split(F.regexp_extract(c, r"^((?:\d{1,3}\.){3}\d{1,3})$", 1), r"\."), lambda p: F.try_to_number(p, F.lit("999")).cast("long"))
-        good = (F.size(parts) == 4) & F.forall(parts, lambda p: p.isNotNull() & (p <= 255))
-        return F.when(good, F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p))
-
-    n, out = number(address), F.lit(False)
-    for network in networks:
-        base, bits = network.split("/")
-        size = 1 << (32 - int(bits))
-        first = sum(int(p) << s for p, s in zip(base.split("."), (24, 16, 8, 0))) // size
-        out = out | (F.floor(n / size) == first)
-    return F.when(n.isNotNull(), out)
-
-
-def client(peer: Column, forwarded: Column, networks: list[str]) -> Column:
-    """Whom a request comes from: the first forwarded address if the peer is a trusted proxy and it is one, else the peer."""
-    first = F.trim(F.split_part(forwarded, F.lit(","), F.lit(1)))
-    return F.when(F.coalesce(in_networks(peer, networks), F.lit(False)) & in_networks(first, ["0.0.0.0/0"]), first).otherwise(peer)

@@ -8,6 +8,8 @@ is compared.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,28 +19,38 @@ WORDS = ["w0", "w1", "w2", "w3"]
 BROADCAST = 16 << 20
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def hexadecimal(address: Column) -> Column:
     """32 hexadecimal digits of an address; null for what is none."""
-    plain = F.lower(F.trim(address))
+    none = F.array().cast("array<string>")
     two = lambda a, b: F.lpad(F.lower(F.hex(a * 256 + b)), 4, "0")
-    bytes_ = F.transform(F.split(F.regexp_extract(plain, rf"({V4})$", 1), r"\."), lambda x: x.try_cast("long"))
-    good4 = F.coalesce(F.forall(bytes_, lambda b: b.isNotNull() & (b <= 255)) & (F.size(bytes_) == 4), F.lit(False))
-    tail = F.concat(two(bytes_[0], bytes_[1]), F.lit(":"), two(F.try_element_at(bytes_, F.lit(3)), F.try_element_at(bytes_, F.lit(4))))
-    is4, ends4 = plain.rlike(rf"^{V4}$"), plain.rlike(rf":{V4}$")
-    whole = F.when(is4, F.concat(F.lit("::ffff:"), tail)).when(ends4, F.concat(F.regexp_replace(plain, rf"{V4}$", ""), tail)).otherwise(plain)
-    sides = F.split(whole, "::")
-    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
-    left, right = groups(sides[0]), F.when(F.size(sides) == 2, groups(F.try_element_at(sides, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    missing = 8 - F.size(left) - F.size(right)
-    zeros = F.when(F.size(sides) == 2, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    every = F.concat(left, zeros, right)
-    good = (F.size(sides) <= 2) & (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ((F.size(sides) == 1) | (missing >= 1)) & (~(is4 | ends4) | good4)
-    return F.when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
-
-
-def numbers(address: Column) -> list[Column]:
-    """w0 to w3 of an address; nulls for what is none."""
-    digits = hexadecimal(address)
+    groups = lambda side: F.when(side == "", none).otherwise(F.split(side, ":"))
+
+    def spread(plain: Column) -> Column:
+        """The address with its last four bytes, if they are written so, as two groups; null if one of them is above 255."""
+        tail = lambda b: F.when(F.forall(b, lambda x: x <= 255), F.concat(two(b[0], b[1]), F.lit(":"), two(b[2], b[3])))
+        last = let(F.transform(F.split(F.regexp_extract(plain, rf"({V4})$", 1), r"\."), lambda x: x.cast("long")), tail)
+        return F.when(plain.rlike(rf"^{V4}$"), F.concat(F.lit("::ffff:"), last)).when(plain.rlike(rf":{V4}$"), F.concat(F.regexp_replace(plain, rf"{V4}$", ""), last)).otherwise(plain)
+
+    def filled(sides: Column) -> Column:
+        """All groups; those that :: stands for are one at least. Null for more than one ::."""
+        zeros = lambda s: F.concat(s["l"], F.array_repeat(F.lit("0"), 8 - F.size(s["l"]) - F.size(s["r"])), s["r"])
+        both = F.struct(groups(sides[0]).alias("l"), groups(F.try_element_at(sides, F.lit(2))).alias("r"))
+        return F.when(F.size(sides) == 1, groups(sides[0])).when(F.size(sides) == 2, let(both, lambda s: F.when(F.size(s["l"]) + F.size(s["r"]) < 8, zeros(s))))
+
+    def joined(every: Column) -> Column:
+        good = (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return let(let(let(F.lower(F.trim(address)), spread), lambda whole: filled(F.split(whole, "::"))), joined)
+
+
+def numbers(digits: Column) -> list[Column]:
+    """w0 to w3 of an address of 32 hexadecimal digits; nulls for null."""
     return [F.conv(F.substring(digits, 8 * i + 1, 8), 16, 10).cast("long").alias(w) for i, w in enumerate(WORDS)]
 
 
@@ -56,7 +68,8 @@ def parsed(networks: DataFrame) -> DataFrame:
     base, size = F.split_part("network", F.lit("/"), F.lit(1)), F.split_part("network", F.lit("/"), F.lit(2))
     own = F.when(F.contains(base, F.lit(":")), F.lit(0)).otherwise(F.lit(96))
     bits = F.when(size == "", F.lit(128)).otherwise(size.try_cast("int") + own)
-    told = networks.withColumn("bits", bits).select("*", *numbers(base)).where("w0 IS NOT NULL AND bits BETWEEN 0 AND 128 AND (bits >= 96 OR network LIKE '%:%')")
+    told = networks.withColumns({"bits": bits, "__digits": hexadecimal(base)})
+    told = told.select(*networks.columns, "bits", *numbers(F.col("__digits"))).where("w0 IS NOT NULL AND bits BETWEEN 0 AND 128 AND (bits >= 96 OR network LIKE '%:%')")
     return told.select(*[c for c in told.columns if c not in WORDS], *masked(F.col("bits")))
 
 
@@ -67,7 +80,7 @@ def longest(addresses: DataFrame, networks: DataFrame, address: str = "address")
     if not told[0]:
         return addresses.select(address).limit(0).join(nets, F.lit(False))
     nets = F.broadcast(nets) if told[1] <= BROADCAST else nets
-    asked = addresses.select(F.col(address)).distinct().select(address, *numbers(F.col(address))).where("w0 IS NOT NULL")
+    asked = addresses.select(F.col(address)).distinct().withColumn("__digits", hexadecimal(F.col(address))).where("__digits IS NOT NULL").select(address, *numbers(F.col("__digits")))
     asked = asked.withColumn("bits", F.explode(F.array(*map(F.lit, told[0])))).select(address, "bits", *masked(F.col("bits")))
     met = asked.join(nets, ["bits", *WORDS])
     others = [c for c in nets.columns if c not in ("bits", *WORDS)]
