@@ -7,6 +7,7 @@ import hmac
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -117,15 +118,27 @@ def redact(text: Column) -> Column:
     return text
 
 
+def redact_question(body: Column) -> Column:
+    """A JSON object with its ``question`` redacted and all other values as they were; any other body, or question, unchanged. Fields come in the order of
+    their names. A body that has a field twice is read by Python, which takes the last."""
+    whole = F.try_parse_json(body)
+    question = F.try_variant_get(whole, "$.question", "variant")
+    plain = redact(F.try_variant_get(whole, "$.question", "string"))
+    fields = F.map_entries(F.try_variant_get(whole, "$", "map<string,variant>"))
+    said = F.try_variant_get(F.parse_json(F.to_json(F.struct(plain.alias("q")))), "$.q", "variant")
+    redacted = F.transform(fields, lambda f: F.struct(f["key"].alias("key"), F.when(f["key"] == "question", said).otherwise(f["value"]).alias("value")))
+    other = F.when(whole.isNull() & body.rlike(r"^\s*\{"), _redact_question(F.when(whole.isNull() & body.rlike(r"^\s*\{"), body)))
+    return F.when(F.schema_of_variant(question) == "STRING", F.to_json(F.map_from_entries(redacted))).otherwise(F.coalesce(other, body))
+
+
 @F.pandas_udf(StringType())
-def redact_question(body: pd.Series) -> pd.Series:
-    """A JSON object with its ``question`` redacted and all else as it was; any other body, or question, unchanged."""
+def _redact_question(body: pd.Series) -> pd.Series:
     patterns = [(re.compile(p, re.ASCII), name) for p, name in REDACTIONS]
 
     def one(raw):
         try:
             fields = json.loads(raw)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return raw
         if not isinstance(fields, dict) or not isinstance(fields.get("question"), str):
             return raw
@@ -174,12 +187,17 @@ def figures(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: (F.length(x) > 0) & ~x.rlike(YEAR))))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def sentence_parts(text: Column) -> Column:
     """Sentences with the white space after each: structs of sentence and separator, which join to the text again. A shortened
     month's full stop before a day ends no sentence."""
     marked = F.regexp_replace(text, r"([.!?])(\s+)", "$1\u0001$2\u0002")
     whole = F.regexp_replace(marked, r"\b((?:" + "|".join(SHORT_MONTHS) + r")\.)\x01(\s+)\x02(\d)", "$1$2$3")
-    return F.transform(F.split(whole, "\u0002"), lambda p: F.struct(F.split_part(p, F.lit("\u0001"), F.lit(1)).alias("sentence"), F.split_part(p, F.lit("\u0001"), F.lit(2)).alias("separator")))
+    return F.transform(F.split(whole, "\u0002"), lambda p: let(F.split(p, "\u0001"), lambda s: F.struct(s[0].alias("sentence"), F.coalesce(F.get(s, F.lit(1)), F.lit("")).alias("separator"))))
 
 
 def date_pattern(day: Column) -> Column:
@@ -382,8 +400,14 @@ def stat_cell(value: Column, n: Column, total: Column) -> Column:
 def highlights(lines: Column) -> Column:
     """Numbers, dates, forms and words of rules in lines, each once in its first spelling."""
     found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(HIGHLIGHT), F.lit(0))))
-    keys = F.transform(found, F.lower)
-    return F.filter(F.transform(found, lambda x, i: F.when(F.array_position(keys, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+
+    def firsts(found: Column) -> Column:
+        """Of found ones in the order of their spelling in small letters and place, each that differs from the one before, by place."""
+        one = F.array_sort(F.transform(found, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("i"), x.alias("x"))))
+        new = lambda s: F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1)["key"] != x["key"]), F.struct(x["i"], x["x"]))), lambda x: x.isNotNull())
+        return F.transform(F.array_sort(let(one, new)), lambda x: x["x"])
+
+    return firsts(found)
 
 
 def is_boilerplate(line: Column) -> Column:

@@ -49,13 +49,38 @@ def replace_group(old: DataFrame, new: DataFrame, touched: DataFrame, key: str)
     return old.join(touched.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def differences(old: Column, new: Column) -> Column:
+    """Of two arrays of lines, as multisets: structs of line, d (how many more times it stands in the new one), at0 and at1 (where it first stands
+    in either), of the lines that differ. Both arrays are sorted with the lines' places, and runs of equal lines are counted and met as neighbours."""
+    none = F.array().cast("array<string>")
+
+    def runs(lines: Column, side: int) -> Column:
+        def counted(s: Column) -> Column:
+            starts = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1)["line"] != x["line"]), j)), lambda j: j.isNotNull())
+            return tx.let(starts, lambda b: F.transform(b, lambda j, k: F.struct(F.get(s, j)["line"].alias("line"), F.lit(side).alias("side"), (F.coalesce(F.get(b, k + 1), F.size(s)) - j).alias("n"), F.get(s, j)["at"].alias("at"))))
+
+        return tx.let(F.array_sort(F.transform(F.coalesce(lines, none), lambda x, i: F.struct(x.alias("line"), i.alias("at")))), counted)
+
+    def met(s: Column) -> Column:
+        def each(x: Column, j: Column) -> Column:
+            after = F.get(s, j + 1)
+            both = (after["line"] == x["line"]) & (x["side"] == 0)
+            told = lambda d, at0, at1: F.struct(x["line"].alias("line"), d.alias("d"), at0.alias("at0"), at1.alias("at1"))
+            nowhere = F.lit(None).cast("int")
+            alone = F.when(x["side"] == 0, told(-x["n"], x["at"], nowhere)).when(~F.coalesce(F.get(s, j - 1)["line"] == x["line"], F.lit(False)), told(x["n"], nowhere, x["at"]))
+            return F.when(F.coalesce(both, F.lit(False)), told(after["n"] - x["n"], x["at"], after["at"])).otherwise(alone)
+
+        return F.filter(F.transform(s, each), lambda x: x["d"] != 0)
+
+    return tx.let(F.array_sort(F.concat(runs(old, 0), runs(new, 1))), met)
+
+
 def line_changes(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """key, line, change (removed or added), n, at: differences of two arrays of lines as multisets, and where a line first stands on
-    its side. Both sides are counted in one grouping."""
-    side = lambda c, flag: pairs.select(key, F.posexplode(c).alias("at", "line"), F.lit(flag).alias("is_new"))
-    both = side(old, 0).unionByName(side(new, 1)).groupBy(key, "line").agg(F.sum(2 * F.col("is_new") - 1).alias("d"), *(F.min(F.when(F.col("is_new") == i, F.col("at"))).alias(f"at{i}") for i in (0, 1)))
-    more = F.col("d") > 0
-    return both.where("d <> 0").select(key, "line", F.when(more, "added").otherwise("removed").alias("change"), F.abs("d").alias("n"), F.when(more, F.col("at1")).otherwise(F.col("at0")).alias("at"))
+    its side. Each pair is settled in its row."""
+    more = F.col("x.d") > 0
+    rows = pairs.select(key, F.explode(differences(F.col(old), F.col(new))).alias("x"))
+    return rows.select(key, "x.line", F.when(more, "added").otherwise("removed").alias("change"), F.abs("x.d").alias("n"), F.when(more, F.col("x.at1")).otherwise(F.col("x.at0")).alias("at"))
 
 
 #: Lines of a change that are shown.
@@ -65,16 +90,17 @@ EVIDENCE = 20
 def classify(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """key, status, reason, added, removed (the first lines of each), added_count, removed_count, highlights of two arrays of lines: equal, reordered, equal but for case
     and punctuation, or another content."""
-    changed = line_changes(pairs, key, old, new)
     bare = lambda c: F.array_sort(F.transform(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")))
 
-    def side(change: str) -> Column:
-        listed = F.array_sort(F.collect_list(F.when(F.col("change") == change, F.struct("at", "line", "n"))))
-        return F.flatten(F.transform(listed, lambda x: F.array_repeat(x["line"], x["n"].cast("int"))))
+    def side(added: bool) -> Column:
+        """The lines of one side by their first places, each as often as it stands there more."""
+        at, sign = ("at1", 1) if added else ("at0", -1)
+        own = F.filter("__differ", lambda x: x["d"] * sign > 0)
+        placed = F.array_sort(F.transform(own, lambda x: F.struct(x[at].alias("at"), x["line"].alias("line"), F.abs(x["d"]).alias("n"))))
+        return F.flatten(F.transform(placed, lambda x: F.array_repeat(x["line"], x["n"])))
 
-    sides = changed.groupBy(key).agg(side("added").alias("__a"), side("removed").alias("__r"))
-    none = F.array().cast("array<string>")
-    out = pairs.join(sides, key, "left").withColumns({"__a": F.coalesce("__a", none), "__r": F.coalesce("__r", none)})
+    out = pairs.withColumn("__differ", differences(F.col(old), F.col(new)))
+    out = out.withColumns({"__a": side(True), "__r": side(False)})
     reason = (
         F.when(F.col(old) == F.col(new), "identical_after_normalization")
         .when((F.size("__a") == 0) & (F.size("__r") == 0), "reordered_only")

@@ -211,20 +211,27 @@ def claiming(spark, sf_dir):
     return leaking(spark, sf_dir).withColumn("turn", F.col("query_id") % 1000).select("query_id", F.concat("answer", more.otherwise("")).alias("answer"), F.expr("CASE WHEN query_id % 5 = 0 THEN 'refusal_advice' ELSE 'answer' END").alias("kind"))
 
 
-@query()
+#: What the appended sentences claim; texts of conversations, and the parts of prompts in them, claim nothing.
+CLAIM_SQL = "CASE query_id % 1000 % 8 WHEN 2 THEN 'official_guidance' WHEN 5 THEN 'attorney_persona' WHEN 7 THEN 'agency_role' END"
+
+
+@query(LEAK_ANSWERS_SQL + f" SELECT query_id, {CLAIM_SQL} AS claim FROM l")
 def authority_guard(spark, sf_dir):
     return claiming(spark, sf_dir).select("query_id", tx.authority_claim("answer").alias("claim"))
 
 
-@query(LEAK_ANSWERS_SQL + f""", n AS (SELECT *, {PLAIN_SQL('answer')} AS n, list_distinct(flatten(list_transform(regexp_extract_all(answer, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), lambda s: list_transform(string_split(s, ','), lambda x: trim(x)::INT)))) AS cited,
- CASE WHEN query_id % 5 = 0 THEN 'refusal_advice' ELSE 'answer' END AS kind FROM l)
+CLAIMS_SQL = "CASE query_id % 1000 % 8 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in CLAIMS.items()) + " ELSE '' END"
+
+
+@query(LEAK_ANSWERS_SQL + f""", m AS (SELECT query_id, answer || {CLAIMS_SQL} AS answer, {CLAIM_SQL} AS claim FROM l),
+n AS (SELECT *, {PLAIN_SQL('answer')} AS n, list_distinct(flatten(list_transform(regexp_extract_all(answer, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), lambda s: list_transform(string_split(s, ','), lambda x: trim(x)::INT)))) AS cited,
+ CASE WHEN query_id % 5 = 0 THEN 'refusal_advice' ELSE 'answer' END AS kind FROM m)
 SELECT query_id, CASE WHEN len(list_filter(cited, lambda x: x < 1 OR x > 1)) > 0 THEN 'citation_index_out_of_range' WHEN kind = 'answer' AND len(cited) = 0 THEN 'answer_missing_citation'
- WHEN query_id % 3 = 0 THEN 'answer_claims_official_authority' WHEN {_leak_sql()} IS NOT NULL THEN 'answer_reproduces_system_prompt' END AS failed FROM n""")
+ WHEN claim IS NOT NULL THEN 'answer_claims_official_authority' WHEN {_leak_sql()} IS NOT NULL THEN 'answer_reproduces_system_prompt' END AS failed FROM n""")
 def first_failing_check(spark, sf_dir):
-    """The authority check is a flag of every third answer here; ``authority_guard`` has the real one."""
-    rows = leaking(spark, sf_dir).withColumn("kind", F.expr("CASE WHEN query_id % 5 = 0 THEN 'refusal_advice' ELSE 'answer' END"))
     leak = tx.leak_class(F.col("answer"), PROMPT_RULES, PROMPT_FORMATS, PROMPT_LAYOUTS, PROMPT_VERSIONS)
-    return rows.select("query_id", op.first_failing_check(tx.citation_reason(tx.cited(F.col("answer")), F.lit(1), F.col("kind")), F.when(F.expr("query_id % 3 = 0"), "claim"), leak).alias("failed"))
+    cited = tx.citation_reason(tx.cited(F.col("answer")), F.lit(1), F.col("kind"))
+    return claiming(spark, sf_dir).select("query_id", op.first_failing_check(cited, tx.authority_claim("answer"), leak).alias("failed"))
 
 
 # Questions of users with signals by their ids, for the route.

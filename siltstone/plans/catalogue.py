@@ -253,22 +253,29 @@ def source_list_strip(spark, sf_dir):
     return answers(spark, sf_dir).select("conv_id", "turn", md5(tx.strip_sources(x)).alias("stripped"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, text || ' 078-05-1120, A12345678 and A-1234567' AS t FROM documents),
+REDACTED_SQL = r"""WITH d AS (SELECT doc_id, text || ' 078-05-1120, A12345678 and A-1234567' AS t FROM documents),
 e AS (SELECT doc_id, regexp_replace(t, '(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}', '[redacted-email]', 'g') AS t FROM d),
 n AS (SELECT doc_id, regexp_replace(t, '(?i)\bA[- ]?\d{7,9}\b', '[redacted-a-number]', 'g') AS t FROM e),
 s AS (SELECT doc_id, regexp_replace(t, '\b\d{3}-\d{2}-\d{4}\b', '[redacted-ssn]', 'g') AS t FROM n),
-p AS (SELECT doc_id, regexp_replace(t, '\+?\d{0,3}[-. ]?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}\b', '[redacted-phone]', 'g') AS t FROM s)
-SELECT doc_id, md5(t) AS redacted, len(regexp_extract_all(t, '\[redacted-[a-z-]+\]'))::BIGINT AS n FROM p""")
+p AS (SELECT doc_id, regexp_replace(t, '\+?\d{0,3}[-. ]?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}\b', '[redacted-phone]', 'g') AS t FROM s)"""
+
+
+@query(REDACTED_SQL + r" SELECT doc_id, md5(t) AS redacted, len(regexp_extract_all(t, '\[redacted-[a-z-]+\]'))::BIGINT AS n FROM p")
 def pii_redact(spark, sf_dir):
     t = tx.redact(F.concat("text", F.lit(" 078-05-1120, A12345678 and A-1234567")))
     rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("redacted"), F.regexp_count("t", F.lit(r"\[redacted-[a-z-]+\]")).cast("long").alias("n"))
 
 
-@query()
+@query(REDACTED_SQL.replace("' 078-05-1120, A12345678 and A-1234567'", "' 078-05-1120'") + """, l AS (SELECT doc_id, lang FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN md5(t) END AS question, CASE WHEN doc_id % 5 > 0 THEN doc_id END AS id, CASE WHEN doc_id % 5 > 0 THEN lang END AS lang, CASE WHEN doc_id % 5 = 0 THEN md5(text) END AS body FROM p JOIN l USING (doc_id) JOIN documents USING (doc_id, lang)""")
 def json_field_redact(spark, sf_dir):
+    """Of every fifth row the body is a text, and no JSON."""
     body = F.to_json(F.struct(F.col("doc_id").alias("id"), F.concat("text", F.lit(" 078-05-1120")).alias("question"), F.col("lang")))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.redact_question(F.when(F.expr("doc_id % 5 = 0"), F.left("text", F.lit(1))).otherwise(body)).alias("body"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.redact_question(F.when(F.expr("doc_id % 5 = 0"), F.col("text")).otherwise(body)).alias("body"))
+    is_json = F.expr("doc_id % 5 > 0")
+    field = lambda name, kind: F.when(is_json, F.try_variant_get(F.try_parse_json("body"), f"$.{name}", kind))
+    return rows.select("doc_id", md5(field("question", "string")).alias("question"), field("id", "long").alias("id"), field("lang", "string").alias("lang"), F.when(~is_json, md5(F.col("body"))).alias("body"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(doc_id::VARCHAR) ELSE " + "{}" + " END AS session FROM documents")
@@ -323,9 +330,9 @@ def figure_extract(spark, sf_dir):
 
 @query(f"WITH d AS (SELECT doc_id, {parts_sql("text || ' From Sept. 5 on. In Dec. it ends. ' || text")} AS p FROM documents) SELECT doc_id, len(p)::BIGINT AS sentences, md5(array_to_string(p, '|')) AS parts FROM d")
 def sentence_split(spark, sf_dir):
-    p = tx.sentence_parts(F.concat("text", F.lit(" From Sept. 5 on. In Dec. it ends. "), "text"))
-    marked = F.transform(p, lambda x: F.concat(x["sentence"], F.when(F.length(x["separator"]) > 0, F.concat(F.lit("\u0001"), x["separator"])).otherwise("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("sentences"), md5(F.array_join(marked, "|")).alias("parts"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.sentence_parts(F.concat("text", F.lit(" From Sept. 5 on. In Dec. it ends. "), "text")).alias("p"))
+    marked = F.transform("p", lambda x: F.concat(x["sentence"], F.when(F.length(x["separator"]) > 0, F.concat(F.lit("\u0001"), x["separator"])).otherwise("")))
+    return rows.select("doc_id", F.size("p").cast("long").alias("sentences"), md5(F.array_join(marked, "|")).alias("parts"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(f) <= 240 THEN f ELSE regexp_replace(left(f, 240), '\s\S*$', '') || '...' END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)")
@@ -346,7 +353,8 @@ def lead_sentence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.lead(F.replace("text", F.lit("\n"), F.lit("\n \n"))).alias("lead"))
 
 
-@query(f"SELECT doc_id, len(CASE WHEN doc_id % 2 = 0 THEN p ELSE p END)::BIGINT AS paragraphs FROM (SELECT doc_id, {PARAGRAPHS_SQL} AS p FROM documents)")
+@query(f"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'One of the sources above describes a rule that is not in force. See x.' ELSE '' END AS text FROM documents), a AS (SELECT doc_id, {PARAGRAPHS_SQL} AS p FROM t)
+SELECT doc_id, len(CASE WHEN regexp_matches(p[len(p)], '^(?:One|Some) of the sources above describes? a rule that ') THEN p[1 : len(p) - 1] ELSE p END)::BIGINT AS paragraphs FROM a""")
 def notice_paragraph_drop(spark, sf_dir):
     """Every second text repeats a notice as its last paragraph, which goes."""
     more = F.when(F.expr("doc_id % 2 = 0"), "\n\nOne of the sources above describes a rule that is not in force. See x.").otherwise("")
@@ -496,7 +504,7 @@ def increment_upsert(spark, sf_dir):
     return ledger.increment(old, new, "source_url", "n")
 
 
-@query("SELECT doc_id, n_chars::BIGINT AS n, source AS source_url FROM documents")
+@query("WITH o AS (SELECT doc_id, n_chars::BIGINT AS n, source AS source_url FROM documents WHERE doc_id % 3 <> 0), w AS (SELECT doc_id, n_chars::BIGINT AS n, source AS source_url FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, n + 1, source_url FROM o) FROM o UNION ALL FROM w WHERE doc_id NOT IN (SELECT doc_id FROM o)")
 def insert_if_absent(spark, sf_dir):
     old, new = _halves(spark, sf_dir)
     return ledger.insert_absent(old, new.unionByName(old.withColumn("n", F.col("n") + 1)), "doc_id")

@@ -5,6 +5,7 @@ Sources are users of events, with fetches, bodies and fields by their ids; annot
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import prose, rules as ru
@@ -22,23 +23,30 @@ def users(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id").distinct()
 
 
-ATTEMPTS_SQL = """u AS (SELECT DISTINCT user_id AS id FROM events), t AS (SELECT id, k AS attempt, CASE (id * 7 + k) % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'http_error' WHEN 2 THEN 'timeout' WHEN 3 THEN 'ok' ELSE 'robots' END AS outcome FROM u, range(1, 5) r(k)),
+# A refresh: a user is a source, its first events are attempts to fetch the document of its number, and of that document's language depends what was
+# indexed before: the same text, one in small letters, another document's, or nothing. Labelled documents have chunks.
+ATTEMPTS_SQL = """t AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, CASE event_type WHEN 'click' THEN 'ok' WHEN 'error' THEN 'http_error' WHEN 'view' THEN 'timeout' ELSE 'robots' END AS outcome FROM events),
 f AS (SELECT id, arg_min(struct_pack(attempt, outcome), CASE WHEN outcome IN ('ok', 'robots') THEN attempt ELSE 10 - attempt END) AS x FROM t WHERE attempt <= 3 GROUP BY id),
-s AS (SELECT id, x.attempt AS attempts, x.outcome AS outcome, 'Body ' || (id % 4)::VARCHAR AS body, CASE id % 5 WHEN 0 THEN 'Body ' || (id % 4)::VARCHAR WHEN 1 THEN 'body ' || (id % 4)::VARCHAR WHEN 2 THEN 'other' END AS old, id % 2 = 0 AS chunked FROM f),
+s AS (SELECT f.id, x.attempt AS attempts, x.outcome AS outcome, d.text AS body, CASE d.lang WHEN 'en' THEN d.text WHEN 'de' THEN lower(d.text) WHEN 'fr' THEN e.text END AS old, EXISTS (FROM labels l WHERE l.doc_id = f.id) AS chunked
+      FROM f JOIN documents d ON d.doc_id = f.id LEFT JOIN documents e ON e.doc_id = f.id + 1),
 r AS (SELECT id, attempts, CASE WHEN outcome = 'robots' THEN 'robots_disallowed' WHEN outcome <> 'ok' OR (old IS NULL AND chunked) THEN 'fetch_failed' WHEN old IS NULL THEN 'meaningful' WHEN old = body THEN 'unchanged' WHEN lower(old) = lower(body) THEN 'cosmetic' ELSE 'meaningful' END AS status,
  CASE WHEN outcome = 'robots' THEN 'robots_disallowed' WHEN outcome <> 'ok' THEN outcome WHEN old IS NULL AND chunked THEN 'baseline_missing' WHEN old IS NULL THEN 'no_existing_snapshot' ELSE 'compared' END AS reason FROM s)"""
 
 
 def fetched(spark, sf_dir):
-    tried = users(spark, sf_dir).select(F.col("user_id").alias("source_url"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"))
-    outcome = X("CASE (source_url * 7 + attempt) % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'http_error' WHEN 2 THEN 'timeout' WHEN 3 THEN 'ok' ELSE 'robots' END")
-    rows = tried.select("source_url", "attempt", outcome.alias("outcome"), X("concat('Body ', source_url % 4)").alias("body"), X("CASE WHEN attempt = 2 THEN 503 END").alias("http_status"))
-    return refresh.settle_fetches(rows)
+    events, docs = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
+    tried = events.withColumn("attempt", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("attempt <= 3")
+    outcome = X("CASE event_type WHEN 'click' THEN 'ok' WHEN 'error' THEN 'http_error' WHEN 'view' THEN 'timeout' ELSE 'robots' END")
+    rows = tried.select(F.col("user_id").alias("source_url"), "attempt", outcome.alias("outcome"), X("CASE WHEN attempt = 2 THEN 503 END").alias("http_status"))
+    return refresh.settle_fetches(rows.join(docs.select(F.col("doc_id").alias("source_url"), F.col("text").alias("body")), "source_url"))
 
 
 def routed(spark, sf_dir):
-    sources = users(spark, sf_dir).select(F.col("user_id").alias("source_url"), X("CASE user_id % 5 WHEN 0 THEN concat('Body ', user_id % 4) WHEN 1 THEN concat('body ', user_id % 4) WHEN 2 THEN 'other' END").alias("last_indexed_body"))
-    chunks = users(spark, sf_dir).where("user_id % 2 = 0").select(F.col("user_id").alias("source_url"))
+    docs = table(spark, sf_dir, "documents")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    old = X("CASE lang WHEN 'en' THEN text WHEN 'de' THEN lower(text) WHEN 'fr' THEN other END")
+    sources = docs.join(after, "doc_id", "left").select(F.col("doc_id").alias("source_url"), old.alias("last_indexed_body"))
+    chunks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("source_url"))
     old, new = F.col("last_indexed_body"), F.col("body")
     verdict = F.when(old == new, "unchanged").when(F.lower(old) == F.lower(new), "cosmetic").otherwise("meaningful")
     return refresh.route_sources(fetched(spark, sf_dir), sources, chunks, verdict)
@@ -68,7 +76,7 @@ def refresh_table(spark, sf_dir):
     return routed(spark, sf_dir).select(n.alias("source"), line.alias("line"))
 
 
-@query("WITH " + ATTEMPTS_SQL + """, b AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'ok' ELSE 'fetch_failed' END AS status, (id % 4)::INT AS failures, CASE WHEN id % 3 > 0 THEN 'old error' END AS error, DATE '2026-01-01' AS day FROM u WHERE id % 11 > 0)
+@query("WITH " + ATTEMPTS_SQL + """, b AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'ok' ELSE 'fetch_failed' END AS status, (id % 4)::INT AS failures, CASE WHEN id % 3 > 0 THEN 'old error' END AS error, DATE '2026-01-01' AS day FROM (SELECT DISTINCT user_id AS id FROM events) WHERE id % 11 > 0)
 SELECT b.id AS source, CASE WHEN r.status IN ('unchanged', 'cosmetic', 'meaningful') THEN 'ok' ELSE coalesce(r.status, b.status) END AS status, CASE WHEN r.status IN ('unchanged', 'cosmetic', 'meaningful') THEN 0 WHEN r.status = 'fetch_failed' THEN failures + 1 ELSE failures END::BIGINT AS failures,
  CASE WHEN r.status IN ('unchanged', 'cosmetic', 'meaningful') THEN NULL ELSE coalesce(r.reason, error) END AS error, CASE WHEN r.status IN ('unchanged', 'cosmetic', 'meaningful') THEN DATE '2026-09-14' ELSE day END AS verified, CASE WHEN r.status = 'meaningful' THEN DATE '2026-09-14' ELSE day END AS changed, (CASE WHEN r.status = 'meaningful' THEN 3 ELSE 2 END)::BIGINT AS changes
 FROM b LEFT JOIN (FROM r WHERE id % 2 = 0) r USING (id)""")

@@ -8,22 +8,17 @@ is compared.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import let
+
 V4 = r"(?:0|[1-9]\d{0,2})(?:\.(?:0|[1-9]\d{0,2})){3}"
 WORDS = ["w0", "w1", "w2", "w3"]
 #: Bytes of networks that are broadcast at most.
 BROADCAST = 16 << 20
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def hexadecimal(address: Column) -> Column:
     """32 hexadecimal digits of an address; null for what is none."""
     none = F.array().cast("array<string>")
