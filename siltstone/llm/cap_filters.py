@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, salted_join
 from .components import components
 
 BLOCKS = 2
@@ -40,6 +40,8 @@ BAND = 2.0**-9
 #: Vectors of one filter that a task compares with each other at once; more are cut into as many groups as needed,
 #: and each pair of groups is a task's work of its own.
 GROUP = 512
+#: Rows of one vector that a task gives their result.
+SAME = 1 << 14
 
 
 def code(dim: int, words: int, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -109,6 +111,12 @@ def decode(x: np.ndarray, one: tuple, bound: float) -> tuple[np.ndarray, np.ndar
     return row, name
 
 
+def usable(x: Column) -> Column:
+    """Whether a vector can link: it is not null, empty or zero, and has no null or non-finite component."""
+    good = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
+    return F.coalesce(good, F.lit(False))
+
+
 def link(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: str = "embedding", group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, degrees, edges) of the vectors of ``vectors``.
 
@@ -119,8 +127,7 @@ def link(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: st
     ``least`` itself, and more of those above.
     """
     x = F.col(column).cast("array<double>")
-    good = ~F.exists("__x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("__x", lambda v: v != 0)
-    rows = vectors.select(F.col(key).alias("__id"), x.alias("__x")).where(F.col("__x").isNotNull() & F.col("__id").isNotNull()).where(good)
+    rows = vectors.select(F.col(key).alias("__id"), x.alias("__x")).where(F.col("__id").isNotNull() & usable(F.col("__x")))
     classes = cut(rows.groupBy("__x").agg(F.min("__id").alias("__rep"), F.count("*").alias("members")), "vectors")
 
     def caps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +263,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", co
     told = classes.join(degrees, "__rep", "left").join(groups, "__rep", "left")
     told = told.select("__x", (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "__rep").alias("component"))
     rows = vectors.select(F.col(key).alias("__id"), F.col(column).cast("array<double>").alias("__x"))
-    out = rows.join(told.withColumnRenamed("__x", "__y"), F.col("__x") == F.col("__y"), "left")
-    linked = F.col("component").isNotNull() & F.col("__id").isNotNull()
-    component = F.when(linked, F.col("component")).otherwise(F.col("__id"))
-    return out.select(F.col("__id").alias(key), F.when(linked, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("__id") == component).alias("kept"))
+    linked = F.col("__id").isNotNull() & usable(F.col("__x"))
+    # a vector that very many rows hold is dealt out; what can't link isn't joined
+    out = salted_join(rows.where(linked), told, "__x", "__id", SAME).select("__id", "n_links", "component")
+    alone = rows.where(~linked).select("__id", F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component"))
+    out = out.unionByName(alone)
+    return out.select(F.col("__id").alias(key), "n_links", F.col("component").alias("component_id"), (F.col("__id") == F.col("component")).alias("kept"))
 
 
 #: The same by all pairs. Fixed value: the least cosine.
