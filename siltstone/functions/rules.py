@@ -89,6 +89,16 @@ def passage(number: Column, url: Column, content: Column, status: Column, day: C
     return F.concat(F.lit("["), number.cast("string"), F.lit("] Source: "), url, F.lit("\n"), F.coalesce(F.concat(note(status, day, today), F.lit("\n")), F.lit("")), content)
 
 
+# Fixed value: what a generator is asked.
+PROMPT = ("Context passages:\n\n", "\n\nQuestion: ", "\n")
+
+
+def user_prompt(question: Column, context: Column) -> Column:
+    """The prompt of a question; ``context`` is what its passages are shown as."""
+    before, between, after = PROMPT
+    return F.concat(F.lit(before), F.coalesce(context, F.lit("")), F.lit(between), question, F.lit(after))
+
+
 def links(urls: Column, label: Column) -> Column:
     """URLs as links joined in prose."""
     many = F.transform(urls, lambda u, i: F.concat(F.when(i < len(ORDINALS), F.concat(F.lit("[the "), F.element_at(F.array(*map(F.lit, ORDINALS)), F.least(i, F.lit(len(ORDINALS) - 1)).cast("int") + 1), F.lit(" "))).otherwise("[a "), label, F.lit("]("), u, F.lit(")")))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as tx
+
 # Whether a response type counts as a refusal.
 REFUSALS = {"answer": "ANSWER", "refusal_advice": "REFUSAL", "clarify": "REFUSAL", "no_answer": "REFUSAL", "blocked_unverified": "REFUSAL"}
 #: Values that are taken to the driver to read quantiles from.
@@ -48,7 +50,7 @@ def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float |
 
     The range of values that holds a rank is cut in a thousand parts, of which sums tell the one that holds it, until it
     has FEW values or only one value; so nothing is sorted whole. Nulls and NaN are left out; infinite values stand below or above all
-    others, and between an infinite value and another one there is nothing but the infinite one.
+    others, and between an infinite value and another one there is nothing but the infinite one, the lower of two.
     """
     all_values = rows.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     finite = F.abs("v") < math.inf
@@ -79,5 +81,18 @@ def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float |
     for share in shares:
         k = (n - 1) * share
         a, b = ranked(math.floor(k), low, high), ranked(math.ceil(k), low, high)
-        out.append(a if a == b else b if math.isinf(b) and k > math.floor(k) else a if math.isinf(a) else a + (b - a) * (k - math.floor(k)))
+        between = k - math.floor(k)
+        out.append(a if not between or a == b or math.isinf(a) else b if math.isinf(b) else a + (b - a) * between)
     return out
+
+
+def golden_totals(golden: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """total, advice, non_advice of golden rows (is_advice, ...), for all or for each value of ``by``; a row of unknown kind is in the total alone."""
+    counts = [F.count("*").alias("total"), F.count_if("is_advice").alias("advice"), F.count_if(~F.col("is_advice")).alias("non_advice")]
+    return golden.groupBy(*(by or [])).agg(*counts)
+
+
+def collisions(generators: DataFrame, judges: DataFrame) -> DataFrame:
+    """judge, model, family: each generator (model) of a judge's (judge) own family, which must not grade it. A name of no known family is an error."""
+    of = lambda c: tx.model_family(F.col(c)).alias("family")
+    return generators.select("model", of("model")).distinct().join(judges.select("judge", of("judge")).distinct(), "family").select("judge", "model", "family")

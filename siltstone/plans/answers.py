@@ -173,6 +173,15 @@ def context_block(spark, sf_dir):
     return op.context_blocks(passages(spark, sf_dir), today()).select("query_id", md5(F.col("context")).alias("context"))
 
 
+@query(ANSWERS_SQL + f""", b AS (SELECT query_id, position, '[' || position::VARCHAR || '] Source: ' || url || chr(10) || coalesce({NOTE_SQL} || chr(10), '') || content AS shown FROM p, t), c AS (SELECT query_id, string_agg(shown, chr(10) || chr(10) ORDER BY position) AS context FROM b GROUP BY query_id)
+SELECT conv_id * 1000 + turn AS query_id, md5('Context passages:' || chr(10) || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || text || chr(10)) AS prompt FROM conversations LEFT JOIN c ON query_id = conv_id * 1000 + turn + 1 WHERE role = 'user'""")
+def user_prompt(spark, sf_dir):
+    """Each user's turn with the passages of the answer after it."""
+    shown = op.context_blocks(passages(spark, sf_dir), today()).select((F.col("query_id") - 1).alias("query_id"), "context")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return asked.join(shown, "query_id", "left").select("query_id", md5(ru.user_prompt(F.col("text"), F.col("context"))).alias("prompt"))
+
+
 # Fixed values of this query: parts of a prompt of its own.
 PROMPT_RULES = ["Answer only from the passages that are given", "Never say that this answer is official", "You are a guide to pages that others wrote"]
 PROMPT_FORMATS = ["This passage describes a rule that took effect on", "This passage describes a rule that takes effect on"]

@@ -680,12 +680,25 @@ def eval_rollup(spark, sf_dir):
     return c.select("metric", "passed").unionByName(evals.roll_up(c, F.lit(False)).select(F.lit("overall").alias("metric"), "passed"))
 
 
-@query("WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Qwen3-32b' WHEN 1 THEN 'openai/GPT-OSS:120b' ELSE 'x-glm-4-qwen' END AS model FROM labels), f AS (SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'gpt-oss' ELSE 'qwen' END AS family FROM m) SELECT doc_id, family, family = 'gpt-oss' AS collides FROM f")
+@query("SELECT quality::BIGINT AS quality, count(*)::BIGINT AS total, count(*) FILTER (WHERE toxic = 1)::BIGINT AS advice, count(*) FILTER (WHERE toxic <> 1)::BIGINT AS non_advice FROM labels GROUP BY quality")
+def golden_totals(spark, sf_dir):
+    golden = table(spark, sf_dir, "labels").select(F.col("quality").cast("long").alias("quality"), (F.col("toxic") == 1).alias("is_advice"))
+    return evals.golden_totals(golden, ["quality"])
+
+
+#: Names of models by the language of a document that one of them made.
+MODELS = {"en": "Qwen3-32b", "de": "openai/GPT-OSS:120b", "fr": "x-glm-4-qwen", "es": "gpt-oss:20b"}
+
+
+@query("WITH m AS (SELECT DISTINCT source, lang FROM documents), f AS (SELECT source, lang, CASE WHEN lang IN ('de', 'es') THEN 'gpt-oss' ELSE 'qwen' END AS family FROM m) SELECT a.source, count(*)::BIGINT AS collisions, string_agg(a.lang || '-' || b.lang, ',' ORDER BY a.lang || '-' || b.lang) AS pairs FROM f a JOIN f b ON a.source = b.source AND a.family = b.family AND a.lang <> b.lang GROUP BY 1")
 def model_families(spark, sf_dir):
-    """The family of each generator, and whether it is the judge's own."""
-    model = F.element_at(F.array(F.lit("Qwen3-32b"), F.lit("openai/GPT-OSS:120b"), F.lit("x-glm-4-qwen")), F.expr("cast(doc_id % 3 as int)") + 1)
-    family = tx.model_family(model)
-    return table(spark, sf_dir, "labels").select("doc_id", family.alias("family"), (family == tx.model_family(F.lit("gpt-oss:20b"))).alias("collides"))
+    """The documents of a source are made by the models of their languages; which of these must not judge each other."""
+    name = F.element_at(F.create_map(*(F.lit(x) for pair in MODELS.items() for x in pair)), F.col("lang"))
+    made = table(spark, sf_dir, "documents").select("source", "lang", name.alias("model")).distinct()
+    told = evals.collisions(made, made.select(F.col("model").alias("judge"))).where("judge <> model")
+    langs = made.select(F.col("model").alias("judge"), F.col("lang").alias("other"), "source")
+    pairs = made.join(told, "model").join(langs, ["judge", "source"]).select("source", F.concat_ws("-", "other", "lang").alias("pair"))
+    return pairs.groupBy("source").agg(F.count("*").alias("collisions"), joined(F.array_sort(F.collect_list("pair"))).alias("pairs"))
 
 
 @query(r"SELECT doc_id, round(0.39::DOUBLE * w / s + 11.8::DOUBLE * y / w - 15.59::DOUBLE, 6) AS grade FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS s, greatest(1, len(regexp_extract_all(text, '[aeiouyAEIOUY]+'))) AS y FROM documents) WHERE w > 0")
