@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, discard, fold, slices, utf8
+from .tokens import byte_blocks
 
 #: No UTF-8 text holds it: what stands before a text and ends it.
 STOP = 255
@@ -47,28 +48,39 @@ WORD, PLACE, TEXTS = 0, 1, 2
 DEPTH, STEM = 5, 3
 #: Groups of contexts by hash, a power of two.
 GROUPS = 1024
-#: Bytes of text of a block; a longer text is a block of its own.
+#: Bytes of text of a block; a longer text is cut into blocks.
 BLOCK_BYTES = 6 << 20
 #: Places whose subtrees a task weights at once, at least.
 AT_ONCE = 1 << 17
 HALF = math.log(0.5)
+NO_SPACE = ~np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def _padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lower(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def _padded(data: np.ndarray, at: np.ndarray, leads: list[bytes | None] | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(all lower-cased texts, each with DEPTH times STOP before and one after, which of these bytes are coded, where each
-    text's coded bytes begin among those)."""
+    text's coded bytes begin among those). A part of a text has the bytes before it in ``leads``, and its end is coded if it ``ends``."""
     n, size = len(at) - 1, np.diff(at)
     out = np.full(len(data) + (DEPTH + 1) * n, STOP, np.uint8)
     inside = np.arange(len(data)) + np.repeat((DEPTH + 1) * np.arange(n) + DEPTH, size)
-    out[inside] = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    out[inside] = _lower(data)
+    start = at[:-1] + (DEPTH + 1) * np.arange(n) + DEPTH
+    for i, lead in enumerate(leads or ()):
+        if lead:
+            out[start[i] - len(lead) : start[i]] = _lower(np.frombuffer(lead, np.uint8))
     coded = np.zeros(len(out), bool)
-    coded[inside] = coded[at[1:] + (DEPTH + 1) * np.arange(1, n + 1) - 1] = True
-    return out, coded, at + np.arange(n + 1)
+    ends = np.ones(n, bool) if ends is None else ends
+    coded[inside] = True
+    coded[at[1:] + (DEPTH + 1) * np.arange(1, n + 1) - 1] = ends
+    return out, coded, at + np.concatenate([[0], np.cumsum(ends)])
 
 
-def places(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def places(data: np.ndarray, at: np.ndarray, leads: list[bytes | None] | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(for each coded byte its context, the last byte highest, then the byte itself; where each text's begin)."""
-    out, coded, begin = _padded(data, at)
+    out, coded, begin = _padded(data, at, leads, ends)
     code = np.zeros(max(0, len(out) - DEPTH), np.int64)
     for d in range(1, DEPTH + 1):
         code <<= 8
@@ -274,21 +286,33 @@ def _word_hash(word: bytes) -> int:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with ``row`` and ``block``: consecutive rows of a task with about BLOCK_BYTES of ``text`` each."""
+    """Rows of ``docs`` with ``row``, ``block``, ``whole``, ``lead`` and ``ends``: consecutive rows of a task with about BLOCK_BYTES of ``text`` each. A longer
+    text is several rows, cut between words, with the last bytes before it in ``lead``; ``whole`` is the row of its beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         row, block, held = first, first, 0
-        for batch in slices(batches, "text", 1 << 20):
-            size = utf8(batch.column("text"))[1][-1]
-            if held and held + size > BLOCK_BYTES:
-                block, held = row, 0
-            held += int(size)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(row, row + n)), pa.array(np.full(n, block))], [*batch.schema.names, "row", "block"])
-            row += n
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("row", T.LongType()), T.StructField("block", T.LongType())]))
+        for batch in slices(batches, "text", min(1 << 20, BLOCK_BYTES)):
+            data, at = utf8(batch.column("text"))
+            whole = row
+            pieces = [data] if len(data) <= BLOCK_BYTES else list(byte_blocks(data, BLOCK_BYTES, NO_SPACE))
+            lead = None
+            for k, piece in enumerate(pieces):
+                if held and held + len(piece) > BLOCK_BYTES:
+                    block, held = row, 0
+                held += len(piece)
+                n, columns = batch.num_rows, list(batch.columns)
+                if len(pieces) > 1:  # one long text
+                    offsets = np.array([0, len(piece)], np.int32)
+                    columns[batch.schema.names.index("text")] = pa.StringArray.from_buffers(1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(piece)))
+                rows = np.arange(row, row + n)
+                own = [pa.array(rows), pa.array(np.full(n, block)), pa.array(np.full(n, whole) if len(pieces) > 1 else rows), pa.array([lead] * n, pa.binary()), pa.array([k == len(pieces) - 1] * n)]
+                yield pa.RecordBatch.from_arrays([*columns, *own], [*batch.schema.names, "row", "block", "whole", "lead", "ends"])
+                row += n
+                lead = piece[-DEPTH:].tobytes()
+
+    more = T.StructType.fromDDL("row long, block long, whole long, lead binary, ends boolean")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more.fields]))
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -347,9 +371,10 @@ def count(texts: DataFrame) -> DataFrame:
                     block, row = int(here), part.column("row")[0].as_py()
                 trains = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 data, at = utf8(part.column("text"))
-                code, begin = places(data, at)
+                last = part.column("ends").to_numpy(zero_copy_only=False).astype(bool)
+                code, begin = places(data, at, part.column("lead").to_pylist(), last)
                 held.append(code << 1 | np.repeat(trains, np.diff(begin)))
-                ends += int(trains.sum())
+                ends += int((trains & last).sum())
                 raw = data.tobytes()
                 words.update(b" ".join([raw[at[i] : at[i + 1]] for i in np.flatnonzero(trains)]).lower().split())
                 if len(words) > HELD:
@@ -360,7 +385,7 @@ def count(texts: DataFrame) -> DataFrame:
         yield rows(WORD, [_word_hash(w) for w in words], list(words.values()))
         yield rows(TEXTS, [0], [ends])
 
-    return texts.select("row", "block", "held_out", "text").mapInArrow(run, "kind int, key long, n long, block long, keys binary, counts binary")
+    return texts.select("row", "block", "held_out", "text", "lead", "ends").mapInArrow(run, "kind int, key long, n long, block long, keys binary, counts binary")
 
 
 def gathered(found: DataFrame) -> DataFrame:
@@ -416,9 +441,9 @@ def weighted(found: DataFrame, groups: DataFrame, top) -> DataFrame:
     return dealt.mapInArrow(run, "block long, row long, key long, logs binary")
 
 
-def score_block(data: np.ndarray, at: np.ndarray, logs: list[bytes]) -> np.ndarray:
+def score_block(data: np.ndarray, at: np.ndarray, logs: list[bytes], leads: list[bytes | None] | None = None, ends: np.ndarray | None = None) -> np.ndarray:
     """log10 probability of each text with its end; ``logs`` are the arrays of ``weighted`` for just these texts, by group."""
-    code, begin = places(data, at)
+    code, begin = places(data, at, leads, ends)
     order = np.argsort(code)
     code = code[order]
     new = np.concatenate([[True], code[1:] != code[:-1]])
@@ -437,7 +462,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     isn't held out. A text's tokens are its words and one end. ``score`` is the log10 probability of the lower-cased
     text's bytes and their end by the context trees, ``base_score`` that of its tokens by add-half unigram counts.
     Without training texts every decision is even. Repeated rows are scored each for itself, other columns are left out.
-    A text above BLOCK_BYTES is scored whole, in memory of about 60 times its length.
+    A text above BLOCK_BYTES is scored in parts, each with the bytes before it as its first contexts.
     """
     held = F.coalesce(fold(F.col(key)) == 1, F.lit(False))
     picked = docs.select(F.col(key).alias("__key"), held.alias("held_out"), F.col(text).alias("text"))
@@ -466,11 +491,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         first, part = np.unique(right.column("row").to_numpy(), return_index=True)
         logs = [right.column("logs").slice(a, b - a).to_pylist() for a, b in zip(part, [*part[1:], right.num_rows])]
         edge = [*np.searchsorted(left.column("row").to_numpy(), first), left.num_rows]
-        scores = np.concatenate([score_block(data[at[a] : at[b]], at[a : b + 1] - at[a], x) for a, b, x in zip(edge, edge[1:], logs)])
+        leads, ends = left.column("lead").to_pylist(), left.column("ends").to_numpy(zero_copy_only=False).astype(bool)
+        scores = np.concatenate([score_block(data[at[a] : at[b]], at[a : b + 1] - at[a], x, leads[a:b], ends[a:b]) for a, b, x in zip(edge, edge[1:], logs)])
         raw, tokens, known, base, rare = data.tobytes().lower(), [], [], [], []
         seen: dict[bytes, float | int] = {}
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            words, here, s = raw[a:b].split(), [], end
+        for a, b, last in zip(at[:-1].tolist(), at[1:].tolist(), ends.tolist()):
+            words, here, s = raw[a:b].split(), [], end if last else 0.0
             for w in words:
                 v = seen.get(w)
                 if v is None:
@@ -484,24 +510,26 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     s += v
                 else:
                     here.append(v)
-            tokens.append(len(words) + 1)
-            known.append(len(words) - len(here) + (not even))
+            tokens.append(len(words) + last)
+            known.append(len(words) - len(here) + (last and not even))
             base.append(s)
             rare.append(here)
-        columns = [left.column("row"), left.column("__key"), left.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(np.diff(at).astype(np.int64)), pa.array(rare, pa.list_(pa.int64()))]
-        return pa.Table.from_arrays(columns, ["row", "__key", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"])
+        columns = [left.column("whole"), left.column("__key"), left.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(np.diff(at).astype(np.int64)), pa.array(rare, pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, ["whole", "__key", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"])
 
     kind = texts.schema["__key"].dataType.simpleString()
     logs = cut(weighted(found, groups, top), "ctw-logs", free=True)
     discard(found, groups)  # what was made of them is written
     both = texts.groupBy("block").cogroup(logs.groupBy("block"))
-    scored = cut(both.applyInArrow(run, f"row long, __key {kind}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>"), "ctw-scored", free=True)
+    scored = cut(both.applyInArrow(run, f"whole long, __key {kind}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>"), "ctw-scored", free=True)
     top.destroy(), shared.destroy()  # their only readers are written
     discard(texts, logs)
-    rest = scored.select("row", F.explode("rare").alias("key")).join(words.where(F.col("n") < least), "key", "left")
+    rest = scored.select("whole", F.explode("rare").alias("key")).join(words.where(F.col("n") < least), "key", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total + 0.5 * (kinds + 1)))
-    rest = rest.groupBy("row").agg(F.sum(log).alias("more"), F.count("n").alias("more_known"))
-    return scored.drop("rare").join(rest, "row", "left").select(
+    rest = rest.groupBy("whole").agg(F.sum(log).alias("more"), F.count("n").alias("more_known"))
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "score", "n_bytes")]
+    scored = scored.groupBy("whole").agg(F.first("__key").alias("__key"), F.first("held_out").alias("held_out"), *sums)
+    return scored.join(rest, "whole", "left").select(
         F.col("__key").alias(key),
         "held_out",
         "n_tokens",

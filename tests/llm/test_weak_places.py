@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import avi, line_dedup, mixing, order_minhash, suffix_dedup
+from siltstone.llm import avi, ctw, line_dedup, mixing, order_minhash, suffix_dedup
 
 from .test_llm import bit_bytes, jpeg, signed_bits, words_apart
 
@@ -137,3 +137,22 @@ def test_open_dml_index():
     assert avi.read_avi(media)[1][:, 0, 0].tolist() == [129, 148, 188, 131, 218]
     without = media.replace(b"indx", b"JUNK").replace(b"ix00", b"JUNK")  # through the movi lists
     assert [without[a : a + n] for a, n in avi.read_index(without)[1]] == frames
+
+
+def test_context_tree_of_long_texts_in_parts(spark, monkeypatch):
+    """Texts above a block are cut between words, and give what whole ones do."""
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["The", "été", "of", "words", "x" * 40]) for _ in range(r.choice([0, 3, 200, 900])))) for i in range(30)] + [(99, "y" * 5000), (100, None), (101, " " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+    def scores():
+        return {x.doc_id: x for x in ctw.score(docs).collect()}
+
+    whole = scores()
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 700)
+    parts = scores()
+    assert len(parts) == len(whole) == len(rows)
+    for k, x in whole.items():
+        y = parts[k]
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (y.held_out, y.n_tokens, y.n_known, y.train_tokens)
+        assert abs(x.base_score - y.base_score) < 1e-6 * max(1, abs(x.base_score)) and abs(x.score - y.score) < 1e-4 * max(1, abs(x.score))
