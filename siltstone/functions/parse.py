@@ -22,7 +22,9 @@ from .stems import stem
 MACHINE = """
 start    -        L=word D=uint -=sign +=sign
 sign     -        D=int
-int      int      D=int .=point
+int      int      D=int .=signed
+signed   -        D=real
+real     float    D=real
 uint     uint     D=uint L=numword .=point -=dash @=at
 point    -        D=float L=host
 float    float    D=float .=dotted L=hostnum @=at

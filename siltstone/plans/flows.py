@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.functions import parse
 from siltstone.operators import pipeline, search, text_index, traces
 from siltstone.sources import networks
 from siltstone.streaming import sinks
@@ -132,3 +133,28 @@ def bookkeeping_fold(spark, sf_dir):
     out = sinks.bookkeep_all(before, results)
     local = lambda c: F.col(c).cast("timestamp_ntz")
     return out.select("source_url", "status", F.col("consecutive_failures").cast("long").alias("failures"), F.col("last_error").alias("error"), local("last_verified_at").alias("verified"), local("last_changed_at").alias("changed"), F.col("change_count").cast("long").alias("changes"))
+
+
+# Typed tokens of whole documents, by a join with the vocabulary of their different runs. The SQL finds each type by a pattern of its own.
+
+W_, L_, N_ = r"[\p{L}\p{Nd}]", r"\p{L}", r"\p{Nd}"
+LABEL = rf"{W_}+(?:-{W_}+)*"
+HOST = rf"{LABEL}(?:\.{LABEL})*\.(?:{W_}+-)*{W_}*{L_}"
+EMAIL = rf"{LABEL}(?:\.{LABEL})*@{W_}(?:{W_}|-)*(?:\.{W_}(?:{W_}|-)*)*\.{L_}{W_}*"
+WHOLE = rf"{HOST}/\S*|{L_}+://"
+PLAIN = rf"{N_}+\.{N_}+(?:\.{N_}+)+|{HOST}|{N_}+\.{N_}+|{W_}+(?:-{W_}+)*-{N_}*{L_}{W_}*|{W_}+"
+#: A sign is a number's own only where no token ends before it, so that tokens are found with a sign after them.
+TOKENS = rf"[+-]{N_}+(?:\.{N_}+)?|{EMAIL}[+-]?|{WHOLE}|(?:{PLAIN})[+-]?"
+BARE = rf"CASE WHEN regexp_full_match(x, '{WHOLE}') THEN x ELSE regexp_replace(x, '(.)[+-]$', '\1') END"
+TYPE = rf"""CASE WHEN regexp_full_match(x, '[+-]{N_}+') THEN 'int' WHEN regexp_full_match(x, '[+-].*') THEN 'float' WHEN regexp_full_match(x, '{EMAIL}') THEN 'email' WHEN regexp_full_match(x, '{L_}+://') THEN 'protocol' WHEN regexp_full_match(x, '{HOST}/\S*') THEN 'url' WHEN regexp_full_match(x, '{N_}+') THEN 'uint' WHEN regexp_full_match(x, '{N_}+\.{N_}+') THEN 'float'
+ WHEN regexp_full_match(x, '{N_}+\.{N_}+(\.{N_}+)+') THEN 'version' WHEN contains(x, '.') THEN 'host' WHEN contains(x, '-') THEN CASE WHEN regexp_matches(x, '{N_}') THEN 'numhword' ELSE 'hword' END WHEN regexp_full_match(x, '{L_}+') THEN 'word' ELSE 'numword' END"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKENS}')) AS x FROM documents), b AS (SELECT doc_id, {BARE} AS x FROM t), k AS (SELECT doc_id, x, {TYPE} AS type FROM b),
+s AS (SELECT doc_id, type, x FROM k
+ UNION ALL SELECT doc_id, CASE WHEN regexp_full_match(p, '{L_}+') THEN 'part' WHEN regexp_full_match(p, '{N_}+') THEN 'uint' ELSE 'numpart' END, p FROM (SELECT doc_id, unnest(string_split(x, '-')) AS p FROM k WHERE type IN ('hword', 'numhword'))
+ UNION ALL SELECT doc_id, 'host', split_part(x, '/', 1) FROM k WHERE type = 'url' UNION ALL SELECT doc_id, 'path', x[strpos(x, '/') :] FROM k WHERE type = 'url')
+SELECT doc_id, type, count(*)::BIGINT AS n, md5(string_agg(DISTINCT x, '|' ORDER BY x)) AS tokens FROM s GROUP BY doc_id, type""")
+def token_types(spark, sf_dir):
+    found = parse.typed_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", search.STOP_WORDS)
+    return found.groupBy("doc_id", "type").agg(F.count("*").alias("n"), md5(F.array_join(F.array_sort(F.collect_set("token")), "|")).alias("tokens"))
