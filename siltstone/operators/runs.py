@@ -22,7 +22,7 @@ def begin(spark: SparkSession, root: str) -> int:
     """The first state: no sources, no chunks, no runs, an empty index."""
     empty = lambda schema: spark.createDataFrame([], schema)
     chunks = empty(CHUNKS)
-    return tables.write_tables(spark, root, {"sources": empty(SOURCES), "chunks": chunks, "runs": empty(RUNS), "postings": _postings(chunks)}, "source_url", text_index.BY)
+    return tables.write_tables(spark, root, {"sources": empty(SOURCES), "chunks": chunks, "runs": empty(RUNS), "postings": _postings(chunks), "about": text_index.about(spark)}, "source_url", text_index.BY)
 
 
 def _postings(chunks: DataFrame) -> DataFrame:

@@ -26,84 +26,97 @@ from siltstone.sources import scratch, tables
 
 from .search import BROADCAST, POOL, STOP_WORDS, tokens, words
 
-#: Parts that lexemes are divided in; postings of a block; rows of a question that are looked up for its bound.
-BUCKETS, BLOCK, PROBED = 64, 128, 40
+#: Parts that lexemes are divided in, unless an index names its own number; postings of a block; rows of a question that are looked up for its
+#: bound; rows of the corpus of which a lexeme's postings are ordered together.
+BUCKETS, BLOCK, PROBED, PART = 64, 128, 40, 1 << 22
 HEAD, BODY = 5, 2
 BY = {"postings": ["bucket"]}
 
 
+def sides(rows: DataFrame, columns: list[str], cut, name: str) -> DataFrame:
+    """id, source_url, column (its number), ``name``: what ``cut`` makes of each column's text, a row for each."""
+    held = F.array(*(F.struct(F.lit(i).alias("column"), cut(F.col(c)).alias("found")) for i, c in enumerate(columns)))
+    return rows.select("id", "source_url", F.explode(held).alias("s")).select("id", "source_url", "s.column", F.explode("s.found").alias(name))
+
+
 def simple(rows: DataFrame, columns: list[str]) -> DataFrame:
     """id, source_url, column, lexeme, n: words in small letters, function words left out."""
-    side = lambda i, c: F.struct(F.lit(i).alias("column"), words(F.col(c)).alias("words"))
-    held = rows.select("id", "source_url", F.explode(F.array(*(side(i, c) for i, c in enumerate(columns)))).alias("s"))
-    placed = held.select("id", "source_url", "s.column", F.explode("s.words").alias("lexeme")).where(~F.col("lexeme").isin(STOP_WORDS))
-    return placed.groupBy("id", "source_url", "column", "lexeme").agg(F.count("*").alias("n"))
+    return sides(rows, columns, words, "lexeme").where(~F.col("lexeme").isin(STOP_WORDS)).withColumn("n", F.lit(1))
 
 
 def english(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The same of typed tokens and stems, by a join with the vocabulary of different runs; each (row, run) is one row of it."""
-    side = lambda i, c: F.struct(F.lit(i).alias("column"), parse.runs(F.col(c)).alias("runs"))
-    held = rows.select("id", "source_url", F.explode(F.array(*(side(i, c) for i, c in enumerate(columns)))).alias("s"))
-    counted = held.select("id", "source_url", "s.column", F.explode("s.runs").alias("run")).groupBy("id", "source_url", "column", "run").agg(F.count("*").alias("times"))
+    counted = sides(rows, columns, parse.runs, "run").groupBy("id", "source_url", "column", "run").agg(F.count("*").alias("n"))
     counted = scratch.written(counted, "runs")
     known = scratch.written(parse.vocabulary(counted, STOP_WORDS), "vocabulary")
-    found = counted.join(known, "run").select("id", "source_url", "column", "times", F.explode("tokens.lexeme").alias("lexeme")).where("lexeme IS NOT NULL")
-    return found.groupBy("id", "source_url", "column", "lexeme").agg(F.sum("times").alias("n"))
+    return counted.join(known, "run").select("id", "source_url", "column", "n", F.explode("tokens.lexeme").alias("lexeme")).where("lexeme IS NOT NULL")
 
 
 ANALYZERS = {"simple": simple, "english": english}
 
 
-def bucket(lexeme: Column) -> Column:
-    return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int")
+def bucket(lexeme: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
-def blocked(held: DataFrame) -> DataFrame:
-    """Postings (lexeme, source_url, id, a, b, impact) as they are stored: bucket, block and the block's highest impact with each."""
-    held = held.withColumn("bucket", bucket(F.col("lexeme")))
-    # a common lexeme's postings are dealt out by id, each part in blocks of its own
-    parts = held.groupBy("lexeme").agg(F.ceil(F.count("*") / (1 << 16)).cast("int").alias("parts"))
-    dealt = held.join(parts, "lexeme").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    order = W.partitionBy("bucket", "lexeme", "part").orderBy(F.desc("impact"), "id")
-    placed = dealt.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    most = F.max("impact").over(W.partitionBy("bucket", "lexeme", "part", "block"))
-    return placed.select("lexeme", "source_url", "id", "a", "b", "impact", "block", most.alias("most"), "bucket")
+def blocked(held: DataFrame, buckets: int = BUCKETS, rows: int = 1) -> DataFrame:
+    """Postings (lexeme, source_url, id, a, b, impact) as they are stored: bucket, block and the block's highest impact with each. Of ``rows`` rows of a
+    corpus a lexeme has a posting each at most, so that dealing them out by id bounds what is ordered together."""
+    part = F.pmod(F.xxhash64("id"), F.lit(-(-max(1, rows) // PART))).cast("int")
+    dealt = held.withColumns({"bucket": bucket(F.col("lexeme"), buckets), "part": part}).repartition("bucket", "part")
+    order = W.partitionBy("bucket", "part", "lexeme").orderBy(F.desc("impact"), "id")
+    placed = dealt.withColumn("place", F.row_number().over(order) - 1)
+    begins = F.when(F.col("place") % BLOCK == 0, F.col("impact"))
+    most = F.last(begins, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return placed.select("lexeme", "source_url", "id", "a", "b", "impact", F.floor(F.col("place") / BLOCK).cast("int").alias("block"), most.alias("most"), "bucket")
 
 
-def postings(rows: DataFrame, analyzer: str = "simple") -> DataFrame:
+def postings(rows: DataFrame, analyzer: str = "simple", buckets: int = BUCKETS) -> DataFrame:
     """Stored postings of rows (id, source_url, heading, content); null texts have none."""
     found = ANALYZERS[analyzer](rows.select("id", "source_url", "heading", "content"), ["heading", "content"])
-    count = lambda i: F.sum(F.when(F.col("column") == i, F.col("n")).otherwise(0))
-    held = found.groupBy("id", "source_url", "lexeme").agg(count(0).alias("a"), count(1).alias("b"))
-    return blocked(scratch.written(held.withColumn("impact", HEAD * F.col("a") + BODY * F.col("b")), "postings"))
+    count = lambda i: F.sum(F.when(F.col("column") == i, F.col("n")).otherwise(0)).alias("ab"[i])
+    held = found.groupBy("id", "source_url", "lexeme").agg(count(0), count(1))
+    return blocked(held.withColumn("impact", HEAD * F.col("a") + BODY * F.col("b")), buckets, rows.select("id").count())
+
+
+def about(spark: SparkSession, analyzer: str = "simple", buckets: int = BUCKETS) -> DataFrame:
+    """The row that an index says of itself."""
+    return spark.createDataFrame([(analyzer, buckets)], "analyzer string, buckets int")
+
+
+def settings(spark: SparkSession, root: str, number: int | None = None) -> tuple[str, int]:
+    return tuple(tables.read_table(spark, root, "about", number).first())
 
 
-def build(spark: SparkSession, root: str, rows: DataFrame, analyzer: str = "simple") -> int:
-    """The first state of an index of ``rows``, or one that replaces all."""
-    return tables.write_tables(spark, root, {"postings": postings(rows, analyzer)}, "source_url", BY)
+def build(spark: SparkSession, root: str, rows: DataFrame, analyzer: str = "simple", buckets: int = BUCKETS) -> int:
+    """The first state of an index of ``rows``, or one that replaces all. ``buckets``: so many that the postings of one are some hundred megabytes."""
+    return tables.write_tables(spark, root, {"postings": postings(rows, analyzer, buckets), "about": about(spark, analyzer, buckets)}, "source_url", BY)
 
 
-def replace(spark: SparkSession, root: str, rows: DataFrame, touched: DataFrame, analyzer: str = "simple", more: dict[str, DataFrame] | None = None) -> int:
+def replace(spark: SparkSession, root: str, rows: DataFrame, touched: DataFrame, more: dict[str, DataFrame] | None = None) -> int:
     """The state in which the sources of ``touched`` have the postings of ``rows`` and no others; ``more``: other tables' rows of these sources."""
-    return tables.commit(spark, root, {"postings": postings(rows, analyzer)} | (more or {}), touched, by=BY)
+    return tables.commit(spark, root, {"postings": postings(rows, *settings(spark, root))} | (more or {}), touched, by=BY)
 
 
 def merge(spark: SparkSession, root: str) -> int | None:
     """All segments as one, in blocks over all of them."""
-    return tables.merge(spark, root, {"postings": blocked}, BY)
+    _, buckets = settings(spark, root)
+    rows = tables.read_table(spark, root, "postings").agg(F.approx_count_distinct("id")).first()[0]
+    return tables.merge(spark, root, {"postings": lambda held: blocked(held, buckets, rows)}, BY)
 
 
 class Lists:
     """The lists of one batch of questions (query_id, text): only buckets of its lexemes are read."""
 
-    def __init__(self, spark: SparkSession, root: str, questions: DataFrame, analyzer: str = "simple", number: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, questions: DataFrame, number: int | None = None):
+        analyzer, buckets = settings(spark, root, number)
         if analyzer == "simple":
             asked = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("lexeme"))
         else:
             asked = english(questions.select(F.col("query_id").alias("id"), F.lit("").alias("source_url"), "text"), ["text"]).select(F.col("id").alias("query_id"), "lexeme").distinct()
         self.asked = scratch.written(asked, "lexemes")
         wanted = self.asked.select("lexeme").distinct()
-        told = wanted.agg(F.sum(F.octet_length("lexeme") + 16), F.sort_array(F.collect_set(bucket(F.col("lexeme"))))).first()
+        told = wanted.agg(F.sum(F.octet_length("lexeme") + 16), F.sort_array(F.collect_set(bucket(F.col("lexeme"), buckets)))).first()
         self.few = (told[0] or 0) <= BROADCAST
         held = tables.read_table(spark, root, "postings", number).where(F.col("bucket").isin(told[1] or [-1]))
         self.entries = held.join(self.small(wanted), "lexeme", "left_semi")
@@ -155,7 +168,7 @@ class Lists:
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("impact")
 
 
-def rank(spark: SparkSession, root: str, questions: DataFrame, k: int = POOL, analyzer: str = "simple", number: int | None = None) -> DataFrame:
+def rank(spark: SparkSession, root: str, questions: DataFrame, k: int = POOL, number: int | None = None) -> DataFrame:
     """query_id, id, score, rank: the k best rows of the index for each question (query_id, text), ties by id; a question without lexemes
     matches nothing."""
-    return Lists(spark, root, questions, analyzer, number).rank(k)
+    return Lists(spark, root, questions, number).rank(k)

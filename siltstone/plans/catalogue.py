@@ -41,7 +41,7 @@ def fused(spark, sf_dir):
 
 def keywords(spark, sf_dir, analyzer="simple"):
     """The keyword arm, from the stored index."""
-    return text_index.rank(spark, stores.texts_of(spark, sf_dir, analyzer), questions(spark, sf_dir).select("query_id", "text"), analyzer=analyzer, number=1)
+    return text_index.rank(spark, stores.texts_of(spark, sf_dir, analyzer), questions(spark, sf_dir).select("query_id", "text"), number=1)
 
 
 def tokens_sql(text: str) -> str:
