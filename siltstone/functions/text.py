@@ -403,9 +403,9 @@ def highlights(lines: Column) -> Column:
 
     def firsts(found: Column) -> Column:
         """Of found ones in the order of their spelling in small letters and place, each that differs from the one before, by place."""
-        one = F.array_sort(F.transform(found, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("i"), x.alias("x"))))
+        one = F.sort_array(F.transform(found, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("i"), x.alias("x"))))
         new = lambda s: F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1)["key"] != x["key"]), F.struct(x["i"], x["x"]))), lambda x: x.isNotNull())
-        return F.transform(F.array_sort(let(one, new)), lambda x: x["x"])
+        return F.transform(F.sort_array(let(one, new)), lambda x: x["x"])
 
     return firsts(found)
 

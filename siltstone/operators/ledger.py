@@ -59,7 +59,7 @@ def differences(old: Column, new: Column) -> Column:
             starts = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1)["line"] != x["line"]), j)), lambda j: j.isNotNull())
             return tx.let(starts, lambda b: F.transform(b, lambda j, k: F.struct(F.get(s, j)["line"].alias("line"), F.lit(side).alias("side"), (F.coalesce(F.get(b, k + 1), F.size(s)) - j).alias("n"), F.get(s, j)["at"].alias("at"))))
 
-        return tx.let(F.array_sort(F.transform(F.coalesce(lines, none), lambda x, i: F.struct(x.alias("line"), i.alias("at")))), counted)
+        return tx.let(F.sort_array(F.transform(F.coalesce(lines, none), lambda x, i: F.struct(x.alias("line"), i.alias("at")))), counted)
 
     def met(s: Column) -> Column:
         def each(x: Column, j: Column) -> Column:
@@ -72,7 +72,7 @@ def differences(old: Column, new: Column) -> Column:
 
         return F.filter(F.transform(s, each), lambda x: x["d"] != 0)
 
-    return tx.let(F.array_sort(F.concat(runs(old, 0), runs(new, 1))), met)
+    return tx.let(F.sort_array(F.concat(runs(old, 0), runs(new, 1))), met)
 
 
 def line_changes(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
@@ -90,13 +90,13 @@ EVIDENCE = 20
 def classify(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """key, status, reason, added, removed (the first lines of each), added_count, removed_count, highlights of two arrays of lines: equal, reordered, equal but for case
     and punctuation, or another content."""
-    bare = lambda c: F.array_sort(F.transform(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")))
+    bare = lambda c: F.sort_array(F.transform(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")))
 
     def side(added: bool) -> Column:
         """The lines of one side by their first places, each as often as it stands there more."""
         at, sign = ("at1", 1) if added else ("at0", -1)
         own = F.filter("__differ", lambda x: x["d"] * sign > 0)
-        placed = F.array_sort(F.transform(own, lambda x: F.struct(x[at].alias("at"), x["line"].alias("line"), F.abs(x["d"]).alias("n"))))
+        placed = F.sort_array(F.transform(own, lambda x: F.struct(x[at].alias("at"), x["line"].alias("line"), F.abs(x["d"]).alias("n"))))
         return F.flatten(F.transform(placed, lambda x: F.array_repeat(x["line"], x["n"])))
 
     out = pairs.withColumn("__differ", differences(F.col(old), F.col(new)))
