@@ -29,6 +29,8 @@ from .search import BROADCAST, POOL, STOP_WORDS, tokens, words
 #: Parts that lexemes are divided in, unless an index names its own number; postings of a block; rows of a question that are looked up for its
 #: bound; rows of the corpus of which a lexeme's postings are ordered together.
 BUCKETS, BLOCK, PROBED, PART = 64, 128, 40, 1 << 22
+#: Entries of all questions' lists together that are summed without rounds, at most.
+DIRECT = 1 << 22
 HEAD, BODY = 5, 2
 BY = {"postings": ["bucket"]}
 
@@ -160,15 +162,22 @@ class Lists:
         seen = met.groupBy("query_id", "id").agg(F.sum(F.col("impact") - F.col("rest")).alias("more"), F.first("rests").alias("rests"), F.first("bound").alias("bound"))
         return seen.where(F.col("more") + F.col("rests") >= F.col("bound")).select("query_id", "id")
 
-    def rank(self, k: int = POOL) -> DataFrame:
-        """query_id, id, score, rank."""
-        found = self.looked_up(self.candidates(k))
+    def all_sums(self) -> DataFrame:
+        """query_id, id, a, b, impact of all rows in any of a question's lists."""
+        return self.entries.join(self.small(self.asked), "lexeme").groupBy("query_id", "id").agg(*(F.sum(c).alias(c) for c in ("a", "b", "impact")))
+
+    def rank(self, k: int = POOL, direct: int = DIRECT) -> DataFrame:
+        """query_id, id, score, rank. Lists that have ``direct`` entries or fewer, all questions' together, are summed as they are; longer ones by
+        rounds."""
+        sizes = self.entries.groupBy("lexeme").agg(F.count("*").alias("n"))
+        total = self.asked.join(sizes, "lexeme").agg(F.sum("n")).first()[0] or 0 if direct else 1
+        found = self.all_sums() if total <= direct else self.looked_up(self.candidates(k))
         scored = found.select("query_id", "id", F.round(F.col("a") * 1.0 + F.col("b") * 0.4, 6).alias("score"), "impact")
         order = W.partitionBy("query_id").orderBy(F.desc("impact"), "id")
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("impact")
 
 
-def rank(spark: SparkSession, root: str, questions: DataFrame, k: int = POOL, number: int | None = None) -> DataFrame:
+def rank(spark: SparkSession, root: str, questions: DataFrame, k: int = POOL, number: int | None = None, direct: int = DIRECT) -> DataFrame:
     """query_id, id, score, rank: the k best rows of the index for each question (query_id, text), ties by id; a question without lexemes
     matches nothing."""
-    return Lists(spark, root, questions, number).rank(k)
+    return Lists(spark, root, questions, number).rank(k, direct)

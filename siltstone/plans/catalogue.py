@@ -25,9 +25,9 @@ def vectors(spark, sf_dir):
 
 
 def questions(spark, sf_dir):
+    """Vectors, each with the text of a benchmark's item."""
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    text = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-    return asked.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), text.alias("text")), "query_id", "left")
+    return asked.join(table(spark, sf_dir, "benchmark").select((F.col("item_id") * 20).alias("query_id"), "text"), "query_id", "left")
 
 
 def dates(spark, sf_dir):
@@ -50,8 +50,8 @@ def tokens_sql(text: str) -> str:
 
 
 FUSED_SQL = f"""
-WITH q AS (SELECT vec_id AS query_id, embedding AS qv, list_distinct({tokens_sql("array_to_string(string_split(text, ' ')[1:8], ' ')")}) AS lexemes
-           FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0),
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv, list_distinct({tokens_sql("text")}) AS lexemes
+           FROM embeddings LEFT JOIN benchmark ON item_id * 20 = vec_id WHERE vec_id % 20 = 0),
 s0 AS (SELECT query_id, vec_id AS id, round(list_cosine_distance(embedding::DOUBLE[], qv::DOUBLE[]), 9) AS distance FROM embeddings, q),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS semantic_rank FROM s0 QUALIFY semantic_rank <= 20),
 p AS (SELECT doc_id AS id, unnest({tokens_sql("string_split(text, chr(10))[1]")}) AS lexeme, 1 AS head FROM documents
@@ -128,13 +128,13 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::BIG
 
 def _replaced(spark, sf_dir, number):
     root = stores.replaced_texts(spark, sf_dir)
-    found = text_index.rank(spark, root, questions(spark, sf_dir).select("query_id", "text"), number=number)
+    found = text_index.rank(spark, root, questions(spark, sf_dir).select("query_id", "text"), number=number, direct=0)
     return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("keyword_rank"))
 
 
 @query(REPLACED_SQL)
 def keyword_rank_replaced(spark, sf_dir):
-    """After the rows of two sources were replaced: a segment and a list of void sources."""
+    """After the rows of two sources were replaced: a segment and a list of void sources. By rounds, however short the lists are."""
     return _replaced(spark, sf_dir, 2)
 
 
@@ -389,11 +389,10 @@ STAMP = "CASE page_id % 5 WHEN 0 THEN ' Last Reviewed/Updated: 01/30/2026' WHEN
 DAY_SQL = "CASE page_id % 5 WHEN 0 THEN DATE '2026-01-30' WHEN 1 THEN DATE '2026-09-05' WHEN 2 THEN DATE '2025-03-04' END"
 
 
-@query(rf"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, {DAY_SQL} AS day, md5(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article>(.*?)</article>', 1), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages")
+@query(rf"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, {DAY_SQL} AS day, md5(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages")
 def html_text(spark, sf_dir):
-    """Each page says in its own way when it was last changed, or doesn't."""
-    page = F.concat(F.regexp_replace("html", "(?i)updated", ""), F.expr(STAMP))
-    body = ht.page_text(F.regexp_extract("html", "(?is)<article>(.*?)</article>", 1))
+    """Each page says in its own way, after all that it has, when it was last changed, or doesn't."""
+    page, body = F.concat("html", F.expr(STAMP)), ht.page_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", ht.title(F.col("html")).alias("title"), ht.last_updated(ht.page_text(page)).alias("day"), md5(body).alias("body"))
 
 
