@@ -69,7 +69,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     cursor = db.execute(registry.ORACLE_SQL[name])
     names, rows = [c[0] for c in cursor.description], cursor.fetchall()
@@ -435,7 +435,7 @@ def test_line_dedup_within_a_text(spark):
 @pytest.mark.parametrize("many", [1 << 16, 2])
 def test_line_dedup_equals_brute_force(spark, docs, texts, many, monkeypatch):
     monkeypatch.setattr(line_dedup, "FEW", min(many, 256))
-    monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "SHARE", 1 << 40)
     rng = np.random.default_rng(8)
     long = [" ".join(f"w{i}" for i in rng.integers(0, 300, n)) for n in (60, 49, 50, 30, 24, 26)]
     rows = [(k, "\n".join(rng.choice(["a", "b", "c", "", "common", *long], rng.integers(0, 9)))) for k in range(150)]
