@@ -46,8 +46,9 @@ HELD = 200_000
 WORD, PLACE, TEXTS = 0, 1, 2
 #: Bytes of the longest context, and of those whose subtrees are weighted in tasks.
 DEPTH, STEM = 5, 3
-#: Groups of contexts by hash, a power of two.
-GROUPS = 1024
+#: Groups of contexts by hash: so many for BLOCKS blocks, and with the root of the number of blocks more for more of them, so that neither groups nor
+#: the arrays of a block and a group grow as the corpus does.
+GROUPS, BLOCKS, FEWEST = 1024, 160, 64
 #: Bytes of text of a block; a longer text is cut into blocks.
 BLOCK_BYTES = 6 << 20
 #: Places whose subtrees a task weights at once, at least.
@@ -90,10 +91,16 @@ def places(data: np.ndarray, at: np.ndarray, leads: list[bytes | None] | None =
     return code[coded[DEPTH:]], begin
 
 
-def group_of(code: np.ndarray) -> np.ndarray:
+def group_of(code: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """The group of each place, by its last STEM bytes of context."""
     stem = (code >> 8 * (DEPTH - STEM + 1)).astype(np.uint64)
-    return ((stem * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - GROUPS.bit_length())).astype(np.int16)
+    part = (stem * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+    return part.astype(np.uint16 if groups <= 1 << 16 else np.int64)
+
+
+def groups_for(texts: DataFrame) -> int:
+    """How many groups the contexts of these blocks are dealt out in."""
+    return max(FEWEST, round(GROUPS * math.sqrt(texts.select("block").distinct().count() / BLOCKS)))
 
 
 def shrink(x: np.ndarray) -> bytes:
@@ -332,7 +339,7 @@ def whole_blocks(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def count(texts: DataFrame) -> DataFrame:
+def count(texts: DataFrame, groups: int = GROUPS) -> DataFrame:
     """kind, key, n, block, keys, counts: occurrences in training texts of words by hash (WORD) and of ends (TEXTS); for each
     block and group (key) the distinct places of all texts, and how often each stands in training texts (PLACE). A block
     that two tasks read is two parts; n is a part's first row."""
@@ -350,7 +357,7 @@ def count(texts: DataFrame) -> DataFrame:
             key = flagged >> 1
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key, n = key[first], np.add.reduceat(flagged & 1, first)
-            group = group_of(key)
+            group = group_of(key, groups)
             order = np.argsort(group, kind="stable")
             key, n, group = key[order], n[order], group[order]
             edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -441,7 +448,7 @@ def weighted(found: DataFrame, groups: DataFrame, top) -> DataFrame:
     return dealt.mapInArrow(run, "block long, row long, key long, logs binary")
 
 
-def score_block(data: np.ndarray, at: np.ndarray, logs: list[bytes], leads: list[bytes | None] | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+def score_block(data: np.ndarray, at: np.ndarray, logs: list[bytes], leads: list[bytes | None] | None = None, ends: np.ndarray | None = None, groups: int = GROUPS) -> np.ndarray:
     """log10 probability of each text with its end; ``logs`` are the arrays of ``weighted`` for just these texts, by group."""
     code, begin = places(data, at, leads, ends)
     order = np.argsort(code)
@@ -449,7 +456,7 @@ def score_block(data: np.ndarray, at: np.ndarray, logs: list[bytes], leads: list
     new = np.concatenate([[True], code[1:] != code[:-1]])
     distinct = code[new]
     value = np.empty(len(distinct))
-    value[np.argsort(group_of(distinct), kind="stable")] = np.frombuffer(b"".join(logs), np.float32)
+    value[np.argsort(group_of(distinct, groups), kind="stable")] = np.frombuffer(b"".join(logs), np.float32)
     each = np.empty(len(code))
     each[order] = value[np.cumsum(new) - 1]
     return np.add.reduceat(each, begin[:-1])
@@ -467,7 +474,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     held = F.coalesce(fold(F.col(key)) == 1, F.lit(False))
     picked = docs.select(F.col(key).alias("__key"), held.alias("held_out"), F.col(text).alias("text"))
     texts = cut(blocks(picked), "ctw-texts", free=True)
-    found = cut(count(texts), "ctw-counts", free=True)
+    groups_n = groups_for(texts)
+    found = cut(count(texts, groups_n), "ctw-counts", free=True)
     spark = docs.sparkSession
 
     words = cut(found.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "ctw-words", free=True)
@@ -492,7 +500,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         logs = [right.column("logs").slice(a, b - a).to_pylist() for a, b in zip(part, [*part[1:], right.num_rows])]
         edge = [*np.searchsorted(left.column("row").to_numpy(), first), left.num_rows]
         leads, ends = left.column("lead").to_pylist(), left.column("ends").to_numpy(zero_copy_only=False).astype(bool)
-        scores = np.concatenate([score_block(data[at[a] : at[b]], at[a : b + 1] - at[a], x, leads[a:b], ends[a:b]) for a, b, x in zip(edge, edge[1:], logs)])
+        scores = np.concatenate([score_block(data[at[a] : at[b]], at[a : b + 1] - at[a], x, leads[a:b], ends[a:b], groups_n) for a, b, x in zip(edge, edge[1:], logs)])
         raw, tokens, known, base, rare = data.tobytes().lower(), [], [], [], []
         seen: dict[bytes, float | int] = {}
         for a, b, last in zip(at[:-1].tolist(), at[1:].tolist(), ends.tolist()):

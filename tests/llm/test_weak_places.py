@@ -156,3 +156,13 @@ def test_context_tree_of_long_texts_in_parts(spark, monkeypatch):
         y = parts[k]
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (y.held_out, y.n_tokens, y.n_known, y.train_tokens)
         assert abs(x.base_score - y.base_score) < 1e-6 * max(1, abs(x.base_score)) and abs(x.score - y.score) < 1e-4 * max(1, abs(x.score))
+
+
+@pytest.mark.parametrize("groups", [1, 7, 5000, 100_000])
+def test_context_tree_of_any_number_of_groups(spark, monkeypatch, groups):
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, "".join(r.choice("ab \né") for _ in range(r.randrange(60)))) for i in range(80)], "doc_id long, text string").repartition(3)
+    want = {x.doc_id: x.score for x in ctw.score(docs).collect()}
+    monkeypatch.setattr(ctw, "groups_for", lambda texts: groups)
+    got = {x.doc_id: x.score for x in ctw.score(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
