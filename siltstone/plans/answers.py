@@ -329,10 +329,10 @@ def response_json(spark, sf_dir):
     return cached.select("query_id", F.explode(F.from_json("response", kind)).alias("c")).select("query_id", "c.*")
 
 
-@query("SELECT doc_id, metric, CASE metric WHEN 0 THEN doc_id % 11 WHEN 1 THEN doc_id % 7 ELSE doc_id % 5 END::BIGINT AS score FROM labels, range(0, 3) m(metric)")
+@query("SELECT doc_id, metric, CASE metric WHEN 0 THEN quality WHEN 1 THEN toxic ELSE n_chars END::BIGINT AS score FROM labels JOIN documents USING (doc_id), range(0, 3) m(metric)")
 def metric_zip(spark, sf_dir):
-    """Jobs by number, three metrics of each scored row, brought back to their rows: number // 3 is the row, number % 3 the metric."""
-    rows = table(spark, sf_dir, "labels").select("doc_id")
-    jobs = rows.select((F.col("doc_id") * 3).alias("base"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m")).select((F.col("base") + F.col("m")).alias("job"))
-    done = jobs.withColumn("score", F.expr("CASE job % 3 WHEN 0 THEN (job div 3) % 11 WHEN 1 THEN (job div 3) % 7 ELSE (job div 3) % 5 END"))
-    return rows.join(done.withColumn("doc_id", F.expr("job div 3")), "doc_id").select("doc_id", (F.col("job") % 3).alias("metric"), "score")
+    """Jobs by number, three metrics of each labelled document, brought back to their rows: number // 3 is the row, number % 3 the metric."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    each = F.array(*(F.col(c).cast("long") for c in ("quality", "toxic", "n_chars")))
+    done = rows.select("doc_id", F.posexplode(each).alias("m", "score")).select((F.col("doc_id") * 3 + F.col("m")).alias("job"), "score")
+    return rows.select("doc_id").join(done.withColumn("doc_id", F.expr("job div 3")), "doc_id").select("doc_id", (F.col("job") % 3).alias("metric"), "score")

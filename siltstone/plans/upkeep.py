@@ -173,19 +173,27 @@ def annotation_sync_counts(spark, sf_dir):
     return r.agg(F.count("*").alias("sources_considered"), F.count_if("changed").alias("changed"), F.count_if("not_in_corpus").alias("not_in_corpus"), F.count_if(~F.col("changed") & ~F.col("not_in_corpus")).alias("unchanged"))
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id AS id FROM events), s AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'indexed ' || id::VARCHAR END AS body FROM u WHERE id % 7 > 0), f AS (SELECT id, 'snapshot ' || id::VARCHAR AS snap FROM u WHERE id % 4 > 0)
-SELECT coalesce(s.id, f.id) AS source_url, CASE WHEN s.id IS NOT NULL THEN coalesce(body, snap) END AS last_indexed_body, CASE WHEN s.id IS NULL THEN 'no_sources_row' WHEN body IS NOT NULL AND snap IS NOT NULL THEN 'already_populated' WHEN body IS NULL AND snap IS NOT NULL THEN 'updated' WHEN body IS NOT NULL THEN 'no_snapshot' ELSE 'still_null' END AS action FROM s FULL JOIN f ON s.id = f.id""")
+# Sources are documents in three of the languages, labelled ones with their texts as bodies; snapshots are pages.
+BACKFILL_SQL = """WITH s AS (SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN text END AS body FROM documents WHERE lang <> 'es'), f AS (SELECT page_id AS id, html AS snap FROM pages),
+b AS (SELECT coalesce(s.id, f.id) AS source_url, CASE WHEN s.id IS NOT NULL THEN coalesce(body, snap) END AS body, CASE WHEN s.id IS NULL THEN 'no_sources_row' WHEN body IS NOT NULL AND snap IS NOT NULL THEN 'already_populated' WHEN body IS NULL AND snap IS NOT NULL THEN 'updated' WHEN body IS NOT NULL THEN 'no_snapshot' ELSE 'still_null' END AS action FROM s FULL JOIN f ON s.id = f.id) """
+
+
+def backfilled(spark, sf_dir):
+    had = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("had"))
+    docs = table(spark, sf_dir, "documents").where("lang <> 'es'").join(had, "doc_id", "left")
+    snaps = table(spark, sf_dir, "pages").select(F.col("page_id").alias("source_url"), F.col("html").alias("body"))
+    return refresh.backfill(docs.select(F.col("doc_id").alias("source_url"), F.when(F.col("had"), F.col("text")).alias("last_indexed_body")), snaps)
+
+
+@query(BACKFILL_SQL + "SELECT source_url, md5(body) AS last_indexed_body, action FROM b")
 def body_backfill(spark, sf_dir):
-    u = users(spark, sf_dir).withColumnRenamed("user_id", "source_url")
-    sources = u.where("source_url % 7 > 0").select("source_url", X("CASE WHEN source_url % 3 = 0 THEN concat('indexed ', source_url) END").alias("last_indexed_body"))
-    snaps = u.where("source_url % 4 > 0").select("source_url", X("concat('snapshot ', source_url)").alias("body"))
-    return refresh.backfill(sources, snaps)
+    return backfilled(spark, sf_dir).withColumn("last_indexed_body", md5(F.col("last_indexed_body")))
 
 
-@query("SELECT id AS source_url FROM (SELECT DISTINCT user_id AS id FROM events) WHERE id % 7 > 0 AND id % 3 > 0 AND id % 4 = 0 ORDER BY id")
+@query(BACKFILL_SQL + "SELECT source_url FROM b WHERE action = 'still_null' ORDER BY source_url")
 def unbacked_sources(spark, sf_dir):
     """Sources that have no body even after the backfill, by name."""
-    return body_backfill(spark, sf_dir).where("action = 'still_null'").select("source_url").orderBy("source_url")
+    return backfilled(spark, sf_dir).where("action = 'still_null'").select("source_url").orderBy("source_url")
 
 
 @query("""WITH e AS (SELECT *, sum(CASE WHEN event_type NOT IN ('error', 'view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events),
@@ -214,12 +222,15 @@ def schema_drift(spark, sf_dir):
     return refresh.schema_drift(expected, actual)
 
 
-@query("WITH o AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'v1' ELSE 'v2' END AS version, 'answer' AS kind FROM embeddings WHERE vec_id % 2 = 0), n AS (SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 'answer' WHEN 1 THEN 'refusal_advice' WHEN 2 THEN 'clarify' WHEN 3 THEN 'no_answer' ELSE 'blocked_unverified' END AS kind FROM embeddings WHERE vec_id % 2 = 1) SELECT vec_id AS query_id, version AS corpus_version, kind AS response_type FROM o WHERE version = 'v2' UNION ALL SELECT vec_id, 'v2', kind FROM n WHERE kind IN ('answer', 'refusal_advice')")
+@query("""WITH o AS (SELECT vec_id, CASE WHEN label % 3 = 0 THEN 'v1' ELSE 'v2' END AS version FROM embeddings WHERE label < 5), n AS (SELECT vec_id, CASE lang WHEN 'en' THEN 'answer' WHEN 'de' THEN 'refusal_advice' WHEN 'fr' THEN 'clarify' ELSE 'blocked_unverified' END AS kind, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE label >= 5)
+SELECT vec_id AS query_id, version AS corpus_version, 'answer' AS response_type, md5('{}') AS response FROM o WHERE version = 'v2' UNION ALL SELECT vec_id, 'v2', kind, md5(text) FROM n WHERE kind IN ('answer', 'refusal_advice')""")
 def semantic_cache_store(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    cache = e.where("query_id % 2 = 0").select("*", X("CASE WHEN query_id % 3 = 0 THEN 'v1' ELSE 'v2' END").alias("corpus_version"), F.lit("answer").alias("response_type"), F.lit("{}").alias("response"))
-    new = e.where("query_id % 2 = 1").select("*", F.element_at(F.array(*map(F.lit, ["answer", "refusal_advice", "clarify", "no_answer", "blocked_unverified"])), X("cast(query_id % 5 as int)") + 1).alias("response_type"), F.lit("{}").alias("response"))
-    return refresh.store_answers(cache, new, "v2").select("query_id", "corpus_version", "response_type")
+    """Vectors of low labels are the cache, of two versions; those of high ones are new answers, of a kind by their document's language."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "query_id")
+    cache = e.where("label < 5").select("query_id", "embedding", X("CASE WHEN label % 3 = 0 THEN 'v1' ELSE 'v2' END").alias("corpus_version"), F.lit("answer").alias("response_type"), F.lit("{}").alias("response"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), X("CASE lang WHEN 'en' THEN 'answer' WHEN 'de' THEN 'refusal_advice' WHEN 'fr' THEN 'clarify' ELSE 'blocked_unverified' END").alias("response_type"), F.col("text").alias("response"))
+    new = e.where("label >= 5").select("query_id", "embedding").join(docs, "query_id")
+    return refresh.store_answers(cache, new, "v2").select("query_id", "corpus_version", "response_type", md5(F.col("response")).alias("response"))
 
 
 @query("SELECT source AS source_url, max(lang) AS lang, max(n_chars)::BIGINT AS n_chars, count(*)::BIGINT AS n FROM documents GROUP BY 1")
@@ -228,14 +239,14 @@ def collapse_sources(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_url")).agg(F.max("lang").alias("lang"), F.max(F.col("n_chars").cast("long")).alias("n_chars"), F.count("*").alias("n"))
 
 
-@query("SELECT coalesce(o.id, n.id) AS source_url, coalesce(n.body, o.body) AS body, CASE WHEN n.id IS NULL THEN o.changes WHEN n.id % 2 = 0 THEN coalesce(o.changes, 0) + 1 ELSE coalesce(o.changes, 0) END::BIGINT AS changes FROM (SELECT DISTINCT user_id AS id, 'old' AS body, 2 AS changes FROM events WHERE user_id % 3 > 0) o FULL JOIN (SELECT DISTINCT user_id AS id, 'new' AS body FROM events WHERE user_id % 5 > 0) n ON o.id = n.id")
+@query("""WITH o AS (SELECT doc_id AS id, text AS body, n_chars % 5 AS changes FROM documents WHERE lang <> 'es'), n AS (SELECT page_id AS id, html AS body FROM pages)
+SELECT coalesce(o.id, n.id) AS source_url, md5(coalesce(n.body, o.body)) AS body, (coalesce(o.changes, 0) + CASE WHEN length(n.body) > coalesce(length(o.body), 0) THEN 1 ELSE 0 END)::BIGINT AS changes FROM o FULL JOIN n ON o.id = n.id""")
 def upsert_conditional(spark, sf_dir):
-    """Sources and what a run found; only those that changed (every second) count a change."""
-    u = users(spark, sf_dir).withColumnRenamed("user_id", "source_url")
-    old = u.where("source_url % 3 > 0").select("source_url", F.lit("old").alias("old"), F.lit(2).alias("changes"))
-    new = u.where("source_url % 5 > 0").select("source_url", F.lit("new").alias("new"))
-    n = F.coalesce("changes", F.lit(0)) + F.when(F.col("new").isNotNull() & (F.col("source_url") % 2 == 0), 1).otherwise(0)
-    return old.join(new, "source_url", "full_outer").select("source_url", F.coalesce("new", "old").alias("body"), n.cast("long").alias("changes"))
+    """Documents are what sources had, and pages what a run found; only what is longer than before counts a change."""
+    old = table(spark, sf_dir, "documents").where("lang <> 'es'").select(F.col("doc_id").alias("source_url"), F.col("text").alias("old"), (F.col("n_chars") % 5).alias("changes"))
+    new = table(spark, sf_dir, "pages").select(F.col("page_id").alias("source_url"), F.col("html").alias("new"))
+    n = F.coalesce("changes", F.lit(0)) + F.when(F.length("new") > F.coalesce(F.length("old"), F.lit(0)), 1).otherwise(0)
+    return old.join(new, "source_url", "full_outer").select("source_url", md5(F.coalesce("new", "old")).alias("body"), n.cast("long").alias("changes"))
 
 
 # What readers are told, and requests.
@@ -269,26 +280,31 @@ def date_formats(spark, sf_dir):
 GATE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 b AS (SELECT user_id, i, event_id, t, 3.0::DOUBLE AS before FROM e WHERE i = 1
  UNION ALL SELECT e.user_id, e.i, e.event_id, e.t, least(3.0::DOUBLE, CASE WHEN b.before >= 1 THEN b.before - 1 ELSE b.before END + greatest(0.0::DOUBLE, (e.t - b.t)::DOUBLE / 1e6::DOUBLE) * (1.0::DOUBLE / 21600)) FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
-SELECT event_id, CASE WHEN before < 1 THEN 429 WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 422 WHEN event_id % 13 = 0 THEN 413 ELSE 200 END::BIGINT AS status, CASE WHEN before < 1 THEN floor((1 - before) / (1.0::DOUBLE / 21600)) + 1 END::BIGINT AS retry_after, CASE WHEN before >= 1 AND event_id % 7 > 0 AND event_id % 11 > 0 AND event_id % 13 > 0 THEN 'call me at[redacted-phone]' END AS question FROM b"""
+SELECT event_id, CASE WHEN before < 1 THEN 429 WHEN length(q) NOT BETWEEN 1 AND 4000 THEN 422 WHEN strlen(q) > 4100 THEN 413 ELSE 200 END::BIGINT AS status, CASE WHEN before < 1 THEN floor((1 - before) / (1.0::DOUBLE / 21600)) + 1 END::BIGINT AS retry_after,
+ CASE WHEN before >= 1 AND length(q) BETWEEN 1 AND 4000 AND strlen(q) <= 4100 THEN md5(REDACTED) END AS question FROM (SELECT b.*, coalesce(text, '') AS q FROM b LEFT JOIN documents ON doc_id = user_id)"""
+REDACTED = "q"
+for pattern, name in tx.REDACTIONS:
+    REDACTED = f"regexp_replace({REDACTED}, '{pattern}', '{name}', 'g')"
+GATE_SQL = GATE_SQL.replace("REDACTED", REDACTED)
 
 
 @query(GATE_SQL)
 def gateway_decision(spark, sf_dir):
-    """Requests in the order of the gateway: rate, then length, then redaction. Some questions are empty, too long, or of too large a body."""
-    events = table(spark, sf_dir, "events")
-    question = F.when(X("event_id % 7 = 0"), "").when(X("event_id % 11 = 0"), F.repeat(F.lit("x"), 4001)).otherwise("call me at 212-555-0123")
-    size = F.when(X("event_id % 13 = 0"), 32_001).otherwise(F.octet_length("question"))
+    """Requests in the order of the gateway: rate, then length, then redaction. A user's question is the document of its number, and a body may have 4,100 bytes."""
+    events, docs = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), F.col("text").alias("question"))
     rate = buckets.token_bucket(events, "user_id", F.unix_micros(F.col("ts").cast("timestamp")), "event_id", 3.0, 1.0 / 21600)
-    rows = rate.withColumn("question", question)
-    status = F.when(~F.col("allowed"), 429).when(~F.length("question").between(1, 4000), 422).when(size > 32_000, 413).otherwise(200)
-    return rows.withColumn("status", status).select("event_id", F.col("status").cast("long").alias("status"), F.when(~F.col("allowed"), F.col("retry_after")).alias("retry_after"), F.when(F.col("status") == 200, tx.redact(F.col("question"))).alias("question"))
+    rows = rate.join(events.select("event_id", "user_id"), ["event_id", "user_id"]).join(docs, "user_id", "left").withColumn("question", F.coalesce("question", F.lit("")))
+    status = F.when(~F.col("allowed"), 429).when(~F.length("question").between(1, 4000), 422).when(F.octet_length("question") > 4100, 413).otherwise(200)
+    asked = md5(F.when(F.col("status") == 200, tx.redact(F.col("question"))))
+    return rows.withColumn("status", status).select("event_id", F.col("status").cast("long").alias("status"), F.when(~F.col("allowed"), F.col("retry_after")).alias("retry_after"), asked.alias("question"))
 
 
-@query("SELECT page_id, NOT (page_id % 3 = 0) AS allowed, page_id % 4 = 1 AS contact FROM pages")
+@query("SELECT page_id, NOT regexp_matches(url, '^[a-z]+://[^/?#]+[.]org/en') AS allowed, page_id % 4 = 1 AS contact FROM pages")
 def robots_gate(spark, sf_dir):
-    """Hosts by a page's id modulo 3: one refuses all, one has no file, one can't be read."""
-    pages = table(spark, sf_dir, "pages").select("page_id", X("concat('https://h', page_id % 3, '.org/a?', page_id)").alias("url"))
-    robots = spark.createDataFrame([("https://h0.org", 200, "User-agent: *\nDisallow: /"), ("https://h2.org", 503, "User-agent: *\nDisallow: /")], "host string, status_code int, text string")
+    """Of the pages' own hosts those in org refuse what is in English, those in net can't be read, and the others have no file."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(crawl.host(F.col("url")).alias("host")).distinct()
+    robots = hosts.where("host LIKE '%.org' OR host LIKE '%.net'").select("host", F.when(F.col("host").endswith(".org"), 200).otherwise(503).alias("status_code"), F.lit("User-agent: *\nDisallow: /en").alias("text"))
     agent = F.element_at(F.array(F.lit("Bot (+https://x.org)"), F.lit("Bot a@b.org"), F.lit("Bot a@example.com"), F.lit("Bot set-a-real-contact-here a@b.org")), X("cast(page_id % 4 as int)") + 1)
     return crawl.robots_gate(pages, robots, "bot").select("page_id", "allowed", manifest.contactable(agent).alias("contact"))
 
