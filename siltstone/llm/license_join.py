@@ -5,8 +5,8 @@ lines don't matter. Tokens are ordered by the number of documents that hold them
 share t of a template of L tokens must share one of its first L - ceil(t * L) + 1 tokens in that order, so only places of
 those are joined on, each with the words around it; how many template tokens stand around a place (length), and how many
 of them come later in the order than the shared one (position) then bound the overlap, and the blocks through what is
-left are verified. The templates are a fixed list, so their index is a few hundred rows and is broadcast; the documents
-are never shuffled, only what matches.
+left are verified. The index of the templates is broadcast: of the fixed list it is a few hundred rows, and a table of templates is
+taken in rounds of bounded size. The documents are never shuffled, only what matches.
 
 For the phrases a block is a run of just their words, all of which must stand in their order.
 """
@@ -14,6 +14,7 @@ For the phrases a block is a run of just their words, all of which must stand in
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ NOTICES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.8
+#: Bytes of a table's templates that are looked for at once; a row of their index is a few times as large as a template.
+ROUND_BYTES = 1 << 20
 #: What stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,24 +56,65 @@ def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def templates(threshold: float = THRESHOLD) -> list[dict]:
-    out = [{"label": v, "phrase": True, "text": k.split(), "share": 1.0} for k, v in PHRASES.items()]
-    out += [{"label": k, "phrase": False, "text": v.split(), "share": threshold} for k, v in NOTICES.items()]
+def templates(threshold: float = THRESHOLD, notices: list[tuple[str, list[str]]] | None = None, phrases: bool = True) -> list[dict]:
+    """What is looked for: phrases, and notices as (label, words)."""
+    out = [{"label": v, "phrase": True, "text": k.split(), "share": 1.0} for k, v in PHRASES.items()] if phrases else []
+    out += [{"label": k, "phrase": False, "text": v, "share": threshold} for k, v in ([(k, v.split()) for k, v in NOTICES.items()] if notices is None else notices)]
     for i, t in enumerate(out):
         t |= {"template": i, "size": len(set(t["text"])), "need": math.ceil(t["share"] * len(set(t["text"])) - 1e-9), "width": math.ceil(len(t["text"]) / t["share"] - 1e-9)}
     return out
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def rounds_of(notices: DataFrame, threshold: float, limit: int) -> list[list[dict]]:
+    """Templates of a table (label, text) by rounds of about ``limit`` bytes; rows without a label or a word are left out, and equal ones are one. The phrases
+    are in the first."""
+    told = notices.select(F.col("label").cast("string").alias("label"), words(F.col("text")).alias("words")).where("label IS NOT NULL AND size(words) > 0").distinct()
+    size = told.agg(F.sum(F.octet_length("label") + F.octet_length(F.array_join("words", " ")))).first()[0] or 0
+    n = max(1, -(-size // limit))
+    part = F.pmod(F.xxhash64("label", "words"), F.lit(n))
+    listed = lambda i: sorted((r["label"], list(r["words"])) for r in told.where(part == i).collect())
+    return [known for i in range(n) if (known := templates(threshold, listed(i), phrases=i == 0))]
+
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", notices: DataFrame | None = None, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """A row for each row of ``docs``: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is the greatest share of a template that a block holds, among those at or above its threshold (phrases: all of it,
     so 1.0), else 0. Null and empty texts have no words, no labels (empty strings) and null places; repeated rows are
-    scanned each for itself; other columns are left out.
+    scanned each for itself; other columns are left out. ``notices``: a table (label, text) in place of the fixed notices.
     """
-    known = templates(threshold)
+    picked = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rounds = [templates(threshold)] if notices is None else rounds_of(notices, threshold, round_bytes)
+    picked = cut(picked, "license-texts") if len(rounds) > 1 else picked
+    slim, found = None, []
+    for known in rounds:
+        own, some = matches(picked, known)
+        slim = own if slim is None else slim
+        found.append(some)
+    hits = reduce(DataFrame.unionByName, found).groupBy("__row").agg(
+        F.count("start").alias("n"),
+        F.min("start").alias("first_word"),
+        F.max("start").alias("last_word"),
+        F.collect_set(F.when(F.col("phrase"), F.col("label"))).alias("base"),
+        F.collect_set("label").alias("all"),
+        F.max("share").alias("share"),
+    )
+    joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
+    return slim.drop("blocks").join(hits, "__row", "left").select(
+        F.col("__key").alias(key),
+        "n_words",
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_base"),
+        F.col("first_word").cast("long").alias("first_word"),
+        F.col("last_word").cast("long").alias("last_word"),
+        joined("base").alias("base_labels"),
+        joined("all").alias("labels"),
+        F.coalesce("share", F.lit(0.0)).alias("score"),
+    )
+
+
+def matches(picked: DataFrame, known: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """(__row, __key, n_words, blocks of each text; __row, label, phrase, start, share of each match) of texts (__row, __key, __text)."""
     tokens = sorted({w for t in known for w in t["text"]})
-    picked = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     held = picked.select(F.explode(F.array_intersect(words(F.col("__text")), _strings(tokens))).alias("token"))
     often = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each template token
     order = sorted(tokens, key=lambda w: (often.get(w, 0), w))
@@ -80,14 +124,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
         own = sorted(set(t["text"]), key=place.get)
         for i, w in enumerate(own[: t["size"] - t["need"] + 1]):
             index.append((w, i, t["label"], t["phrase"], t["text"], t["text"].index(w), own, own[i + 1 :], t["size"], t["need"], t["width"]))
-    spark = docs.sparkSession
+    spark = picked.sparkSession
     lookup = F.broadcast(spark.createDataFrame(index, "token string, at int, label string, phrase boolean, run array<string>, nth int, own array<string>, later array<string>, size int, need int, width int"))
 
     first, reach = sorted({r[0] for r in index}), max(r[-1] for r in index)
-    slim = picked.select("__key", words(F.col("__text")).alias("words"))
+    slim = picked.select("__row", "__key", words(F.col("__text")).alias("words"))
     # places of tokens that are joined on, each with the words within reach
     found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(first), i)), lambda i: i.isNotNull())
-    slim = slim.select(F.monotonically_increasing_id().alias("__row"), "__key", F.size("words").cast("long").alias("n_words"), "words", found.alias("places"))
+    slim = slim.select("__row", "__key", F.size("words").cast("long").alias("n_words"), "words", found.alias("places"))
     around = F.transform("places", lambda i: F.struct(i.alias("i"), F.least(i, F.lit(reach - 1)).alias("before"), F.slice("words", F.greatest(F.lit(1), i - reach + 2), F.lit(2 * reach - 1)).alias("near")))
     slim = cut(slim.select("__row", "__key", "n_words", around.alias("blocks")), "license")
     found = slim.select("__row", F.explode("blocks").alias("x")).select("__row", "x.*").withColumn("token", F.element_at("near", F.col("before") + 1))
@@ -106,25 +150,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     found = found.withColumn("share", F.when(F.col("phrase"), F.when(stands, F.lit(1.0)).otherwise(0.0)).otherwise(most / F.col("size")))
     found = found.where((F.col("phrase") & (F.col("share") == 1.0)) | (~F.col("phrase") & (F.col("share") * F.col("size") >= F.col("need") - 1e-9)))
     found = found.withColumn("start", F.when(F.col("phrase"), F.col("i") - F.col("nth")))
-    hits = found.groupBy("__row").agg(
-        F.count("start").alias("n"),
-        F.min("start").alias("first_word"),
-        F.max("start").alias("last_word"),
-        F.collect_set(F.when(F.col("phrase"), F.col("label"))).alias("base"),
-        F.collect_set("label").alias("all"),
-        F.max("share").alias("share"),
-    )
-    joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
-    return slim.drop("blocks").join(hits, "__row", "left").select(
-        F.col("__key").alias(key),
-        "n_words",
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_base"),
-        F.col("first_word").cast("long").alias("first_word"),
-        F.col("last_word").cast("long").alias("last_word"),
-        joined("base").alias("base_labels"),
-        joined("all").alias("labels"),
-        F.coalesce("share", F.lit(0.0)).alias("score"),
-    )
+    return slim, found.select("__row", "label", "phrase", "start", "share")
 
 
 def _sql() -> str:

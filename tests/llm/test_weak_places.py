@@ -1,6 +1,8 @@
 """Long inputs, clashing names and files of other writers."""
 
+import math
 import random
+import re
 import struct
 import time
 
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import avi, ctw, line_dedup, mixing, order_minhash, suffix_dedup
+from siltstone.llm import avi, ctw, license_join, line_dedup, mixing, order_minhash, suffix_dedup
 
 from .test_llm import bit_bytes, jpeg, signed_bits, words_apart
 
@@ -166,3 +168,30 @@ def test_context_tree_of_any_number_of_groups(spark, monkeypatch, groups):
     monkeypatch.setattr(ctw, "groups_for", lambda texts: groups)
     got = {x.doc_id: x.score for x in ctw.score(docs).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+@pytest.mark.parametrize("round_bytes", [1 << 20, 60])
+def test_notices_of_a_table(spark, round_bytes):
+    """Templates of one's own, in one round and in several."""
+    r = random.Random(6)
+    some = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    notices = [(f"n{i % 9}", some(r.randrange(3, 12))) for i in range(12)] + [("n1", "Ünïcode, WORDS; of a notice"), (None, "no label"), ("empty", " ."), ("none", None)]
+    notices += notices[:2]
+    texts = [(i, some(r.randrange(60))) for i in range(60)] + [(100 + i, some(20) + " " + (t or "") + " " + some(20)) for i, (_, t) in enumerate(notices)] + [(200, "mit license"), (201, None), (202, "")]
+    got = license_join.scan(spark.createDataFrame(texts, "doc_id long, text string"), notices=spark.createDataFrame(notices, "label string, text string"), round_bytes=round_bytes).collect()
+    assert len(got) == len(texts)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    texts = dict(texts)
+    for x in got:
+        w, labels, score = words(texts[x.doc_id]), set(), 0.0
+        base = {v for k, v in license_join.PHRASES.items() if f" {k} " in f" {' '.join(w)} "}
+        for label, notice in notices:
+            n = words(notice)
+            if label is None or not n:
+                continue
+            own, width = set(n), math.ceil(len(n) / 0.8 - 1e-9)
+            share = max(len(own & set(w[i : i + width])) for i in range(max(1, len(w) - width + 1)))
+            if share >= math.ceil(0.8 * len(own) - 1e-9):
+                labels.add(label)
+                score = max(score, share / len(own))
+        assert x.labels == ",".join(sorted(base | labels)) and math.isclose(x.score, 1.0 if base else score)
