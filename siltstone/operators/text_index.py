@@ -30,7 +30,7 @@ from .search import BROADCAST, POOL, STOP_WORDS, tokens, words
 #: bound; rows of the corpus of which a lexeme's postings are ordered together.
 BUCKETS, BLOCK, PROBED, PART = 64, 128, 40, 1 << 22
 #: Entries of all questions' lists together that are summed without rounds, at most.
-DIRECT = 1 << 22
+DIRECT = 1 << 26
 HEAD, BODY = 5, 2
 BY = {"postings": ["bucket"]}
 
