@@ -233,6 +233,34 @@ def test_a_common_lexeme_is_read_within_bounds(spark, root, monkeypatch):
     assert [r["id"] for r in lists.rank(5, 0).where("query_id = 1").orderBy("rank").collect()] == [7, 107, 207, 307, 407]
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_sums_by_documents_equal_plain_counts(spark, root, monkeypatch, small):
+    """Against counts in Python, also in many rounds of small parts; an index is built without a shuffle."""
+    if small:
+        monkeypatch.setattr(search, "ROUND", 300)
+        monkeypatch.setattr(search, "PAIRS", 7)
+        monkeypatch.setattr(search, "ENTRIES", 5)
+        monkeypatch.setattr(text_index, "PART", 50)
+    rng = np.random.default_rng(3)
+    rows = made(rng, 80) + [(5, "again", "w1 w1", "w2 the"), (None, "s", "w3", "w1")]
+    asked = [(i - 2, words_of(rng, 5)) for i in range(9)] + [(100, "the"), (101, None), (102, "w1 W1")]
+    want = []
+    for q, text in asked:
+        found = collections.Counter()
+        for w in {x.lower() for x in (text or "").split()} - set(search.STOP_WORDS):
+            for i, _, h, c in rows:
+                if n := 5 * (h or "").split().count(w) + 2 * (c or "").split().count(w):
+                    found[i] += n
+        best = sorted(found.items(), key=lambda x: (-x[1], -1 if x[0] is None else x[0]))[:4]
+        want += [(q, i, n / 5, r + 1) for r, (i, n) in enumerate(best)]
+    chunks, questions = chunk_frame(spark, rows), spark.createDataFrame(asked, "query_id long, text string")
+    got = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "rank").collect()), key=repr)
+    assert "Exchange" not in text_index.postings(chunks)._jdf.queryExecution().executedPlan().toString()
+    text_index.build(spark, root, chunks)
+    assert got(text_index.rank(spark, root, questions, 4)) == sorted(want, key=repr)
+    assert got(search.keyword_rank(chunks, questions, 4)) == sorted(want, key=repr)
+
+
 # --- the vector index
 
 
