@@ -1,8 +1,9 @@
 """A stored exact vector index: clusters of unit vectors with centres and radii, of which most are ruled out by the triangle inequality.
 
 The angle between a question and any vector of a cluster is at least the angle to its centre less its radius. The nearest
-clusters of each question give it k rows, and the k-th distance is a bound; of the others only those are read whose
-least possible distance doesn't exceed it. So the result is exact whatever the centres are; they decide only how much is read.
+clusters of each question give it k rows, and the k-th distance is a bound; then only those are read whose least possible distance
+doesn't exceed it, or the k-th that the task has found by then. So the result is exact whatever the centres are; they decide only
+how much is computed. Which clusters a question visits is settled where they are read, so that no pairs of these are kept.
 
 Centres are the means of a bounded sample. A commit of new vectors adds them to the clusters of the same centres as segments
 with radii of their own, and voids the sources that it touches (``siltstone.sources.tables``).
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siltstone.sources import scratch, tables
 
-from .search import DIGITS, POOL, nearest
+from .search import DIGITS, POOL, QUESTIONS, ROWS, nearest, nearest_of, packed
 
 #: Vectors that centres are learned from at most, and centres at most.
 SAMPLE, CENTRES = 50_000, 2048
@@ -127,7 +128,7 @@ class Index:
         told = held["clusters"].groupBy("cluster").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).collect()  # at most a row for each centre and number of components
         self.radius, self.size = {r["cluster"]: r["radius"] for r in told}, {r["cluster"]: r["n"] for r in told}
 
-    def visits(self, questions: DataFrame, k: int) -> DataFrame:
+    def visits(self, questions: DataFrame, k: int, first_only: bool = False) -> DataFrame:
         """query_id, cluster, least (distance that a vector of the cluster can have), first (whether it is read at once)."""
         centres, radius, size = self.centres, self.radius, self.size
         first = {d: i for d, i in zip(sorted(centres), np.cumsum([0] + [len(centres[d]) for d in sorted(centres)]))}
@@ -144,7 +145,7 @@ class Index:
                         before = np.cumsum(held[order], axis=1) - held[order]
                         early = np.zeros(away.shape, bool)
                         np.put_along_axis(early, order, before < FIRST * k, axis=1)
-                        row, col = np.nonzero(np.broadcast_to(held > 0, away.shape))
+                        row, col = np.nonzero((held > 0) & (early | (not first_only)))
                         yield out(batch, at[row], cluster[col], least[row, col], early[row, col])
                     alone = -1 - dim
                     if size.get(alone):
@@ -165,10 +166,22 @@ class Index:
 
     def nearest(self, questions: DataFrame, k: int = POOL) -> DataFrame:
         """query_id, id, distance, rank: as ``search.nearest`` gives over the same vectors."""
-        visits = scratch.written(self.visits(questions, k), "visits")
-        found = scratch.written(best_of(self.within(visits.where("first"), questions, k), k), "near")
-        more = self.within(self.open(visits, found, k), questions, k)
-        return best_of(found.drop("rank").unionByName(more), k)
+        centres = {i: c for i, c in enumerate(c for d in sorted(self.centres) for c in self.centres[d])}
+        radius = self.radius
+
+        def reached(cluster: str, q: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            if int(cluster) < 0:
+                return np.arange(len(q))
+            away = angle(q @ centres[int(cluster)])
+            least = 1 - np.cos(np.maximum(0, away - radius.get(int(cluster), 0.0) - SLACK))
+            return np.flatnonzero(least <= bounds + 10.0**-DIGITS)
+
+        visits = scratch.written(self.visits(questions, k, first_only=True), "visits")
+        found = best_of(self.within(visits, questions, k), k)
+        bound = scratch.written(found.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound")), "bounds")
+        asked = packed(questions.join(bound, "query_id", "left"), "query_id", None, QUESTIONS, F.coalesce("bound", F.lit(float("inf"))))
+        near = nearest_of(packed(self.vectors, "id", F.col("cluster"), ROWS).drop("bounds"), scratch.written(asked, "asked"), k, ["dim"], reached)
+        return near.drop("by")
 
     def open(self, visits: DataFrame, found: DataFrame, k: int) -> DataFrame:
         """The visits that can still bring a nearer vector than the k-th found, or one as near."""

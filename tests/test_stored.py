@@ -287,6 +287,28 @@ def test_vector_index_equals_all_pairs(spark, root):
     assert same(search.nearest(vectors, asked, 7), vector_index.Index(spark, root, 1).nearest(asked, 7))
 
 
+def test_nearest_by_small_blocks_on_even_vectors(spark, root, monkeypatch):
+    """Blocks are bounded in bytes, a task keeps k rows of a question over all its blocks, and pairs of questions and clusters aren't kept."""
+    for name, n in (("BYTES", 64 * 16), ("CELLS", 40), ("KEPT", 60)):
+        monkeypatch.setattr(search, name, n)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 16))
+    x[7] = x[3]  # a tie
+    vectors = vector_frame(spark, list(x))
+    asked = vectors.where("id % 20 = 0 OR id = 3").select(F.col("id").alias("query_id"), "embedding")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    far = np.round(1 - unit @ unit.T, 9) + 0.0
+    want = {q: np.lexsort((np.arange(500), far[q]))[:6].tolist() for q in [*range(0, 500, 20), 3]}
+    got = lambda df: {q: [i for _, i in sorted(v)] for q, v in df.groupBy("query_id").agg(F.collect_list(F.struct("rank", "id"))).collect()}
+    blocks = search.packed(vectors, "id", None, search.ROWS).select(F.max(F.octet_length("x")), F.count("*")).first()
+    assert blocks[0] <= 64 * 16 and blocks[1] > 60
+    assert got(search.nearest(vectors, asked, 6)) == want
+    vector_index.build(spark, root, vectors)
+    index = vector_index.Index(spark, root)
+    assert got(index.nearest(asked, 6)) == want
+    assert index.visits(asked, 6, first_only=True).count() < index.visits(asked, 6).count() / 4
+
+
 def test_vector_index_of_nothing(spark, root):
     vectors = vector_frame(spark, [None])
     vector_index.build(spark, root, vectors)
