@@ -9,6 +9,7 @@ from siltstone.functions import html as ht
 from siltstone.functions import prose
 from siltstone.functions import text as tx
 from siltstone.operators import buckets, evals, ingest, ledger, search, text_index, vector_index
+from siltstone.sources import scratch
 
 from . import stores
 from .answers import figures_sql, parts_sql
@@ -35,8 +36,9 @@ def dates(spark, sf_dir):
 
 
 def fused(spark, sf_dir):
+    """The candidates of both arms, written once for all that is made of them."""
     q = questions(spark, sf_dir)
-    return search.fuse(search.nearest(vectors(spark, sf_dir), q.select("query_id", "embedding")), keywords(spark, sf_dir))
+    return scratch.written(search.fuse(search.nearest(vectors(spark, sf_dir), q.select("query_id", "embedding")), keywords(spark, sf_dir)), "fused")
 
 
 def keywords(spark, sf_dir, analyzer="simple"):

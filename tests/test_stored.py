@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import parse, stems
 from siltstone.operators import search, text_index, vector_index
+from siltstone.plans import catalogue
 from siltstone.sources import tables
 
 
@@ -309,6 +310,12 @@ def test_nearest_by_small_blocks_on_even_vectors(spark, root, monkeypatch):
     assert index.visits(asked, 6, first_only=True).count() < index.visits(asked, 6).count() / 4
 
 
+def test_both_arms_are_ranked_once(spark):
+    """Companions and counts are made of candidates that are written, not ranked again for each use."""
+    plan = catalogue.fused(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Exchange" not in plan
+
+
 def test_vector_index_of_nothing(spark, root):
     vectors = vector_frame(spark, [None])
     vector_index.build(spark, root, vectors)
