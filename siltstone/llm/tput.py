@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, discard, slices
 from .tokens import coded, split_words, words
 
 TOP = 20
@@ -76,7 +76,7 @@ def lists(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "t
     vocabulary = wanted.toArrow().column("term").combine_chunks().cast(pa.large_binary()) if few else None
     told = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     held = told.mapInArrow(_postings(vocabulary), "term binary, row long, key long, tf long, n long")
-    held = cut(held.withColumn("term", F.col("term").cast("string")), "tput-postings")
+    held = cut(held.withColumn("term", F.col("term").cast("string")), "tput-postings")  # gone once the lists are written
     n, total = held.where("term IS NULL").agg(F.count("*"), F.sum("n")).first()
     often = held.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     if not few:
@@ -87,12 +87,14 @@ def lists(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "t
     worth = lambda tf: F.call_function("div", 1000000000 * tf, 1000 * tf + 12 * m)
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     entries = held.where("term IS NOT NULL").join(F.broadcast(often) if few else often, "term").select("term", part.alias("part"), "row", "key", (F.col("w") * worth(F.col("tf"))).alias("value"), "w", worth(F.lit(1).cast("long")).alias("once"))
-    return cut(entries.where("value > 0").withColumn("place", F.row_number().over(W.partitionBy("term", "part").orderBy(F.desc("value"), "row"))), "tput-lists")
+    out = cut(entries.where("value > 0").withColumn("place", F.row_number().over(W.partitionBy("term", "part").orderBy(F.desc("value"), "row"))), "tput-lists", free=True)
+    discard(held)
+    return out
 
 
 def exact(entries: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
     """item, row, key, score of pairs (item, row) that hold any of the item's terms, by looking them up in the lists."""
-    pairs = cut(pairs.select("item", "row"), "tput-pairs")
+    pairs = cut(pairs.select("item", "row"), "tput-pairs", free=True)
     rows = pairs.select("row").distinct()
     few = pairs.count() * 16 <= BROADCAST
     held = entries.select("term", "row", "key", "value").join(F.broadcast(rows) if few else rows, "row", "left_semi")
