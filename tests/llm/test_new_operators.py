@@ -267,3 +267,16 @@ def test_a_kept_index_is_searched_again(spark, tmp_path):
 def test_sha_of_no_items(spark):
     row = registry.QUERIES["op13_fm_index"](spark, DATA).where("NOT contaminated").first()
     assert row["items_sha256"] == hashlib.sha256(b"").hexdigest() and row["n_items"] == 0
+
+
+def test_postings_go_once_the_lists_are_written(spark, monkeypatch):
+    """They would take disk until the application ends."""
+    from siltstone.llm import tput
+
+    gone, discard = [], tput.discard
+    monkeypatch.setattr(tput, "discard", lambda *tables: (gone.extend(t.cut_path for t in tables), discard(*tables)))
+    docs = spark.createDataFrame([(1, "a b"), (2, "b b c")], "doc_id long, text string")
+    asked = tput.item_terms(spark.createDataFrame([("x", "b c")], "item_id string, text string"))
+    assert tput.lists(docs, asked).count() == 3 and len(gone) == 1
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(gone[0])
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
