@@ -325,12 +325,16 @@ def lead(text: Column, most: int = 90) -> Column:
 
 
 def clean_heading(heading: Column) -> Column:
-    """A heading without emphasis and links around all of it, however many of them."""
-    peel = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"^\*\*(.+)\*\*$|^__(.+)__$", "$1$2"), r"^\[(.+)\]\([^)]*\)$", "$1"))
-    wrapped = lambda c: c.rlike(r"^(?:\*\*.+\*\*|__.+__|\[.+\]\([^)]*\))$")
-    out = F.trim(heading)
-    layers = F.sequence(F.lit(0), F.floor(F.length(out) / 4).cast("int"))  # each has four characters at least
-    return F.when(wrapped(out), F.aggregate(layers, out, lambda c, _: F.when(wrapped(c), peel(c)).otherwise(c))).otherwise(out)
+    """A heading without emphasis and links around all of it, however many of them. No more layers are looked for than there are marks
+    that open one at its start and marks that close one, so that a long heading without them costs no more than its length."""
+    peel = lambda c: F.trim(F.regexp_replace(c, r"^\*\*(.+)\*\*$|^__(.+)__$|^\[(.+)\]\([^)]*\)$", "$1$2$3"))
+
+    def bare(c: Column) -> Column:
+        opened = F.regexp_count(F.regexp_extract(c, r"^[ *_\[]*", 0), F.lit(r"\*\*|__|\["))
+        layers = F.least(opened, F.regexp_count(c, F.lit(r"\*\*|__|\]\(")))
+        return F.when(c.rlike(r"^[*_\[]"), F.aggregate(F.array_repeat(F.lit(0), layers), c, lambda x, _: peel(x))).otherwise(c)
+
+    return let(F.trim(heading), bare)
 
 
 def breadcrumb(title: Column, parent: Column, heading: Column) -> Column:

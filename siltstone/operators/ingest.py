@@ -41,8 +41,9 @@ def reindex(sources: DataFrame, chunks: DataFrame, bodies: DataFrame, annotation
     """
     new = chunks_of(bodies).withColumn("embedding", embed("content")).join(annotations.select("source_url", *ANNOTATIONS), "source_url", "left").select(chunks.columns)
     kept = chunks.join(bodies.select("source_url"), "source_url", "left_anti").select(chunks.columns)
-    rows = sources.join(bodies.select("source_url", F.col("body").alias("__body")), "source_url", "full_outer")
-    there = F.col("__body").isNotNull()
+    # told before the join, so that bodies move only for who reads them
+    rows = sources.join(bodies.select("source_url", F.col("body").alias("__body"), F.col("body").isNotNull().alias("__there")), "source_url", "full_outer")
+    there = F.coalesce("__there", F.lit(False))
     out = rows.select(
         "source_url",
         F.coalesce("__body", "last_indexed_body").alias("last_indexed_body"),

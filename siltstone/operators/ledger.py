@@ -124,7 +124,7 @@ def sections(docs: DataFrame, key: str, body: str) -> DataFrame:
     upto = order.rowsBetween(W.unboundedPreceding, 0)
     fence = F.col("text").rlike("^\\s*(?:```|~~~)")
     lines = lines.withColumn("fenced", F.sum(F.when(fence, 1).otherwise(0)).over(upto) % 2)
-    named = F.when((F.col("fenced") == 0) & ~fence, F.nullif(tx.clean_heading(F.regexp_extract("text", r"^#{1,4}[ \t]+(\S.*?)\s*$", 1)), F.lit("")))
+    named = F.when((F.col("fenced") == 0) & ~fence, tx.let(tx.clean_heading(F.regexp_extract("text", r"^#{1,4}[ \t]+(\S.*?)\s*$", 1)), lambda x: F.nullif(x, F.lit(""))))
     lines = lines.withColumn("name", named).withColumn("mark", F.when(F.col("name").isNotNull(), F.length(F.regexp_extract("text", "^(#+)", 1))))
     lines = lines.withColumns({"nth": F.count("mark").over(upto), "headings": F.count("mark").over(W.partitionBy(key))})
     lines = lines.withColumn("opens", F.col("mark").isNotNull() & ((F.col("nth") == 1) | (F.col("mark") > 1))).where("nth > 0 or headings = 0")

@@ -142,6 +142,34 @@ def test_headings_and_quotes(spark):
     assert [r.x for r in df.select(tx.quote_of_snippet(F.col("s"), F.col("h")).alias("x")).collect()] == ["x" * 40, "the Head " + "x" * 40, "Head short", "a"]
 
 
+def test_headings_of_any_length_and_marks(spark):
+    """Layers are peeled as one by one, and a long heading costs no look for each of its characters."""
+    import random
+    import re
+    import time
+
+    wrapped = r"^(?:\*\*.+\*\*|__.+__|\[.+\]\([^)]*\))$"
+
+    def bare(text):
+        text = text.strip(" ")
+        while re.search(wrapped, text):
+            text = re.sub(r"^\[(.+)\]\([^)]*\)$", r"\1", re.sub(r"^\*\*(.+)\*\*$|^__(.+)__$", lambda m: m[1] or m[2], text)).strip(" ")
+        return text
+
+    dice = random.Random(5)
+    texts = ["".join(dice.choices(["**", "__", "*", "_", "[", "](", "](u)", ")", " ", "a"], k=dice.randrange(14))) for _ in range(3000)]
+    for i in range(3000):
+        text = dice.choice(["a", "a [b](c)", "*", " "])
+        for _ in range(dice.randrange(6)):
+            text = dice.choice(["**{}**", "__ {}__", "[{} ](u)", "[{}](a](b)", "{} "]).format(text)
+        texts.append(text)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, h string").select("k", tx.clean_heading(F.col("h")).alias("x")).collect()
+    assert [(texts[r.k], r.x) for r in rows if r.x != bare(texts[r.k])] == []
+    began = time.monotonic()
+    long = spark.range(1).select(F.concat(F.lit("**"), F.repeat(F.lit("word "), 400_000), F.lit("z**")).alias("h"))
+    assert long.select(F.length(tx.clean_heading(F.col("h")))).first()[0] == 2_000_001 and time.monotonic() - began < 30
+
+
 def test_json_redaction(spark):
     import json
 

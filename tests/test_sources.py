@@ -101,6 +101,16 @@ def test_tables_change_together(spark, tmp_path):
     assert tables.read_tables(spark, root, ["a"])["a"].count() == 7
 
 
+def test_bodies_move_only_for_their_readers(spark):
+    bodies = spark.createDataFrame([("u1", "# A"), ("u2", None), ("u3", "")], "source_url string, body string")
+    sources = spark.createDataFrame([("u1", "old", None, None, 4), ("u2", "kept", None, None, 1)], "source_url string, last_indexed_body string, fetched_at date, last_changed_at date, change_count int")
+    chunks = spark.createDataFrame([], "id long, source_url string, section_heading string, heading_level int, content string, embedding array<double>, " + ", ".join(f"{c} string" for c in ingest.ANNOTATIONS))
+    notes = spark.createDataFrame([], "source_url string, " + ", ".join(f"{c} string" for c in ingest.ANNOTATIONS))
+    out, _ = ingest.reindex(sources, chunks, bodies, notes, prose.embedder(4), F.lit("2026-09-14").cast("date"))
+    assert {(r.source_url, r.last_indexed_body, r.change_count, r.fetched_at is None) for r in out.collect()} == {("u1", "# A", 5, False), ("u2", "kept", 1, True), ("u3", "", 0, False)}
+    assert "__body" not in out.drop("last_indexed_body")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pages_become_chunks(spark):
     pages = spark.createDataFrame([("u1", "<title>P</title><main><h1>P</h1><p>intro</p><h2>A</h2><p>text</p></main> Updated 3/4/2025"), ("u2", "<p>only</p>"), ("u3", None)], "url string, html string")
     bodies = ingest.bodies_of(pages)
