@@ -301,8 +301,11 @@ def model_family(model: Column) -> Column:
 
 def snippet(text: Column, most: int = 240) -> Column:
     """White space folded; a longer text is cut before the word that ``most`` characters end in."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.left(flat, F.lit(most)), r"\s\S*$", ""), F.lit("...")))
+
+    def cut(flat: Column) -> Column:
+        return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.left(flat, F.lit(most)), r"\s\S*$", ""), F.lit("...")))
+
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), cut)
 
 
 def paragraphs(text: Column) -> Column:
@@ -344,9 +347,12 @@ def breadcrumb(title: Column, parent: Column, heading: Column) -> Column:
 def quote_of_chunk(content: Column) -> Column:
     """The prose of a chunk below its first blank line, without images; empty if it is short."""
     body = F.regexp_extract(content, r"^[\s\S]*?\n\s*\n([\s\S]*)$", 1)
-    flat = F.trim(F.regexp_replace(F.regexp_replace(body, r"!\[[^\]]*\]\([^)]*\)", ""), r"\s+", " "))
-    cut = F.concat(F.regexp_replace(F.left(flat, F.lit(240)), r"\s+\S*$", ""), F.lit("..."))
-    return F.when(F.length(flat) < 40, "").when(F.length(flat) <= 240, flat).otherwise(cut)
+
+    def cut(flat: Column) -> Column:
+        short = F.concat(F.regexp_replace(F.left(flat, F.lit(240)), r"\s+\S*$", ""), F.lit("..."))
+        return F.when(F.length(flat) < 40, "").when(F.length(flat) <= 240, flat).otherwise(short)
+
+    return let(F.trim(F.regexp_replace(F.regexp_replace(body, r"!\[[^\]]*\]\([^)]*\)", ""), r"\s+", " ")), cut)
 
 
 def quote_of_snippet(snippet_: Column, heading: Column) -> Column:

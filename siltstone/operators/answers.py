@@ -143,14 +143,17 @@ def source_cards(citations: DataFrame, passages: DataFrame, sources: DataFrame,
     """A row for each citation (query_id, position, chunk_id, url, snippet): index, title, quote, domain, updated, verified.
 
     ``passages``: (query_id, chunk_id, ordinal, heading, content), of which the first of a chunk counts; ``sources``:
-    (query_id, url, ordinal, page_last_updated, last_verified_at), likewise.
+    (query_id, url, ordinal, page_last_updated, last_verified_at), likewise. Passages may bear their ``quote`` (``quote_of_chunk``)
+    in place of their content; else it is made before they move, so that content doesn't.
     """
+    told = F.col("quote") if "quote" in passages.columns else tx.quote_of_chunk(F.col("content"))
+    passages = passages.select("query_id", "chunk_id", "ordinal", "heading", told.alias("__quote"))
 
     def first(rows: DataFrame, *by: str) -> DataFrame:
         return rows.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy("ordinal"))).where("__n = 1").drop("__n", "ordinal")
 
     rows = citations.join(first(passages, "query_id", "chunk_id"), ["query_id", "chunk_id"], "left").join(first(sources, "query_id", "url"), ["query_id", "url"], "left")
-    quote = F.coalesce(F.nullif(F.coalesce(tx.quote_of_chunk(F.col("content")), F.lit("")), F.lit("")), tx.quote_of_snippet(F.col("snippet"), F.col("heading")))
+    quote = F.coalesce(F.nullif("__quote", F.lit("")), tx.quote_of_snippet(F.col("snippet"), F.col("heading")))
     seen = F.col("last_verified_at")
     verified = F.when(F.to_date(seen) == today, "today").otherwise(tx.short_date(seen))
     return rows.select("query_id", F.col("position").alias("index"), F.coalesce("heading", tx.hostname(F.col("url"))).alias("title"), quote.alias("quote"), "url", tx.hostname(F.col("url")).alias("domain"), tx.short_date(F.col("page_last_updated")).alias("updated"), verified.alias("verified"))

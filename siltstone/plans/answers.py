@@ -36,12 +36,14 @@ def answers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.expr("conv_id * 3 + turn").alias("base"), said.alias("answer"))
 
 
-def passages(spark, sf_dir):
+def passages(spark, sf_dir, **told):
+    """``told``: functions of the content by the columns that take its place; they are made in a document's row, so that its text stays there."""
     asked = answers(spark, sf_dir).select("query_id", F.explode(F.sequence(F.col("base"), F.col("base") + 2)).alias("doc_id"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source"), F.expr("concat('Page > Part ', doc_id % 3, '\n\n', text, ' It takes ', doc_id % 50, ' days or 1,200 in May 5, 2026.')").alias("content"))
+    docs = docs.select("doc_id", "source", *(f(F.col("content")).alias(k) for k, f in told.items())) if told else docs
     rows = asked.join(docs, "doc_id").join(rules(spark, sf_dir), "doc_id", "left")
     url = F.expr("concat('https://www.', source, '.gov/page-', doc_id % 2)")
-    return rows.select("query_id", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")).alias("position"), "doc_id", url.alias("url"), "content", F.expr("concat('Part ', doc_id % 3)").alias("heading"), *op.RULE)
+    return rows.select("query_id", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")).alias("position"), "doc_id", url.alias("url"), *(told or ["content"]), F.expr("concat('Part ', doc_id % 3)").alias("heading"), *op.RULE)
 
 
 def figures_sql(text: str) -> str:
@@ -304,9 +306,9 @@ d AS (SELECT *, CASE WHEN length(folded) <= 240 THEN folded ELSE regexp_replace(
 SELECT query_id, position::BIGINT AS index, heading AS title, CASE WHEN length(flat) < 40 THEN snippet WHEN length(flat) <= 240 THEN flat ELSE regexp_replace(left(flat, 240), '\s+\S*$', '') || '...' END AS quote, url, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') AS domain,
  strftime(DATE '2026-01-05' + (position)::INT, '%b %-d, %Y') AS updated, CASE WHEN position = 1 THEN 'today' ELSE strftime(DATE '2026-09-15' - position::INT, '%b %-d, %Y') END AS verified FROM d""")
 def source_cards(spark, sf_dir):
-    p = passages(spark, sf_dir)
-    cited = p.select("query_id", F.col("position").cast("long").alias("position"), F.col("doc_id").alias("chunk_id"), "url", tx.snippet(F.col("content")).alias("snippet"))
-    held = p.select("query_id", F.col("doc_id").alias("chunk_id"), F.col("position").alias("ordinal"), "heading", "content")
+    p = passages(spark, sf_dir, snippet=tx.snippet, quote=tx.quote_of_chunk)
+    cited = p.select("query_id", F.col("position").cast("long").alias("position"), F.col("doc_id").alias("chunk_id"), "url", "snippet")
+    held = p.select("query_id", F.col("doc_id").alias("chunk_id"), F.col("position").alias("ordinal"), "heading", "quote")
     days = p.withColumn("url", F.col("url")).select("query_id", "url", F.col("position").alias("ordinal"), F.expr("date_add(DATE'2026-01-05', position)").alias("page_last_updated"), F.expr("date_sub(DATE'2026-09-15', position)").alias("last_verified_at"))
     # each passage has an address of its own here, so that its own days show
     own = lambda df, n: df.withColumn("url", F.concat("url", F.lit("#"), F.col(n).cast("string")))

@@ -170,6 +170,35 @@ def test_headings_of_any_length_and_marks(spark):
     assert long.select(F.length(tx.clean_heading(F.col("h")))).first()[0] == 2_000_001 and time.monotonic() - began < 30
 
 
+def moved(df, capsys):
+    """Columns of all shuffles of a plan."""
+    import re
+
+    capsys.readouterr()
+    df.explain("formatted")
+    found = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    assert found
+    return {c.split("#")[0].strip() for x in found for c in x.split(",")}
+
+
+def test_cards_without_moving_content(spark, capsys):
+    from siltstone.plans import answers as plans
+
+    body = "Page > H\n\n" + "prose " * 60
+    cited = spark.createDataFrame([(1, 1, 7, "https://www.a.org/p", "Page > H " + "s" * 40), (1, 2, 8, "https://b.org", "Page > H " + "s" * 40), (1, 3, 9, "https://b.org", None)], "query_id int, position int, chunk_id int, url string, snippet string")
+    held = spark.createDataFrame([(1, 7, 2, "later", "x"), (1, 7, 1, "H", body), (1, 8, 1, "H", "short"), (1, 9, 1, None, None)], "query_id int, chunk_id int, ordinal int, heading string, content string")
+    days = spark.createDataFrame([(1, "https://b.org", 1, datetime.date(2026, 1, 5), datetime.date(2026, 9, 14))], "query_id int, url string, ordinal int, page_last_updated date, last_verified_at date")
+    today = F.lit("2026-09-14").cast("date")
+    cards = answers.source_cards(cited, held, days, today)
+    quoted = answers.source_cards(cited, held.withColumn("quote", tx.quote_of_chunk(F.col("content"))).drop("content"), days, today)
+    expect = [(1, "H", ("prose " * 40).strip() + "...", "a.org", None, None), (2, "H", "s" * 40, "b.org", "Jan 5, 2026", "today"), (3, "b.org", None, "b.org", "Jan 5, 2026", "today")]
+    for df in (cards, quoted):
+        assert [(r["index"], r.title, r.quote, r.domain, r.updated, r.verified) for r in df.orderBy("index").collect()] == expect
+    assert "content" not in moved(cards, capsys)
+    columns = moved(plans.source_cards(spark, "/root/testdata/sf0.001"), capsys)
+    assert not columns & {"content", "text"} and {"snippet", "quote"} <= columns
+
+
 def test_json_redaction(spark):
     import json
 
