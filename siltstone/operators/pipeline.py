@@ -2,6 +2,9 @@
 
 The order is that of a single question: script and vagueness, which need the question alone; the cache; retrieval; the day's budget; the
 generator; the checks of its answer; and what asks for advice. Questions of one text are answered once.
+
+A question's passages go through all stages as what ``retrieve`` gives of them. Where texts are long that should be ids, as the same texts lead for many
+questions; a generator looks up what it reads of them, for the questions that reach it.
 """
 
 from __future__ import annotations
@@ -28,10 +31,19 @@ def key_of(question: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(question, r"\s+", " ")))
 
 
-def stub(asked: DataFrame) -> DataFrame:
-    """query_id, answer of (query_id, question, passages): a generator without a model, which cites its passages and begins the first."""
-    n = F.size("passages")
-    return asked.select("query_id", F.concat(prose.stub_answer(n), F.lit(" "), F.regexp_replace(F.left(F.col("passages")[0]["content"], F.lit(100)), r"\s+", " ")).alias("answer"))
+def stub(asked: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """query_id, answer of (query_id, question, passages): a generator without a model, which cites its passages and begins the first.
+
+    ``texts``: (id, content), for passages of ids; of a repeated id the least text counts. Only beginnings move.
+    """
+    begins = lambda c: F.left(c, F.lit(100))
+    n, first = F.size("passages").alias("n"), F.col("passages")[0]
+    if texts is None:
+        asked = asked.select("query_id", n, begins(first["content"]).alias("content"))
+    else:
+        led = asked.select("query_id", n, first["id"].alias("id")).join(texts.select("id", begins(F.col("content")).alias("content")), "id", "left")
+        asked = led.groupBy("query_id", "n").agg(F.min("content").alias("content"))
+    return asked.select("query_id", F.concat(prose.stub_answer(F.col("n")), F.lit(" "), F.regexp_replace("content", r"\s+", " ")).alias("answer"))
 
 
 class Stages:
@@ -59,7 +71,7 @@ def respond(
 ) -> DataFrame:
     """query_id, response_type, refusal_reason, contexts, answer of each (query_id, question).
 
-    ``retrieve``: (query_id, text) -> (query_id, position, content, score), positions from 1; ``cache``: (key, response_type, answer); ``cap``: questions that may reach the
+    ``retrieve``: (query_id, text) -> (query_id, position, score, ...), positions from 1, the rest, as content or ids, being what ``generate`` gets; ``cache``: (key, response_type, answer); ``cap``: questions that may reach the
     generator, by query_id, 0 for all; ``secrets``: spans of the prompt that no answer may repeat. A null question is too vague.
     """
     stages = stages or Stages()
@@ -78,7 +90,8 @@ def respond(
 
     leads = stages.told(leads.select("query_id", "question"), "retrieval")
     found = retrieve(leads.select("query_id", F.col("question").alias("text")))
-    passages = F.transform(F.array_sort(F.collect_list(F.struct("position", "content", "score"))), lambda p: F.struct(p["content"].alias("content"), p["score"].alias("score")))
+    told = [c for c in found.columns if c not in ("query_id", "position")]
+    passages = F.transform(F.array_sort(F.collect_list(F.struct("position", *told))), lambda p: F.struct(*(p[c].alias(c) for c in told)))
     held = scratch.written(leads.join(found.groupBy("query_id").agg(passages.alias("passages")), "query_id", "left").withColumn("contexts", F.greatest(F.lit(0), F.size("passages"))), "retrieved")
     why = F.when(F.col("contexts") == 0, "no_chunks_retrieved").when(F.col("passages")[0]["score"] < LEAST, "min_distance_exceeds_threshold")
     held = held.withColumn("why", why)

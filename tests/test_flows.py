@@ -1,5 +1,6 @@
 """Responses as one plan, and differences of lines, against plain Python."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import evals, ingest, ledger, pipeline
-from siltstone.sources import crawl, snapshots
+from siltstone.plans import flows
+from siltstone.sources import crawl, scratch, snapshots
 
 QUESTIONS = [
     (1, "How many days of grace after the program end date?"),
@@ -69,6 +71,40 @@ def test_gated_questions_never_reach_the_generator(spark):
     assert len(kept) == 3 and set(kept.values()) == {"answer", "refusal_advice"}
 
 
+def test_passages_move_as_ids(spark, tmp_path, monkeypatch):
+    """Whole texts lead for many questions; no stage gets them, and the stub looks up how the first begins."""
+    rows = [(1, "s", "visa  extension\nform " + "visa " * 50_000), (2, "s", "visa extension\nonce"), (3, "s", "permit fee\nlist " + "permit " * 50_000), (3, "s", "permit again"), (4, "s", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(c, 0, "user", q) for c, q in enumerate(["Which visa extension form is due next year?", "Which permit fee list is due next year?"] * 20 + ["Nothing here is about unusual matters whatsoever"])]
+    spark.createDataFrame(asked, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    held, write = {}, scratch.written
+
+    def written(df, name):
+        held[name] = write(df, name)
+        return held[name]
+
+    monkeypatch.setattr(pipeline.scratch, "written", written)
+    got = {r.query_id // 1000: r for r in flows.answer_pipeline(spark, str(tmp_path)).collect()}
+    for stage in ("retrieved", "generation"):
+        assert held[stage].schema["passages"].dataType.simpleString() == "array<struct<id:bigint,score:double>>"
+        assert held[stage].count() > 0
+    said = "Stub answer. The retrieved context addresses this question [1, 2]. "
+    begins = ["visa  extension\nform " + "visa " * 50_000, "permit again"]  # the least text of a repeated id
+    want = [hashlib.md5((said + " ".join(t[:100].split()) + (" " if t[99:100] == " " else "")).encode()).hexdigest() for t in begins]
+    assert [got[c].answer for c in range(40)] == want * 20
+    assert (got[40].response_type, got[40].refusal_reason, got[40].answer) == ("no_answer", "no_chunks_retrieved", None)
+
+
+def test_stub_by_ids_says_what_it_says_of_texts(spark):
+    texts = [(1, "first  text"), (2, "second " * 40), (3, None)]
+    asked = [(q, [(i, 2.0 - i) for i in ids]) for q, ids in enumerate([[1], [2, 1], [2], [3], [9]])]
+    by_id = spark.createDataFrame(asked, "query_id long, passages array<struct<id: long, score: double>>")
+    own = dict(texts)
+    whole = spark.createDataFrame([(q, [(own.get(i), s) for i, s in p]) for q, p in asked], "query_id long, passages array<struct<content: string, score: double>>")
+    got = pipeline.stub(by_id, spark.createDataFrame(texts, "id long, content string")).collect()
+    assert len(got) == len(asked) and {tuple(r) for r in got} == {tuple(r) for r in pipeline.stub(whole).collect()}
+
+
 def test_responses_to_nothing(spark):
     asked = spark.createDataFrame([], "query_id long, question string")
     assert pipeline.respond(asked, retrieve_for(spark), cap=1).count() == 0
