@@ -36,7 +36,7 @@ from .search import BODY, BROADCAST, HEAD, POOL, STOP_WORDS, by_documents, flat,
 
 #: Postings of a block; rows of a question that are looked up for its bound; postings that a task sorts at once; different runs whose lexemes a
 #: task remembers; lexemes of a batch that are looked for by pages.
-BLOCK, PROBED, PART, KNOWN, SOUGHT = 128, 40, 1 << 19, 1 << 18, 1000
+BLOCK, PROBED, PART, KNOWN, SOUGHT = 128, 40, 1 << 18, 1 << 18, 1000
 BY: dict[str, list[str]] = {}
 
 
@@ -100,6 +100,8 @@ def counted(rows: DataFrame, analyzer: str, arranged: Callable[[list[pa.Table]],
                 held = []
         if held and arranged:
             yield from arranged(held)
+        held = batch = None
+        pa.default_memory_pool().release_unused()  # else it stays with the worker through all later stages
 
     return told.mapInArrow(run, schema)
 
